@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import read, words_in
+from .common import Stash, read, words_in
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -36,7 +36,8 @@ def targets(per_source: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFra
     """(source, source_size) to those with target: water-filling by weight under the caps.
 
     A source is full if its cap is reached at the level that the others and it would share; the
-    sources are sorted by cap per weight, so the full ones come first. One row per source here.
+    sources are sorted by cap per weight, so the full ones come first, and the level of the first
+    open one, the highest of the open ones', is what all open ones get. One row per source here.
     """
     n = len(weights)
     place = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1
@@ -52,7 +53,7 @@ def targets(per_source: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFra
         .withColumn("_cap", F.col("source_size") * most)
         .withColumn("_level", rest / left)
         .withColumn("_full", F.col("_cap") / F.col("_w") <= F.col("_level"))
-        .withColumn("_share", F.min(F.when(~F.col("_full"), F.col("_level"))).over(W.partitionBy()))
+        .withColumn("_share", F.max(F.when(~F.col("_full"), F.col("_level"))).over(W.partitionBy()))
         .withColumn("target", F.when(F.col("_full"), F.col("_cap").cast("double")).otherwise(F.col("_w") * F.col("_share")))
         .select("source", "source_size", "target")
     )
@@ -71,6 +72,7 @@ def plan(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: str = SEED) -
     """
     rows = docs.withColumn("_size", words_in(F.col("text"))).withColumn("_salt", F.coalesce(F.pmod(F.col("doc_id"), F.lit(SALTS)), F.lit(-1)).cast("long")).withColumn("_source", F.col("source"))
     groups = rows.groupBy("_source", "_size", "_salt").agg(F.count(F.lit(1)).alias("_n")).withColumn("_block", F.floor(F.col("_size") / BLOCK))
+    groups = Stash(docs.sparkSession, "mixing").keep(groups)  # else each use of the counts would parse all texts again
     blocks = groups.groupBy("_source", "_block").agg(F.sum("_n").alias("_bn"), F.sum(F.col("_n") * F.col("_size")).alias("_bw"))
     per_source = blocks.groupBy(F.col("_source").alias("source")).agg(F.sum("_bw").alias("source_size"))
     goal = targets(per_source, weights, most).select(F.col("source").alias("_s"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))
@@ -110,7 +112,7 @@ placed AS (SELECT *, row_number() OVER (ORDER BY source ASC NULLS LAST) - 1 AS p
 weighed AS (SELECT *, CAST([5, 2, 1][place % 3 + 1] AS DOUBLE) AS w, source_size * 3 AS cap FROM placed),
 levels AS (SELECT *, CAST(sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / w, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE)
     / (sum(w) OVER () - coalesce(sum(w) OVER (ORDER BY cap / w, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level FROM weighed),
-goals AS (SELECT source, source_size, CASE WHEN cap / w <= level THEN CAST(cap AS DOUBLE) ELSE w * (min(CASE WHEN cap / w > level THEN level END) OVER ()) END AS target FROM levels),
+goals AS (SELECT source, source_size, CASE WHEN cap / w <= level THEN CAST(cap AS DOUBLE) ELSE w * (max(CASE WHEN cap / w > level THEN level END) OVER ()) END AS target FROM levels),
 steps AS (SELECT *, CASE WHEN source_size > 0 THEN least(CAST(floor(target / source_size * 16777216) AS BIGINT), 50331648) ELSE 0 END AS step,
     CAST('0x' || substr(md5('{SEED}/' || coalesce('=' || source, '-')), 1, 6) AS BIGINT) AS shift FROM goals),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY size, coalesce(((doc_id % {SALTS}) + {SALTS}) % {SALTS}, -1), doc_id) AS k FROM sized)
