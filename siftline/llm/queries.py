@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, tokenfile
+from . import mixing, simhash, tokenfile
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op5_token_files": tokenfile.query,
+        "op6_simhash": simhash.query,
         "op9_mixing": mixing.query,
     }
 
