@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, simhash, tokenfile
+from . import mixing, simhash, tokenfile, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op5_token_files": tokenfile.query,
         "op6_simhash": simhash.query,
+        "op7_toxicity": toxicity.query,
         "op9_mixing": mixing.query,
     }
 
