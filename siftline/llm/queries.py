@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, simhash, tokenfile, toxicity
+from . import decontaminate, mixing, simhash, tokenfile, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_simhash": simhash.query,
         "op7_toxicity": toxicity.query,
         "op9_mixing": mixing.query,
+        "op10_decontaminate": decontaminate.query,
     }
 
 
