@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, simhash, tokenfile, toxicity
+from . import decontaminate, mixing, quality, simhash, tokenfile, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_quality": quality.query,
         "op5_token_files": tokenfile.query,
         "op6_simhash": simhash.query,
         "op7_toxicity": toxicity.query,
