@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, quality, simhash, tokencount, tokenfile, toxicity
+from . import decontaminate, mixing, quality, simhash, tokencount, tokenfile, toxicity, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_quality": quality.query,
+        "op3_url_filters": urls.query,
         "op4_token_counts": tokencount.query,
         "op5_token_files": tokenfile.query,
         "op6_simhash": simhash.query,
