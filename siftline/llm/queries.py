@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, quality, simhash, tokencount, tokenfile, toxicity, urls
+from . import decontaminate, mixing, pii, quality, simhash, tokencount, tokenfile, toxicity, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_pii": pii.query,
         "op2_quality": quality.query,
         "op3_url_filters": urls.query,
         "op4_token_counts": tokencount.query,
