@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, pii, quality, simhash, tokencount, tokenfile, toxicity, urls
+from . import chat, decontaminate, mixing, pii, quality, simhash, tokencount, tokenfile, toxicity, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,10 +18,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_token_files": tokenfile.query,
         "op6_simhash": simhash.query,
         "op7_toxicity": toxicity.query,
+        "op8_chat": chat.query,
         "op9_mixing": mixing.query,
         "op10_decontaminate": decontaminate.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_mixing": mixing.SQL}
+    return {"op8_chat": chat.SQL, "op9_mixing": mixing.SQL}
