@@ -27,6 +27,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,26 +41,25 @@ MAGIC = b"SLG1"
 #: Ids of a shard before compression, at most (but for one document that is longer by itself).
 SHARD_IDS = 1 << 20
 #: Re-Pair: passes over a shard, pairs replaced in a pass, least count of a pair.
-PASSES, PER_PASS, LEAST = 4, 2048, 12
+PASSES, PER_PASS, LEAST = 3, 4096, 12
 #: Symbols fit 16 bits.
 SYMBOLS = 1 << 16
-#: Encoded pieces that a worker remembers; pieces met later are encoded whenever they come.
-REMEMBERED = 600_000
+#: Encoded pieces that a worker remembers; above that it forgets all and begins anew.
+REMEMBERED = 1_000_000
 END = 0
 
 SHARDS = "part int, shard int, n_docs long, n_ids long, payload binary"
 
 
-def _disjoint(hit: np.ndarray) -> np.ndarray:
-    """Of adjacent marked positions every other one, from the left."""
-    at = np.flatnonzero(hit)
+def _disjoint(at: np.ndarray) -> np.ndarray:
+    """Of ascending positions, which to take: of adjacent ones every other one, from the left."""
     if not len(at):
-        return at
+        return np.zeros(0, bool)
     new = np.empty(len(at), bool)
     new[0] = True
     np.not_equal(at[1:], at[:-1] + 1, out=new[1:])
-    first = np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
-    return at[(np.arange(len(at)) - first) % 2 == 0]
+    i = np.arange(len(at))
+    return (i - np.maximum.accumulate(np.where(new, i, 0))) % 2 == 0
 
 
 def compress(ids: np.ndarray, starts: np.ndarray, terminals: int, passes=PASSES, per_pass=PER_PASS, least=LEAST):
@@ -92,14 +92,14 @@ def compress(ids: np.ndarray, starts: np.ndarray, terminals: int, passes=PASSES,
         which = np.searchsorted(chosen, code[at])
         which[which == len(chosen)] = 0
         real = chosen[which] == code[at]
-        hit = np.zeros(len(code), bool)
-        hit[at[real]] = True
-        take = _disjoint(hit)
+        at, which = at[real], which[real]
+        own = _disjoint(at)
+        take = at[own]
         pair = np.stack((chosen >> np.uint32(16), chosen & np.uint32(0xFFFF)), axis=1)
         so_far = np.concatenate(length)
         rules.append(pair)
         length.append(so_far[pair[:, 0]] + so_far[pair[:, 1]])
-        sym[take] = made + np.searchsorted(chosen, code[take]).astype(np.uint32)
+        sym[take] = made + which[own].astype(np.uint32)
         stay = np.ones(len(sym), bool)
         stay[take + 1] = False
         sym, first = sym[stay], first[stay]
@@ -173,6 +173,18 @@ PIECE = re.compile(r" ?[^\s]+|\s+(?!\S)|\s+")
 ODD = re.compile("[\x1c-\x1f\x85᠎]")
 
 
+class _Pieces(dict):
+    """Numbers of pieces; a piece asked for in vain gets the next number and is noted in new."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = k = len(self)
+        self.new.append(piece)
+        return k
+
+
 class Encoder:
     """The tokenizers library behind a bounded memory of pieces."""
 
@@ -183,50 +195,44 @@ class Encoder:
         self.lib = Tokenizer.from_file(path)
         self.terminals = self.lib.get_vocab_size(with_added_tokens=True)
         self.added = [x.content for x in self.lib.get_added_tokens_decoder().values()]
-        self.known: dict[str, int] = {}
-        self.flat = np.zeros(1 << 20, np.uint16 if self.terminals <= SYMBOLS else np.uint32)
-        self.used, self.off, self.len = 0, np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int32)
-        self._store("", [END])  # no piece is empty
+        self._forget()
+
+    def _forget(self) -> None:
+        """Only the empty piece, which no text has, is known; it stands for the end id."""
+        self.known = _Pieces()
+        self.known[""] = 0
+        self.flat = np.full(1, END, np.uint16 if self.terminals <= SYMBOLS else np.uint32)
+        self.len = np.ones(1, np.int64)
 
     def _learn(self, pieces: list[str]) -> None:
-        """Gives pieces the next numbers; those above REMEMBERED are forgotten by trim()."""
-        for i in range(0, len(pieces), 4096):
-            for p, e in zip(pieces[i : i + 4096], self.lib.encode_batch_fast(pieces[i : i + 4096], add_special_tokens=False)):
-                self._store(p, e.ids)
-
-    def _store(self, piece: str, ids: list[int]) -> None:
-        k, n = len(self.known), len(ids)
-        if k == len(self.off):
-            self.off, self.len = np.resize(self.off, 2 * k), np.resize(self.len, 2 * k)
-        while self.used + n > len(self.flat):
-            self.flat = np.resize(self.flat, 2 * len(self.flat))
-        self.flat[self.used : self.used + n] = ids
-        self.off[k], self.len[k] = self.used, n
-        self.used += n
-        self.known[piece] = k
-
-    def _trim(self, to: int) -> None:
-        if len(self.known) > to:
-            self.known = dict(zip(list(self.known)[:to], range(to)))
-            self.used = int(self.off[to - 1] + self.len[to - 1]) if to else 0
+        lists = []
+        for i in range(0, len(pieces), 8192):
+            lists += [e.ids for e in self.lib.encode_batch_fast(pieces[i : i + 8192], add_special_tokens=False)]
+        n = np.fromiter(map(len, lists), np.int64, len(lists))
+        self.flat = np.concatenate((self.flat, np.fromiter(chain.from_iterable(lists), self.flat.dtype, int(n.sum()))))
+        self.len = np.concatenate((self.len, n))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, END after each text, and the number of ids of each text."""
-        split = [[t] * (t != "") if ODD.search(t) or any(a in t for a in self.added) else PIECE.findall(t) for t in texts]
-        new = {p for s in split for p in s if p not in self.known}
-        self._learn(sorted(new))
-        known, number = self.known, []
-        for s in split:
-            number += [known[p] for p in s]
+        if len(self.known) > REMEMBERED:
+            self._forget()
+        number: list[int] = []
+        last = []
+        ask = self.known.__getitem__
+        for t in texts:
+            if t:
+                number += map(ask, (t,) if ODD.search(t) or any(a in t for a in self.added) else PIECE.findall(t))
             number.append(0)
-        number = np.array(number, np.int64)
-        n = self.len[number].astype(np.int64)
-        begin = np.cumsum(n) - n
-        ids = self.flat[np.arange(int(n.sum())) + np.repeat(self.off[number] - begin, n)]
-        last = np.cumsum([len(s) + 1 for s in split])
-        upto = np.concatenate(([0], np.cumsum(n)))[last] if len(last) else np.zeros(0, np.int64)
-        self._trim(REMEMBERED)
-        return ids, np.diff(np.concatenate(([0], upto)))
+            last.append(len(number))
+        if self.known.new:
+            self._learn(self.known.new)
+            self.known.new.clear()
+        off = np.cumsum(self.len) - self.len
+        which = np.array(number, np.int64)
+        n = self.len[which]
+        upto = np.cumsum(n)
+        ids = self.flat[np.arange(int(upto[-1])) + np.repeat(off[which] - (upto - n), n)]
+        return ids, np.diff(upto[np.array(last) - 1], prepend=0)
 
 
 _encoders: dict[str, Encoder] = {}
