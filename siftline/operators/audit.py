@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +12,7 @@ from ..functions.html import with_facts
 from ..functions.urls import authority_of, scheme_of
 from . import checks  # noqa: F401  fills the registry
 from .registry import CHECKS
-from .scoring import with_scores
+from .scoring import settled, with_scores
 
 FETCH = "struct<ok:boolean,initial_status:int,final_status:int,redirects:array<struct<url:string,status:int,location:string>>,headers:map<string,string>>"
 ROBOTS = "struct<retrieved:boolean,url:string,status:int,error:string,sitemaps:array<string>,path_verdict:string,matched_rule:string>"
@@ -80,8 +81,20 @@ def _fields(kind: str) -> list[str]:
     return [*out, word]
 
 
+_built: dict[int, Column] = {}
+
+
 def results_of() -> Column:
-    """The 26 outcomes as an array in registry order."""
+    """The 26 outcomes as an array in registry order. Thousands of small expressions make it up, so
+    it is built once per Spark context and used again for every audit."""
+    now = id(SparkContext._active_spark_context)
+    if now not in _built:
+        _built.clear()
+        _built[now] = _results()
+    return _built[now]
+
+
+def _results() -> Column:
 
     def row(c) -> Column:
         o = c.run()
@@ -114,7 +127,7 @@ def audit(pages: DataFrame, fetches: DataFrame | None = None, robots: DataFrame
     """Audit pages (page_id, url, html). Parsing is one Arrow pass; checks and scores are Columns of the
     same stage, so an audit without extra tables needs no shuffle."""
     df = context(pages, fetches, robots, sitemaps, strict)
-    return Audit(with_scores(df.withColumn("results", results_of())))
+    return Audit(with_scores(settled(df, results=results_of())))
 
 
 def metadata(a: Audit) -> DataFrame:

@@ -57,28 +57,33 @@ def _fold(results: Column, category: str) -> Column:
     )
 
 
+def settled(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns, behind a generator of one row: the optimizer would otherwise write each
+    expression out wherever it is used, and these grow with every step."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
+
+
 def with_scores(df: DataFrame, results: str = "results") -> DataFrame:
     """df with category_scores, total, band and redistributed."""
     r = F.col(results)
-    df = df.withColumn("_folds", F.array(*[_fold(r, c) for c, *_ in CATEGORIES]))
+    df = settled(df, _folds=F.array(*[_fold(r, c) for c, *_ in CATEGORIES]))
     measurable = F.aggregate("_folds", F.lit(0), lambda a, c: a + F.when(c["ratio"].isNotNull(), c["category_weight"]).otherwise(0))
-    df = df.withColumn("_measurable", measurable)
+    df = settled(df, _measurable=measurable)
     most = lambda c: F.when(c["ratio"].isNotNull() & (F.col("_measurable") > 0), rounded(c["category_weight"].cast("double") / F.col("_measurable").cast("double") * 100.0)).otherwise(0)
-    df = df.withColumn("_max", F.transform("_folds", most))
-    df = df.withColumn("_gap", F.when(F.col("_measurable") > 0, 100 - F.aggregate("_max", F.lit(0), lambda a, x: a + x)).otherwise(0))
+    df = settled(df, _most=F.transform("_folds", most))
+    df = settled(df, _gap=F.when(F.col("_measurable") > 0, 100 - F.aggregate("_most", F.lit(0), lambda a, x: a + x)).otherwise(0), _largest=F.array_position("_most", F.array_max("_most")).cast("int"))
     # what rounding leaves over goes to the first of the largest shares
-    largest = F.array_position("_max", F.array_max("_max")).cast("int")
-    df = df.withColumn("_max", F.transform("_max", lambda x, i: x + F.when(i + 1 == largest, F.col("_gap")).otherwise(0)))
+    df = settled(df, _max=F.transform("_most", lambda x, i: x + F.when(i + 1 == F.col("_largest"), F.col("_gap")).otherwise(0)))
 
     def scored(c: Column, i: Column) -> Column:
         m = F.get(F.col("_max"), i)
         return F.struct(*[c[k].alias(k) for k in ("category", "category_weight", "checks_total", "checks_passed", "checks_unavailable", "ratio")], m.alias("max_score"), F.when(c["ratio"].isNotNull(), rounded(c["ratio"] * m.cast("double"))).otherwise(0).alias("score"))
 
-    df = df.withColumn("category_scores", F.transform("_folds", scored))
+    df = settled(df, category_scores=F.transform("_folds", scored))
     total = F.aggregate("category_scores", F.lit(0), lambda a, c: a + c["score"])
-    df = df.withColumn("total", F.least(F.greatest(total, F.lit(0)), F.lit(100)))
+    df = settled(df, total=F.least(F.greatest(total, F.lit(0)), F.lit(100)))
     full = sum(w for _, w, _ in CATEGORIES)
-    return df.withColumn("band", band(F.col("total"))).withColumn("redistributed", F.col("_measurable") < full).drop("_folds", "_measurable", "_max", "_gap")
+    return df.withColumn("band", band(F.col("total"))).withColumn("redistributed", F.col("_measurable") < full).drop("_folds", "_measurable", "_most", "_largest", "_max", "_gap")
 
 
 def severity_rank(severity: Column) -> Column:
