@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -132,7 +133,6 @@ def classify(address: str) -> tuple[bool, str | None]:
 
 def classify_udf(address: Column) -> Column:
     """struct<allowed, reason> of any address."""
-    import pandas as pd
     from pyspark.sql.functions import pandas_udf
 
     @pandas_udf("allowed boolean, reason string")

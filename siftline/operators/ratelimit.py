@@ -32,7 +32,7 @@ def peek(state: tuple[int, int] | None, now: int, limit: int, window_ms: int) ->
 def limited(requests: DataFrame, limit: int, window_ms: int) -> DataFrame:
     """requests (client_key, request_id, ts) to OUT. Clients are dealt out by key and read in order of
     time, one request after another, so that a busy client takes no memory."""
-    rows = requests.select("client_key", "request_id", F.unix_millis("ts").alias("ts_ms")).repartition("client_key").sortWithinPartitions("client_key", "ts_ms", "request_id")
+    rows = requests.select("client_key", "request_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms")).repartition("client_key").sortWithinPartitions("client_key", "ts_ms", "request_id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client, state = None, None

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,7 +48,6 @@ def parse(text: str | None) -> dict:
 
 def parsed(docs: DataFrame, text: str = "body") -> DataFrame:
     """docs with groups, sitemaps and has_unknown."""
-    import pandas as pd
     from pyspark.sql.functions import pandas_udf
 
     @pandas_udf(PARSED)

@@ -169,7 +169,7 @@ def rate_limits(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def event_windows(spark: SparkSession, sf: str) -> DataFrame:
-    return limits.windowed_events(spark.read.parquet(f"{sf}/events.parquet")).select(F.unix_millis("window_start").alias("start_ms"), "event_type", "n_events")
+    return limits.windowed_events(spark.read.parquet(f"{sf}/events.parquet")).select(F.unix_millis(F.col("window_start").cast("timestamp")).alias("start_ms"), "event_type", "n_events")
 
 
 def ttl_purge(spark: SparkSession, sf: str) -> DataFrame:
@@ -241,7 +241,7 @@ raw AS (SELECT page_id, url, html, {_BODY} AS body FROM pages),
 said AS (SELECT *, {_decoded("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")} AS title, {_decoded("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)")} AS h1,
     {_decoded("regexp_replace(body, '<[^>]*>', '', 'g')")} AS text, regexp_extract_all(body, '<a href="([^"]*)">([^<]*)</a>', 1) AS hrefs, regexp_extract_all(body, '<a href="([^"]*)">([^<]*)</a>', 2) AS anchors,
     regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang, strlen(html) AS html_bytes FROM raw),
-facts AS (SELECT *, len(list_filter(string_split(text, ' '), lambda w: regexp_matches(w, '[\\p{{L}}\\p{{N}}]'))) AS words, length(text) AS chars, len(list_filter(list_slice(string_split(body, '<p>'), 2, NULL), lambda x: regexp_replace(x, '<[^>]*>|\\s', '', 'g') <> '')) AS paragraphs FROM said)"""
+facts AS (SELECT *, len(list_filter(string_split(text, ' '), lambda w: regexp_matches(w, '[\\p{{L}}\\p{{N}}]'))) AS words, length(text) AS chars, len(list_filter(string_split(body, '<p>')[2:], lambda x: regexp_replace(x, '<[^>]*>|\\s', '', 'g') <> '')) AS paragraphs FROM said)"""
 
 _PERCENT = "floor(CAST(chars AS DOUBLE) / length(html) * 1000 + 0.5) / 10.0::DOUBLE"
 #: Per check: status, severity, value, confidence.
@@ -358,7 +358,7 @@ def oracle_sql() -> dict[str, str]:
               UNION ALL SELECT 'field', m, CAST(j->'loadingExperience'->'metrics'->k->>'percentile' AS DOUBLE) / d, CASE j->'loadingExperience'->'metrics'->k->>'category' WHEN 'FAST' THEN 'good' WHEN 'AVERAGE' THEN 'needs-improvement' ELSE 'poor' END FROM {_values(psi.FIELD, 'k, m, d')}) x WHERE value IS NOT NULL""",
         "psi_opportunities": f"""WITH p AS (SELECT '{payload}'::JSON->'lighthouseResult'->'audits' AS j), a AS (SELECT k AS audit, CAST(j->k->'details'->>'overallSavingsMs' AS DOUBLE) AS savings_ms, j->k->'details'->>'type' AS t, regexp_replace(j->k->>'description', '\\[([^\\]]*)\\]\\([^)]*\\)', '\\1', 'g') AS description FROM p, LATERAL (SELECT unnest(json_keys(j)) AS k) x)
             SELECT 1 AS page_id, CAST(row_number() OVER (ORDER BY savings_ms DESC, audit) AS INTEGER) AS rank, audit, savings_ms, description FROM a WHERE t = 'opportunity' AND savings_ms >= 50""",
-        "rate_limits": f"""WITH RECURSIVE e AS (SELECT CAST(user_id AS VARCHAR) AS client_key, event_id AS request_id, epoch_ms(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id) AS n FROM events),
+        "rate_limits": f"""WITH RECURSIVE e AS (SELECT CAST(user_id AS VARCHAR) AS client_key, event_id AS request_id, epoch_us(ts) // 1000 AS t, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS n FROM events),
             w AS (SELECT client_key, request_id, n, 1 AS c, t + {WINDOW_MS} AS r FROM e WHERE n = 1
               UNION ALL SELECT e.client_key, e.request_id, e.n, CASE WHEN w.r <= e.t THEN 1 ELSE w.c + 1 END, CASE WHEN w.r <= e.t THEN e.t + {WINDOW_MS} ELSE w.r END FROM w JOIN e ON e.client_key = w.client_key AND e.n = w.n + 1)
             SELECT client_key, request_id, c <= {LIMIT} AS allowed, CAST(greatest(0, {LIMIT} - c) AS INTEGER) AS remaining, r AS reset_ms FROM w""",

@@ -34,7 +34,7 @@ def limited_stream(requests: DataFrame, limit: int, window_ms: int) -> DataFrame
         state.setTimeoutDuration(2 * window_ms)
         yield pd.DataFrame(out, columns=["client_key", "request_id", "ts_ms", "allowed", "remaining", "reset_ms", "retry_after_s"])
 
-    rows = requests.select("client_key", "request_id", F.unix_millis("ts").alias("ts_ms"))
+    rows = requests.select("client_key", "request_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"))
     return rows.groupBy("client_key").applyInPandasWithState(run, OUT, "count int, reset_ms long", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
