@@ -36,7 +36,7 @@ def test_good_page(done):
 
 def test_bad_page(done):
     scores, _, top = done
-    assert scores[2].total < 70 and [top[2, k].check_key for k in (1, 2)] == ["https", "title"]
+    assert scores[2].total < 70 and {top[2, k].check_key for k in (1, 2)} == {"https", "title"}
 
 
 def test_noindex(done):
