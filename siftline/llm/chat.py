@@ -2,7 +2,7 @@
 
 Rows are messages (conv_id, node, parent, score, role, text). Root-to-leaf paths are found by
 iterative self-joins that double: each message knows its ancestor 2**k replies up, the distance and
-the sum of scores on the way, and a round joins the table with itself on that ancestor. Leaves are
+the sum of scores on the way, and a round joins those that know no root yet with all on that ancestor. Leaves are
 ranked by the sum of their path; the chosen ones mark their ancestors through the same tables, from
 the longest jumps to the shortest. So a path of n messages takes log2(n) rounds, and only chosen
 paths are ever written out.
@@ -26,6 +26,7 @@ columns are ignored. A formatted conversation is one string, so it must fit one.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -60,22 +61,24 @@ def paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     """
     stash = Stash(messages.sparkSession, "chat")
     key = F.col("conv_id").eqNullSafe
-    up = messages.select("conv_id", "node", F.col("parent").alias("anc"), F.coalesce(F.col("score"), F.lit(0.0)).cast("double").alias("total"), F.lit(0).cast("long").alias("dist"))
+    up = messages.select("conv_id", "node", F.col("parent").alias("anc"), F.coalesce(F.col("score"), F.lit(0.0)).cast("double").alias("total"))
     have = messages.select(F.col("conv_id").alias("_c"), F.col("node").alias("_n"))
     up = up.join(have, key(F.col("_c")) & (F.col("anc") == F.col("_n")), "left").select("conv_id", "node", F.col("_n").alias("anc"), "total", F.when(F.col("_n").isNotNull(), 1).otherwise(0).cast("long").alias("dist"))
+    # messages that know their root are done; only the others, climbing, take part in a round
     up = stash.keep(up)
+    done, climbing = [up.filter(F.col("anc").isNull())], up.filter(F.col("anc").isNotNull())
     jumps = []
     rounds = 1 + math.ceil(math.log2(max(2, up.count())))
     for _ in range(rounds):
-        if up.filter(F.col("anc").isNotNull()).isEmpty():
+        if climbing.isEmpty():
             break
-        jumps.append(up.filter(F.col("anc").isNotNull()).select(F.col("conv_id").alias("_c"), F.col("node").alias("_n"), "anc"))
-        far = up.select(F.col("conv_id").alias("_c"), F.col("node").alias("_n"), F.col("anc").alias("_a"), F.col("total").alias("_t"), F.col("dist").alias("_d"))
-        up = up.join(far, key(F.col("_c")) & (F.col("anc") == F.col("_n")), "left").select(
-            "conv_id", "node", F.col("_a").alias("anc"), (F.col("total") + F.coalesce("_t", F.lit(0.0))).alias("total"), (F.col("dist") + F.coalesce("_d", F.lit(0))).alias("dist")
-        )
+        jumps.append(climbing.select(F.col("conv_id").alias("_c"), F.col("node").alias("_n"), "anc"))
+        far = reduce(DataFrame.unionByName, done, climbing).select(F.col("conv_id").alias("_c"), F.col("node").alias("_n"), F.col("anc").alias("_a"), F.col("total").alias("_t"), F.col("dist").alias("_d"))
+        up = climbing.join(far, key(F.col("_c")) & (F.col("anc") == F.col("_n"))).select("conv_id", "node", F.col("_a").alias("anc"), (F.col("total") + F.col("_t")).alias("total"), (F.col("dist") + F.col("_d")).alias("dist"))
         up = stash.keep(up)
-    up = up.filter(F.col("anc").isNull()).select("conv_id", "node", "total", F.col("dist").alias("depth"))
+        done.append(up.filter(F.col("anc").isNull()))
+        climbing = up.filter(F.col("anc").isNotNull())
+    up = reduce(DataFrame.unionByName, done).select("conv_id", "node", "total", F.col("dist").alias("depth"))
     answered = messages.filter(F.col("parent").isNotNull()).select(F.col("conv_id").alias("_c"), F.col("parent").alias("_p")).distinct()
     leaves = up.join(answered, key(F.col("_c")) & (F.col("node") == F.col("_p")), "left_anti")
     best = W.partitionBy("conv_id").orderBy(F.desc("total"), F.desc("depth"), "node")
@@ -84,10 +87,10 @@ def paths(messages: DataFrame, branches: int = 1) -> DataFrame:
         chosen = top.select("conv_id", F.lit(1).alias("branch"), F.col("m.n").alias("node"))
     else:
         chosen = leaves.withColumn("branch", F.row_number().over(best)).filter(F.col("branch") <= branches).select("conv_id", "branch", "node")
-    on = chosen
+    on = stash.keep(chosen)
     for j in reversed(jumps):
         above = on.join(j, key(F.col("_c")) & (F.col("node") == F.col("_n"))).select("conv_id", "branch", F.col("anc").alias("node"))
-        on = stash.keep(on.unionByName(above))
+        on = on.unionByName(stash.keep(above))
     depth = up.select(F.col("conv_id").alias("_c"), F.col("node").alias("_n"), "depth")
     return on.join(depth, key(F.col("_c")) & (F.col("node") == F.col("_n"))).select("conv_id", "branch", "node", "depth")
 
