@@ -10,9 +10,10 @@ the highest ratio of a word and by how many words are well above zero, and a log
 regression on labelled documents that gave no counts turns these into a score.
 
 Counts are gathered from all labelled training documents: words are counted in each task, summed by
-word, and only then cut into character sequences. MODEL bounds what is sent to the executors: the
-MODEL most frequent sequences (each class weighed by its size) keep counts of their own, the others
-are in the shared counts and the back-off weights. CALIBRATED documents at most fit the regression.
+word, and only then cut into character sequences. All sequences keep their counts, in tables; the
+distinct words of the documents to score are cut alike and rated by joins on them. The REMEMBERED
+most frequent words' ratios are sent to the executors, the others' are joined to the documents'
+words and summed. CALIBRATED documents at most fit the regression.
 
 Defined cases: null text is empty; texts without words have all features zero and the score that
 the regression gives these; documents with several labels count as toxic if one says so; labels
@@ -25,6 +26,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -37,13 +39,12 @@ ORDER = 9
 #: Lengths of the shared lower orders.
 LOWER = (8, 4, 1)
 DISCOUNT = 0.75
-MODEL = 120_000
 CALIBRATED = 20_000
 #: A word is well above zero from here on (natural logarithm).
 HIGH = 5.0
 THRESHOLD = 0.7
-#: Word ratios that a worker remembers.
-REMEMBERED = 100_000
+#: Words (of LONG characters at most) whose ratios are sent to the workers; all others are joined.
+REMEMBERED, LONG = 100_000, 64
 _WORD = re.compile(r"\w+")
 START, END = "\x02", "\x03"
 
@@ -75,15 +76,46 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from out()
 
 
+def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen: Counter = Counter()
+    out = lambda: pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
+    for b in batches:
+        for t in b.column(0):
+            seen.update(_WORD.findall((t.as_py() or "").lower()))
+        if len(seen) > 500_000:
+            yield out()
+            seen.clear()
+    yield out()
+
+
+def _cut(words: DataFrame) -> DataFrame:
+    """words (word, then longs) to g, of each place in the marked word, with the longs."""
+    own = words.columns[1:]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            g, rest = [], [[] for _ in own]
+            for w, *values in zip(*(c.to_pylist() for c in b.columns)):
+                s = START * (ORDER - 1) + w + END
+                places = iter(range(len(s) - ORDER + 1))
+                while part := [s[i : i + ORDER] for i in islice(places, 100_000)]:
+                    g += part
+                    for r, v in zip(rest, values):
+                        r += [v] * len(part)
+                    if len(g) > 100_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(g, pa.string()), *(pa.array(r, pa.int64()) for r in rest)], names=["g", *own])
+                        g, rest = [], [[] for _ in own]
+            yield pa.RecordBatch.from_arrays([pa.array(g, pa.string()), *(pa.array(r, pa.int64()) for r in rest)], names=["g", *own])
+
+    return words.mapInArrow(run, ", ".join(["g string", *(f"{c} long" for c in own)]))
+
+
 def _levels(top: DataFrame, stash: Stash) -> DataFrame:
-    """top: (g, ordinary, toxic) to the MODEL kept rows, with the shared lower-order probability of
-    g's last character as p, and the totals and kinds of g's context in each class."""
-    size = top.agg(F.sum("ordinary").alias("o"), F.sum("toxic").alias("t")).first()
+    """top: (g, ordinary, toxic) with the shared lower-order probability of g's last character as p,
+    and the totals and kinds of g's context in each class."""
     ctx = F.substring("g", 1, ORDER - 1)
     per = top.groupBy(ctx.alias("ctx")).agg(*(F.sum(k).alias(f"n_{k}") for k in ("ordinary", "toxic")), *(F.count_if(F.col(k) > 0).alias(f"k_{k}") for k in ("ordinary", "toxic")))
-    weight = F.col("ordinary") / float(size.o or 1) + F.col("toxic") / float(size.t or 1)
-    kept = top.orderBy(weight.desc(), "g").limit(MODEL)
-    kept = stash.keep(kept.withColumn("ctx", ctx).join(per, "ctx"))
+    kept = stash.keep(top.withColumn("ctx", ctx).join(per, "ctx"))
     below, level, size = [], top.select("g"), ORDER
     for n in LOWER:
         # of each n characters, how many different longer sequences end in them
@@ -94,6 +126,8 @@ def _levels(top: DataFrame, stash: Stash) -> DataFrame:
     for n, level in reversed(below):
         total = level.groupBy(F.substring("g", 1, n - 1).alias("_c")).agg(F.sum("n").alias("_t"), F.count(F.lit(1)).alias("_k"))
         level = level.select(F.col("g").alias("_g"), F.col("n").alias("_n"))
+        if n == 1:
+            level, total = F.broadcast(level), F.broadcast(total)  # single characters
         last = F.substring("g", ORDER - n + 1, n)
         kept = kept.join(level, last == F.col("_g"), "left").join(total, F.substring("g", ORDER - n + 1, n - 1) == F.col("_c"), "left")
         prior = F.col("p") if "p" in kept.columns else p
@@ -116,7 +150,7 @@ def _regression(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> list[float]
 
 
 class Model:
-    """ratios: log-likelihood ratio of a sequence; backoff: that of an unknown next character."""
+    """The model in memory, for tests and small models. ratios: log-likelihood ratio of a sequence; backoff: that of an unknown next character."""
 
     def __init__(self, ratios: dict[str, float], backoff: dict[str, float]):
         self.ratios, self.backoff, self.weights = ratios, backoff, None
@@ -157,64 +191,98 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def _model(kept: DataFrame) -> Model:
-    """From at most MODEL rows."""
-    ratios, backoff = {}, {}
-    for r in kept.toLocalIterator():
-        logs, rest = [], []
-        for c, n, k in ((r.toxic, r.n_toxic, r.k_toxic), (r.ordinary, r.n_ordinary, r.k_ordinary)):
-            lam = DISCOUNT * k / n if n else 1.0
-            logs.append(math.log((max(c - DISCOUNT, 0.0) / n if n else 0.0) + lam * r.p))
-            rest.append(math.log(lam))
-        ratios[r.g] = logs[0] - logs[1]
-        backoff[r.ctx] = rest[0] - rest[1]
-    return Model(ratios, backoff)
+class Learnt:
+    """Tables ratios (g, ratio) and backoff (ctx, rest), and the regression's weights."""
+
+    def __init__(self, ratios: DataFrame, backoff: DataFrame):
+        self.ratios, self.backoff, self.weights = ratios, backoff, None
+
 
+def _learnt(levels: DataFrame, stash: Stash) -> Learnt:
+    logs, rest = [], []
+    for k in ("toxic", "ordinary"):
+        c, n, kinds = F.col(k), F.col(f"n_{k}"), F.col(f"k_{k}")
+        lam = F.when(n > 0, DISCOUNT * kinds / n).otherwise(F.lit(1.0))
+        own = F.when(n > 0, F.greatest(c - DISCOUNT, F.lit(0.0)) / n).otherwise(F.lit(0.0))
+        logs.append(F.log(own + lam * F.col("p")))
+        rest.append(F.log(lam))
+    rated = stash.keep(levels.select("g", "ctx", (logs[0] - logs[1]).alias("ratio"), (rest[0] - rest[1]).alias("rest")))
+    return Learnt(rated.select("g", "ratio"), stash.keep(rated.groupBy("ctx").agg(F.min("rest").alias("rest"))))
+
+
+def rate(words: DataFrame, model: Learnt, stash: Stash) -> DataFrame:
+    """words (word, n) with ratio, the sum over its characters."""
+    words = stash.keep(words.withColumn("w", F.monotonically_increasing_id()))
+    places = _cut(words.select("word", "w")).join(model.ratios, "g", "left")
+    places = stash.keep(places)
+    unknown = places.filter("ratio IS NULL").select("w", F.substring("g", 1, ORDER - 1).alias("ctx")).join(model.backoff, "ctx").select("w", F.col("rest").alias("ratio"))
+    total = places.filter("ratio IS NOT NULL").select("w", "ratio").unionByName(unknown).groupBy("w").agg(F.sum("ratio").alias("ratio"))
+    return words.join(total, "w", "left").select("word", "n", F.coalesce("ratio", F.lit(0.0)).alias("ratio"))
+
+
+def describe(docs: DataFrame, model: Learnt, stash: Stash) -> DataFrame:
+    """docs (text, then longs) to the features a, b, c with the longs."""
+    own = docs.columns[1:]
+    words = docs.select("text").mapInArrow(_vocabulary, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    rated = stash.keep(rate(words, model, stash))
+    often = rated.filter(F.length("word") <= LONG).orderBy(F.desc("n"), "word").limit(REMEMBERED).select("word", "ratio")
+    shared = docs.sparkSession.sparkContext.broadcast({r.word: r.ratio for r in often.toLocalIterator()})
+    names = ["row", *own, "word", "n", "total", "top", "high"]
 
-def fit(docs: DataFrame, labels: DataFrame) -> Model:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for b in batches:
+            out: list[list] = [[] for _ in names]
+            add = lambda *x: [o.append(v) for o, v in zip(out, x)]
+            for t, *ids in zip(*(c.to_pylist() for c in b.columns)):
+                found = _WORD.findall((t or "").lower())
+                r = [known[w] for w in found if w in known]
+                add(*ids, None, len(r), float(sum(r)), max(r, default=None), sum(x > HIGH for x in r))
+                if len(r) < len(found):
+                    for w, n in Counter(w for w in found if w not in known).items():
+                        add(*ids, w, n, None, None, None)
+            kinds = [pa.int64()] * (1 + len(own)) + [pa.string(), pa.int64(), pa.float64(), pa.float64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds)], names=names)
+
+    schema = ", ".join(["row long", *(f"{c} long" for c in own), "word string", "n long", "total double", "top double", "high long"])
+    # the words that aren't sent are joined: one row for each in a document
+    seen = stash.keep(docs.select("text", F.monotonically_increasing_id().alias("row"), *own).mapInArrow(run, schema))
+    rest = seen.filter("word IS NOT NULL").drop("total", "top", "high").join(rated.select("word", "ratio"), "word")
+    rest = rest.select("row", *own, "n", (F.col("n") * F.col("ratio")).alias("total"), F.col("ratio").alias("top"), F.when(F.col("ratio") > HIGH, F.col("n")).otherwise(0).cast("long").alias("high"))
+    whole = seen.filter("word IS NULL").drop("word").unionByName(rest).groupBy("row").agg(*(F.max(c).alias(c) for c in own), *(F.sum(c).alias(c) for c in ("n", "total", "high")), F.max("top").alias("top"))
+    some = lambda x: F.when(F.col("n") > 0, x).otherwise(0.0)
+    return whole.select(some(F.col("total") / F.col("n")).alias("a"), some(F.col("top")).alias("b"), F.log1p(F.col("high").cast("double")).alias("c"), *own)
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> Learnt:
     """Learn from the rows of docs (doc_id, text) that labels (doc_id, toxic) marks and that aren't held out."""
     stash = Stash(docs.sparkSession, "toxicity")
     marks = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     rows = docs.select("doc_id", "text").filter(~held_out(F.col("doc_id"))).join(marks, F.col("doc_id") == F.col("_id")).select("text", "toxic", _fold(F.col("doc_id")).alias("fold"), F.xxhash64("doc_id").alias("order"))
     rows, at = stash.put(rows)
     words = rows.filter(~F.col("fold")).select("text", "toxic").mapInArrow(_count_words, "word string, ordinary long, toxic long").groupBy("word").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
-    marked = F.concat(F.lit(START * (ORDER - 1)), F.col("word"), F.lit(END))
-    cut = F.transform(F.sequence(F.lit(1), F.length("word") + 1), lambda i: F.substring(marked, i, F.lit(ORDER)))
-    top = stash.keep(words.select(F.explode(cut).alias("g"), "ordinary", "toxic").groupBy("g").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic")))
-    model = _model(_levels(top, stash))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        for b in batches:
-            f = [m.features(t.as_py()) for t in b.column(0)]
-            yield pa.RecordBatch.from_arrays([*(pa.array([x[i] for x in f], pa.float64()) for i in range(3)), b.column(1)], names=["a", "b", "c", "toxic"])
-
+    top = stash.keep(_cut(words).groupBy("g").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic")))
+    model = _learnt(_levels(top, stash), stash)
     # only hashes are sorted; the texts stay where they are
     last = rows.filter("fold").select("order").orderBy("order").limit(CALIBRATED).agg(F.max("order")).first()[0]
-    seen = rows.filter(F.col("fold") & (F.col("order") <= F.lit(last))).select("text", "toxic").mapInArrow(describe, "a double, b double, c double, toxic int").collect()
+    seen = describe(rows.filter(F.col("fold") & (F.col("order") <= F.lit(last))).select("text", F.col("toxic").cast("long").alias("toxic")), model, stash).collect()
     y = np.array([r.toxic for r in seen], float)
     if len(y) and 0 < y.sum() < len(y):
         model.weights = _regression(np.array([[r.a, r.b, r.c] for r in seen]), y)
-    shared.unpersist()
     stash.drop(at)
     return model
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with toxic_score, in one pass without a shuffle; other columns are passed on."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        for b in batches:
-            got = pa.array([m.score(t.as_py()) for t in b.column(at)], pa.float64())
-            yield pa.RecordBatch.from_arrays([*b.columns, got], names=[*b.schema.names, "toxic_score"])
-
-    from pyspark.sql.types import DoubleType, StructType
-
-    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add("toxic_score", DoubleType()))
+def score(docs: DataFrame, model: Learnt) -> DataFrame:
+    """docs with toxic_score; other columns are passed on."""
+    if model.weights is None:
+        return docs.withColumn("toxic_score", F.lit(0.0))
+    stash = Stash(docs.sparkSession, "toxicity")
+    keys = [F.xxhash64("text").alias("_text_1"), F.xxhash64(F.lit(7), "text").alias("_text_2")]  # equal texts score alike
+    z = sum((F.lit(w) * F.col(c) for w, c in zip(model.weights[1:], "abc")), F.lit(model.weights[0]))
+    logistic = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))
+    found = describe(docs.select("text", *keys), model, stash).groupBy("_text_1", "_text_2").agg(F.min(logistic).alias("toxic_score"))
+    return docs.select("*", *keys).join(stash.keep(found), ["_text_1", "_text_2"]).select(*docs.columns, "toxic_score")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,10 +2,11 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from siftline.llm import copies
+from siftline.llm import copies, toxicity
 
 
 def _groups(texts):
@@ -54,3 +55,23 @@ def test_near_copies_beyond_three_bits_are_dropped(spark):
     texts = [" ".join(w), " ".join(w[:60] + ["other"] + w[61:]), " ".join(w[10:]), " ".join(w[:60])]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").select("text", F.col("doc_id"))
     assert [r.doc_id for r in corpus_pipeline.drop_copies(spark, df, "").orderBy("doc_id").collect()] == [0, 3]
+
+
+def test_toxicity_keeps_all_sequences(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MODEL", 50, raising=False)
+    monkeypatch.setattr(toxicity, "REMEMBERED", 3)
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdeé𝄞") for _ in range(rng.randint(1, 14)))
+    rows = [(i, " ".join(word() for _ in range(12)) + (f" awful{word()}" if i % 3 == 0 else " fine") + " x" * (i % 5)) for i in range(150)]
+    rows += [(200, None), (201, ""), (202, "w" * 3000), (None, "no id awful"), (3, rows[3][1]), (3, "another text")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(150)], "doc_id long, toxic int")
+    model = toxicity.fit(df, labels)
+    trained = {r.doc_id for r in df.filter(~toxicity.held_out(F.col("doc_id")) & ~toxicity._fold(F.col("doc_id"))).collect()} & set(range(150))
+    marked = [toxicity.START * 8 + w + toxicity.END for i, t in rows if i in trained for w in toxicity._WORD.findall(t.lower())]
+    ratios = {r.g: r.ratio for r in model.ratios.collect()}
+    assert set(ratios) == {s[i : i + 9] for s in marked for i in range(len(s) - 8)} and len(ratios) > 50
+    plain = toxicity.Model(ratios, {r.ctx: r.rest for r in model.backoff.collect()})
+    plain.weights = model.weights
+    scored = toxicity.score(df, model).collect()
+    assert len(scored) == len(rows) and all(r.toxic_score == pytest.approx(plain.score(r.text)) for r in scored)
