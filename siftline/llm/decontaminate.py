@@ -2,8 +2,9 @@
 
 A benchmark item of L words is compared with windows of L words of each document. Windows are
 taken where the document and the item share a word shingle: a shingle at the document's word p and
-the item's word q names the window that begins at p - q, and a window that shares no shingle with
-an item has similarity zero to it. Each window named so gets the SimHash of its shingles. The
+the item's word q names the window that begins at p - q, moved inside where it would begin before the
+document or end after it (a document shorter than the item is one window), and a window that shares
+no shingle with an item has similarity zero to it. Each window named so gets the SimHash of its shingles. The
 64 bits are cut into RADIUS + 1 blocks; a window and an item within RADIUS bits agree on one block
 at least, so the join on (item size, block, bits) finds all pairs within the radius, and the exact
 weighted-shingle similarity (sum of the lesser counts over sum of the greater) decides.
@@ -96,8 +97,8 @@ def matches(docs: DataFrame, items: DataFrame, words: int = WORDS, least: float
     seen = [text.select("doc_id", F.size("w").alias("n"), F.posexplode(F.when(F.size("w") >= words, hashes(F.col("w"), words))).alias("p", "h"))]
     seen += [text.select("doc_id", F.size("w").alias("n"), F.posexplode(_short(F.col("w"), k)).alias("p", "h")) for k in short]
     found = reduce(DataFrame.unionByName, seen).join(F.broadcast(parts) if few else parts, "h")
-    start = F.col("p") - F.col("q")
-    found = found.filter((start >= 0) & (start + F.col("length") <= F.col("n"))).select("doc_id", start.alias("start"), "length").distinct()
+    start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("q"), F.col("n") - F.col("length")))
+    found = found.select("doc_id", start.alias("start"), "length").distinct()
     where = stash.keep(found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "length")).alias("at")))  # a document's own
     # the windows' words, cut out before anything is repeated for each window
     cut = F.transform("at", lambda x: F.struct(x["start"].alias("start"), x["length"].alias("length"), F.slice("w", x["start"] + 1, x["length"]).alias("win")))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from siftline.llm import copies, toxicity
+from siftline.llm import copies, decontaminate, toxicity
 
 
 def _groups(texts):
@@ -75,3 +75,14 @@ def test_toxicity_keeps_all_sequences(spark, monkeypatch):
     plain.weights = model.weights
     scored = toxicity.score(df, model).collect()
     assert len(scored) == len(rows) and all(r.toxic_score == pytest.approx(plain.score(r.text)) for r in scored)
+
+
+def test_items_cut_at_the_edge_of_a_document(spark):
+    w = [f"w{i}" for i in range(38)]
+    items = spark.createDataFrame([(1, " ".join(w))], "item_id long, text string")
+    after = " ".join(f"z{i}" for i in range(50))
+    texts = [" ".join(w[1:]) + " " + after, after + " " + " ".join(w[:-1]), " ".join(w[1:]), " ".join(w[:-1]), " ".join(w[2:-2]), " ".join(w[:20])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.start, r.similarity) for r in decontaminate.matches(df, items).collect()}
+    cut = pytest.approx(33 / 35)
+    assert got == {0: (0, cut), 1: (49, cut), 2: (0, pytest.approx(33 / 34)), 3: (0, pytest.approx(33 / 34)), 4: (0, pytest.approx(30 / 34))}
