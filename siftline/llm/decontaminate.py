@@ -18,7 +18,7 @@ RADIUS = 19 leaves the verification, not the fingerprint, to decide.
 Defined cases: words are lower-cased (A-Z); null texts have no words; items shorter than a shingle
 have one shingle, of all their words, and match windows that equal them; items without words match
 nothing; repeated items and documents are compared each by its id (equal ids: their best window);
-null ids are left out of the pairs, and such documents are kept; other columns are ignored.
+null ids are left out of the pairs, but clean() judges each row by its text; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -120,9 +120,12 @@ def matches(docs: DataFrame, items: DataFrame, words: int = WORDS, least: float
 
 
 def clean(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
-    """docs without those that hold a benchmark item."""
-    bad = Stash(docs.sparkSession, "clean").keep(matches(docs, items, **how).select(F.col("doc_id").alias("_bad")).distinct())
-    return docs.join(bad, F.col("doc_id") == F.col("_bad"), "left_anti")
+    """docs without the rows that hold a benchmark item, whatever their ids."""
+    # rows are told apart by their texts, which alone decide
+    key = F.xxhash64("text")
+    found = matches(docs.select(key.alias("doc_id"), "text"), items, **how)
+    bad = Stash(docs.sparkSession, "clean").keep(found.select(F.col("doc_id").alias("_bad")).distinct())
+    return docs.join(bad, key == F.col("_bad"), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

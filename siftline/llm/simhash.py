@@ -131,13 +131,15 @@ def classes(docs: DataFrame, words: int = WORDS, hot: int = HOT) -> DataFrame:
 
 
 def dedupe(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """One document of each component: the one with the smallest doc_id (of equal ids, one row)."""
-    found = Stash(docs.sparkSession, "dedupe").keep(classes(docs, words))
-    gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
-    if found.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        return kept
-    return kept.dropDuplicates(["doc_id"])
+    """One row of each component: the one with the smallest doc_id (null ids last; of equal ids, one
+    row). Rows of other components stay, whatever their ids."""
+    stash = Stash(docs.sparkSession, "dedupe")
+    rows = stash.keep(docs.withColumn("_row", F.monotonically_increasing_id()))
+    # the components are those of rows: each row's number takes the place of its id
+    found = classes(rows.select(F.col("_row").alias("doc_id"), "text"), words).select(F.col("doc_id").alias("_of"), "component_id")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
+    stays = rows.select("_row", "doc_id").join(found, F.col("_row") == F.col("_of")).groupBy("component_id").agg(best.alias("best")).select(F.col("best._row").alias("_stays"))
+    return rows.join(stays, F.col("_row") == F.col("_stays"), "left_semi").drop("_row")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

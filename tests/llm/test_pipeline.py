@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from siftline.llm import copies, decontaminate, toxicity
+from siftline.llm import copies, decontaminate, simhash, toxicity
 
 
 def _groups(texts):
@@ -86,3 +86,19 @@ def test_items_cut_at_the_edge_of_a_document(spark):
     got = {r.doc_id: (r.start, r.similarity) for r in decontaminate.matches(df, items).collect()}
     cut = pytest.approx(33 / 35)
     assert got == {0: (0, cut), 1: (49, cut), 2: (0, pytest.approx(33 / 34)), 3: (0, pytest.approx(33 / 34)), 4: (0, pytest.approx(30 / 34))}
+
+
+@pytest.mark.parametrize("dedupe", [simhash.dedupe, copies.dedupe])
+def test_rows_of_null_and_repeated_ids_are_told_apart(spark, dedupe):
+    texts = [" ".join(f"{c}{i}" for i in range(60)) for c in "abcdef"]
+    rows = [(1, texts[0]), (2, texts[0]), (2, texts[1]), (2, texts[2]), (None, texts[0]), (None, texts[3]), (None, texts[4]), (None, texts[4])]
+    kept = dedupe(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id or 0), r.text) for r in kept) == sorted([(1, texts[0]), (2, texts[1]), (2, texts[2]), (0, texts[3]), (0, texts[4])])
+
+
+def test_leaks_under_null_and_repeated_ids(spark):
+    item, clean = (" ".join(f"{c}{i}" for i in range(38)) for c in "ab")
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [(None, item), (None, clean), (1, item), (1, clean), (2, None)]
+    kept = decontaminate.clean(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept) == [(0, clean), (1, clean), (2, "")]
