@@ -5,8 +5,8 @@ its own, and the longest fitting rule decides. The urls that rules decide are th
 trees on lexical features (lengths, depth, share of digits, entropy of the characters, parameters,
 hyphens, the statistics of the host's suffix) learn from them and judge the others. The trees are
 fitted on the driver from SAMPLE labelled urls at most, in the order of a hash of the url, and
-scored as Column expressions; suffix statistics count all labelled urls, of the SUFFIXES most
-frequent suffixes, the rest having the overall share.
+scored as Column expressions; suffix statistics count all labelled urls of every suffix and are
+joined to the pages (broadcast up to BROADCAST suffixes); suffixes without any have the overall share.
 
 Defined cases: null urls and urls without :// have an empty host and path, no rule, and the verdict
 that the trees give for their features; repeated rows are judged alike; with labels of one kind
@@ -20,11 +20,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import boost
-from .common import read
+from .common import Stash, read
 
 #: (rule, verdict); a rule is host, then path.
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
-SAMPLE, SUFFIXES, PRIOR = 20_000, 500, 4.0
+SAMPLE, BROADCAST, PRIOR = 20_000, 50_000, 4.0
 FEATURES = ("length", "host_length", "depth", "digits", "entropy", "parameters", "hyphens", "labels", "longest", "secure", "suffix")
 
 
@@ -91,13 +91,15 @@ def judge(pages: DataFrame, rules=RULES, sample: int = SAMPLE) -> DataFrame:
     """pages with host, path, rule, block_score and verdict; other columns are passed on."""
     rows = lexical(pages.select("url"))
     marked = rows.filter(F.col("rule").isNotNull()).withColumn("y", (verdict_of(F.col("rule"), rules) == "block").cast("double"))
-    stats = marked.groupBy("_suffix").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("b")).orderBy(F.desc("n"), "_suffix").limit(SUFFIXES).collect()
-    total, blocked = sum(r.n for r in stats), sum(r.b for r in stats)
+    stash = Stash(pages.sparkSession, "urls")
+    stats = stash.keep(marked.groupBy("_suffix").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("b")))
+    total, blocked, suffixes = stats.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("b"), F.lit(0.0)), F.count(F.lit(1))).first()
     share = (blocked + 1.0) / (total + 2.0)
-    known = {r["_suffix"]: (r.b + PRIOR * share) / (r.n + PRIOR) for r in stats}
-    table = F.create_map(*[x for k, v in known.items() for x in (F.lit(k), F.lit(v))]) if known else None
-    suffix = (F.coalesce(F.element_at(table, F.col("_suffix")), F.lit(share)) if known else F.lit(share)).alias("suffix")
-    fitted = marked.orderBy(F.xxhash64("url"), "url").limit(sample).select(*FEATURES[:-1], suffix, "y").collect()
+    table = stats.select("_suffix", ((F.col("b") + PRIOR * share) / (F.col("n") + PRIOR)).alias("_known"))
+    table = F.broadcast(table) if suffixes <= BROADCAST else table
+    with_suffix = lambda df: df.join(table, "_suffix", "left").withColumn("suffix", F.coalesce("_known", F.lit(share)))
+    fitted = marked.orderBy(F.xxhash64("url"), "url").limit(sample)
+    fitted = with_suffix(fitted).orderBy(F.xxhash64("url"), "url").select(*FEATURES, "y").collect()
     x = np.array([[r[f] for f in FEATURES] for r in fitted], float).reshape(-1, len(FEATURES))
     y = np.array([r.y for r in fitted])
     # half of the sample may not see the suffix, so that other hosts are judged by their form too
@@ -105,7 +107,7 @@ def judge(pages: DataFrame, rules=RULES, sample: int = SAMPLE) -> DataFrame:
     model = boost.fit(x, y)
     names = {c: f"_own_{i}" for i, c in enumerate(pages.columns) if c != "url"}
     kept = pages.select("url", *(F.col(f"`{c}`").alias(n) for c, n in names.items()))
-    scored = lexical(kept).withColumn("suffix", suffix).withColumn("block_score", model.column(lambda i: F.col(FEATURES[i])))
+    scored = with_suffix(lexical(kept)).withColumn("block_score", model.column(lambda i: F.col(FEATURES[i])))
     made = F.when(F.col("block_score") >= 0.5, F.lit("block")).otherwise(F.lit("allow"))
     own = ["host", "path", "rule", "block_score", "verdict"]
     return scored.withColumn("verdict", F.coalesce(verdict_of(F.col("rule"), rules), made)).select("url", *(F.col(n).alias(c) for c, n in names.items() if c not in own), *own)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from siftline.llm import copies, decontaminate, simhash, toxicity
+from siftline.llm import copies, decontaminate, simhash, toxicity, urls
 
 
 def _groups(texts):
@@ -102,3 +102,16 @@ def test_leaks_under_null_and_repeated_ids(spark):
     rows = [(None, item), (None, clean), (1, item), (1, clean), (2, None)]
     kept = decontaminate.clean(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()
     assert sorted((r.doc_id or 0, r.text or "") for r in kept) == [(0, clean), (1, clean), (2, "")]
+
+
+@pytest.mark.parametrize("broadcast", [50_000, 3])
+def test_every_suffix_has_its_statistics(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(urls, "BROADCAST", broadcast, raising=False)
+    seen = []
+    fit = urls.boost.fit
+    monkeypatch.setattr(urls.boost, "fit", lambda x, y: (seen.append(x.copy()), fit(x, y))[1])
+    rows = [(i, f"https://a.n{i:03}.{'org/x' if i % 2 else 'com/de/x'}") for i in range(700)]
+    got = urls.judge(spark.createDataFrame(rows, "page_id int, url string")).collect()
+    share = (350 + 1.0) / (700 + 2.0)
+    own = {round((b + urls.PRIOR * share) / (1 + urls.PRIOR), 9) for b in (0, 1)}
+    assert len(got) == 700 and {round(v, 9) for v in seen[0][1::2, -1]} == own
