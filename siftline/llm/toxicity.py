@@ -115,24 +115,23 @@ def _levels(top: DataFrame, stash: Stash) -> DataFrame:
     and the totals and kinds of g's context in each class."""
     ctx = F.substring("g", 1, ORDER - 1)
     per = top.groupBy(ctx.alias("ctx")).agg(*(F.sum(k).alias(f"n_{k}") for k in ("ordinary", "toxic")), *(F.count_if(F.col(k) > 0).alias(f"k_{k}") for k in ("ordinary", "toxic")))
-    kept = stash.keep(top.withColumn("ctx", ctx).join(per, "ctx"))
     below, level, size = [], top.select("g"), ORDER
     for n in LOWER:
         # of each n characters, how many different longer sequences end in them
         level = stash.keep(level.groupBy(F.substring("g", size - n + 1, n).alias("g")).agg(F.count(F.lit(1)).alias("n")))
         below.append((n, level))
         level, size = level.select("g"), n
-    p = F.lit(1.0 / 256)
+    prior, m = None, 0
     for n, level in reversed(below):
         total = level.groupBy(F.substring("g", 1, n - 1).alias("_c")).agg(F.sum("n").alias("_t"), F.count(F.lit(1)).alias("_k"))
-        level = level.select(F.col("g").alias("_g"), F.col("n").alias("_n"))
-        if n == 1:
-            level, total = F.broadcast(level), F.broadcast(total)  # single characters
-        last = F.substring("g", ORDER - n + 1, n)
-        kept = kept.join(level, last == F.col("_g"), "left").join(total, F.substring("g", ORDER - n + 1, n - 1) == F.col("_c"), "left")
-        prior = F.col("p") if "p" in kept.columns else p
-        kept = kept.withColumn("p", F.greatest(F.col("_n") - DISCOUNT, F.lit(0.0)) / F.col("_t") + DISCOUNT * F.col("_k") / F.col("_t") * prior).drop("_g", "_n", "_c", "_t", "_k")
-    return kept
+        level = level.join(F.broadcast(total) if n == 1 else total, F.substring("g", 1, n - 1) == F.col("_c"))
+        if prior is not None:
+            level = level.join(F.broadcast(prior) if m == 1 else prior, F.substring("g", n - m + 1, m) == F.col("_s"))  # single characters are few
+        p = F.lit(1.0 / 256) if prior is None else F.col("p")
+        p = F.greatest(F.col("n") - DISCOUNT, F.lit(0.0)) / F.col("_t") + DISCOUNT * F.col("_k") / F.col("_t") * p
+        prior, m = stash.keep(level.select(F.col("g").alias("_s"), p.alias("p"))), n
+    kept = top.join(prior, F.substring("g", ORDER - m + 1, m) == F.col("_s")).drop("_s")
+    return kept.withColumn("ctx", ctx).join(per, "ctx")
 
 
 def _regression(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> list[float]:
@@ -192,10 +191,10 @@ class Model:
 
 
 class Learnt:
-    """Tables ratios (g, ratio) and backoff (ctx, rest), and the regression's weights."""
+    """A table (ctx, ratios: next character to ratio, rest: that of others), and the regression's weights."""
 
-    def __init__(self, ratios: DataFrame, backoff: DataFrame):
-        self.ratios, self.backoff, self.weights = ratios, backoff, None
+    def __init__(self, contexts: DataFrame):
+        self.contexts, self.weights = contexts, None
 
 
 def _learnt(levels: DataFrame, stash: Stash) -> Learnt:
@@ -206,17 +205,16 @@ def _learnt(levels: DataFrame, stash: Stash) -> Learnt:
         own = F.when(n > 0, F.greatest(c - DISCOUNT, F.lit(0.0)) / n).otherwise(F.lit(0.0))
         logs.append(F.log(own + lam * F.col("p")))
         rest.append(F.log(lam))
-    rated = stash.keep(levels.select("g", "ctx", (logs[0] - logs[1]).alias("ratio"), (rest[0] - rest[1]).alias("rest")))
-    return Learnt(rated.select("g", "ratio"), stash.keep(rated.groupBy("ctx").agg(F.min("rest").alias("rest"))))
+    rated = levels.select("ctx", F.struct(F.substring("g", ORDER, 1).alias("k"), (logs[0] - logs[1]).alias("v")).alias("x"), (rest[0] - rest[1]).alias("rest"))
+    return Learnt(stash.keep(rated.groupBy("ctx").agg(F.map_from_entries(F.collect_list("x")).alias("ratios"), F.min("rest").alias("rest"))))
 
 
 def rate(words: DataFrame, model: Learnt, stash: Stash) -> DataFrame:
     """words (word, n) with ratio, the sum over its characters."""
     words = stash.keep(words.withColumn("w", F.monotonically_increasing_id()))
-    places = _cut(words.select("word", "w")).join(model.ratios, "g", "left")
-    places = stash.keep(places)
-    unknown = places.filter("ratio IS NULL").select("w", F.substring("g", 1, ORDER - 1).alias("ctx")).join(model.backoff, "ctx").select("w", F.col("rest").alias("ratio"))
-    total = places.filter("ratio IS NOT NULL").select("w", "ratio").unionByName(unknown).groupBy("w").agg(F.sum("ratio").alias("ratio"))
+    places = _cut(words.select("word", "w")).select("w", F.substring("g", 1, ORDER - 1).alias("ctx"), F.substring("g", ORDER, 1).alias("k"))
+    ratio = F.coalesce(F.try_element_at("ratios", F.col("k")), F.col("rest"))
+    total = places.join(model.contexts, "ctx").groupBy("w").agg(F.sum(ratio).alias("ratio"))
     return words.join(total, "w", "left").select("word", "n", F.coalesce("ratio", F.lit(0.0)).alias("ratio"))
 
 

@@ -69,9 +69,10 @@ def test_toxicity_keeps_all_sequences(spark, monkeypatch):
     model = toxicity.fit(df, labels)
     trained = {r.doc_id for r in df.filter(~toxicity.held_out(F.col("doc_id")) & ~toxicity._fold(F.col("doc_id"))).collect()} & set(range(150))
     marked = [toxicity.START * 8 + w + toxicity.END for i, t in rows if i in trained for w in toxicity._WORD.findall(t.lower())]
-    ratios = {r.g: r.ratio for r in model.ratios.collect()}
+    contexts = model.contexts.collect()
+    ratios = {r.ctx + k: v for r in contexts for k, v in r.ratios.items()}
     assert set(ratios) == {s[i : i + 9] for s in marked for i in range(len(s) - 8)} and len(ratios) > 50
-    plain = toxicity.Model(ratios, {r.ctx: r.rest for r in model.backoff.collect()})
+    plain = toxicity.Model(ratios, {r.ctx: r.rest for r in contexts})
     plain.weights = model.weights
     scored = toxicity.score(df, model).collect()
     assert len(scored) == len(rows) and all(r.toxic_score == pytest.approx(plain.score(r.text)) for r in scored)
