@@ -51,10 +51,12 @@ def test_near_copies_equal_all_pairs(spark, monkeypatch):
 
 
 def test_near_copies_beyond_three_bits_are_dropped(spark):
-    w = [f"w{i}" for i in range(120)]
-    texts = [" ".join(w), " ".join(w[:60] + ["other"] + w[61:]), " ".join(w[10:]), " ".join(w[:60])]
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").select("text", F.col("doc_id"))
-    assert [r.doc_id for r in corpus_pipeline.drop_copies(spark, df, "").orderBy("doc_id").collect()] == [0, 3]
+    texts = []
+    for k in range(10):
+        w = [f"w{k}-{i}" for i in range(120)]
+        texts += [" ".join(w), " ".join(w[:40] + ["other"] + w[41:80] + ["another"] + w[81:])]  # similarity 106/126
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").select("text", F.col("doc_id"))
+    assert [r.doc_id for r in corpus_pipeline.drop_copies(spark, df, "").orderBy("doc_id").collect()] == list(range(0, 20, 2))
 
 
 def test_toxicity_keeps_all_sequences(spark, monkeypatch):
