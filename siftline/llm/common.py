@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,24 +16,36 @@ WORD_PY = r"[^\x20\x09-\x0D]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); one of our own only where none is named."""
+    """The cluster's shared folder (spark.checkpoint.dir); one of our own only on a local master that names none."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get().rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     own = "file://" + tempfile.mkdtemp(prefix="siftline-")
     spark.sparkContext.setCheckpointDir(own)
     return own
 
 
 class Stash:
-    """Tables written to the shared folder to cut lineage; survives the loss of any executor."""
+    """Tables written to the shared folder to cut lineage; survives the loss of any executor.
+
+    What isn't dropped before is deleted when the driver's JVM ends, since results may still read it.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.base = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
+        self._system(self.base).deleteOnExit(self._path(self.base))
+
+    def _path(self, path: str):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+
+    def _system(self, path: str):
+        return self._path(path).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def path(self) -> str:
         self.n += 1
@@ -46,10 +59,28 @@ class Stash:
     def keep(self, df: DataFrame) -> DataFrame:
         return self.put(df)[0]
 
-    def drop(self, path: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    def drop(self, *paths: str) -> None:
+        """Delete tables that nothing reads any more, and let Spark delete the shuffles that made them."""
+        for path in paths:
+            self._system(path).delete(self._path(path), True)
+        self.spark.sparkContext._jvm.System.gc()
+
+
+def packed(df: DataFrame, *names: str) -> DataFrame:
+    """df's row as the struct _row, beside the columns named; _row.* gives the rows back, so that no
+    name of ours can clash with one of df's."""
+    own = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    return df.select(F.struct(*map(own, df.columns)).alias("_row"), *map(own, names))
+
+
+def share(rows: int, most: int) -> float:
+    """The share of rows to take by a hash, so that about most are taken, and hardly ever more."""
+    return 1.0 if rows <= most else max(0.0, most - 4 * most**0.5) / rows
+
+
+def taken(key: Column, part: float) -> Column:
+    """Whether a row belongs to the share, by a hash of its key: nothing is sorted or gathered for it."""
+    return F.pmod(F.xxhash64(F.lit(77), key), F.lit(1 << 30)) < F.lit(int(part * (1 << 30)))
 
 
 def words_in(text: Column) -> Column:

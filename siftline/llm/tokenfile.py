@@ -2,22 +2,29 @@
 
 Documents are range-partitioned by doc_id; every partition is cut into shards of bounded size,
 and every shard is compressed by Re-Pair: frequent id pairs become nonterminals, pass after pass,
-and the shard stores its rules with their expansion lengths. No pair crosses the end of a
-document, so each document begins at a symbol of its own and can be decoded alone. A pass
-replaces many pairs at once (the most frequent ones, left to right where they overlap).
+until no pair of the shard is frequent (LEAST times) any more, and the shard stores its rules with
+their expansion lengths. No pair crosses the end of a document, so each document begins at a symbol
+of its own and can be decoded alone. A pass replaces all frequent pairs at once (left to right where
+they overlap). Pairs inside the pieces that texts are made of are replaced first, on the distinct
+pieces, each counted as often as it occurs; then pairs on the whole shard, across pieces.
 
 A shard is one row (part, shard, n_docs, n_ids, payload) of a Parquet table in the shared folder:
 Spark's commit protocol makes the files whole or absent if an executor is lost, and any file
 system that Spark knows will do. payload, little-endian:
 
-    magic "SLG1", n_docs, n_rules, n_terminals, n_symbols (uint32)
+    magic "SLG2", n_docs, n_rules, n_terminals, n_symbols, width (uint32)
     doc_id int64 and null flag uint8 per document
     tokens uint32 per document, symbols uint32 per document
-    left uint16, right uint16, expansion length uint32 per rule
-    symbols uint16; zlib.crc32 of all before (uint32)
+    the ids that the shard uses, ascending, uint32: its symbols 0 to n_terminals - 1
+    left, right per rule (symbols of width bytes), expansion length uint32 per rule
+    symbols of width bytes; zlib.crc32 of all before (uint32)
+
+Symbols are two bytes wide where the shard has at most 65,536 of them and four bytes elsewhere, so ids
+may be any unsigned 32-bit number.
 
 Defined cases: null text is empty and encodes to the end id alone; null ids come first; repeated
-ids stay separate documents, ordered by text; an empty table writes no shard and reads back empty.
+ids stay separate documents, ordered by a hash of the text; an empty table writes no shard and reads
+back empty; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,15 +44,13 @@ from pyspark.sql import functions as F
 
 from .common import Stash, read
 
-MAGIC = b"SLG1"
-#: Ids of a shard before compression, at most (but for one document that is longer by itself).
+MAGIC = b"SLG2"
+#: Ids of a shard before compression, at most (but for one batch of documents that is longer by itself).
 SHARD_IDS = 1 << 20
-#: Re-Pair: passes over a shard, pairs replaced in a pass, least count of a pair.
-PASSES, PER_PASS, LEAST = 3, 4096, 12
-#: Symbols fit 16 bits.
-SYMBOLS = 1 << 16
-#: Encoded pieces that a worker remembers; above that it forgets all and begins anew.
-REMEMBERED = 1_000_000
+#: A pair is frequent in a shard if it stands there so often.
+LEAST = 12
+#: Encoded pieces that a worker holds in each of its two generations.
+REMEMBERED = 600_000
 END = 0
 
 SHARDS = "part int, shard int, n_docs long, n_ids long, payload binary"
@@ -62,61 +67,116 @@ def _disjoint(at: np.ndarray) -> np.ndarray:
     return (i - np.maximum.accumulate(np.where(new, i, 0))) % 2 == 0
 
 
-def compress(ids: np.ndarray, starts: np.ndarray, terminals: int, passes=PASSES, per_pass=PER_PASS, least=LEAST):
-    """(symbols, starts of documents among them, rules [n, 2], expansion lengths). ids < terminals."""
-    sym = ids.astype(np.uint32)
-    first = np.zeros(len(sym), bool)
-    first[starts[starts < len(sym)]] = True
-    rules, length = [], [np.ones(terminals, np.uint32)]
-    made = terminals
-    for _ in range(passes):
-        if len(sym) < 2 or made >= SYMBOLS:
-            break
-        code = (sym[:-1] << np.uint32(16)) | sym[1:]
-        free = ~first[1:]
-        ordered = np.sort(code[free])
-        if not len(ordered):
+def _gather(flat: np.ndarray, off: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The pieces of flat that begin at off and are n long, one after another."""
+    upto = np.cumsum(n)
+    return flat[np.arange(int(upto[-1]) if len(upto) else 0) + np.repeat(off - (upto - n), n)]
+
+
+def _slot(code: np.ndarray) -> np.ndarray:
+    """20 bits of a hash of uint32 or uint64 codes."""
+    return code * np.uint32(2654435761) >> np.uint32(12) if code.dtype == np.uint32 else code * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)
+
+
+def replace(sym: np.ndarray, joins: np.ndarray, made: int, weight: np.ndarray | None, least: int):
+    """Replace pairs until none is frequent: (symbols, rules [n, 2], which of the places are left).
+
+    joins: whether a place may be joined with the next. weight: how often each place counts. made:
+    symbols that exist already. All occurrences of a pass's pairs vanish in it, replaced or cut by a
+    replacement beside them, so that later passes need only look at pairs with a symbol just made.
+    """
+    rules: list[np.ndarray] = []
+    left = np.arange(len(sym))
+    since = 0
+    while len(sym) > 1:
+        at = np.flatnonzero(joins[:-1] & ((sym[:-1] >= since) | (sym[1:] >= since)) if since else joins[:-1])
+        if not len(at):
             break
+        kind, shift = (np.uint32, np.uint32(16)) if made <= 1 << 16 else (np.uint64, np.uint64(32))
+        code = (sym[at].astype(kind) << shift) | sym[at + 1].astype(kind)
+        if weight is None:
+            ordered, w = np.sort(code), None
+        else:
+            order = np.argsort(code)
+            ordered, w = code[order], weight[at][order]
         edge = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-        count = np.diff(np.append(edge, len(ordered)))
-        often = np.flatnonzero(count >= least)
-        room = min(per_pass, SYMBOLS - made)
-        if len(often) > room:
-            often = often[np.lexsort((often, -count[often]))[:room]]
-        if not len(often):
+        count = np.diff(np.append(edge, len(ordered))) if w is None else np.add.reduceat(w, edge)
+        chosen = ordered[edge[count >= least]]
+        if not len(chosen):
             break
-        chosen = np.sort(ordered[edge[often]])
-        maybe = np.zeros(1 << 16, bool)
-        maybe[(chosen * np.uint32(2654435761)) >> np.uint32(16)] = True
-        at = np.flatnonzero(maybe[(code * np.uint32(2654435761)) >> np.uint32(16)] & free)
-        which = np.searchsorted(chosen, code[at])
+        maybe = np.zeros(1 << 20, bool)  # most places hold no chosen pair
+        maybe[_slot(chosen)] = True
+        some = np.flatnonzero(maybe[_slot(code)])
+        code = code[some]
+        which = np.searchsorted(chosen, code)
         which[which == len(chosen)] = 0
-        real = chosen[which] == code[at]
-        at, which = at[real], which[real]
+        real = chosen[which] == code
+        at, which = at[some[real]], which[real]
         own = _disjoint(at)
-        take = at[own]
-        pair = np.stack((chosen >> np.uint32(16), chosen & np.uint32(0xFFFF)), axis=1)
-        so_far = np.concatenate(length)
-        rules.append(pair)
-        length.append(so_far[pair[:, 0]] + so_far[pair[:, 1]])
-        sym[take] = made + which[own].astype(np.uint32)
+        take, which = at[own], which[own]
+        rules.append(np.stack((chosen >> shift, chosen & ((kind(1) << shift) - kind(1))), axis=1).astype(np.uint32))
+        sym[take] = made + which
+        joins[take] = joins[take + 1]
         stay = np.ones(len(sym), bool)
         stay[take + 1] = False
-        sym, first = sym[stay], first[stay]
+        sym, joins, left = sym[stay], joins[stay], left[stay]
+        weight = None if weight is None else weight[stay]
+        since = made
         made += len(chosen)
-    pairs = np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
-    return sym.astype(np.uint16), np.flatnonzero(first), pairs, np.concatenate(length)[terminals:]
+    return sym, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32), left
+
 
+def compress(numbers: np.ndarray, flat: np.ndarray, off: np.ndarray, n: np.ndarray, least: int = LEAST):
+    """(ids used, symbols, symbols per document, rules [n, 2]) of a shard.
 
-def pack(doc_ids: list[int | None], tokens: np.ndarray, ids: np.ndarray, terminals: int) -> bytes:
-    """A shard's payload. tokens: ids of each document."""
-    starts = np.cumsum(tokens) - tokens
-    sym, at, rules, length = compress(ids, starts, terminals)
-    per = np.diff(np.append(at, len(sym)))
+    numbers: the shard's pieces in order, 0 after each document; piece k is flat[off[k]:off[k] + n[k]].
+    """
+    which, place, times = np.unique(numbers, return_inverse=True, return_counts=True)
+    size = n[which]
+    used, sym = np.unique(_gather(flat, off[which], size), return_inverse=True)
+    sym = sym.astype(np.uint32)
+    ends = np.cumsum(size)
+    joins = np.ones(len(sym), bool)
+    joins[ends - 1] = False
+    sym, inner, left = replace(sym, joins, len(used), np.repeat(times, size), least)
+    edge = np.searchsorted(left, ends)
+    size = np.diff(edge, prepend=0)
+    begin = edge - size
+    whole = _gather(sym, begin[place], size[place])
+    joins = np.ones(len(whole), bool)
+    ends = np.cumsum(size[place])[numbers == 0]
+    joins[ends - 1] = False
+    whole, outer, left = replace(whole, joins, len(used) + len(inner), None, least)
+    return used, whole, np.diff(np.searchsorted(left, ends), prepend=0), np.concatenate((inner, outer))
+
+
+def expanded(rules: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray]:
+    """(what all rules stand for, one after another; their lengths), in symbols below terminals."""
+    flat = rules.reshape(-1).astype(np.int64)
+    n = np.full(len(rules), 2, np.int64)
+    while len(deep := np.flatnonzero(flat >= terminals)):
+        wide = np.ones(len(flat), np.int64)
+        wide[deep] = 2
+        owner = np.repeat(np.arange(len(rules)), n)
+        at = np.cumsum(wide) - wide
+        grown = np.repeat(flat, wide)
+        pair = rules[flat[deep] - terminals]
+        grown[at[deep]], grown[at[deep] + 1] = pair[:, 0], pair[:, 1]
+        n = np.bincount(owner, wide, len(rules)).astype(np.int64)
+        flat = grown
+    return flat, n
+
+
+def pack(doc_ids: list[int | None], tokens: np.ndarray, numbers: np.ndarray, flat: np.ndarray, off: np.ndarray, n: np.ndarray) -> bytes:
+    """A shard's payload. tokens: ids of each document; the rest as in compress()."""
+    used, sym, per, rules = compress(numbers, flat, off, n)
+    length = expanded(rules, len(used))[1]
+    width = 2 if len(used) + len(rules) <= 1 << 16 else 4
+    kind = f"<u{width}"
     body = b"".join((
-        MAGIC, struct.pack("<4I", len(doc_ids), len(rules), terminals, len(sym)),
+        MAGIC, struct.pack("<5I", len(doc_ids), len(rules), len(used), len(sym), width),
         np.array([x or 0 for x in doc_ids], "<i8").tobytes(), np.array([x is None for x in doc_ids], np.uint8).tobytes(),
-        tokens.astype("<u4").tobytes(), per.astype("<u4").tobytes(), rules.astype("<u2").tobytes(), length.astype("<u4").tobytes(), sym.astype("<u2").tobytes(),
+        tokens.astype("<u4").tobytes(), per.astype("<u4").tobytes(), used.astype("<u4").tobytes(), rules.astype(kind).tobytes(), length.astype("<u4").tobytes(), sym.astype(kind).tobytes(),
     ))
     return body + struct.pack("<I", zlib.crc32(body))
 
@@ -127,8 +187,8 @@ class Shard:
     def __init__(self, payload: bytes):
         if payload[:4] != MAGIC or zlib.crc32(payload[:-4]) != struct.unpack("<I", payload[-4:])[0]:
             raise ValueError("not a whole shard")
-        n, rules, self.terminals, symbols = struct.unpack_from("<4I", payload, 4)
-        at = 20
+        n, rules, terminals, symbols, width = struct.unpack_from("<5I", payload, 4)
+        at = 24
 
         def part(kind: str, count: int) -> np.ndarray:
             nonlocal at
@@ -138,25 +198,15 @@ class Shard:
 
         ids, null = part("<i8", n), part("u1", n)
         self.doc_ids = [None if x else int(i) for i, x in zip(ids, null)]
-        self.tokens, self.per = part("<u4", n), part("<u4", n)
-        self.rules, self.length, self.sym = part("<u2", 2 * rules).reshape(-1, 2), part("<u4", rules), part("<u2", symbols)
+        self.tokens, self.per, self.used = part("<u4", n), part("<u4", n), part("<u4", terminals)
+        self.rules, self.length, self.sym = part(f"<u{width}", 2 * rules).reshape(-1, 2), part("<u4", rules), part(f"<u{width}", symbols)
         self.at = np.concatenate(([0], np.cumsum(self.per, dtype=np.int64)))
-        full = np.concatenate((np.ones(self.terminals, np.int64), self.length.astype(np.int64)))
-        self._len = full
-        self._off = np.cumsum(full) - full
-        flat = np.empty(int(full.sum()), np.uint32)
-        flat[: self.terminals] = np.arange(self.terminals)
-        for k, (a, b) in enumerate(self.rules.tolist(), self.terminals):
-            o, la = self._off[k], full[a]
-            flat[o : o + la] = flat[self._off[a] : self._off[a] + la]
-            flat[o + la : o + full[k]] = flat[self._off[b] : self._off[b] + full[b]]
-        self._flat = flat
+        self._len = np.concatenate((np.ones(terminals, np.int64), self.length.astype(np.int64)))
+        self._off = np.cumsum(self._len) - self._len
+        self._flat = np.concatenate((self.used, self.used[expanded(self.rules, terminals)[0]]))
 
     def expand(self, sym: np.ndarray) -> np.ndarray:
-        n = self._len[sym]
-        total = int(n.sum())
-        begin = np.cumsum(n) - n
-        return self._flat[np.arange(total) + np.repeat(self._off[sym] - begin, n)]
+        return _gather(self._flat, self._off[sym], self._len[sym])
 
     def document(self, k: int) -> np.ndarray:
         """The ids of the k-th document alone."""
@@ -186,53 +236,106 @@ class _Pieces(dict):
 
 
 class Encoder:
-    """The tokenizers library behind a bounded memory of pieces."""
+    """The tokenizers library behind a bounded memory of pieces.
+
+    The memory has two generations: a full one becomes the older, and what is asked for again is
+    taken over from there. Only tokenizers that split by the byte-level pattern before anything else
+    and normalize nothing are asked by pieces; for all others a text is one piece.
+    """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.lib = Tokenizer.from_file(path)
-        self.terminals = self.lib.get_vocab_size(with_added_tokens=True)
         self.added = [x.content for x in self.lib.get_added_tokens_decoder().values()]
-        self._forget()
-
-    def _forget(self) -> None:
+        self.by_piece = isinstance(self.lib.pre_tokenizer, pre_tokenizers.ByteLevel) and self.lib.normalizer is None and not self.lib.pre_tokenizer.add_prefix_space
+        #: Bytes of each id; ids of pieces that are encoded together are told apart by these.
+        self.bytes = np.zeros(self.lib.get_vocab_size(with_added_tokens=True), np.int64)
+        for token, k in self.lib.get_vocab().items():
+            self.bytes[k] = len(token)
+        self.remembered = remembered
+        self.old: tuple[dict, np.ndarray, np.ndarray, np.ndarray] = ({}, *[np.zeros(0, np.int64)] * 3)
+        self._begin()
+
+    def _begin(self) -> None:
         """Only the empty piece, which no text has, is known; it stands for the end id."""
         self.known = _Pieces()
         self.known[""] = 0
-        self.flat = np.full(1, END, np.uint16 if self.terminals <= SYMBOLS else np.uint32)
-        self.len = np.ones(1, np.int64)
+        self.flat, self.off, self.n = np.full(1, END, np.uint32), np.zeros(1, np.int64), np.ones(1, np.int64)
 
-    def _learn(self, pieces: list[str]) -> None:
-        lists = []
-        for i in range(0, len(pieces), 8192):
-            lists += [e.ids for e in self.lib.encode_batch_fast(pieces[i : i + 8192], add_special_tokens=False)]
+    @property
+    def full(self) -> bool:
+        return len(self.known) > self.remembered
+
+    def turn(self) -> None:
+        """Begin a new generation; numbers given so far lose their meaning."""
+        self.old = (self.known, self.flat, self.off, self.n)
+        self._begin()
+
+    def _alone(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """ids, number of ids of each piece."""
+        lists = [e.ids for e in self.lib.encode_batch_fast(pieces, add_special_tokens=False)]
         n = np.fromiter(map(len, lists), np.int64, len(lists))
-        self.flat = np.concatenate((self.flat, np.fromiter(chain.from_iterable(lists), self.flat.dtype, int(n.sum()))))
-        self.len = np.concatenate((self.len, n))
+        return np.fromiter(chain.from_iterable(lists), np.uint32, int(n.sum())), n
+
+    def _together(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for pieces that begin with a space, as one text; the library takes half the time for it."""
+        ids = np.array(self.lib.encode_batch_fast(["".join(pieces)], add_special_tokens=False)[0].ids, np.uint32)
+        upto = np.cumsum(self.bytes[ids])
+        ends = np.cumsum(np.fromiter(map(len, map(str.encode, pieces)), np.int64, len(pieces)))
+        edge = np.searchsorted(upto, ends) + 1
+        if len(upto) and edge[-1] <= len(upto) and np.array_equal(upto[edge - 1], ends):
+            return ids, np.diff(edge, prepend=0)
+        return self._alone(pieces)
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, END after each text, and the number of ids of each text."""
-        if len(self.known) > REMEMBERED:
-            self._forget()
-        number: list[int] = []
+    def _learn(self, pieces: list[str]) -> None:
+        """Ids of new pieces, whose numbers follow on those known."""
+        old, flat, off, n = self.old
+        there = np.fromiter((old.get(p, -1) for p in pieces), np.int64, len(pieces))
+        groups = [there >= 0, np.zeros(len(pieces), bool), np.zeros(len(pieces), bool)]
+        for i in np.flatnonzero(there < 0).tolist():
+            p = pieces[i]
+            groups[1 if self.by_piece and p[0] == " " and len(p) > 1 and len(p) < 64 and not p[1].isspace() else 2][i] = True
+        begin, size = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
+        got, upto = [self.flat], len(self.flat)
+
+        def put(which: np.ndarray, ids: np.ndarray, count: np.ndarray) -> None:
+            nonlocal upto
+            size[which], begin[which] = count, upto + np.cumsum(count) - count
+            got.append(ids)
+            upto += len(ids)
+
+        if len(which := np.flatnonzero(groups[0])):
+            k = there[which]
+            put(which, _gather(flat, off[k], n[k]), n[k])
+        for ask, chosen in ((self._together, groups[1]), (self._alone, groups[2])):
+            which = np.flatnonzero(chosen)
+            for i in range(0, len(which), 4096):
+                put(which[i : i + 4096], *ask([pieces[k] for k in which[i : i + 4096]]))
+        self.flat = np.concatenate(got)
+        self.off, self.n = np.concatenate((self.off, begin)), np.concatenate((self.n, size))
+
+    def numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The pieces of all texts, 0 after each text, and the number of ids of each text."""
+        out: list[int] = []
         last = []
         ask = self.known.__getitem__
         for t in texts:
             if t:
-                number += map(ask, (t,) if ODD.search(t) or any(a in t for a in self.added) else PIECE.findall(t))
-            number.append(0)
-            last.append(len(number))
+                out += map(ask, PIECE.findall(t) if self.by_piece and not ODD.search(t) and not any(a in t for a in self.added) else (t,))
+            out.append(0)
+            last.append(len(out))
         if self.known.new:
             self._learn(self.known.new)
-            self.known.new.clear()
-        off = np.cumsum(self.len) - self.len
-        which = np.array(number, np.int64)
-        n = self.len[which]
-        upto = np.cumsum(n)
-        ids = self.flat[np.arange(int(upto[-1])) + np.repeat(off[which] - (upto - n), n)]
-        return ids, np.diff(upto[np.array(last) - 1], prepend=0)
+            self.known.new = []
+        which = np.array(out, np.int64)
+        return which, np.diff(np.cumsum(self.n[which])[np.array(last, np.int64) - 1], prepend=0)
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, END after each text, and the number of ids of each text."""
+        which, n = self.numbers(texts)
+        return _gather(self.flat, self.off[which], self.n[which]), n
 
 
 _encoders: dict[str, Encoder] = {}
@@ -250,20 +353,17 @@ def _shards(path: str):
         from pyspark import TaskContext
 
         part, enc, n_shard = TaskContext.get().partitionId(), encoder(path), 0
-        ids: list[np.ndarray] = []
+        numbers: list[np.ndarray] = []
         tokens: list[np.ndarray] = []
         docs: list[int | None] = []
         held = 0
 
         def shard() -> pa.RecordBatch:
-            nonlocal ids, tokens, docs, held, n_shard
-            all_ids = np.concatenate(ids)
-            body = pack(docs, np.concatenate(tokens), all_ids, enc.terminals)
-            row = pa.RecordBatch.from_pydict(
-                {"part": pa.array([part], pa.int32()), "shard": pa.array([n_shard], pa.int32()), "n_docs": pa.array([len(docs)], pa.int64()), "n_ids": pa.array([len(all_ids)], pa.int64()), "payload": pa.array([body], pa.binary())}
-            )
-            ids, tokens, docs, held, n_shard = [], [], [], 0, n_shard + 1
-            return row
+            nonlocal numbers, tokens, docs, held, n_shard
+            body = pack(docs, np.concatenate(tokens), np.concatenate(numbers), enc.flat, enc.off, enc.n)
+            cols = [pa.array([part], pa.int32()), pa.array([n_shard], pa.int32()), pa.array([len(docs)], pa.int64()), pa.array([held], pa.int64()), pa.array([body], pa.binary())]
+            numbers, tokens, docs, held, n_shard = [], [], [], 0, n_shard + 1
+            return pa.RecordBatch.from_arrays(cols, names=["part", "shard", "n_docs", "n_ids", "payload"])
 
         for b in batches:
             doc_ids, texts = b.column(0).to_pylist(), b.column(1)
@@ -275,13 +375,17 @@ def _shards(path: str):
                     some.append(texts[j].as_py() or "")
                     chars += len(some[-1])
                     j += 1
-                got, n = enc.encode(some)
-                if held and held + len(got) > SHARD_IDS:
+                if enc.full:
+                    if docs:  # its pieces' numbers end with the generation
+                        yield shard()
+                    enc.turn()
+                got, n = enc.numbers(some)
+                if held and held + int(n.sum()) > SHARD_IDS:
                     yield shard()
-                ids.append(got)
+                numbers.append(got)
                 tokens.append(n)
                 docs += doc_ids[i:j]
-                held += len(got)
+                held += int(n.sum())
                 i = j
         if docs:
             yield shard()
@@ -292,10 +396,13 @@ def _shards(path: str):
 def write(docs: DataFrame, tokenizer: str, to: str) -> None:
     """Encode docs (doc_id, text) with the tokenizer file and write shards in ascending doc_id order.
 
-    One shuffle of the texts, by ranges of doc_id; nothing is collected.
+    One shuffle of the texts, by ranges of doc_id, hash of the text and place in the input, so that
+    no id and no text fills a range alone; nothing is collected.
     """
-    dealt = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).alias("text")).repartitionByRange("doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    dealt.mapInArrow(_shards(tokenizer), SHARDS).write.parquet(to)
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"), F.monotonically_increasing_id().alias("i"))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("h").asc(), F.col("i").asc()]
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text").mapInArrow(_shards(tokenizer), SHARDS).write.parquet(to)
 
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -21,19 +21,62 @@ def test_encoder_equals_the_library():
         assert ids.tolist() == [x for w in want for x in w] and n.tolist() == list(map(len, want))
 
 
+def _packed(doc_ids, docs):
+    """Each id is a piece of its own; piece 0 is the end id."""
+    ids = np.concatenate(docs)
+    names = np.unique(np.r_[0, ids])
+    flat = np.r_[names]
+    return tokenfile.pack(doc_ids, np.array(list(map(len, docs))), np.searchsorted(names, ids), flat.astype(np.uint32), np.arange(len(flat)), np.ones(len(flat), np.int64))
+
+
 def test_shards_round_trip_and_random_access():
     rng = np.random.default_rng(1)
-    docs = [np.r_[rng.integers(0, 6, k), 0] for k in (0, 5, 3000, 1, 0, 200)] + [np.array([7, 7, 7, 7, 7, 0])]
-    s = tokenfile.Shard(tokenfile.pack([3, None, 3, 4, 5, 6, 7], np.array(list(map(len, docs))), np.concatenate(docs), 50257))
+    docs = [np.r_[rng.integers(1, 6, k), 0] for k in (0, 5, 3000, 1, 0, 200)] + [np.array([7, 7, 7, 7, 7, 0])] + [np.r_[np.tile(9, 700), 0]]
+    s = tokenfile.Shard(_packed([3, None, 3, 4, 5, 6, 7, 8], docs))
     assert s.all().tolist() == np.concatenate(docs).tolist() and s.doc_ids[1] is None and len(s.rules)
-    for k in (6, 2, 0, 5):
+    for k in (7, 6, 2, 0, 5):
         assert s.document(k).tolist() == docs[k].tolist()
-    broken = bytearray(tokenfile.pack([1], np.array([2]), np.array([5, 0]), 50257))
+    broken = bytearray(_packed([1], [np.array([5, 0])]))
     broken[-6] ^= 1
     with pytest.raises(ValueError):
         tokenfile.Shard(bytes(broken))
 
 
+def test_ids_beyond_sixteen_bits():
+    docs = [np.array([70000, 1, 100000, 0]), np.array([2**32 - 1, 0])] + [np.r_[np.arange(1, 70001) * 3, 0]] * 2
+    s = tokenfile.Shard(_packed([1, 2, 3, 4], docs))
+    assert s.sym.dtype == np.uint32 and s.all().tolist() == np.concatenate(docs).tolist()
+    assert [s.document(k).tolist() for k in (1, 0)] == [docs[1].tolist(), docs[0].tolist()]
+
+
+def test_no_pair_stays_frequent():
+    rng = np.random.default_rng(9)
+    enc = tokenfile.Encoder(tokenfile.default_tokenizer())
+    names = ["".join(rng.choice(list("abcdefgh"), rng.integers(2, 9))) for _ in range(300)]
+    texts = [" ".join(rng.choice(names, 200)) for _ in range(120)]
+    which, n = enc.numbers(texts)
+    used, sym, per, rules = tokenfile.compress(which, enc.flat, enc.off, enc.n)
+    ends = np.cumsum(per)
+    joins = np.setdiff1d(np.arange(len(sym) - 1), ends - 1)
+    pairs = np.unique(sym[joins].astype(np.int64) << 32 | sym[joins + 1], return_counts=True)[1]
+    assert pairs.max() < tokenfile.LEAST and len(sym) < int(n.sum()) / 2
+    flat, length = tokenfile.expanded(rules, len(used))
+    off = np.cumsum(length) - length
+    for k, (a, b) in enumerate(rules.tolist()):
+        side = lambda x: [x] if x < len(used) else flat[off[x - len(used)] : off[x - len(used)] + length[x - len(used)]].tolist()
+        assert flat[off[k] : off[k] + length[k]].tolist() == side(a) + side(b)
+
+
+def test_encoder_turns_its_generations():
+    enc = tokenfile.Encoder(tokenfile.default_tokenizer(), 5)
+    lib = tokenizers.Tokenizer.from_file(tokenfile.default_tokenizer())
+    for t in ["one two three four five six", "four five six seven eight nine", "one two three", "nine é €"] * 2:
+        if enc.full:
+            enc.turn()
+        ids, n = enc.encode([t])
+        assert ids.tolist() == lib.encode(t, add_special_tokens=False).ids + [0]
+
+
 def test_trie_equals_the_plain_recurrence():
     import public_tokenizers
 
