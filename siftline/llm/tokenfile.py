@@ -35,6 +35,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from itertools import chain
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -50,7 +51,7 @@ SHARD_IDS = 1 << 20
 #: A pair is frequent in a shard if it stands there so often.
 LEAST = 12
 #: Encoded pieces that a worker holds in each of its two generations.
-REMEMBERED = 600_000
+REMEMBERED = 800_000
 END = 0
 
 SHARDS = "part int, shard int, n_docs long, n_ids long, payload binary"
@@ -78,6 +79,25 @@ def _slot(code: np.ndarray) -> np.ndarray:
     return code * np.uint32(2654435761) >> np.uint32(12) if code.dtype == np.uint32 else code * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)
 
 
+def _sorted(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """codes in order, and the order; uint32 codes are sorted with their places below them, which is faster."""
+    if code.dtype != np.uint32:
+        return code[order := np.argsort(code)], order
+    both = np.sort((code.astype(np.uint64) << np.uint64(32)) | np.arange(len(code), dtype=np.uint64))
+    return (both >> np.uint64(32)).astype(np.uint32), (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct values, place of each among them, how often each) of numbers from 0, by a table where that is small."""
+    if not len(x) or int(x.max()) >= 1 << 23:
+        return np.unique(x, return_inverse=True, return_counts=True)
+    times = np.bincount(x)
+    which = np.flatnonzero(times)
+    table = np.empty(len(times), np.int32)
+    table[which] = np.arange(len(which))
+    return which, table[x], times[which]
+
+
 def replace(sym: np.ndarray, joins: np.ndarray, made: int, weight: np.ndarray | None, least: int):
     """Replace pairs until none is frequent: (symbols, rules [n, 2], which of the places are left).
 
@@ -97,8 +117,8 @@ def replace(sym: np.ndarray, joins: np.ndarray, made: int, weight: np.ndarray |
         if weight is None:
             ordered, w = np.sort(code), None
         else:
-            order = np.argsort(code)
-            ordered, w = code[order], weight[at][order]
+            ordered, order = _sorted(code)
+            w = weight[at][order]
         edge = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
         count = np.diff(np.append(edge, len(ordered))) if w is None else np.add.reduceat(w, edge)
         chosen = ordered[edge[count >= least]]
@@ -131,9 +151,9 @@ def compress(numbers: np.ndarray, flat: np.ndarray, off: np.ndarray, n: np.ndarr
 
     numbers: the shard's pieces in order, 0 after each document; piece k is flat[off[k]:off[k] + n[k]].
     """
-    which, place, times = np.unique(numbers, return_inverse=True, return_counts=True)
+    which, place, times = _distinct(numbers)
     size = n[which]
-    used, sym = np.unique(_gather(flat, off[which], size), return_inverse=True)
+    used, sym, _ = _distinct(_gather(flat, off[which], size))
     sym = sym.astype(np.uint32)
     ends = np.cumsum(size)
     joins = np.ones(len(sym), bool)
@@ -216,11 +236,14 @@ class Shard:
         return self.expand(self.sym)
 
 
-#: A piece: what stands between white space, with one space before it, or white space. No piece's
-#: ids depend on its neighbours, since the tokenizer's own pattern never joins across these.
-PIECE = re.compile(r" ?[^\s]+|\s+(?!\S)|\s+")
-#: White space for one of the two patterns only; texts with these go to the library whole.
-ODD = re.compile("[\x1c-\x1f\x85᠎]")
+#: A piece is what the byte-level pattern makes a unit of its own: contractions, letters, digits, signs,
+#: white space. FINE has its classes for the characters of PLAIN; texts with others are cut by COARSE, at
+#: white space only, and texts with ODD, which is white space for one of the two engines, not at all.
+LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
+FINE = re.compile(rf"'(?:[stmd]|ll|ve|re)| ?[{LETTER}]+| ?[0-9]+| ?[^\s0-9{LETTER}]+|\s+(?!\S)|\s+")
+PLAIN = re.compile(rf"[^\t-\r\x20-\x7e¡¿«»×÷€‐-‧{LETTER}]")
+COARSE = re.compile(r" ?[^\s]+|\s+(?!\S)|\s+")
+ODD = re.compile("[\x1c-\x1f\x85\u180e]")
 
 
 class _Pieces(dict):
@@ -293,10 +316,8 @@ class Encoder:
         """Ids of new pieces, whose numbers follow on those known."""
         old, flat, off, n = self.old
         there = np.fromiter((old.get(p, -1) for p in pieces), np.int64, len(pieces))
-        groups = [there >= 0, np.zeros(len(pieces), bool), np.zeros(len(pieces), bool)]
-        for i in np.flatnonzero(there < 0).tolist():
-            p = pieces[i]
-            groups[1 if self.by_piece and p[0] == " " and len(p) > 1 and len(p) < 64 and not p[1].isspace() else 2][i] = True
+        spaced = np.fromiter((p[0] == " " and 1 < len(p) < 64 and not p[1].isspace() for p in pieces), bool, len(pieces)) & self.by_piece
+        groups = [there >= 0, (there < 0) & spaced, (there < 0) & ~spaced]
         begin, size = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
         got, upto = [self.flat], len(self.flat)
 
@@ -316,14 +337,21 @@ class Encoder:
         self.flat = np.concatenate(got)
         self.off, self.n = np.concatenate((self.off, begin)), np.concatenate((self.n, size))
 
+    def _cut(self, text: str) -> list[str]:
+        if not self.by_piece or any(a in text for a in self.added):
+            return [text]
+        if not PLAIN.search(text):
+            return FINE.findall(text)
+        return [text] if ODD.search(text) else COARSE.findall(text)
+
     def numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The pieces of all texts, 0 after each text, and the number of ids of each text."""
         out: list[int] = []
         last = []
-        ask = self.known.__getitem__
         for t in texts:
             if t:
-                out += map(ask, PIECE.findall(t) if self.by_piece and not ODD.search(t) and not any(a in t for a in self.added) else (t,))
+                pieces = self._cut(t)
+                out += itemgetter(*pieces)(self.known) if len(pieces) > 1 else (self.known[pieces[0]],)
             out.append(0)
             last.append(len(out))
         if self.known.new:

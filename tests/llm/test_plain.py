@@ -9,7 +9,7 @@ import pytest
 from siftline.llm import quality, simhash, tokencount, tokenfile, toxicity
 
 tokenizers = pytest.importorskip("tokenizers")
-TEXTS = ["", "a", "  two  spaces\n\nlines \t", "It's a test, isn't it? 123 €𝄞 é́", "<|endoftext|> x", "x" * 5000, "\x1c odd \x85 space", "same same same same " * 300]
+TEXTS = ["", " ", "a ", " a", "\n a\n", "a \n b", "don't I'll 'sabc x's ###'s a_b 12ab ½ 1/2", "« é » – “x” ß×ß", "a\u00a0b", "日本 語 ², x²", "a", "  two  spaces\n\nlines \t", "It's a test, isn't it? 123 €𝄞 é́", "<|endoftext|> x", "x" * 5000, "\x1c odd \x85 space", "same same same same " * 300]
 
 
 def test_encoder_equals_the_library():
