@@ -34,7 +34,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 from operator import itemgetter
 
 import numpy as np
@@ -46,12 +46,14 @@ from pyspark.sql import functions as F
 from .common import Stash, read
 
 MAGIC = b"SLG2"
-#: Ids of a shard before compression, at most (but for one batch of documents that is longer by itself).
+#: Ids of a shard before compression, at most (but for one document that is longer by itself).
 SHARD_IDS = 1 << 20
 #: A pair is frequent in a shard if it stands there so often.
 LEAST = 12
 #: Encoded pieces that a worker holds in each of its two generations.
 REMEMBERED = 800_000
+#: Characters that are cut into pieces at once, but for one text that is longer by itself.
+BATCH = 4_000_000
 END = 0
 
 SHARDS = "part int, shard int, n_docs long, n_ids long, payload binary"
@@ -240,8 +242,9 @@ class Shard:
 #: white space. FINE has its classes for the characters of PLAIN; texts with others are cut by COARSE, at
 #: white space only, and texts with ODD, which is white space for one of the two engines, not at all.
 LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
-FINE = re.compile(rf"'(?:[stmd]|ll|ve|re)| ?[{LETTER}]+| ?[0-9]+| ?[^\s0-9{LETTER}]+|\s+(?!\S)|\s+")
+FINE = re.compile(rf" ?[{LETTER}]+|'(?:[stmd]|ll|ve|re)| ?[0-9]+| ?[^\s0-9{LETTER}]+|\s+(?!\S)|\s+")
 PLAIN = re.compile(rf"[^\t-\r\x20-\x7e¡¿«»×÷€‐-‧{LETTER}]")
+SPACED = re.compile(r" \S.{,62}\Z")
 COARSE = re.compile(r" ?[^\s]+|\s+(?!\S)|\s+")
 ODD = re.compile("[\x1c-\x1f\x85\u180e]")
 
@@ -315,8 +318,8 @@ class Encoder:
     def _learn(self, pieces: list[str]) -> None:
         """Ids of new pieces, whose numbers follow on those known."""
         old, flat, off, n = self.old
-        there = np.fromiter((old.get(p, -1) for p in pieces), np.int64, len(pieces))
-        spaced = np.fromiter((p[0] == " " and 1 < len(p) < 64 and not p[1].isspace() for p in pieces), bool, len(pieces)) & self.by_piece
+        there = np.fromiter(map(old.get, pieces, repeat(-1)), np.int64, len(pieces))
+        spaced = np.fromiter(map(bool, map(SPACED.match, pieces)), bool, len(pieces)) & self.by_piece
         groups = [there >= 0, (there < 0) & spaced, (there < 0) & ~spaced]
         begin, size = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
         got, upto = [self.flat], len(self.flat)
@@ -399,7 +402,7 @@ def _shards(path: str):
             while i < len(doc_ids):
                 j, chars = i, 0
                 some: list[str] = []
-                while j < len(doc_ids) and chars < 1_000_000:
+                while j < len(doc_ids) and chars < BATCH:
                     some.append(texts[j].as_py() or "")
                     chars += len(some[-1])
                     j += 1
@@ -408,12 +411,20 @@ def _shards(path: str):
                         yield shard()
                     enc.turn()
                 got, n = enc.numbers(some)
-                if held and held + int(n.sum()) > SHARD_IDS:
-                    yield shard()
-                numbers.append(got)
-                tokens.append(n)
-                docs += doc_ids[i:j]
-                held += int(n.sum())
+                stops = np.flatnonzero(got == 0) + 1
+                upto = np.cumsum(n)
+                k = 0
+                while k < len(some):  # as many documents as the shard still takes, one at least if it is empty
+                    room = SHARD_IDS - held + (int(upto[k - 1]) if k else 0)
+                    m = max(int(np.searchsorted(upto, room, side="right")), k + (not docs))
+                    if m > k:
+                        numbers.append(got[stops[k - 1] if k else 0 : stops[m - 1]])
+                        tokens.append(n[k:m])
+                        docs += doc_ids[i + k : i + m]
+                        held += int(n[k:m].sum())
+                    if m < len(some):
+                        yield shard()
+                    k = m
                 i = j
         if docs:
             yield shard()

@@ -167,3 +167,21 @@ def test_toxicity_learns_words(spark, empty):
     assert min(s for s, t in held if t) > max(s for s, t in held if not t)
     assert toxicity.score(empty.drop("toxic_score"), toxicity.fit(empty, labels)).count() == 0
 
+
+
+def test_token_file_query_equals_the_library(spark, tmp_path):
+    import zlib
+
+    from tokenizers import Tokenizer
+
+    rows = [(i * 7 % 50, f"word{i} and some more words number {i} " * (i % 9) + "é ½  x") for i in range(50)] + [(3, "again"), (None, None), (60, LONG)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in tokenfile.query(spark, str(tmp_path)).collect())
+    lib = Tokenizer.from_file(tokenfile.default_tokenizer())
+    ids = {t: lib.encode(t or "", add_special_tokens=False).ids + [0] for _, t in rows}
+    crc = {(d, len(ids[t]), zlib.crc32(np.array(ids[t], "<u4").tobytes())) for d, t in rows}
+    assert len(got) == len(rows) and {g[1:] for g in got} == crc and [g[1] for g in got] == sorted((d for d, _ in rows), key=lambda d: -1 if d is None else d)
+    at = 0
+    for start, _, n, _ in got:
+        assert start == at
+        at += n
