@@ -306,8 +306,9 @@ class Encoder:
         return np.fromiter(chain.from_iterable(lists), np.uint32, int(n.sum())), n
 
     def _together(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The same for pieces that begin with a space, as one text; the library takes half the time for it."""
-        ids = np.array(self.lib.encode_batch_fast(["".join(pieces)], add_special_tokens=False)[0].ids, np.uint32)
+        """The same for pieces that begin with a space, 64 as one text; the library takes half the time for it."""
+        joined = ["".join(pieces[i : i + 64]) for i in range(0, len(pieces), 64)]
+        ids = np.array([k for e in self.lib.encode_batch_fast(joined, add_special_tokens=False) for k in e.ids], np.uint32)
         upto = np.cumsum(self.bytes[ids])
         ends = np.cumsum(np.fromiter(map(len, map(str.encode, pieces)), np.int64, len(pieces)))
         edge = np.searchsorted(upto, ends) + 1
@@ -334,9 +335,10 @@ class Encoder:
             k = there[which]
             put(which, _gather(flat, off[k], n[k]), n[k])
         for ask, chosen in ((self._together, groups[1]), (self._alone, groups[2])):
-            which = np.flatnonzero(chosen)
+            # in order, so that the library's tables are asked for neighbours one after another
+            which = np.array(sorted(np.flatnonzero(chosen).tolist(), key=pieces.__getitem__), np.int64)
             for i in range(0, len(which), 4096):
-                put(which[i : i + 4096], *ask([pieces[k] for k in which[i : i + 4096]]))
+                put(which[i : i + 4096], *ask([pieces[k] for k in which[i : i + 4096].tolist()]))
         self.flat = np.concatenate(got)
         self.off, self.n = np.concatenate((self.off, begin)), np.concatenate((self.n, size))
 
