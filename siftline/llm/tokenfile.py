@@ -23,7 +23,7 @@ Symbols are two bytes wide where the shard has at most 65,536 of them and four b
 may be any unsigned 32-bit number.
 
 Defined cases: null text is empty and encodes to the end id alone; null ids come first; repeated
-ids stay separate documents, ordered by a hash of the text; an empty table writes no shard and reads
+ids stay separate documents, ordered by their place in the input; an empty table writes no shard and reads
 back empty; other columns are ignored.
 """
 
@@ -362,7 +362,7 @@ class Encoder:
         if self.known.new:
             self._learn(self.known.new)
             self.known.new = []
-        which = np.array(out, np.int64)
+        which = np.fromiter(out, np.int64, len(out))
         return which, np.diff(np.cumsum(self.n[which])[np.array(last, np.int64) - 1], prepend=0)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -437,12 +437,11 @@ def _shards(path: str):
 def write(docs: DataFrame, tokenizer: str, to: str) -> None:
     """Encode docs (doc_id, text) with the tokenizer file and write shards in ascending doc_id order.
 
-    One shuffle of the texts, by ranges of doc_id, hash of the text and place in the input, so that
-    no id and no text fills a range alone; nothing is collected.
+    One shuffle of the texts, by ranges of doc_id and place in the input, so that no id fills a
+    range alone; nothing is collected.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"), F.monotonically_increasing_id().alias("i"))
-    order = [F.col("doc_id").asc_nulls_first(), F.col("h").asc(), F.col("i").asc()]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("i"))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("i").asc()]
     rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text").mapInArrow(_shards(tokenizer), SHARDS).write.parquet(to)
 
 
