@@ -1,28 +1,32 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
 An expression is a word, read as characters with start and end marks. Each class, toxic and
-ordinary, has its own counts at the highest order (ORDER characters); below it both back off to the
-same Kneser-Ney distribution over continuation counts of the two classes together. So rare
+ordinary, has its own counts at the highest order (ORDER characters), discounted by what the counts
+of counts say (D1, D2, D3+ of the modified smoothing); what is taken off goes to a Kneser-Ney
+distribution over continuation counts that both classes share (SHARED characters, then one). So rare
 expressions are judged by the characters they share with others, and what neither class knows
-counts for neither. A word's log-likelihood ratio is the sum over its characters; a document is
-described by the ratio per word (the length-normalised difference of the two log-likelihoods), by
-the highest ratio of a word and by how many words are well above zero, and a logistic
-regression on labelled documents that gave no counts turns these into a score.
-
-Counts are gathered from all labelled training documents: words are counted in each task, summed by
-word, and only then cut into character sequences. All sequences keep their counts, in tables; the
-distinct words of the documents to score are cut alike and rated by joins on them. The REMEMBERED
-most frequent words' ratios are sent to the executors, the others' are joined to the documents'
-words and summed. CALIBRATED documents at most fit the regression.
-
-Defined cases: null text is empty; texts without words have all features zero and the score that
+counts for neither. Counts are of documents that hold a word, so that no document speaks for itself
+by repetition.
+
+A word's difference is its log-likelihood under the toxic model less that under the ordinary one. Two
+length-normalised differences describe a document: that of the whole text, for each word, and that of
+the TELLING words which differ most. A logistic regression on labelled documents that gave no counts
+turns the two into a score; toxic documents weigh WEIGHT times there.
+
+Counts are gathered from all labelled training documents and all character sequences keep their
+counts, in tables; the distinct words of the documents to score are cut alike and rated by joins on
+them. The differences of the words that occur most often, REMEMBERED at most, are sent to the executors;
+those of the others are joined to the documents' words and summed. A fifth of the training documents
+gives no counts but is for the regression, by a hash of the id about CALIBRATED at most.
+
+Defined cases: null text is empty; texts without words have both differences zero and the score that
 the regression gives these; documents with several labels count as toxic if one says so; labels
-without a document are ignored; without labels of both kinds every score is 0.
+without a document are ignored; without labels of both kinds every score is 0; rows with null ids are
+scored but teach nothing; equal texts score alike; columns of any name are passed on.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -31,34 +35,44 @@ from itertools import islice
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Stash, read
+from .common import Stash, packed, read, share, taken
 
-ORDER = 9
-#: Lengths of the shared lower orders.
-LOWER = (8, 4, 1)
+ORDER, SHARED = 9, 8
+#: Discount of the shared counts.
 DISCOUNT = 0.75
-CALIBRATED = 20_000
-#: A word is well above zero from here on (natural logarithm).
-HIGH = 5.0
+CALIBRATED, WEIGHT, RIDGE = 20_000, 3.0, 0.1
+TELLING = 2
 THRESHOLD = 0.7
-#: Words (of LONG characters at most) whose ratios are sent to the workers; all others are joined.
-REMEMBERED, LONG = 100_000, 64
+#: Words (of LONG characters at most) whose differences are sent to the workers; all others are joined.
+REMEMBERED, LONG = 400_000, 64
+#: Entries that a task gathers before it hands them on.
+HELD = 500_000
 _WORD = re.compile(r"\w+")
 START, END = "\x02", "\x03"
 
 
+def _crc(doc_id: Column) -> Column:
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
+
+
 def held_out(doc_id: Column) -> Column:
-    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3 == 1
+    return _crc(doc_id) % 3 == 1
 
 
 def _fold(doc_id: Column) -> Column:
     """Of the training rows, a fifth is for the regression."""
-    return F.floor(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) / 3) % 5 == 0
+    return F.floor(_crc(doc_id) / 3) % 5 == 0
+
+
+def words(text: str | None) -> list[str]:
+    return _WORD.findall((text or "").lower())
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text, toxic) to (word, ordinary, toxic): documents of each class that hold the word."""
     seen: list[Counter] = [Counter(), Counter()]
 
     def out() -> Iterator[pa.RecordBatch]:
@@ -70,8 +84,8 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for b in batches:
         for t, kind in zip(b.column(0), b.column(1).to_pylist()):
-            seen[kind].update(_WORD.findall((t.as_py() or "").lower()))
-        if sum(map(len, seen)) > 500_000:
+            seen[kind].update(set(words(t.as_py())))
+        if sum(map(len, seen)) > HELD:
             yield from out()
     yield from out()
 
@@ -81,209 +95,268 @@ def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     out = lambda: pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
     for b in batches:
         for t in b.column(0):
-            seen.update(_WORD.findall((t.as_py() or "").lower()))
-        if len(seen) > 500_000:
+            seen.update(words(t.as_py()))
+        if len(seen) > HELD:
             yield out()
             seen.clear()
     yield out()
 
 
-def _cut(words: DataFrame) -> DataFrame:
-    """words (word, then longs) to g, of each place in the marked word, with the longs."""
-    own = words.columns[1:]
+def _places(word: str) -> Iterator[str]:
+    s = START * (ORDER - 1) + word + END
+    return (s[i : i + ORDER] for i in range(len(s) - ORDER + 1))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            g, rest = [], [[] for _ in own]
-            for w, *values in zip(*(c.to_pylist() for c in b.columns)):
-                s = START * (ORDER - 1) + w + END
-                places = iter(range(len(s) - ORDER + 1))
-                while part := [s[i : i + ORDER] for i in islice(places, 100_000)]:
-                    g += part
-                    for r, v in zip(rest, values):
-                        r += [v] * len(part)
-                    if len(g) > 100_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(g, pa.string()), *(pa.array(r, pa.int64()) for r in rest)], names=["g", *own])
-                        g, rest = [], [[] for _ in own]
-            yield pa.RecordBatch.from_arrays([pa.array(g, pa.string()), *(pa.array(r, pa.int64()) for r in rest)], names=["g", *own])
-
-    return words.mapInArrow(run, ", ".join(["g string", *(f"{c} long" for c in own)]))
-
-
-def _levels(top: DataFrame, stash: Stash) -> DataFrame:
-    """top: (g, ordinary, toxic) with the shared lower-order probability of g's last character as p,
-    and the totals and kinds of g's context in each class."""
-    ctx = F.substring("g", 1, ORDER - 1)
-    per = top.groupBy(ctx.alias("ctx")).agg(*(F.sum(k).alias(f"n_{k}") for k in ("ordinary", "toxic")), *(F.count_if(F.col(k) > 0).alias(f"k_{k}") for k in ("ordinary", "toxic")))
-    below, level, size = [], top.select("g"), ORDER
-    for n in LOWER:
-        # of each n characters, how many different longer sequences end in them
-        level = stash.keep(level.groupBy(F.substring("g", size - n + 1, n).alias("g")).agg(F.count(F.lit(1)).alias("n")))
-        below.append((n, level))
-        level, size = level.select("g"), n
-    prior, m = None, 0
-    for n, level in reversed(below):
-        total = level.groupBy(F.substring("g", 1, n - 1).alias("_c")).agg(F.sum("n").alias("_t"), F.count(F.lit(1)).alias("_k"))
-        level = level.join(F.broadcast(total) if n == 1 else total, F.substring("g", 1, n - 1) == F.col("_c"))
-        if prior is not None:
-            level = level.join(F.broadcast(prior) if m == 1 else prior, F.substring("g", n - m + 1, m) == F.col("_s"))  # single characters are few
-        p = F.lit(1.0 / 256) if prior is None else F.col("p")
-        p = F.greatest(F.col("n") - DISCOUNT, F.lit(0.0)) / F.col("_t") + DISCOUNT * F.col("_k") / F.col("_t") * p
-        prior, m = stash.keep(level.select(F.col("g").alias("_s"), p.alias("p"))), n
-    kept = top.join(prior, F.substring("g", ORDER - m + 1, m) == F.col("_s")).drop("_s")
-    return kept.withColumn("ctx", ctx).join(per, "ctx")
-
-
-def _regression(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> list[float]:
-    """Logistic regression by Newton steps; the classes weigh as they come."""
-    x = np.column_stack((np.ones(len(x)), x))
-    w = np.zeros(x.shape[1])
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        keep = np.r_[0.0, np.full(len(w) - 1, ridge)]
-        step = np.linalg.solve((x.T * (p * (1 - p))) @ x + np.diag(keep + 1e-6), x.T @ (p - y) + keep * w)
-        w -= step
-        if np.abs(step).max() < 1e-8:
-            break
-    return w.tolist()
-
-
-class Model:
-    """The model in memory, for tests and small models. ratios: log-likelihood ratio of a sequence; backoff: that of an unknown next character."""
-
-    def __init__(self, ratios: dict[str, float], backoff: dict[str, float]):
-        self.ratios, self.backoff, self.weights = ratios, backoff, None
-        self._words: dict[str, float] = {}
-
-    def __getstate__(self):
-        return self.ratios, self.backoff, self.weights
-
-    def __setstate__(self, s):
-        self.ratios, self.backoff, self.weights = s
-        self._words = {}
-
-    def word(self, w: str) -> float:
-        known = self._words.get(w)
-        if known is None:
-            s, total, ratios, backoff = START * (ORDER - 1) + w + END, 0.0, self.ratios, self.backoff
-            for i in range(len(s) - ORDER + 1):
-                g = s[i : i + ORDER]
-                r = ratios.get(g)
-                total += backoff.get(g[:-1], 0.0) if r is None else r
-            known = total
-            if len(self._words) < REMEMBERED:
-                self._words[w] = known
-        return known
-
-    def features(self, text: str | None) -> tuple[float, float, float]:
-        words = _WORD.findall((text or "").lower())
-        if not words:
-            return 0.0, 0.0, 0.0
-        word = self.word
-        r = [word(w) for w in words]
-        return sum(r) / len(r), max(r), math.log1p(sum(x > HIGH for x in r))
-
-    def score(self, text: str | None) -> float:
-        if self.weights is None:
-            return 0.0
-        z = self.weights[0] + sum(a * b for a, b in zip(self.weights[1:], self.features(text)))
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+
+def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, ordinary, toxic) to (g, ordinary, toxic), summed as far as a task holds them."""
+    seen: dict[str, list[int]] = {}
+
+    def out() -> pa.RecordBatch:
+        n = np.array(list(seen.values()), np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(n[:, 0]), pa.array(n[:, 1])], names=["g", "ordinary", "toxic"])
+
+    for b in batches:
+        for w, o, t in zip(*(c.to_pylist() for c in b.columns)):
+            for g in _places(w):
+                if (x := seen.get(g)) is None:
+                    seen[g] = [o, t]
+                else:
+                    x[0] += o
+                    x[1] += t
+            if len(seen) > HELD:
+                yield out()
+                seen.clear()
+    yield out()
+
+
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, w) to (w, ctx, k) of each place."""
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(w, pa.int64()), pa.array([g[:-1] for g in found], pa.string()), pa.array([g[-1] for g in found], pa.string())], names=["w", "ctx", "k"])
+
+    w, found = [], []
+    for b in batches:
+        for word, i in zip(b.column(0), b.column(1).to_pylist()):
+            places = _places(word.as_py())
+            while part := list(islice(places, 100_000)):
+                found += part
+                w += [i] * len(part)
+                if len(found) > 100_000:
+                    yield out()
+                    w, found = [], []
+    yield out()
 
 
 class Learnt:
-    """A table (ctx, ratios: next character to ratio, rest: that of others), and the regression's weights."""
+    """A table (ctx, ratios: next character to difference, rest: that of others), and the regression."""
 
     def __init__(self, contexts: DataFrame):
-        self.contexts, self.weights = contexts, None
-
+        self.contexts = contexts
+        #: bias, then a weight for each difference; None without labels of both kinds
+        self.weights: list[float] | None = None
 
-def _learnt(levels: DataFrame, stash: Stash) -> Learnt:
-    logs, rest = [], []
-    for k in ("toxic", "ordinary"):
-        c, n, kinds = F.col(k), F.col(f"n_{k}"), F.col(f"k_{k}")
-        lam = F.when(n > 0, DISCOUNT * kinds / n).otherwise(F.lit(1.0))
-        own = F.when(n > 0, F.greatest(c - DISCOUNT, F.lit(0.0)) / n).otherwise(F.lit(0.0))
-        logs.append(F.log(own + lam * F.col("p")))
-        rest.append(F.log(lam))
-    rated = levels.select("ctx", F.struct(F.substring("g", ORDER, 1).alias("k"), (logs[0] - logs[1]).alias("v")).alias("x"), (rest[0] - rest[1]).alias("rest"))
-    return Learnt(stash.keep(rated.groupBy("ctx").agg(F.map_from_entries(F.collect_list("x")).alias("ratios"), F.min("rest").alias("rest"))))
+    def score(self, a: Column, b: Column) -> Column:
+        if self.weights is None:
+            return F.lit(0.0)
+        z = F.lit(self.weights[0]) + F.lit(self.weights[1]) * a + F.lit(self.weights[2]) * b
+        return 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))
+
+
+def discounts(ones: list[int]) -> list[float]:
+    """What is taken off counts of 1, 2 and 3 or more, from how many sequences occur 1 to 4 times."""
+    n1, n2, n3, n4 = (max(1, n) for n in ones)
+    y = n1 / (n1 + 2 * n2)
+    return [min(max(d, 0.1), float(k) - 0.1) for k, d in ((1, 1 - 2 * y * n2 / n1), (2, 2 - 3 * y * n3 / n2), (3, 3 - 4 * y * n4 / n3))]
+
+
+def _marks(labels: DataFrame) -> DataFrame:
+    """_id, toxic of the documents that are labelled and not held out."""
+    known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    return known.groupBy(F.col("doc_id").alias("_id")).agg(F.max((F.col("toxic") != 0).cast("long")).alias("toxic"))
+
+
+def learn(docs: DataFrame, labels: DataFrame, stash: Stash) -> Learnt:
+    """The differences, from the rows of docs (doc_id, text) that labels (doc_id, toxic) marks and
+    that are neither held out nor for the regression."""
+    marks = _marks(labels).filter(~_fold(F.col("_id")))
+    rows = docs.select("doc_id", "text").join(marks, F.col("doc_id") == F.col("_id")).select("text", "toxic")
+    counted = rows.mapInArrow(_count_words, "word string, ordinary long, toxic long").groupBy("word").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
+    cut = counted.mapInArrow(_sequences, "g string, ordinary long, toxic long").withColumn("mid", F.substring("g", 2, SHARED - 1))
+    # one shuffle, by what stands between the first and the last character, serves the counts and the
+    # continuation counts: tasks have summed what they could, and a group is a pair of characters at most
+    top = cut.repartition("mid").groupBy("mid", "g").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic")).withColumn("k", F.substring("g", ORDER, 1))
+    same, all_of = W.partitionBy("mid", "k"), W.partitionBy("mid")
+    top = top.withColumn("nth", F.row_number().over(same.orderBy("g"))).withColumn("n", F.count(F.lit(1)).over(same))
+    top = top.withColumn("t", F.count(F.lit(1)).over(all_of)).withColumn("kinds", F.count_if(F.col("nth") == 1).over(all_of))
+    top, at = stash.put(top.select("g", "k", "ordinary", "toxic", "n", "t", "kinds", (F.col("nth") == 1).alias("first")))
+    # a row for each character: of how many different sequences it is the end, and counts of counts
+    by = [F.count_if(F.col(c) == i).alias(f"{c}_{i}") for c in ("ordinary", "toxic") for i in range(1, 5)]
+    ends = top.groupBy("k").agg(F.count_if("first").alias("n"), *by).collect()
+    total = max(1, sum(r.n for r in ends))
+    last = docs.sparkSession.createDataFrame([(r.k, max(r.n - DISCOUNT, 0) / total + DISCOUNT * len(ends) / total / 256) for r in ends], "_k string, p1 double")
+    off = {c: discounts([sum(r[f"{c}_{i}"] for r in ends) for i in range(1, 5)]) for c in ("ordinary", "toxic")}
+    p = (F.greatest(F.col("n") - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col("kinds") * F.col("p1")) / F.col("t")
+    part = top.join(F.broadcast(last), F.col("k") == F.col("_k")).select(F.substring("g", 1, ORDER - 1).alias("ctx"), F.struct("k", "ordinary", "toxic", p.alias("p")).alias("x"))
+    group = part.groupBy("ctx").agg(F.collect_list("x").alias("xs"))
+
+    def less(c: Column, kind: str) -> Column:
+        d = off[kind]
+        return F.when(c <= 0, 0.0).when(c == 1, d[0]).when(c == 2, d[1]).otherwise(d[2])
+
+    for kind in ("ordinary", "toxic"):
+        group = group.withColumn(f"n_{kind}", F.aggregate("xs", F.lit(0.0), lambda a, x: a + x[kind]))
+        group = group.withColumn(f"l_{kind}", F.when(F.col(f"n_{kind}") > 0, F.aggregate("xs", F.lit(0.0), lambda a, x: a + less(x[kind], kind)) / F.col(f"n_{kind}")).otherwise(1.0))
+
+    def log(x: Column, kind: str) -> Column:
+        return F.log((x[kind] - less(x[kind], kind)) / F.greatest(F.col(f"n_{kind}"), F.lit(1.0)) + F.col(f"l_{kind}") * x["p"])
+
+    ratios = F.map_from_arrays(F.transform("xs", lambda x: x["k"]), F.transform("xs", lambda x: log(x, "toxic") - log(x, "ordinary")))
+    model = Learnt(stash.keep(group.select("ctx", ratios.alias("ratios"), (F.log("l_toxic") - F.log("l_ordinary")).alias("rest"))))
+    stash.drop(at)
+    return model
 
 
-def rate(words: DataFrame, model: Learnt, stash: Stash) -> DataFrame:
-    """words (word, n) with ratio, the sum over its characters."""
-    words = stash.keep(words.withColumn("w", F.monotonically_increasing_id()))
-    places = _cut(words.select("word", "w")).select("w", F.substring("g", 1, ORDER - 1).alias("ctx"), F.substring("g", ORDER, 1).alias("k"))
+def rate(vocabulary: DataFrame, model: Learnt, stash: Stash) -> DataFrame:
+    """vocabulary (word, n) with ratio, the difference: the sum over the word's characters."""
+    own, at = stash.put(vocabulary.withColumn("w", F.monotonically_increasing_id()))
+    places = own.select("word", "w").mapInArrow(_spread, "w long, ctx string, k string")
     ratio = F.coalesce(F.try_element_at("ratios", F.col("k")), F.col("rest"))
-    total = places.join(model.contexts, "ctx").groupBy("w").agg(F.sum(ratio).alias("ratio"))
-    return words.join(total, "w", "left").select("word", "n", F.coalesce("ratio", F.lit(0.0)).alias("ratio"))
+    total = places.join(model.contexts, "ctx").groupBy(F.col("w").alias("_w")).agg(F.sum(ratio).alias("ratio"))
+    out = stash.keep(own.join(total, F.col("w") == F.col("_w"), "left").select("word", "n", F.coalesce("ratio", F.lit(0.0)).alias("ratio")))
+    stash.drop(at)
+    return out
+
+
+def _known(rated: DataFrame) -> dict[str, float]:
+    """The differences of the words that occur most often: those with a count from which on there
+    are REMEMBERED at most. Nothing is sorted; the driver sees a table of counts and these words."""
+    short = rated.filter(F.length("word") <= LONG)
+    top = 10_000
+    held, least = 0, top + 1
+    for r in sorted(short.groupBy(F.least("n", F.lit(top)).alias("n")).agg(F.count(F.lit(1)).alias("held")).collect(), key=lambda r: -r.n):
+        if (held := held + r.held) > REMEMBERED:
+            break
+        least = r.n
+    t = short.filter(F.col("n") >= least).select("word", "ratio").toArrow()
+    return dict(zip(t.column(0).to_pylist(), t.column(1).to_pylist()))
 
 
 def describe(docs: DataFrame, model: Learnt, stash: Stash) -> DataFrame:
-    """docs (text, then longs) to the features a, b, c with the longs."""
+    """docs (text, then longs) to the differences a (whole text) and b (telling words), with the longs."""
     own = docs.columns[1:]
-    words = docs.select("text").mapInArrow(_vocabulary, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    rated = stash.keep(rate(words, model, stash))
-    often = rated.filter(F.length("word") <= LONG).orderBy(F.desc("n"), "word").limit(REMEMBERED).select("word", "ratio")
-    shared = docs.sparkSession.sparkContext.broadcast({r.word: r.ratio for r in often.toLocalIterator()})
-    names = ["row", *own, "word", "n", "total", "top", "high"]
+    vocabulary = docs.select("text").mapInArrow(_vocabulary, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    rated = rate(vocabulary, model, stash)
+    shared = docs.sparkSession.sparkContext.broadcast(_known(rated))
+    tops = [f"top{i}" for i in range(TELLING)]
+    names = ["row", *own, "word", "n", "total", *tops]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
+        known = shared.value.get
+        kinds = [pa.int64()] * (1 + len(own)) + [pa.string(), pa.int64(), pa.float64(), *[pa.float64()] * TELLING]
         for b in batches:
             out: list[list] = [[] for _ in names]
-            add = lambda *x: [o.append(v) for o, v in zip(out, x)]
-            for t, *ids in zip(*(c.to_pylist() for c in b.columns)):
-                found = _WORD.findall((t or "").lower())
-                r = [known[w] for w in found if w in known]
-                add(*ids, None, len(r), float(sum(r)), max(r, default=None), sum(x > HIGH for x in r))
-                if len(r) < len(found):
-                    for w, n in Counter(w for w in found if w not in known).items():
-                        add(*ids, w, n, None, None, None)
-            kinds = [pa.int64()] * (1 + len(own)) + [pa.string(), pa.int64(), pa.float64(), pa.float64(), pa.int64()]
+            put = [o.append for o in out]
+            for t, *ids in zip(b.column(0), *(c.to_pylist() for c in b.columns[1:])):
+                n, total, best = 0, 0.0, [float("-inf")] * TELLING
+                for w, k in Counter(words(t.as_py())).items():
+                    r = known(w)
+                    if r is None:
+                        for p, v in zip(put, (ids[0], *[None] * len(own), w, k, None, *[None] * TELLING)):
+                            p(v)
+                        continue
+                    n += k
+                    total += k * r
+                    if r > best[-1]:
+                        best = sorted(best + [r] * min(k, TELLING), reverse=True)[:TELLING]
+                for p, v in zip(put, (*ids, None, n, total, *(x if x > float("-inf") else None for x in best))):
+                    p(v)
             yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds)], names=names)
 
-    schema = ", ".join(["row long", *(f"{c} long" for c in own), "word string", "n long", "total double", "top double", "high long"])
+    schema = ", ".join(["row long", *(f"{c} long" for c in own), "word string", "n long", "total double", *(f"{c} double" for c in tops)])
+    seen, at = stash.put(docs.select("text", F.monotonically_increasing_id().alias("row"), *own).mapInArrow(run, schema))
     # the words that aren't sent are joined: one row for each in a document
-    seen = stash.keep(docs.select("text", F.monotonically_increasing_id().alias("row"), *own).mapInArrow(run, schema))
-    rest = seen.filter("word IS NOT NULL").drop("total", "top", "high").join(rated.select("word", "ratio"), "word")
-    rest = rest.select("row", *own, "n", (F.col("n") * F.col("ratio")).alias("total"), F.col("ratio").alias("top"), F.when(F.col("ratio") > HIGH, F.col("n")).otherwise(0).cast("long").alias("high"))
-    whole = seen.filter("word IS NULL").drop("word").unionByName(rest).groupBy("row").agg(*(F.max(c).alias(c) for c in own), *(F.sum(c).alias(c) for c in ("n", "total", "high")), F.max("top").alias("top"))
-    some = lambda x: F.when(F.col("n") > 0, x).otherwise(0.0)
-    return whole.select(some(F.col("total") / F.col("n")).alias("a"), some(F.col("top")).alias("b"), F.log1p(F.col("high").cast("double")).alias("c"), *own)
+    rest = seen.filter("word IS NOT NULL").select("row", "word", F.col("n").alias("times")).join(rated.select("word", "ratio"), "word")
+    again = [F.when(F.col("times") > i, F.col("ratio")).alias(c) for i, c in enumerate(tops)]
+    rest = rest.select("row", *(F.lit(None).cast("long").alias(c) for c in own), F.col("times").alias("n"), (F.col("times") * F.col("ratio")).alias("total"), *again)
+    whole = seen.filter("word IS NULL").drop("word").unionByName(rest)
+    whole = whole.groupBy("row").agg(*(F.max(c).alias(c) for c in own), F.sum("n").alias("n"), F.sum("total").alias("total"), F.collect_list(F.array_compact(F.array(*tops))).alias("tops"))
+    best = F.slice(F.sort_array(F.flatten("tops"), asc=False), 1, TELLING)
+    out = whole.select(*own, F.when(F.col("n") > 0, F.col("total") / F.col("n")).otherwise(0.0).alias("a"), (F.aggregate(best, F.lit(0.0), lambda s, x: s + x) / TELLING).alias("b"))
+    out = stash.keep(out)
+    stash.drop(at)
+    return out
+
+
+def regression(x: np.ndarray, y: np.ndarray) -> list[float]:
+    """Logistic regression on standardised columns by Newton steps; given back for the columns as they are."""
+    mean, spread = x.mean(0), x.std(0) + 1e-9
+    z = np.column_stack((np.ones(len(x)), (x - mean) / spread))
+    w, s = np.zeros(z.shape[1]), np.where(y == 1, WEIGHT, 1.0)
+    keep = np.r_[1e-6, np.full(len(w) - 1, RIDGE)]
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        step = np.linalg.solve((z.T * (s * p * (1 - p))) @ z + np.diag(keep), z.T @ (s * (p - y)) + keep * w)
+        w -= step
+        if np.abs(step).max() < 1e-8:
+            break
+    slope = w[1:] / spread
+    return [float(w[0] - slope @ mean), *map(float, slope)]
+
+
+def _to_calibrate(labels: DataFrame) -> DataFrame:
+    marks = _marks(labels).filter(_fold(F.col("_id")))
+    return marks.filter(taken(F.col("_id"), share(marks.count(), CALIBRATED)))
+
+
+def _calibrate(model: Learnt, rows: list) -> None:
+    y = np.array([r.toxic for r in rows], float)
+    if len(y) and 0 < y.sum() < len(y):
+        model.weights = regression(np.array([[r.a, r.b] for r in rows], float), y)
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Learnt:
     """Learn from the rows of docs (doc_id, text) that labels (doc_id, toxic) marks and that aren't held out."""
     stash = Stash(docs.sparkSession, "toxicity")
-    marks = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    rows = docs.select("doc_id", "text").filter(~held_out(F.col("doc_id"))).join(marks, F.col("doc_id") == F.col("_id")).select("text", "toxic", _fold(F.col("doc_id")).alias("fold"), F.xxhash64("doc_id").alias("order"))
-    rows, at = stash.put(rows)
-    words = rows.filter(~F.col("fold")).select("text", "toxic").mapInArrow(_count_words, "word string, ordinary long, toxic long").groupBy("word").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
-    top = stash.keep(_cut(words).groupBy("g").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic")))
-    model = _learnt(_levels(top, stash), stash)
-    # only hashes are sorted; the texts stay where they are
-    last = rows.filter("fold").select("order").orderBy("order").limit(CALIBRATED).agg(F.max("order")).first()[0]
-    seen = describe(rows.filter(F.col("fold") & (F.col("order") <= F.lit(last))).select("text", F.col("toxic").cast("long").alias("toxic")), model, stash).collect()
-    y = np.array([r.toxic for r in seen], float)
-    if len(y) and 0 < y.sum() < len(y):
-        model.weights = _regression(np.array([[r.a, r.b, r.c] for r in seen]), y)
-    stash.drop(at)
+    model = learn(docs, labels, stash)
+    rows = docs.select("doc_id", "text").join(_to_calibrate(labels), F.col("doc_id") == F.col("_id")).select("text", "toxic")
+    _calibrate(model, describe(rows, model, stash).dropDuplicates(["toxic", "a", "b"]).collect())
     return model
 
 
+def _keys(text: Column) -> list[Column]:
+    return [F.xxhash64(text).alias("_text_1"), F.xxhash64(F.lit(7), text).alias("_text_2")]
+
+
+def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, _text_1, _text_2, score) of each row: fit and score in one, so that the documents are read twice, not four times."""
+    stash = Stash(docs.sparkSession, "toxicity")
+    model = learn(docs, labels, stash)
+    seen = describe(docs.select("text", F.col("doc_id").cast("long").alias("doc_id"), *_keys(F.col("text"))), model, stash)
+    marks = _to_calibrate(labels)
+    _calibrate(model, seen.select("doc_id", "a", "b").dropDuplicates().join(F.broadcast(marks), F.col("doc_id") == F.col("_id")).select("toxic", "a", "b").collect())
+    return seen.select("doc_id", "_text_1", "_text_2", model.score(F.col("a"), F.col("b")).alias("score"))
+
+
 def score(docs: DataFrame, model: Learnt) -> DataFrame:
-    """docs with toxic_score; other columns are passed on."""
+    """docs with toxic_score (in place of a column of that name); equal texts are scored once."""
+    rows = packed(docs, "text").select("_row", *_keys(F.col("text")))
     if model.weights is None:
-        return docs.withColumn("toxic_score", F.lit(0.0))
-    stash = Stash(docs.sparkSession, "toxicity")
-    keys = [F.xxhash64("text").alias("_text_1"), F.xxhash64(F.lit(7), "text").alias("_text_2")]  # equal texts score alike
-    z = sum((F.lit(w) * F.col(c) for w, c in zip(model.weights[1:], "abc")), F.lit(model.weights[0]))
-    logistic = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))
-    found = describe(docs.select("text", *keys), model, stash).groupBy("_text_1", "_text_2").agg(F.min(logistic).alias("toxic_score"))
-    return docs.select("*", *keys).join(stash.keep(found), ["_text_1", "_text_2"]).select(*docs.columns, "toxic_score")
+        found = rows.select("_row", F.lit(0.0).alias("_score"))
+    else:
+        seen = describe(docs.select("text", *_keys(F.col("text"))), model, Stash(docs.sparkSession, "toxicity"))
+        by_text = seen.groupBy("_text_1", "_text_2").agg(F.min(model.score(F.col("a"), F.col("b"))).alias("_score"))
+        found = rows.join(by_text, ["_text_1", "_text_2"])
+    kept = [c for c in docs.columns if c.lower() != "toxic_score"]
+    return found.select(*(F.col("_row").getField(c).alias(c) for c in kept), F.col("_score").alias("toxic_score"))
+
+
+def drop(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """docs without the rows that score the threshold or more; only the texts that go are joined."""
+    bad = scored(docs, labels).filter(F.col("score") >= threshold).select("_text_1", "_text_2").distinct()
+    return packed(docs, "text").select("_row", *_keys(F.col("text"))).join(bad, ["_text_1", "_text_2"], "left_anti").select("_row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    model = fit(docs, read(spark, sf_dir, "labels").select("doc_id", "toxic"))
-    return score(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("toxic_score").alias("score"), (F.col("toxic_score") >= THRESHOLD).cast("int").alias("predicted"))
+    found = scored(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -1,6 +1,8 @@
 """Stages of the pipeline on planted cases, against plain versions."""
 
+import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -59,25 +61,73 @@ def test_near_copies_beyond_three_bits_are_dropped(spark):
     assert [r.doc_id for r in corpus_pipeline.drop_copies(spark, df, "").orderBy("doc_id").collect()] == list(range(0, 20, 2))
 
 
-def test_toxicity_keeps_all_sequences(spark, monkeypatch):
-    monkeypatch.setattr(toxicity, "MODEL", 50, raising=False)
-    monkeypatch.setattr(toxicity, "REMEMBERED", 3)
+def _plain_differences(rows, trained, kinds):
+    """(differences of places, of unknown next characters, a word's) by dictionaries."""
+    n = toxicity.ORDER
+    cut = lambda w: [(toxicity.START * (n - 1) + w + toxicity.END)[i : i + n] for i in range(len(w) + 1)]
+    top = [Counter(), Counter()]
+    for i, t in rows:
+        if i in trained:
+            for w in set(toxicity.words(t)):
+                for g in cut(w):
+                    top[kinds[i]][g] += 1
+    every = set(top[0]) | set(top[1])
+    level = Counter(g[1:] for g in every)
+    ends = Counter(g[-1] for g in level)
+    p1 = {c: (max(k - 0.75, 0) + 0.75 * len(ends) / 256) / len(level) for c, k in ends.items()}
+    total, different = Counter(), Counter()
+    for g, k in level.items():
+        total[g[:-1]] += k
+        different[g[:-1]] += 1
+    p = {g: (max(k - 0.75, 0) + 0.75 * different[g[:-1]] * p1[g[-1]]) / total[g[:-1]] for g, k in level.items()}
+    off = [toxicity.discounts([sum(v == k for v in c.values()) for k in range(1, 5)]) for c in top]
+    mass, left = [Counter(), Counter()], [Counter(), Counter()]
+    for y in (0, 1):
+        for g, v in top[y].items():
+            mass[y][g[:-1]] += v
+            left[y][g[:-1]] += off[y][min(v, 3) - 1]
+    lam = lambda y, c: left[y][c] / mass[y][c] if mass[y][c] else 1.0
+
+    def one(y, g):
+        v = top[y][g]
+        return (v - off[y][min(v, 3) - 1] if v else 0) / max(mass[y][g[:-1]], 1) + lam(y, g[:-1]) * p[g[1:]]
+
+    ratio = {g: math.log(one(1, g) / one(0, g)) for g in every}
+    rest = {g[:-1]: math.log(lam(1, g[:-1]) / lam(0, g[:-1])) for g in every}
+    return ratio, rest, lambda w: sum(ratio.get(g, rest.get(g[:-1], 0.0)) for g in cut(w))
+
+
+@pytest.mark.parametrize("remembered", [400_000, 7])
+def test_toxicity_equals_a_plain_model(spark, monkeypatch, remembered):
+    monkeypatch.setattr(toxicity, "REMEMBERED", remembered)
+    monkeypatch.setattr(toxicity, "HELD", 50)
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abcdeé𝄞") for _ in range(rng.randint(1, 14)))
-    rows = [(i, " ".join(word() for _ in range(12)) + (f" awful{word()}" if i % 3 == 0 else " fine") + " x" * (i % 5)) for i in range(150)]
-    rows += [(200, None), (201, ""), (202, "w" * 3000), (None, "no id awful"), (3, rows[3][1]), (3, "another text")]
+    rows = [(i, " ".join(word() for _ in range(12)) + (f" awful{word()} awful" if i % 3 == 0 else " fine") + " x" * (i % 5)) for i in range(150)]
+    rows += [(200, None), (201, ""), (202, "w" * 3000), (None, "no id awful"), (3, rows[3][1]), (203, "awful awful")]
+    kinds = {i: int(i % 3 == 0) for i in range(150)}
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(150)], "doc_id long, toxic int")
-    model = toxicity.fit(df, labels)
+    labels = spark.createDataFrame([*kinds.items(), (3, 0), (None, 1), (999, 1), (5, None)], "doc_id long, toxic int")
     trained = {r.doc_id for r in df.filter(~toxicity.held_out(F.col("doc_id")) & ~toxicity._fold(F.col("doc_id"))).collect()} & set(range(150))
-    marked = [toxicity.START * 8 + w + toxicity.END for i, t in rows if i in trained for w in toxicity._WORD.findall(t.lower())]
+    assert 3 not in trained or kinds[3] == 1
+    model = toxicity.fit(df, labels)
+    ratio, rest, of = _plain_differences(rows[:150], trained, kinds) if 3 not in trained else _plain_differences(rows[:150] + [(3, rows[3][1])], trained, kinds)
     contexts = model.contexts.collect()
-    ratios = {r.ctx + k: v for r in contexts for k, v in r.ratios.items()}
-    assert set(ratios) == {s[i : i + 9] for s in marked for i in range(len(s) - 8)} and len(ratios) > 50
-    plain = toxicity.Model(ratios, {r.ctx: r.rest for r in contexts})
-    plain.weights = model.weights
+    assert {r.ctx + k: v for r in contexts for k, v in r.ratios.items()} == pytest.approx(ratio)
+    assert {r.ctx: r.rest for r in contexts} == pytest.approx(rest)
+
+    def want(t):
+        r = sorted(map(of, toxicity.words(t)), reverse=True)
+        a, b = (sum(r) / len(r), sum(r[:2]) / 2) if r else (0.0, 0.0)
+        return 1 / (1 + math.exp(-(model.weights[0] + model.weights[1] * a + model.weights[2] * b)))
+
     scored = toxicity.score(df, model).collect()
-    assert len(scored) == len(rows) and all(r.toxic_score == pytest.approx(plain.score(r.text)) for r in scored)
+    assert len(scored) == len(rows) and all(r.toxic_score == pytest.approx(want(r.text)) for r in scored)
+    both = toxicity.scored(df, labels).collect()
+    assert sorted((r.doc_id or -1, round(r.score, 6)) for r in both) == sorted((r.doc_id or -1, round(r.toxic_score, 6)) for r in scored)
+    kept = toxicity.drop(df, labels).collect()
+    assert Counter((r.doc_id, r.text) for r in kept) == Counter((r.doc_id, r.text) for r in scored if r.toxic_score < toxicity.THRESHOLD)
+    assert all(r.doc_id != 203 for r in kept)
 
 
 def test_items_cut_at_the_edge_of_a_document(spark):

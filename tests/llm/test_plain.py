@@ -1,7 +1,6 @@
 """Cores of the corpus operators without Spark, against brute force."""
 
 import random
-import zlib
 
 import numpy as np
 import pytest
@@ -125,9 +124,14 @@ def test_viterbi_is_the_best_path():
     assert f.viterbi(x).tolist() == best
 
 
-def test_toxicity_of_unknown_text_is_neutral():
-    m = toxicity.Model({}, {})
-    assert m.score("anything") == 0.0 and m.features(None) == (0.0, 0.0, 0.0)
-    m.weights = [-1.0, 1.0, 1.0, 1.0]
-    assert 0 < m.score(None) == m.score("words") < 0.5
-    assert zlib.crc32(b"1") % 3 in (0, 1, 2)
+def test_discounts_and_regression():
+    assert toxicity.discounts([100, 40, 20, 10]) == pytest.approx([1 - 2 * 40 / 100 / 1.8, 2 - 3 * 20 / 40 / 1.8, 3 - 4 * 10 / 20 / 1.8])
+    assert all(0 < d < k for k, d in enumerate(toxicity.discounts([0, 0, 0, 0]), 1))
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 2)) * [1, 50]
+    y = (x @ [2, 0.02] + rng.normal(size=400) > 1).astype(float)
+    w = toxicity.regression(x, y)
+    p = 1 / (1 + np.exp(-(w[0] + x @ w[1:])))
+    g = np.where(y == 1, toxicity.WEIGHT, 1.0) * (p - y)
+    z = (x - x.mean(0)) / x.std(0)
+    assert abs(g.sum()) < 1e-2 and np.allclose(z.T @ g + toxicity.RIDGE * np.array(w[1:]) * x.std(0), 0, atol=1e-3)

@@ -162,11 +162,16 @@ def test_toxicity_learns_words(spark, empty):
     rows = [(i, f"some plain words number {i} " * 5 + ("awful" if i % 3 == 0 else "fine") + " tail", "s", "x", "y", "z") for i in range(240)] + [(None, None, None, None, None, None)]
     df = spark.createDataFrame(rows, SCHEMA)
     labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(240)] + [(None, 1), (999, 0), (3, 0)], "doc_id long, toxic int")
-    scored = toxicity.score(df.drop("toxic_score"), toxicity.fit(df, labels)).collect()
+    scored = toxicity.score(df, toxicity.fit(df, labels))
+    assert scored.columns == [c for c in df.columns if c != "toxic_score"] + ["toxic_score"]
+    scored = scored.collect()
+    assert Counter(r[:-1] for r in scored) == Counter(r[:5] for r in rows)
     held = [(r.toxic_score, r.doc_id % 3 == 0) for r in scored if r.doc_id is not None]
     assert min(s for s, t in held if t) > max(s for s, t in held if not t)
-    assert toxicity.score(empty.drop("toxic_score"), toxicity.fit(empty, labels)).count() == 0
-
+    assert toxicity.score(empty, toxicity.fit(empty, labels)).count() == 0 and toxicity.drop(empty, labels).count() == 0
+    assert {r.toxic_score for r in toxicity.score(df, toxicity.fit(df, labels.filter("toxic = 0"))).collect()} == {0.0}
+    hidden = df.withColumnRenamed("source", "_text_1").withColumnRenamed("fp", "_row")
+    assert sorted(toxicity.drop(hidden, labels).select("doc_id").dropna().collect()) == sorted((r.doc_id,) for r in scored if r.doc_id is not None and r.toxic_score < 0.7)
 
 
 def test_token_file_query_equals_the_library(spark, tmp_path):
