@@ -53,7 +53,7 @@ class Stash:
 
     def put(self, df: DataFrame) -> tuple[DataFrame, str]:
         """Write and reread df; also its path, for drop()."""
-        df.write.parquet(to := self.path())
+        df.write.option("compression", "zstd").parquet(to := self.path())
         return self.spark.read.schema(df.schema).parquet(to), to
 
     def keep(self, df: DataFrame) -> DataFrame:

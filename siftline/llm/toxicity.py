@@ -48,6 +48,8 @@ TELLING = 2
 THRESHOLD = 0.7
 #: Words (of LONG characters at most) whose differences are sent to the workers; all others are joined.
 REMEMBERED, LONG = 400_000, 64
+#: Characters that are rated once for all words that begin with them; bits of a difference after the point.
+HEAD, BITS = ORDER - 2, 24
 #: Entries that a task gathers before it hands them on.
 HELD = 500_000
 _WORD = re.compile(r"\w+")
@@ -130,21 +132,27 @@ def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, w) to (w, ctx, k) of each place."""
+    """(word, w, hid) to (u, ctx, k) of each place: those of the word's head once, for the word whose
+    w is hid, with u = 2 hid; the others with u = 2 w + 1."""
 
     def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(w, pa.int64()), pa.array([g[:-1] for g in found], pa.string()), pa.array([g[-1] for g in found], pa.string())], names=["w", "ctx", "k"])
+        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array([g[:-1] for g in found], pa.string()), pa.array([g[-1] for g in found], pa.string())], names=["u", "ctx", "k"])
 
-    w, found = [], []
+    u, found = [], []
     for b in batches:
-        for word, i in zip(b.column(0), b.column(1).to_pylist()):
-            places = _places(word.as_py())
+        for word, w, hid in zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist()):
+            word = word.as_py()
+            places = _places(word)
+            head = list(islice(places, min(HEAD, len(word))))
+            if w == hid:
+                found += head
+                u += [2 * hid] * len(head)
             while part := list(islice(places, 100_000)):
                 found += part
-                w += [i] * len(part)
+                u += [2 * w + 1] * len(part)
                 if len(found) > 100_000:
                     yield out()
-                    w, found = [], []
+                    u, found = [], []
     yield out()
 
 
@@ -218,13 +226,25 @@ def learn(docs: DataFrame, labels: DataFrame, stash: Stash) -> Learnt:
 
 
 def rate(vocabulary: DataFrame, model: Learnt, stash: Stash) -> DataFrame:
-    """vocabulary (word, n) with ratio, the difference: the sum over the word's characters."""
-    own, at = stash.put(vocabulary.withColumn("w", F.monotonically_increasing_id()))
-    places = own.select("word", "w").mapInArrow(_spread, "w long, ctx string, k string")
+    """vocabulary (word, n; words may repeat) to word, n, ratio: the difference, summed over the word's characters.
+
+    The first HEAD characters are rated once for all words that begin with them. Differences are added
+    in fixed point, so that their order doesn't matter.
+    """
+    # one shuffle brings equal words and equal heads together
+    own = vocabulary.withColumn("head", F.substring("word", 1, HEAD)).repartition("head").groupBy("head", "word").agg(F.sum("n").alias("n")).withColumn("w", F.monotonically_increasing_id())
+    own, at = stash.put(own.withColumn("hid", F.min("w").over(W.partitionBy("head"))).drop("head"))
+    stash.drop()
+    places = own.select("word", "w", "hid").mapInArrow(_spread, "u long, ctx string, k string")
     ratio = F.coalesce(F.try_element_at("ratios", F.col("k")), F.col("rest"))
-    total = places.join(model.contexts, "ctx").groupBy(F.col("w").alias("_w")).agg(F.sum(ratio).alias("ratio"))
-    out = stash.keep(own.join(total, F.col("w") == F.col("_w"), "left").select("word", "n", F.coalesce("ratio", F.lit(0.0)).alias("ratio")))
-    stash.drop(at)
+    units = places.join(model.contexts, "ctx").select("u", F.round(ratio * (1 << BITS)).cast("long").alias("v"))
+    units, sums = stash.put(units.groupBy("u").agg(F.sum("v").alias("v")))
+    stash.drop()
+    tails = units.filter(F.col("u") % 2 == 1).select(F.shiftright("u", 1).alias("w"), F.col("v").alias("_tail"))
+    heads = units.filter(F.col("u") % 2 == 0).select(F.shiftright("u", 1).alias("hid"), F.col("v").alias("_head"))
+    whole = (F.coalesce("_head", F.lit(0)) + F.coalesce("_tail", F.lit(0))) / F.lit(float(1 << BITS))
+    out = stash.keep(own.join(heads, "hid", "left").join(tails, "w", "left").select("word", "n", whole.alias("ratio")))
+    stash.drop(at, sums)
     return out
 
 
@@ -245,8 +265,7 @@ def _known(rated: DataFrame) -> dict[str, float]:
 def describe(docs: DataFrame, model: Learnt, stash: Stash) -> DataFrame:
     """docs (text, then longs) to the differences a (whole text) and b (telling words), with the longs."""
     own = docs.columns[1:]
-    vocabulary = docs.select("text").mapInArrow(_vocabulary, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    rated = rate(vocabulary, model, stash)
+    rated = rate(docs.select("text").mapInArrow(_vocabulary, "word string, n long"), model, stash)
     shared = docs.sparkSession.sparkContext.broadcast(_known(rated))
     tops = [f"top{i}" for i in range(TELLING)]
     names = ["row", *own, "word", "n", "total", *tops]
