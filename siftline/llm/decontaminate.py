@@ -28,11 +28,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stash, WORD, read
+from .common import Stash, WORD, packed, read
 
 WORDS, SIMILARITY, RADIUS = 5, 0.8, 19
 #: Item shingles that are broadcast at most (about 40 bytes each).
 BROADCAST = 500_000
+#: Places whose windows are cut together; a row holds SPAN times the number of different item lengths at most.
+SPAN = 256
 LOWER = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -92,18 +94,27 @@ def matches(docs: DataFrame, items: DataFrame, words: int = WORDS, least: float
     few = parts.limit(BROADCAST + 1).count() <= BROADCAST
     sizes = goods.select("length").distinct()
     short = [r.length for r in sizes.filter(F.col("length") < words).orderBy("length").collect()]  # at most words - 1 rows
-    # documents to (position, shingle); the shingles of short items have lengths of their own
+    # documents to (position, shingle) in one pass; the shingles of short items have lengths of their own
     text = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", tokens(F.col("text")).alias("w"))
-    seen = [text.select("doc_id", F.size("w").alias("n"), F.posexplode(F.when(F.size("w") >= words, hashes(F.col("w"), words))).alias("p", "h"))]
-    seen += [text.select("doc_id", F.size("w").alias("n"), F.posexplode(_short(F.col("w"), k)).alias("p", "h")) for k in short]
-    found = reduce(DataFrame.unionByName, seen).join(F.broadcast(parts) if few else parts, "h")
+    at = lambda hs: F.transform(hs, lambda x, i: F.struct(i.alias("p"), x.alias("h")))
+    none = F.array().cast("array<struct<p:int,h:bigint>>")
+    kinds = [at(F.when(F.size("w") >= words, hashes(F.col("w"), words)))] + [at(_short(F.col("w"), k)) for k in short]
+    seen = text.select("doc_id", F.size("w").alias("n"), F.explode(F.concat(*[F.coalesce(k, none) for k in kinds]) if short else kinds[0]).alias("x")).select("doc_id", "n", "x.p", "x.h")
+    found = seen.join(F.broadcast(parts) if few else parts, "h")
     start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("q"), F.col("n") - F.col("length")))
     found = found.select("doc_id", start.alias("start"), "length").distinct()
-    where = stash.keep(found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "length")).alias("at")))  # a document's own
-    # the windows' words, cut out before anything is repeated for each window
-    cut = F.transform("at", lambda x: F.struct(x["start"].alias("start"), x["length"].alias("length"), F.slice("w", x["start"] + 1, x["length"]).alias("win")))
-    window = text.join(where, "doc_id").select("doc_id", F.explode(cut).alias("x")).select("doc_id", "x.start", "x.length", hashes(F.col("x.win"), words).alias("h"))
-    window = stash.keep(window)
+    # windows of SPAN neighbouring places meet in a row with the document's hashes, of which theirs are slices
+    where, of = stash.put(found.groupBy("doc_id", F.floor(F.col("start") / SPAN).alias("span")).agg(F.collect_list(F.struct("start", "length")).alias("at")))
+    hashed = text.select("doc_id", "w", hashes(F.col("w"), words).alias("hs")) if short else text.select("doc_id", hashes(F.col("w"), words).alias("hs"))
+
+    def cut(x: Column) -> Column:
+        own = F.slice("hs", x["start"] + 1, F.greatest(x["length"] - words + 1, F.lit(1)))
+        if short:
+            own = F.when(x["length"] < words, F.array(F.xxhash64(F.slice("w", x["start"] + 1, x["length"])))).otherwise(own)
+        return F.struct(x["start"].alias("start"), x["length"].alias("length"), own.alias("h"))
+
+    window, cuts_at = stash.put(hashed.join(where, "doc_id").select("doc_id", F.explode(F.transform("at", cut)).alias("x")).select("doc_id", "x.*"))
+    stash.drop(of)
     left = _blocked(window.select("*", simhash(F.col("h")).alias("fp")), radius)
     right = _blocked(goods.select("*", simhash(F.col("item_h")).alias("fp")), radius).select("item_id", "item_h", F.col("length").alias("_l"), F.col("block").alias("_b"), F.col("bits").alias("_v"), F.col("fp").alias("_fp"))
     near = left.join(F.broadcast(right) if few else right, (F.col("length") == F.col("_l")) & (F.col("block") == F.col("_b")) & (F.col("bits") == F.col("_v")))
@@ -125,7 +136,7 @@ def clean(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
     key = F.xxhash64("text")
     found = matches(docs.select(key.alias("doc_id"), "text"), items, **how)
     bad = Stash(docs.sparkSession, "clean").keep(found.select(F.col("doc_id").alias("_bad")).distinct())
-    return docs.join(bad, key == F.col("_bad"), "left_anti")
+    return packed(docs, "text").join(bad, key == F.col("_bad"), "left_anti").select("_row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Stash, read, words_in
+from .common import Stash, packed, read, words_in
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -26,37 +26,46 @@ WEIGHTS = (5, 2, 1)
 MOST = 3
 #: Fractional bits of the expected copies.
 BITS = 24
-#: Ranks are counted in groups of one source, size and residue of the id; groups of sizes are
-#: summed first, so that no window holds more than a bounded part of a source.
-SALTS, BLOCK = 64, 64
+#: Ranks are counted in groups of one source, size and salt, a hash of the id; the groups of BLOCK
+#: sizes are summed first, so that no window holds more than SALTS * BLOCK rows of a source.
+SALTS, BLOCK = 1024, 16
 SEED = "mix-1"
 
 
+def running(df: DataFrame, order: list[Column], sums: list[str], stash: Stash) -> DataFrame:
+    """df with before_x for each x of sums, the sum of what stands earlier in the order.
+
+    The rows are dealt by ranges of the order; within a range a window adds, and before the ranges
+    a table of one row for each range. No task sees all rows.
+    """
+    dealt = stash.keep(df.repartitionByRange(*order).withColumn("range", F.spark_partition_id()))
+    none = W.unboundedPreceding
+    upto = W.orderBy("range").rowsBetween(none, -1)  # one row for each range
+    ranges = dealt.groupBy("range").agg(*(F.sum(c).alias(f"_{c}") for c in sums)).select(F.col("range").alias("_range"), *(F.coalesce(F.sum(f"_{c}").over(upto), F.lit(0)).alias(f"_before_{c}") for c in sums))
+    inner = W.partitionBy("range").orderBy(*order).rowsBetween(none, -1)
+    within = dealt.select("*", *(F.coalesce(F.sum(c).over(inner), F.lit(0)).alias(f"_within_{c}") for c in sums))
+    both = within.join(F.broadcast(ranges), F.col("range") == F.col("_range"))
+    return both.select(*df.columns, *((F.col(f"_before_{c}") + F.col(f"_within_{c}")).alias(f"before_{c}") for c in sums))
+
+
 def targets(per_source: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
     """(source, source_size) to those with target: water-filling by weight under the caps.
 
     A source is full if its cap is reached at the level that the others and it would share; the
     sources are sorted by cap per weight, so the full ones come first, and the level of the first
-    open one, the highest of the open ones', is what all open ones get. One row per source here.
+    open one, the highest of the open ones', is what all open ones get. Places and sums run over
+    ranges of sources, so that there may be any number of these.
     """
-    n = len(weights)
-    place = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1
-    w = F.element_at(F.array(*map(F.lit, weights)), (F.col("_place") % n + 1).cast("int")).cast("double")
-    by_level = W.orderBy(F.col("_cap") / F.col("_w"), "_place")
-    before = by_level.rowsBetween(W.unboundedPreceding, -1)
-    rest = F.sum("_words").over(W.partitionBy()) - F.coalesce(F.sum("_cap").over(before), F.lit(0))
-    left = F.sum("_w").over(W.partitionBy()) - F.coalesce(F.sum("_w").over(before), F.lit(0.0))
-    return (
-        per_source.withColumn("_words", F.col("source_size"))
-        .withColumn("_place", place)
-        .withColumn("_w", w)
-        .withColumn("_cap", F.col("source_size") * most)
-        .withColumn("_level", rest / left)
-        .withColumn("_full", F.col("_cap") / F.col("_w") <= F.col("_level"))
-        .withColumn("_share", F.max(F.when(~F.col("_full"), F.col("_level"))).over(W.partitionBy()))
-        .withColumn("target", F.when(F.col("_full"), F.col("_cap").cast("double")).otherwise(F.col("_w") * F.col("_share")))
-        .select("source", "source_size", "target")
-    )
+    stash = Stash(per_source.sparkSession, "targets")
+    placed = running(per_source.select("source", "source_size", F.lit(1).cast("long").alias("one")), [F.col("source").asc_nulls_last()], ["one"], stash)
+    w = F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % len(weights) + 1).cast("int")).cast("double")
+    placed = placed.withColumnRenamed("before_one", "place").withColumn("w", w).withColumn("cap", F.col("source_size") * most).withColumn("need", F.col("cap") / F.col("w"))
+    filled = stash.keep(running(placed, [F.col("need").asc(), F.col("place").asc()], ["cap", "w"], stash))
+    words, weight = filled.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("w"), F.lit(0.0))).first()
+    level = (F.lit(words) - F.col("before_cap")) / (F.lit(weight) - F.col("before_w"))
+    filled = filled.withColumn("level", level).withColumn("full", F.col("need") <= F.col("level"))
+    highest = filled.agg(F.max(F.when(~F.col("full"), F.col("level")))).first()[0]
+    return filled.select("source", "source_size", F.when(F.col("full"), F.col("cap").cast("double")).otherwise(F.col("w") * F.lit(highest)).alias("target"))
 
 
 def offset(source: Column, seed: str = SEED) -> Column:
@@ -64,44 +73,48 @@ def offset(source: Column, seed: str = SEED) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}/"), F.coalesce(F.concat(F.lit("="), source), F.lit("-")))), 1, 6), 16, 10).cast("long")
 
 
+def salt(doc_id: Column) -> Column:
+    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, 4), 16, 10).cast("long") % SALTS
+
+
 def plan(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: str = SEED) -> DataFrame:
-    """docs with _size, _source_size, _target and _copies.
+    """_row (docs' row), size, source_size, target and copies.
 
-    The text is shuffled once, by source, size and residue of the id; the counts of those groups,
-    small and summed before their shuffle, give each group's first rank.
+    The text is shuffled once, by source, size and salt; the counts of those groups, small and
+    summed before their shuffle, give each group's first rank.
     """
-    rows = docs.withColumn("_size", words_in(F.col("text"))).withColumn("_salt", F.coalesce(F.pmod(F.col("doc_id"), F.lit(SALTS)), F.lit(-1)).cast("long")).withColumn("_source", F.col("source"))
-    groups = rows.groupBy("_source", "_size", "_salt").agg(F.count(F.lit(1)).alias("_n")).withColumn("_block", F.floor(F.col("_size") / BLOCK))
-    groups = Stash(docs.sparkSession, "mixing").keep(groups)  # else each use of the counts would parse all texts again
-    blocks = groups.groupBy("_source", "_block").agg(F.sum("_n").alias("_bn"), F.sum(F.col("_n") * F.col("_size")).alias("_bw"))
-    per_source = blocks.groupBy(F.col("_source").alias("source")).agg(F.sum("_bw").alias("source_size"))
-    goal = targets(per_source, weights, most).select(F.col("source").alias("_s"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))
-    step = F.when(F.col("_source_size") > 0, F.least(F.floor(F.col("_target") / F.col("_source_size") * (1 << BITS)), F.lit(most << BITS))).otherwise(0)
-    upto = W.partitionBy("_source").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    blocks = blocks.withColumn("_base", F.coalesce(F.sum("_bn").over(upto), F.lit(0)))
-    blocks = blocks.join(goal, F.col("_source").eqNullSafe(F.col("_s"))).select(F.col("_source").alias("_s"), F.col("_block").alias("_b"), "_base", "_source_size", "_target", step.cast("long").alias("_step"), offset(F.col("_source"), seed).alias("_offset"))
-    inner = W.partitionBy("_source", "_block").orderBy("_size", "_salt").rowsBetween(W.unboundedPreceding, -1)
-    groups = groups.withColumn("_first", F.coalesce(F.sum("_n").over(inner), F.lit(0)))
-    first = groups.join(blocks, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_block") == F.col("_b"))).select(
-        F.col("_source").alias("_s"), F.col("_size").alias("_z"), F.col("_salt").alias("_t"), (F.col("_first") + F.col("_base")).alias("_before"), "_source_size", "_target", "_step", "_offset"
+    stash = Stash(docs.sparkSession, "mixing")
+    rows = packed(docs, "doc_id", "text", "source")
+    rows = rows.select("_row", "doc_id", "source", words_in(F.col("text")).alias("size"), salt(F.col("doc_id")).alias("salt"), F.xxhash64("text").alias("tie"))
+    groups = rows.groupBy("source", "size", "salt").agg(F.count(F.lit(1)).alias("n")).withColumn("block", F.floor(F.col("size") / BLOCK))
+    groups = stash.keep(groups)  # else each use of the counts would parse all texts again
+    blocks = groups.groupBy("source", "block").agg(F.sum("n").alias("bn"), F.sum(F.col("n") * F.col("size")).alias("bw"))
+    goal = targets(blocks.groupBy("source").agg(F.sum("bw").alias("source_size")), weights, most).select(F.col("source").alias("_s"), "source_size", "target")
+    step = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size") * (1 << BITS)), F.lit(most << BITS))).otherwise(0)
+    upto = W.partitionBy("source").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    blocks = blocks.withColumn("base", F.coalesce(F.sum("bn").over(upto), F.lit(0)))
+    blocks = blocks.join(goal, F.col("source").eqNullSafe(F.col("_s"))).select("_s", F.col("block").alias("_b"), "base", "source_size", "target", step.cast("long").alias("step"), offset(F.col("source"), seed).alias("offset"))
+    inner = W.partitionBy("source", "block").orderBy("size", "salt").rowsBetween(W.unboundedPreceding, -1)
+    groups = groups.withColumn("first", F.coalesce(F.sum("n").over(inner), F.lit(0)))
+    first = groups.join(blocks, F.col("source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b"))).select(
+        F.col("source").alias("_s"), F.col("size").alias("_z"), F.col("salt").alias("_t"), (F.col("first") + F.col("base")).alias("before"), "source_size", "target", "step", "offset"
     )
-    ties = [F.xxhash64("text")] if "text" in docs.columns else []
-    ranked = rows.withColumn("_rank", F.row_number().over(W.partitionBy("_source", "_size", "_salt").orderBy("doc_id", *ties)))
-    ranked = ranked.join(first, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_z")) & (F.col("_salt") == F.col("_t")))
-    k = F.col("_before") + F.col("_rank")
-    crossed = F.shiftright(F.col("_offset") + k * F.col("_step"), BITS) - F.shiftright(F.col("_offset") + (k - 1) * F.col("_step"), BITS)
-    return ranked.withColumn("_copies", crossed.cast("long"))
+    ranked = rows.withColumn("rank", F.row_number().over(W.partitionBy("source", "size", "salt").orderBy(F.col("doc_id").asc_nulls_last(), "tie")))
+    ranked = ranked.join(first, F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z")) & (F.col("salt") == F.col("_t")))
+    k = F.col("before") + F.col("rank")
+    crossed = F.shiftright(F.col("offset") + k * F.col("step"), BITS) - F.shiftright(F.col("offset") + (k - 1) * F.col("step"), BITS)
+    return ranked.select("_row", "size", "source_size", "target", crossed.cast("long").alias("copies"))
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
     """docs, each emitted as often as the mix takes it."""
     planned = plan(docs, **how)
-    return planned.filter(F.col("_copies") > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
+    return planned.filter(F.col("copies") > 0).select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")).select("_row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return plan(docs).select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.col("_copies")).alias("taken"))
+    return plan(docs).select(F.col("_row.doc_id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 SQL = rf"""
@@ -115,7 +128,7 @@ levels AS (SELECT *, CAST(sum(source_size) OVER () - coalesce(sum(cap) OVER (ORD
 goals AS (SELECT source, source_size, CASE WHEN cap / w <= level THEN CAST(cap AS DOUBLE) ELSE w * (max(CASE WHEN cap / w > level THEN level END) OVER ()) END AS target FROM levels),
 steps AS (SELECT *, CASE WHEN source_size > 0 THEN least(CAST(floor(target / source_size * 16777216) AS BIGINT), 50331648) ELSE 0 END AS step,
     CAST('0x' || substr(md5('{SEED}/' || coalesce('=' || source, '-')), 1, 6) AS BIGINT) AS shift FROM goals),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY size, coalesce(((doc_id % {SALTS}) + {SALTS}) % {SALTS}, -1), doc_id) AS k FROM sized)
+ranked AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY size, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 4) AS BIGINT) % {SALTS}, doc_id NULLS LAST) AS k FROM sized)
 SELECT r.doc_id, r.size, s.source_size, s.target, r.size * (((s.shift + r.k * s.step) >> {BITS}) - ((s.shift + (r.k - 1) * s.step) >> {BITS})) AS taken
 FROM ranked r JOIN steps s ON r.source IS NOT DISTINCT FROM s.source
 """

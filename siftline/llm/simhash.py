@@ -5,14 +5,15 @@ at most, so they share five positional bytes at least, and three of these five l
 of the fingerprint. A posting list is therefore kept for each three bytes of a half (eight lists
 for a fingerprint), which every qualifying pair must meet in; a pair is taken up in the first list
 that it shares, its shared bytes are tallied, pairs below five are dropped, and the rest verified
-by the bits that differ.
+by the bits that differ. Above WIDE fingerprints, lists of three bytes would be long by chance: then
+there is one for each five bytes (56 lists), with the same links.
 
 Copies share a fingerprint and are one entry of the index. A posting list longer than HOT, as a
 large group of near copies makes, is not paired off: its entries meet in the fingerprints that one
 flips one or two of the other 40 bits to. Entries within two bits of such a meeting point are
 linked to an entry within one bit of it, if there is one. Two entries at most three bits apart
 always have such a point, and entries that are linked so are at most three bits apart, so the
-components are the same; the work is 821 rows for an entry, whatever the list's length.
+components are the same; the work is 821 rows for an entry (301 with five bytes), whatever the list's length.
 
 Defined cases: null text and text without words have fingerprint zero and are linked like any
 other; texts of fewer words than a shingle are one shingle; null ids take part, and a component of
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -30,14 +32,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stash, read
+from .common import Stash, packed, read
 from .components import components
 
 RADIUS, BYTES, SHARED = 3, 8, 5
 WORDS, SEED = 3, 42
 HOT = 4096
-#: Three of four bytes of a half of the fingerprint, for each list.
-LISTS = [c for half in (range(4), range(4, 8)) for c in combinations(half, 3)]
+#: The bytes of each list: three of four bytes of a half, or any five.
+NARROW = [c for half in (range(4), range(4, 8)) for c in combinations(half, 3)]
+BROAD = list(combinations(range(8), 5))
+#: Fingerprints up to which the lists are of three bytes.
+WIDE = 1 << 22
 
 _WORD = re.compile(rb"[^\x20\t-\r]+")
 _CHUNK = 1 << 15
@@ -83,33 +88,31 @@ def _key(fp: str, which: tuple[int, ...]) -> Column:
     return k
 
 
-def links(prints: DataFrame, stash: Stash, hot: int = HOT) -> DataFrame:
+def links(prints: DataFrame, stash: Stash, hot: int = HOT, lists: list | None = None) -> DataFrame:
     """Distinct fingerprints (fp) to links (a, b) between different ones, such that the components
     are those of all pairs within RADIUS bits."""
-    posted = stash.keep(prints.select("fp", F.posexplode(F.array(*[_key("fp", c) for c in LISTS])).alias("list", "key")))
+    lists = lists or (NARROW if prints.count() <= WIDE else BROAD)
+    posted = stash.keep(prints.select("fp", F.posexplode(F.array(*[_key("fp", c) for c in lists])).alias("list", "key")))
     sizes = posted.groupBy("list", "key").agg(F.count(F.lit(1)).alias("n"))
     long_lists = stash.keep(sizes.filter(F.col("n") > hot).select("list", "key"))
     usual = posted.join(sizes.filter((F.col("n") > 1) & (F.col("n") <= hot)).select("list", "key"), ["list", "key"])
     pairs = usual.select("list", "key", F.col("fp").alias("a")).join(usual.select("list", "key", F.col("fp").alias("b")), ["list", "key"]).filter("a < b")
     same = [_byte("a", i) == _byte("b", i) for i in range(BYTES)]
-    earlier = [F.lit(False)]
-    for c in LISTS[:-1]:
-        earlier.append(earlier[-1] | (same[c[0]] & same[c[1]] & same[c[2]]))
-    met_before = F.element_at(F.array(*earlier), F.col("list") + 1)
+    met_first = F.coalesce(*[F.when(reduce(Column.__and__, [same[i] for i in c]), F.lit(k)) for k, c in enumerate(lists)])
     tally = sum((s.cast("int") for s in same), F.lit(0))
     # A pair that met in an earlier list is left to that one, unless that one was too long.
     apart = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS
     found = pairs.filter(tally >= SHARED).filter(apart)
     if long_lists.isEmpty():
-        return found.filter(~met_before).select("a", "b")
+        return found.filter(met_first == F.col("list")).select("a", "b")
     masks = []
-    for k, c in enumerate(LISTS):
+    for k, c in enumerate(lists):
         bits = [8 * i + j for i in range(BYTES) if i not in c for j in range(8)]
         for n in range(3):
             for m in combinations(bits, n):
                 v = sum(1 << x for x in m)
                 masks.append((k, v - (1 << 64) if v >= 1 << 63 else v, n))
-    flips = F.broadcast(prints.sparkSession.createDataFrame(masks, "list int, mask long, flipped int"))  # 8 * 821 rows, always
+    flips = F.broadcast(prints.sparkSession.createDataFrame(masks, "list int, mask long, flipped int"))  # 821 rows for each of 8 lists, 301 for each of 56
     met = posted.join(long_lists, ["list", "key"]).join(flips, "list").select("list", F.col("fp").bitwiseXOR(F.col("mask")).alias("z"), "fp", "flipped")
     centre = met.filter("flipped < 2").groupBy("list", "z").agg(F.min("fp").alias("b"))
     hub = met.join(centre, ["list", "z"]).select(F.col("fp").alias("a"), "b").filter("a <> b").distinct()
@@ -134,12 +137,13 @@ def dedupe(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """One row of each component: the one with the smallest doc_id (null ids last; of equal ids, one
     row). Rows of other components stay, whatever their ids."""
     stash = Stash(docs.sparkSession, "dedupe")
-    rows = stash.keep(docs.withColumn("_row", F.monotonically_increasing_id()))
+    whole = stash.keep(packed(docs).withColumn("i", F.monotonically_increasing_id()))
     # the components are those of rows: each row's number takes the place of its id
-    found = classes(rows.select(F.col("_row").alias("doc_id"), "text"), words).select(F.col("doc_id").alias("_of"), "component_id")
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
-    stays = rows.select("_row", "doc_id").join(found, F.col("_row") == F.col("_of")).groupBy("component_id").agg(best.alias("best")).select(F.col("best._row").alias("_stays"))
-    return rows.join(stays, F.col("_row") == F.col("_stays"), "left_semi").drop("_row")
+    found = classes(whole.select(F.col("i").alias("doc_id"), F.col("_row.text").alias("text")), words).select(F.col("doc_id").alias("_of"), "component_id")
+    ids = whole.select("i", F.col("_row.doc_id").alias("doc_id"))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "i"))
+    stays = ids.join(found, F.col("i") == F.col("_of")).groupBy("component_id").agg(best.alias("best")).select(F.col("best.i").alias("_stays"))
+    return whole.join(stays, F.col("i") == F.col("_stays"), "left_semi").select("_row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,8 +42,9 @@ def near(prints, radius=3):
     return {x: find(x) for x in u}
 
 
+@pytest.mark.parametrize("lists", [simhash.NARROW, simhash.BROAD])
 @pytest.mark.parametrize("hot", [4096, 3])
-def test_links_find_the_components(spark, hot):
+def test_links_find_the_components(spark, hot, lists):
     rng = np.random.default_rng(5)
     prints = []
     for base in rng.integers(0, 2**63, 12):
@@ -53,7 +54,7 @@ def test_links_find_the_components(spark, hot):
     signed = sorted({x - 2**64 if x >> 63 else x for x in prints})
     df = spark.createDataFrame([(x,) for x in signed], "fp long")
     stash = Stash(spark, "test")
-    got = {r.node: r.root for r in components.components(simhash.links(df, stash, hot), stash).collect()}
+    got = {r.node: r.root for r in components.components(simhash.links(df, stash, hot, lists), stash).collect()}
     want = near([x & (2**64 - 1) for x in signed])
     groups = lambda m: {frozenset(k for k in m if m[k] == v) for v in m.values()}
     assert groups({x: got.get(x, x) for x in signed}) == {frozenset(y - 2**64 if y >> 63 else y for y in g) for g in groups(want)}
@@ -71,8 +72,11 @@ def test_simhash_classes(docs, empty):
 
 def test_mixing(docs, empty):
     rows = mixing.plan(docs).collect()
-    assert len(rows) == len(DOCS) and all(0 <= r._copies <= 3 for r in rows)
-    assert mixing.mix(docs).columns == docs.columns and mixing.mix(empty).count() == 0
+    assert len(rows) == len(DOCS) and all(0 <= r.copies <= 3 for r in rows)
+    want = Counter(tuple(r._row) for r in rows for _ in range(r.copies))
+    mixed = mixing.mix(docs.withColumnRenamed("fp", "_copy").withColumnRenamed("_size", "copies"))
+    assert Counter(map(tuple, mixed.collect())) == want and mixing.mix(empty).count() == 0
+    assert mixed.columns == ["doc_id", "text", "source", "_copy", "copies", "toxic_score"]
 
 
 def test_mixing_targets(spark):
@@ -107,7 +111,10 @@ def test_token_files(spark, docs, empty):
     assert tokenfile.encode_and_index(spark, empty).count() == 0
 
 
-def test_decontamination(spark, docs, empty):
+@pytest.mark.parametrize("broadcast", [500_000, 3])
+def test_decontamination(spark, docs, empty, broadcast, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BROADCAST", broadcast)
+    monkeypatch.setattr(decontaminate, "SPAN", 4)
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon"
     items = spark.createDataFrame([(1, item, "q"), (2, "tiny item", "q"), (3, None, "q"), (None, "x", "q"), (4, "", "q")], "item_id long, text string, source string")
     w = item.split()
@@ -115,8 +122,9 @@ def test_decontamination(spark, docs, empty):
     more = docs.unionByName(spark.createDataFrame([(100 + i, t, "s", "x", "y", "z") for i, t in enumerate(texts)], SCHEMA))
     got = {(r.doc_id, r.item_id): (r.start, r.similarity) for r in decontaminate.matches(more, items).collect()}
     assert got == {(100, 1): (9, 1.0), (101, 1): (1, pytest.approx(15 / 17)), (104, 2): (1, 1.0)}
-    left = decontaminate.clean(more, items)
-    assert left.columns == docs.columns and left.count() == len(DOCS) + len(texts) - 3
+    renamed = more.withColumnRenamed("fp", "_bad")
+    left = decontaminate.clean(renamed, items)
+    assert left.columns == renamed.columns and left.count() == len(DOCS) + len(texts) - 3
     assert decontaminate.matches(empty, items).count() == 0 and decontaminate.clean(docs, items.limit(0)).count() == len(DOCS)
 
 
