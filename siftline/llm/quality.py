@@ -7,8 +7,8 @@ each line. The share of a text's words that stand in content lines decides wheth
 
 Training: labelled documents give each of their lines their own quality, but for lines that repeat
 an earlier line or speak of licences, which are boilerplate everywhere. The field is fitted by
-gradient ascent of the conditional log-likelihood on SAMPLE documents at most, the first in the
-order of a hash of the id; the share is chosen on the same documents.
+gradient ascent of the conditional log-likelihood on about SAMPLE documents, chosen by a hash of
+the id, and on LINES lines of each at most; the share is chosen on the same documents.
 
 Defined cases: null text has no words and fails the base rules; a document that is labelled twice
 counts by its lowest label; without labels of both kinds every line is content; very long
@@ -26,9 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_PY, read
+from .common import WORD_PY, read, share, taken
 
-SAMPLE = 3000
+#: Labelled documents, about, and lines of each that the field is fitted on.
+SAMPLE, LINES = 3000, 2000
 LEAST_WORDS, REPEATED_PERCENT = 50, 50
 ITERATIONS, RATE, RIDGE, PIECE = 60, 0.5, 1e-3, 512
 _WORD = re.compile(WORD_PY)
@@ -173,14 +174,15 @@ class Field:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
     """The field, from at most sample labelled rows."""
     marks = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").alias("quality"))
-    some = F.broadcast(marks.orderBy(F.xxhash64("_id"), "_id").limit(sample))  # sample rows at most
-    rows = docs.select("doc_id", "text").join(some, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "quality")
+    some = F.broadcast(marks.filter(taken(F.col("_id"), share(marks.count(), sample))))  # about sample rows
+    rows = docs.select("doc_id", "text").join(some, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "quality", F.xxhash64("doc_id", "text").alias("h"))
+    rows = rows.dropDuplicates(["h"]).select("doc_id", "text", "quality")
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[tuple] = []
             for d, t, q in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
-                x, n, anywhere = lines(t.as_py())
+                x, n, anywhere = (v[:LINES] for v in lines(t.as_py()))
                 if len(n):
                     y = np.where(anywhere, 0, 1 if q else 0).astype(np.uint8)
                     out.append((d, int(q or 0), y.tobytes(), np.packbits(x.astype(bool), axis=1).tobytes(), n.astype("<i4").tobytes()))
@@ -189,9 +191,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "quality", "y", "x", "n"])
 
     got = rows.mapInArrow(describe, "doc_id long, quality int, y binary, x binary, n binary").collect()
-    got.sort(key=lambda r: r.doc_id)
+    got.sort(key=lambda r: (r.doc_id, r.x))
     chains, sizes, good = [], [], []
-    for r in got[:sample]:
+    for r in got:
         x = np.unpackbits(np.frombuffer(r.x, np.uint8).reshape(-1, (WIDTH + 7) // 8), axis=1)[:, :WIDTH].astype(float)
         chains.append((x, np.frombuffer(r.y, np.uint8).astype(np.int64)))
         sizes.append(np.frombuffer(r.n, "<i4"))
@@ -199,11 +201,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
     field = Field()
     if 0 < sum(good) < len(good):
         field.fit(chains)
-        share = np.array([n[field.viterbi(x) == 1].sum() / n.sum() for (x, _), n in zip(chains, sizes)])
+        held = np.array([n[field.viterbi(x) == 1].sum() / n.sum() for (x, _), n in zip(chains, sizes)])
         good = np.array(good, bool)
         # the share with the fewest clean documents lost and then the most junk found
         tries = np.arange(5, 96, 5) / 100
-        field.share = float(max(tries, key=lambda c: (good == (share >= c)).sum() - 3 * (good & (share < c)).sum()))
+        field.share = float(max(tries, key=lambda c: (good == (held >= c)).sum() - 3 * (good & (held < c)).sum()))
     return field
 
 
@@ -218,8 +220,8 @@ def judge(docs: DataFrame, field: Field) -> DataFrame:
             texts = b.column(1).to_pylist()
             got = np.array([base(t) for t in texts], np.int64).reshape(-1, 5)
             failed = (got[:, 0] < LEAST_WORDS) | (100 * got[:, 4] > REPEATED_PERCENT * got[:, 0])
-            share = np.array([f.content(t) for t in texts])
-            cols = [b.column(0), *(pa.array(got[:, i]) for i in range(5)), pa.array(share, pa.float64()), pa.array(failed, pa.bool_()), pa.array(~failed & (share >= f.share), pa.bool_())]
+            held = np.array([f.content(t) for t in texts])
+            cols = [b.column(0), *(pa.array(got[:, i]) for i in range(5)), pa.array(held, pa.float64()), pa.array(failed, pa.bool_()), pa.array(~failed & (held >= f.share), pa.bool_())]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", *longs, "content_share", "base_failed", "kept"])
 
     schema = "doc_id long, " + ", ".join(f"{x} long" for x in longs) + ", content_share double, base_failed boolean, kept boolean"

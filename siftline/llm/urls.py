@@ -4,7 +4,7 @@ A rule is a host and a path; it fits its host and all subdomains where the url's
 its own, and the longest fitting rule decides. The urls that rules decide are the labelled ones:
 trees on lexical features (lengths, depth, share of digits, entropy of the characters, parameters,
 hyphens, the statistics of the host's suffix) learn from them and judge the others. The trees are
-fitted on the driver from SAMPLE labelled urls at most, in the order of a hash of the url, and
+fitted on the driver from about SAMPLE different labelled urls, chosen by a hash of the url, and
 scored as Column expressions; suffix statistics count all labelled urls of every suffix and are
 joined to the pages (broadcast up to BROADCAST suffixes); suffixes without any have the overall share.
 
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import boost
-from .common import Stash, read
+from .common import Stash, read, share, taken
 
 #: (rule, verdict); a rule is host, then path.
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
@@ -65,10 +65,10 @@ def _entropy(u: Column) -> Column:
     return F.when(n > 0, F.aggregate(F.filter(chars, lambda c: c != ""), F.lit(0.0), term)).otherwise(0.0)
 
 
-def lexical(pages: DataFrame) -> DataFrame:
+def lexical(pages: DataFrame, rules=RULES) -> DataFrame:
     """pages with host, path, rule and the features but for the suffix statistics."""
     host, path = host_path(F.col("url"))
-    df = pages.withColumn("host", host).withColumn("path", path).withColumn("rule", rule_of(F.col("host"), F.col("path")))
+    df = pages.withColumn("host", host).withColumn("path", path).withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
     u = F.coalesce(F.col("url"), F.lit(""))
     n = F.greatest(F.length(u), F.lit(1))
     return df.select(
@@ -89,25 +89,25 @@ def lexical(pages: DataFrame) -> DataFrame:
 
 def judge(pages: DataFrame, rules=RULES, sample: int = SAMPLE) -> DataFrame:
     """pages with host, path, rule, block_score and verdict; other columns are passed on."""
-    rows = lexical(pages.select("url"))
+    rows = lexical(pages.select("url"), rules)
     marked = rows.filter(F.col("rule").isNotNull()).withColumn("y", (verdict_of(F.col("rule"), rules) == "block").cast("double"))
     stash = Stash(pages.sparkSession, "urls")
     stats = stash.keep(marked.groupBy("_suffix").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("b")))
     total, blocked, suffixes = stats.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("b"), F.lit(0.0)), F.count(F.lit(1))).first()
-    share = (blocked + 1.0) / (total + 2.0)
-    table = stats.select("_suffix", ((F.col("b") + PRIOR * share) / (F.col("n") + PRIOR)).alias("_known"))
+    overall = (blocked + 1.0) / (total + 2.0)
+    table = stats.select("_suffix", ((F.col("b") + PRIOR * overall) / (F.col("n") + PRIOR)).alias("_known"))
     table = F.broadcast(table) if suffixes <= BROADCAST else table
-    with_suffix = lambda df: df.join(table, "_suffix", "left").withColumn("suffix", F.coalesce("_known", F.lit(share)))
-    fitted = marked.orderBy(F.xxhash64("url"), "url").limit(sample)
-    fitted = with_suffix(fitted).orderBy(F.xxhash64("url"), "url").select(*FEATURES, "y").collect()
+    with_suffix = lambda df: df.join(table, "_suffix", "left").withColumn("suffix", F.coalesce("_known", F.lit(overall)))
+    fitted = marked.filter(taken(F.col("url"), share(total, sample))).dropDuplicates(["url"])
+    fitted = sorted(with_suffix(fitted).select("url", F.xxhash64("url").alias("h"), *FEATURES, "y").collect(), key=lambda r: (r.h, r.url))
     x = np.array([[r[f] for f in FEATURES] for r in fitted], float).reshape(-1, len(FEATURES))
     y = np.array([r.y for r in fitted])
     # half of the sample may not see the suffix, so that other hosts are judged by their form too
-    x[::2, -1] = share
+    x[::2, -1] = overall
     model = boost.fit(x, y)
     names = {c: f"_own_{i}" for i, c in enumerate(pages.columns) if c != "url"}
     kept = pages.select("url", *(F.col(f"`{c}`").alias(n) for c, n in names.items()))
-    scored = with_suffix(lexical(kept)).withColumn("block_score", model.column(lambda i: F.col(FEATURES[i])))
+    scored = with_suffix(lexical(kept, rules)).withColumn("block_score", model.column(lambda i: F.col(FEATURES[i])))
     made = F.when(F.col("block_score") >= 0.5, F.lit("block")).otherwise(F.lit("allow"))
     own = ["host", "path", "rule", "block_score", "verdict"]
     return scored.withColumn("verdict", F.coalesce(verdict_of(F.col("rule"), rules), made)).select("url", *(F.col(n).alias(c) for c, n in names.items() if c not in own), *own)

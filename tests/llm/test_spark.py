@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siftline.llm import chat, components, decontaminate, mixing, pii, simhash, tokenfile, toxicity, urls
+from siftline.llm import chat, components, decontaminate, mixing, pii, quality, simhash, tokencount, tokenfile, toxicity, urls
 from siftline.llm.common import Stash
 
 LONG = "lorem ipsum dolor sit amet " * 4000
@@ -147,6 +147,28 @@ def test_personal_data(spark, docs):
     assert got[2].b == got[2].m == "" and "address" in got[103].m
 
 
+def test_very_many_matches_and_long_runs(spark):
+    import time
+
+    many = " ".join(f"u{i}@x{i % 7}.org 10.0.{i % 300}.1" for i in range(50_000))
+    long = "token = " + "A1b2" * 100 + " and " + "7 " * 5000
+    df = spark.createDataFrame([(1, many), (2, long)], "doc_id long, text string")
+    began = time.time()
+    got = {r.doc_id: r for r in pii.find(df, pii.boost.Boosted(5.0), dict.fromkeys(pii.ADDED, 0.5)).select("doc_id", "n_email", "n_ip", pii.joined(F.col("base")).alias("b"), pii.joined(F.col("more")).alias("m")).collect()}
+    assert time.time() - began < 60
+    assert got[1].n_email == 50_000 and got[1].b == ",".join(f"{k}:{m.start()}:{m.end()}" for k, p in PATTERNS.items() for m in re.finditer(p, many) if _valid(k, m.group()))
+    assert got[2].m == f"number:{long.index(' and ') + 5}:{len(long) - 1},secret:8:408"
+
+
+def test_redaction(spark, docs, empty):
+    texts = ["mail a@b.cd or 𝄞 +1 (743) 555-3824 x", "4111 1111 1111 1111", "none", None, "+12345678901.2.3.4 y"]
+    df = spark.createDataFrame([(i, t, "k") for i, t in enumerate(texts)], "doc_id long, text string, _at string")
+    got = pii.redact(df, model=pii.boost.Boosted(-5.0), thresholds=dict.fromkeys(pii.ADDED, 0.5))
+    assert got.columns == df.columns
+    assert {r.doc_id: r.text for r in got.collect()} == {0: "mail [email] or 𝄞 [phone] x", 1: "[card]", 2: "none", 3: None, 4: "[phone] y"}
+    assert pii.redact(empty).count() == 0 and pii.redact(docs).count() == len(DOCS)
+
+
 def test_urls(spark):
     rows = [(1, None, "x"), (2, "no scheme", "y"), (3, "http://EXAMPLE.org", "z"), (3, "http://a.example.org/en/12?q#f", "z"), (4, "https://b.example.com/de/1", "z"), (5, "https://org/x", "z")]
     got = urls.judge(spark.createDataFrame(rows, "page_id int, url string, host string")).collect()
@@ -155,6 +177,39 @@ def test_urls(spark):
     assert by["http://a.example.org/en/12?q#f"].rule == "example.org/en/1" and by["https://b.example.com/de/1"].verdict == "block" and by["https://org/x"].rule == "org/"
 
 
+def test_url_rules_of_the_caller(spark):
+    rows = [(i, f"https://h{i}.net/a/{i}" if i % 2 else f"https://h{i}.xyz/b") for i in range(40)] + [(41, None), (42, "https://k.test/")]
+    got = {r.page_id: r for r in urls.judge(spark.createDataFrame(rows, "page_id int, url string"), rules=(("net/", "allow"), ("xyz/b", "block"))).collect()}
+    assert got[1].rule == "net/" and got[1].verdict == "allow" and got[2].rule == "xyz/b" and got[2].verdict == "block" and got[42].rule is None
+    one = urls.judge(spark.createDataFrame(rows, "page_id int, url string"), rules=(("net/", "allow"),)).collect()
+    assert {r.verdict for r in one} == {"allow"}
+    assert urls.judge(spark.createDataFrame([], "page_id int, url string")).count() == 0
+
+
+def test_quality_in_spark(spark, docs, empty):
+    good = "This is a line of plain prose, which goes on for a while and ends with a stop.\nAnother line follows it, as good as the first one was.\n" * 1
+    rows = [(i, (good.replace("line", f"line {i}") + f"More words number {i} are here to reach fifty, since short texts fail the base rules of this operator, whatever else they say; that is enough now, surely, for one text.") if i % 2 else "### $$$ ||| ***\n" * 1 + " ".join(f"#{j}%" for j in range(60)), None) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, kept string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(120)] + [(None, 1), (5, 1), (999, 0)], "doc_id long, quality int")
+    field = quality.fit(df, labels)
+    got = {r.doc_id: r for r in quality.judge(df, field).collect()}
+    assert len(got) == 120 and all(r.kept == bool(i % 2) for i, r in got.items() if not r.base_failed)
+    assert any(r.kept for r in got.values())
+    odd = quality.judge(docs, field).collect()
+    assert len(odd) == len(DOCS) and all((r.n_words, r.kept) == (0, False) for r in odd if r.doc_id in (2, 3, 8))
+    assert quality.judge(empty, quality.fit(empty, labels)).count() == 0 and not quality.fit(df, labels.filter("quality = 1")).fitted
+
+
+def test_token_counts_in_spark(spark, docs, empty):
+    import public_tokenizers
+
+    m = tokencount.Unigram(public_tokenizers.path("piece_bpe_32k.model"))
+    got = Counter((r.doc_id, r.n_pretokens, r.n_tokens) for r in tokencount.count_tokens(docs).collect())
+    word = re.compile(r"[^ \t-\r]+")
+    assert got == Counter((d, len(word.findall(t or "")), sum(map(m.alone, word.findall(t or "")))) for d, t, _ in DOCS)
+    assert tokencount.count_tokens(empty).count() == 0
+
+
 def test_chat(spark):
     rows = [(1, 1, None, 0.0, "user", "a & <|end|>\n x"), (1, 2, 1, 1.0, "assistant", "b1"), (1, 3, 1, 2.0, "assistant", "b2"), (1, 4, 2, 5.0, "user", "c"), (1, 5, 4, 0.0, "assistant", None), (2, 1, 9, 0.0, 'u"<>', "z"), (3, 1, 2, 0.0, "u", "cycle"), (3, 2, 1, 0.0, "u", "cycle")]
     rows += [(9, i, i - 1 if i > 1 else None, 0.0, "assistant", f"m{i}") for i in range(1, 41)]
