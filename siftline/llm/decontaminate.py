@@ -105,7 +105,8 @@ def matches(docs: DataFrame, items: DataFrame, words: int = WORDS, least: float
     found = found.select("doc_id", start.alias("start"), "length").distinct()
     # windows of SPAN neighbouring places meet in a row with the document's hashes, of which theirs are slices
     where, of = stash.put(found.groupBy("doc_id", F.floor(F.col("start") / SPAN).alias("span")).agg(F.collect_list(F.struct("start", "length")).alias("at")))
-    hashed = text.select("doc_id", "w", hashes(F.col("w"), words).alias("hs")) if short else text.select("doc_id", hashes(F.col("w"), words).alias("hs"))
+    some = docs.select("doc_id", "text").join(where.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", tokens(F.col("text")).alias("w"))
+    hashed = some.select("doc_id", "w", hashes(F.col("w"), words).alias("hs")) if short else some.select("doc_id", hashes(F.col("w"), words).alias("hs"))
 
     def cut(x: Column) -> Column:
         own = F.slice("hs", x["start"] + 1, F.greatest(x["length"] - words + 1, F.lit(1)))
