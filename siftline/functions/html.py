@@ -345,8 +345,8 @@ def facts(markup: str | None, url: str | None) -> dict:
     }
 
 
-def with_facts(pages: DataFrame) -> DataFrame:
-    """pages (page_id, url, html) to page_id, url, facts; each document is parsed once."""
+def with_facts(pages: DataFrame, *own: str) -> DataFrame:
+    """pages (page_id, url, html) to page_id, url, facts and the string columns own; each document is parsed once."""
     from pyspark.sql.pandas.types import to_arrow_type
 
     kind = to_arrow_type(FACTS)
@@ -356,7 +356,7 @@ def with_facts(pages: DataFrame) -> DataFrame:
             for i in range(0, b.num_rows, 256):
                 part = b.slice(i, 256)
                 got = [facts(h, u) for u, h in zip(part.column(1).to_pylist(), part.column(2).to_pylist())]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(got, kind)], names=["page_id", "url", "facts"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(got, kind), *part.columns[3:]], names=["page_id", "url", "facts", *own])
 
-    schema = T.StructType([pages.schema["page_id"], pages.schema["url"], T.StructField("facts", FACTS)])
-    return pages.select("page_id", "url", "html").mapInArrow(run, schema)
+    schema = T.StructType([pages.schema["page_id"], pages.schema["url"], T.StructField("facts", FACTS), *(pages.schema[c] for c in own)])
+    return pages.select("page_id", "url", "html", *own).mapInArrow(run, schema)

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.urls import host_of, registrable_domain
-from .registry import BANDS
+from .registry import BANDS, CATEGORIES
 
 
 def status_facets(results: DataFrame) -> DataFrame:
@@ -31,9 +31,10 @@ def by_site(scores: DataFrame) -> DataFrame:
 
 
 def search(results: DataFrame, needle: str) -> DataFrame:
-    """Findings whose key, category, status, value, message or severity contains the needle."""
-    hay = F.lower(F.concat_ws(" ", "check_key", "category", "status", F.coalesce("value", F.lit("")), "message", "severity"))
-    return results.filter(hay.contains(needle.lower()))
+    """Findings whose title, key, value, message, recommendation or category's label contains the needle."""
+    label = F.coalesce(*[F.when(F.col("category") == k, F.lit(name)) for k, _, name in CATEGORIES])
+    hay = F.lower(F.concat_ws(" ", "title", "check_key", "value", "message", "recommendation", label))
+    return results.filter(hay.contains(needle.strip().lower()))
 
 
 def by_category(results: DataFrame) -> DataFrame:

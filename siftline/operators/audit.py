@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.html import with_facts
 from ..functions.urls import authority_of, scheme_of
 from . import checks  # noqa: F401  fills the registry
+from .advice import ADVICE
 from .registry import CHECKS
 from .scoring import settled, with_scores
 
@@ -34,12 +35,12 @@ def default_fetch() -> Column:
 
 
 def default_robots(strict: bool) -> Column:
-    url = F.concat(origin(F.col("url")), F.lit("/robots.txt"))
+    url = F.concat(origin(F.col("final_url")), F.lit("/robots.txt"))
     return _assumed("robots", ROBOTS, {"retrieved": F.lit(not strict), "url": url, "status": F.lit(None if strict else 200), "error": F.lit(None), "sitemaps": F.array().cast("array<string>"), "path_verdict": F.lit("unknown" if strict else "allowed"), "matched_rule": F.lit(None)})
 
 
 def default_sitemap(strict: bool) -> Column:
-    url = F.concat(origin(F.col("url")), F.lit("/sitemap.xml"))
+    url = F.concat(origin(F.col("final_url")), F.lit("/sitemap.xml"))
     return _assumed(
         "sitemap", SITEMAP,
         {"checked_urls": F.array(url), "found_url": F.lit(None) if strict else url, "retrieved": F.lit(not strict), "status": F.lit(None if strict else 200), "error": F.lit(None), "kind": F.lit("urlset"), "url_count": F.lit(10), "count_truncated": F.lit(False), "contains_audited_url": F.lit("unknown" if strict else "yes"), "discovered_via": F.lit("convention")},
@@ -53,8 +54,6 @@ def context(pages: DataFrame, fetches: DataFrame | None = None, robots: DataFram
     (see operators.robots); sitemaps: page_id and the fields of SITEMAP (see operators.sitemap).
     Absent tables are assumed to be well, or with strict to be unavailable.
     """
-    df = with_facts(pages)
-
     def joined(df: DataFrame, table: DataFrame | None, column: str, kind: str, default: Column) -> DataFrame:
         if table is None:
             return df.withColumn(column, default)
@@ -62,8 +61,17 @@ def context(pages: DataFrame, fetches: DataFrame | None = None, robots: DataFram
         side = table.select(F.col("page_id").alias("_p"), F.struct(*fields).cast(kind).alias(column), *(["final_url"] if "final_url" in table.columns else []))
         return df.join(side, F.col("page_id") == F.col("_p"), "left").drop("_p").withColumn(column, F.coalesce(F.col(column), default))
 
-    df = joined(df, fetches, "fetch", FETCH, default_fetch())
-    df = df.withColumn("final_url", F.coalesce("final_url", "url") if "final_url" in df.columns else F.col("url"))
+    # a document's own address is where it was found in the end
+    if fetches is None:
+        df = with_facts(pages).withColumn("fetch", default_fetch()).withColumn("final_url", F.col("url"))
+    else:
+        ends = fetches.select(F.col("page_id").alias("_p"), (F.col("final_url") if "final_url" in fetches.columns else F.lit(None).cast("string")).alias("_end"))
+        there = pages.join(ends, F.col("page_id") == F.col("_p"), "left").select("page_id", F.struct("url", F.coalesce("_end", "url").alias("final_url")).alias("at"), "html")
+        df = with_facts(there.select("page_id", F.col("at.final_url").alias("url"), "html", F.col("at.url").alias("asked")), "asked")
+        df = df.select("page_id", F.col("asked").alias("url"), F.col("url").alias("final_url"), "facts")
+        df = joined(df, fetches.drop("final_url"), "fetch", FETCH, default_fetch())
+        lower = F.transform_keys("fetch.headers", lambda k, v: F.lower(k))
+        df = df.withColumn("fetch", F.col("fetch").withField("headers", lower))
     df = joined(df, robots, "robots", ROBOTS, default_robots(strict))
     return joined(df, sitemaps, "sitemap", SITEMAP, default_sitemap(strict))
 
@@ -81,27 +89,38 @@ def _fields(kind: str) -> list[str]:
     return [*out, word]
 
 
-_built: dict[int, Column] = {}
+_built: list = []
 
 
 def results_of() -> Column:
     """The 26 outcomes as an array in registry order. Thousands of small expressions make it up, so
     it is built once per Spark context and used again for every audit."""
-    now = id(SparkContext._active_spark_context)
-    if now not in _built:
-        _built.clear()
-        _built[now] = _results()
-    return _built[now]
+    now = SparkContext._active_spark_context
+    if not _built or _built[0] is not now:
+        _built[:] = [now, _results()]
+    return _built[1]
 
 
 def _results() -> Column:
 
     def row(c) -> Column:
         o = c.run()
-        return F.struct(F.lit(c.ordinal).alias("ordinal"), F.lit(c.key).alias("key"), F.lit(c.category).alias("category"), F.lit(c.weight).alias("weight"), o.alias("o"))
+        why, advice, guide = ADVICE[c.key]
+        return F.struct(F.lit(c.ordinal).alias("ordinal"), F.lit(c.key).alias("key"), F.lit(c.title).alias("title"), F.lit(c.category).alias("category"), F.lit(c.weight).alias("weight"), F.lit(why).alias("why"), F.lit(advice).alias("advice"), F.lit(guide).cast("string").alias("guide"), o.alias("o"))
 
     flat = F.array(*map(row, CHECKS))
-    return F.transform(flat, lambda x: F.struct(*[x[k].alias(k) for k in ("ordinal", "key", "category", "weight")], *[x["o"][k].alias(k) for k in ("status", "severity", "value", "message", "confidence", "details")]))
+    given = lambda x, statuses, what: F.when(x["o"]["status"].isin(*statuses), what)
+    return F.transform(
+        flat,
+        lambda x: F.struct(
+            *[x[k].alias(k) for k in ("ordinal", "key", "title", "category", "weight")],
+            *[x["o"][k].alias(k) for k in ("status", "severity", "value", "message", "confidence", "details")],
+            x["why"].alias("why"),
+            given(x, ("WARNING", "ERROR"), x["advice"]).alias("recommendation"),
+            given(x, ("UNAVAILABLE",), x["o"]["message"]).alias("unavailable_reason"),
+            x["guide"].alias("guide"),
+        ),
+    )
 
 
 class Audit(NamedTuple):

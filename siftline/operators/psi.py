@@ -24,7 +24,7 @@ def read(df: DataFrame, column: str = "payload") -> DataFrame:
 
 
 def lab_band(score: Column) -> Column:
-    return F.when(score.isNull(), None).when(score >= GOOD, "good").when(score >= FAIR, "needs-improvement").otherwise("poor")
+    return F.when(score.isNull(), "unknown").when(score >= GOOD, "good").when(score >= FAIR, "needs-improvement").otherwise("poor")
 
 
 def summary(df: DataFrame) -> DataFrame:
@@ -40,7 +40,7 @@ def metrics(df: DataFrame) -> DataFrame:
     audits = F.col("p.lighthouseResult.audits")
     lab = F.array(*[F.struct(F.lit("lab").alias("source"), F.lit(name).alias("metric"), audits[key]["numericValue"].alias("value"), audits[key]["displayValue"].alias("shown"), lab_band(audits[key]["score"]).alias("rating")) for key, name in LAB])
     own = F.when(F.size(F.map_keys("p.loadingExperience.metrics")) > 0, F.col("p.loadingExperience.metrics")).otherwise(F.col("p.originLoadingExperience.metrics"))
-    rate = lambda c: F.when(c == RATINGS[0][0], RATINGS[0][1]).when(c == RATINGS[1][0], RATINGS[1][1]).when(c == RATINGS[2][0], RATINGS[2][1])
+    rate = lambda c: F.when(c == RATINGS[0][0], RATINGS[0][1]).when(c == RATINGS[1][0], RATINGS[1][1]).when(c == RATINGS[2][0], RATINGS[2][1]).otherwise("unknown")
 
     def field(key: str, name: str, by: float) -> Column:
         v = own[key]["percentile"] / by
@@ -73,7 +73,10 @@ THRESHOLDS = (
     ("first-contentful-paint", 1800, 3000, 5000, "ms", False),
     ("total-blocking-time", 200, 600, 1500, "ms", False),
     ("speed-index", 3400, 5800, 9000, "ms", False),
+    ("experimental-time-to-first-byte", 800, 1800, 3000, "ms", False),
 )
+#: The metrics' short names.
+SHORT = {"largest-contentful-paint": "LCP", "cumulative-layout-shift": "CLS", "interaction-to-next-paint": "INP", "first-contentful-paint": "FCP", "total-blocking-time": "TBT", "speed-index": "SI", "experimental-time-to-first-byte": "TTFB"}
 
 
 def threshold_dim(spark) -> DataFrame:
@@ -83,3 +86,16 @@ def threshold_dim(spark) -> DataFrame:
 def meter_position(value: Column, scale_max: Column) -> Column:
     """Share of the scale in percent, within 0 and 100."""
     return F.least(F.greatest(value / scale_max * 100.0, F.lit(0.0)), F.lit(100.0))
+
+
+def with_thresholds(found: DataFrame) -> DataFrame:
+    """Metrics (metric: short names) with their thresholds and the place on the meter; seven rows are broadcast."""
+    spark = found.sparkSession
+    dim = threshold_dim(spark).join(spark.createDataFrame(list(SHORT.items()), "metric string, short string"), "metric").drop("metric")
+    return found.join(F.broadcast(dim), F.col("metric") == F.col("short"), "left").drop("short").withColumn("place", meter_position(F.col("value"), F.col("scale_max")))
+
+
+def bars(found: DataFrame) -> DataFrame:
+    """Opportunities with width, the percentage of the page's largest saving, 4 at least."""
+    largest = F.max("savings_ms").over(W.partitionBy("page_id"))
+    return found.withColumn("width", F.greatest(F.lit(4), F.floor(F.col("savings_ms") / largest * 100 + 0.5)).cast("int"))

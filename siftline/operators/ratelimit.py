@@ -19,7 +19,7 @@ def step(state: tuple[int, int] | None, now: int, limit: int, window_ms: int) ->
     """(count, reset) and the answer: allowed, remaining, reset, seconds to wait."""
     count, reset = state if state and state[1] > now else (0, now + window_ms)
     count += 1
-    wait = 0 if count <= limit else max(1, -(-(reset - now) // 1000))
+    wait = max(1, -(-(reset - now) // 1000))  # till the window ends, whether allowed or not
     return (count, reset), (count <= limit, max(0, limit - count), reset, wait)
 
 
@@ -48,8 +48,29 @@ def limited(requests: DataFrame, limit: int, window_ms: int) -> DataFrame:
     return rows.mapInPandas(run, OUT)
 
 
+# Requests a window that a route allows, where it differs from the general limit.
+ROUTES = (("audit", None), ("pagespeed", 10), ("contact", 3))
+
+
+def limited_by_route(requests: DataFrame, limit: int, window_ms: int) -> DataFrame:
+    """requests (route, client_key, request_id, ts), each route with its own limit and counts."""
+    out = None
+    for route, own in ROUTES:
+        mine = requests.filter(F.col("route") == route).withColumn("client_key", F.concat_ws(":", F.lit(route), "client_key"))
+        got = limited(mine, own or limit, window_ms).select(F.lit(route).alias("route"), F.substring_index("client_key", ":", -1).alias("client_key"), "request_id", "ts_ms", "allowed", "remaining", "reset_ms", "retry_after_s")
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+def cached(reads: DataFrame, ttl_ms: int) -> DataFrame:
+    """reads (key, request_id, ts) of a cache whose entries live ttl_ms from when they were fetched:
+    whether each read finds its key (hit) and when what it gets was fetched (fetched_ms)."""
+    got = limited(reads.withColumnRenamed("key", "client_key"), 1, ttl_ms)
+    return got.select(F.col("client_key").alias("key"), "request_id", (~F.col("allowed")).alias("hit"), (F.col("reset_ms") - ttl_ms).alias("fetched_ms"))
+
+
 def client_key(headers):
     """The first of the usual proxy headers that says something; of a list its first entry."""
     first = F.element_at(F.split(F.element_at(headers, "x-forwarded-for"), ","), 1)
     say = lambda c: F.nullif(F.trim(c), F.lit(""))
-    return F.coalesce(say(F.element_at(headers, "x-vercel-forwarded-for")), say(F.element_at(headers, "cf-connecting-ip")), say(F.element_at(headers, "x-real-ip")), say(first), F.lit("unknown"))
+    return F.coalesce(say(F.element_at(headers, "x-vercel-forwarded-for")), say(F.element_at(headers, "cf-connecting-ip")), say(F.element_at(headers, "x-real-ip")), say(first), F.lit("unknown-client"))

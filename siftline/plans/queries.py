@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from ..functions.html import with_facts
 from ..functions.ip import classify_ipv4, classify_udf, join_ranges
 from ..functions.urls import canonical_key, display_url, guard, host_of, registrable_domain
-from ..operators import analytics, psi, ratelimit, robots, scoring, sitemap
+from ..functions import sql as functions
+from ..operators import advice, analytics, dns, psi, ratelimit, robots, scoring, sitemap
 from ..operators import registry as reg
 from ..operators.audit import Audit, audit, metadata, origin
 from ..sources import store
@@ -112,9 +113,10 @@ def score_by_site(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def search_checks(spark: SparkSession, sf: str) -> DataFrame:
-    # the value alone, since messages are our own words
+    # messages and recommendations are our own words, which the SQL doesn't know
     found = _audit(spark, sf).results
-    return analytics.search(found.withColumn("message", F.lit("")), NEEDLE).select("page_id", "check_key")
+    blank = F.lit("")
+    return analytics.search(found.withColumn("message", blank).withColumn("recommendation", blank), NEEDLE).select("page_id", "check_key")
 
 
 def checks_by_category(spark: SparkSession, sf: str) -> DataFrame:
@@ -147,7 +149,7 @@ def ip_ranges(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ip_classes(spark: SparkSession, sf: str) -> DataFrame:
-    return _rows(spark, "address", ADDRESSES + ADDRESSES6).select("id", "address", classify_udf(F.col("address")).alias("c")).select("id", "address", "c.allowed", "c.reason")
+    return _rows(spark, "address", ADDRESSES + ADDRESSES6).select("id", "address", classify_udf(F.col("address")).alias("c")).select("id", "address", "c.allowed", F.col("c.reason").isNull().alias("without_reason"))
 
 
 def _psi(spark: SparkSession) -> DataFrame:
@@ -165,7 +167,7 @@ def psi_opportunities(spark: SparkSession, sf: str) -> DataFrame:
 def rate_limits(spark: SparkSession, sf: str) -> DataFrame:
     e = spark.read.parquet(f"{sf}/events.parquet")
     got = ratelimit.limited(e.select(F.col("user_id").cast("string").alias("client_key"), F.col("event_id").alias("request_id"), "ts"), LIMIT, WINDOW_MS)
-    return got.select("client_key", "request_id", "allowed", "remaining", "reset_ms")
+    return got.select("client_key", "request_id", "allowed", "remaining", "reset_ms", "retry_after_s")
 
 
 def event_windows(spark: SparkSession, sf: str) -> DataFrame:
@@ -192,7 +194,9 @@ def heading_skips(spark: SparkSession, sf: str) -> DataFrame:
 
 def full_reports(spark: SparkSession, sf: str) -> DataFrame:
     a = _audit(spark, sf)
-    return a.wide.select("page_id", F.to_json(F.struct("url", "total", "band", "category_scores", "results")).alias("report"))
+    report = a.wide.select("page_id", F.to_json(F.struct("url", "total", "band", "category_scores", "results")).alias("report"))
+    read = F.from_json("report", "url string, total int, band string, category_scores array<struct<category:string>>, results array<struct<key:string,why:string>>").alias("r")
+    return report.select("page_id", read).select("page_id", "r.url", "r.total", "r.band", F.size("r.results").alias("n_checks"), F.size("r.category_scores").alias("n_categories"), F.forall("r.results", lambda x: x["why"].isNotNull()).alias("explained"))
 
 
 def text_excerpts(spark: SparkSession, sf: str) -> DataFrame:
@@ -204,12 +208,101 @@ def weights_report(spark: SparkSession, sf: str) -> DataFrame:
     return reg.check_dim(spark).groupBy("category").agg(F.sum("weight").cast("long").alias("sum_weight"), F.count(F.lit(1)).alias("n_checks")).join(F.broadcast(reg.category_dim(spark)), "category").select("category", "category_weight", "sum_weight", "n_checks", "label")
 
 
+DNS = (("8.8.8.8", None), ("10.0.0.1", None), ("a.example", ["1.1.1.1", "2606:4700::1111"]), ("b.example", ["1.1.1.1", "192.168.0.5"]), ("c.example", []), ("d.example", None), ("[::1]", None), ("e.example", ["::ffff:127.0.0.1"]))
+TYPED = ("example.com", " https://a.b/c ", "localhost", "a b.c", "", "ftp://x.y", "http://x.y:80?q", "mailto:a@b.c", "x.y/z#f")
+SCORED = (("all pass", "PASS", "INFO", "PASS", "INFO"), ("technical left out", "UNAVAILABLE", "INFO", "PASS", "INFO"), ("all critical", "ERROR", "CRITICAL", "ERROR", "CRITICAL"), ("nothing measured", "UNAVAILABLE", "INFO", "UNAVAILABLE", "INFO"), ("one medium", "WARNING", "MEDIUM", "PASS", "INFO"))
+EVENTS = 'event: x\ndata: {"type":"start"}\n\ndata: {"type":"stage","stage":"fetching"}\n\n: ping\n\ndata: {"type":"stage","sta'
+#: key, status, severity, and a page (head, body) that ends there.
+BRANCHES = (
+    ("title", "ERROR", "CRITICAL", "<title></title>", ""),
+    ("title", "WARNING", "MEDIUM", "<title>Short</title>", ""),
+    ("title", "WARNING", "LOW", "<title>" + "t" * 70 + "</title>", ""),
+    ("meta-description", "WARNING", "MEDIUM", "<title>x</title>", ""),
+    ("language", "PASS", "INFO", "", ""),
+    ("viewport", "PASS", "INFO", '<meta name="viewport" content="width=device-width, initial-scale=1">', ""),
+    ("charset", "PASS", "INFO", '<meta charset="utf-8">', ""),
+    ("image-alt", "INFO", "INFO", "", "<p>none</p>"),
+    ("json-ld", "PASS", "INFO", '<script type="application/ld+json">{"@type":"Article"}</script>', ""),
+    ("robots-meta", "ERROR", "CRITICAL", '<meta name="robots" content="noindex">', ""),
+    ("canonical", "PASS", "INFO", '<link rel="canonical" href="https://example.com/page">', ""),
+    ("twitter-card", "PASS", "INFO", '<meta name="twitter:card" content="summary">', ""),
+)
+
+
+def host_verdicts(spark: SparkSession, sf: str) -> DataFrame:
+    df = spark.createDataFrame([(i, h, a) for i, (h, a) in enumerate(DNS)], "id long, host string, answers array<string>")
+    return df.select("id", "host", dns.host_verdict(F.col("host"), F.col("answers")).alias("v"), dns.connectable(F.col("answers")).alias("c")).select("id", "host", "v.ok", "v.code", F.array_join("c", ",").alias("connectable"))
+
+
+def sql_functions(spark: SparkSession, sf: str) -> DataFrame:
+    functions.register(spark)
+    _rows(spark, "typed", TYPED).createOrReplaceTempView("typed_urls")
+    return spark.sql("SELECT id, looks_like_url(typed) AS ok, strip_www(typed) AS bare, earned_fraction('WARNING', 'HIGH') AS earned, band_for(CAST(id * 13 AS INT)) AS band FROM typed_urls")
+
+
+def robots_rows(spark: SparkSession, sf: str) -> DataFrame:
+    functions.register(spark)
+    return spark.sql("SELECT * FROM robots_rules('" + ROBOTS.replace("\n", "\\n") + "')")
+
+
+def score_cases(spark: SparkSession, sf: str) -> DataFrame:
+    """One check for each category; the first is of the technical one."""
+    kind = "array<struct<key:string,category:string,weight:int,status:string,severity:string>>"
+    rows = [(n, [(k, k, 5, a, b) if k == "technical" else (k, k, 5, c, d) for k, *_ in reg.CATEGORIES]) for n, a, b, c, d in SCORED]
+    done = scoring.with_scores(spark.createDataFrame(rows, f"name string, results {kind}"))
+    cat = lambda k, f: F.get(F.filter("category_scores", lambda c: c["category"] == k), F.lit(0))[f]
+    return done.select("name", "total", "band", "redistributed", cat("technical", "max_score").alias("technical_max"), cat("on-page", "max_score").alias("on_page_max"), cat("technical", "ratio").alias("technical_ratio"))
+
+
+def event_reader(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.createDataFrame([(EVENTS,)], "buffer string").select(F.posexplode(limits.read_events(F.col("buffer"))).alias("ordinal", "e")).select("ordinal", "e.type", "e.stage")
+
+
+def labels(spark: SparkSession, sf: str) -> DataFrame:
+    """Labels and tones of what results can say, beside how many results there are of each status."""
+    dim = spark.createDataFrame([("status", *x) for x in advice.STATUS_LABELS] + [("severity", *x) for x in advice.SEVERITY_LABELS], "kind string, name string, label string, tone string")
+    n = _audit(spark, sf).results.groupBy(F.col("status").alias("name")).agg(F.count(F.lit(1)).alias("n_results")).withColumn("kind", F.lit("status"))
+    return dim.join(n, ["kind", "name"], "left").select("kind", "name", "label", "tone", F.coalesce("n_results", F.lit(0)).cast("long").alias("n_results"))
+
+
+def weight_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Each audit's shares of the total beside the base weights."""
+    return _audit(spark, sf).categories.join(F.broadcast(reg.category_dim(spark)).select("category", F.col("category_weight").alias("base")), "category").select("page_id", "category", "base", "max_score", (F.col("max_score") - F.col("base")).alias("change"))
+
+
+def psi_thresholds(spark: SparkSession, sf: str) -> DataFrame:
+    return psi.with_thresholds(psi.metrics(_psi(spark))).select("source", "metric", "value", "good", "fair", "core", "place")
+
+
+def psi_bars(spark: SparkSession, sf: str) -> DataFrame:
+    return psi.bars(psi.opportunities(_psi(spark))).select("page_id", "audit", "width")
+
+
+def check_branches(spark: SparkSession, sf: str) -> DataFrame:
+    rows = [(i, "https://example.com/page", f'<!doctype html><html lang="en"><head>{h}</head><body>{b}</body></html>') for i, (_, _, _, h, b) in enumerate(BRANCHES)]
+    got = audit(spark.createDataFrame(rows, "page_id long, url string, html string")).results
+    want = spark.createDataFrame([(i, k) for i, (k, *_) in enumerate(BRANCHES)], "page_id long, check_key string")
+    return got.join(F.broadcast(want), ["page_id", "check_key"]).select("page_id", "check_key", "status", "severity", F.col("recommendation").isNotNull().alias("advised"))
+
+
+def redirected(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages that ended on another site: links and the canonical are seen from there."""
+    html = '<html><head><link rel="canonical" href="/p"></head><body><a href="/x">a</a><a href="https://example.com/">b</a></body></html>'
+    page = spark.createDataFrame([(1, "https://example.com/p", html)], "page_id long, url string, html string")
+    fetch = spark.createDataFrame([(1, "https://other.org/p", True, 301, 200, [("https://example.com/p", 301, "https://other.org/p")], {"X-Robots-Tag": "noindex"})], "page_id long, final_url string, ok boolean, initial_status int, final_status int, redirects array<struct<url:string,status:int,location:string>>, headers map<string,string>")
+    a = audit(page, fetch)
+    f = a.wide.select("page_id", F.col("facts.links").alias("l"), F.col("facts.canonicals").alias("c"), "results")
+    noindex = F.get(F.filter("results", lambda r: r["key"] == "robots-meta"), F.lit(0))["status"]
+    return f.select("page_id", F.array_join(F.transform("l", lambda x: x["kind"]), ",").alias("kinds"), F.get("c", 0)["resolved"].alias("canonical"), noindex.alias("robots_meta"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         page_titles, page_text_stats, text_excerpts, page_links, page_keys, duplicate_pages, guarded_pages, guarded_inputs, check_results, category_scores, page_scores, page_metadata, check_max_points, priority_issues,
         status_facets, checks_by_status, band_distribution, score_by_site, search_checks, checks_by_category, scoring_rules, weights_report, robots_verdicts, sitemap_membership, ip_ranges, ip_classes, psi_metrics, psi_opportunities,
         rate_limits, event_windows, ttl_purge, stage_events, heading_skips, full_reports,
+        host_verdicts, sql_functions, robots_rows, score_cases, event_reader, labels, weight_table, psi_thresholds, psi_bars, check_branches, redirected,
     )
 }
 
@@ -342,7 +435,7 @@ def oracle_sql() -> dict[str, str]:
         "checks_by_status": f"{results} SELECT check_key, status, count(*) AS n_pages FROM results GROUP BY 1, 2",
         "band_distribution": f"{scores} SELECT band, count(*) AS n_pages, count(*) * 100.0::DOUBLE / sum(count(*)) OVER () AS share FROM banded GROUP BY band",
         "score_by_site": f"{scores} SELECT {SITE} AS site, count(*) AS n_pages, CAST(sum(total) AS BIGINT) AS sum_total, min(total) AS min_total, max(total) AS max_total FROM banded GROUP BY 1",
-        "search_checks": f"{results} SELECT page_id, check_key FROM results WHERE contains(lower(concat_ws(' ', check_key, category, status, value, severity)), '{NEEDLE}')",
+        "search_checks": f"{results} SELECT page_id, check_key FROM results JOIN (SELECT check_key, title FROM {dim}) d USING (check_key) JOIN (SELECT category, label FROM {cats}) c USING (category) WHERE contains(lower(concat_ws(' ', d.title, check_key, value, c.label)), '{NEEDLE}')",
         "checks_by_category": f"{results} SELECT page_id, category, string_agg(check_key, ',' ORDER BY ordinal) AS check_keys FROM results GROUP BY 1, 2",
         "scoring_rules": "SELECT kind, name, CAST(value AS DOUBLE) AS value FROM " + _values([("category_weight", k, float(w)) for k, w, _ in reg.CATEGORIES] + [("deduction", k, v) for k, v in reg.DEDUCTIONS] + [("band_from", k, float(v)) for v, k in reg.BANDS], "kind, name, value"),
         "weights_report": f"SELECT category, category_weight, CAST(sum(weight) AS BIGINT) AS sum_weight, count(*) AS n_checks, label FROM {dim} d JOIN {cats} c USING (category) GROUP BY category, category_weight, label",
@@ -352,6 +445,7 @@ def oracle_sql() -> dict[str, str]:
         "sitemap_membership": f"""WITH k AS (SELECT page_id, {KEY} AS key, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS o FROM pages)
             SELECT page_id, CASE WHEN EXISTS (SELECT 1 FROM k b WHERE b.o = a.o AND b.key = a.key AND b.page_id % 2 = 0) THEN 'yes' ELSE 'no' END AS contains_audited_url, CAST((SELECT count(*) FROM k b WHERE b.o = a.o AND b.page_id % 2 = 0) AS INTEGER) AS url_count, 'convention' AS discovered_via FROM k a""",
         "ip_ranges": f"SELECT id, address, {cidr} AS reason, {cidr} AS reason_by_column FROM {_values(list(enumerate(ADDRESSES)), 'id, address')}",
+        "ip_classes": f"SELECT id, address, id IN (0, 6, 12, 19, 20, 28) AS allowed, id IN (0, 6, 12, 19, 20, 28) AS without_reason FROM {_values(list(enumerate(ADDRESSES + ADDRESSES6)), 'id, address')}",
         "psi_metrics": f"""WITH p AS (SELECT '{payload}'::JSON AS j)
             SELECT 1 AS page_id, source, metric, value, rating FROM p, LATERAL (
               SELECT 'lab' AS source, m AS metric, CAST(j->'lighthouseResult'->'audits'->k->>'numericValue' AS DOUBLE) AS value, CASE WHEN CAST(j->'lighthouseResult'->'audits'->k->>'score' AS DOUBLE) >= 0.9 THEN 'good' WHEN CAST(j->'lighthouseResult'->'audits'->k->>'score' AS DOUBLE) >= 0.5 THEN 'needs-improvement' ELSE 'poor' END AS rating FROM {_values(psi.LAB, 'k, m')}
@@ -359,12 +453,24 @@ def oracle_sql() -> dict[str, str]:
         "psi_opportunities": f"""WITH p AS (SELECT '{payload}'::JSON->'lighthouseResult'->'audits' AS j), a AS (SELECT k AS audit, CAST(j->k->'details'->>'overallSavingsMs' AS DOUBLE) AS savings_ms, j->k->'details'->>'type' AS t, regexp_replace(j->k->>'description', '\\[([^\\]]*)\\]\\([^)]*\\)', '\\1', 'g') AS description FROM p, LATERAL (SELECT unnest(json_keys(j)) AS k) x)
             SELECT 1 AS page_id, CAST(row_number() OVER (ORDER BY savings_ms DESC, audit) AS INTEGER) AS rank, audit, savings_ms, description FROM a WHERE t = 'opportunity' AND savings_ms >= 50""",
         "rate_limits": f"""WITH RECURSIVE e AS (SELECT CAST(user_id AS VARCHAR) AS client_key, event_id AS request_id, epoch_us(ts) // 1000 AS t, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS n FROM events),
-            w AS (SELECT client_key, request_id, n, 1 AS c, t + {WINDOW_MS} AS r FROM e WHERE n = 1
-              UNION ALL SELECT e.client_key, e.request_id, e.n, CASE WHEN w.r <= e.t THEN 1 ELSE w.c + 1 END, CASE WHEN w.r <= e.t THEN e.t + {WINDOW_MS} ELSE w.r END FROM w JOIN e ON e.client_key = w.client_key AND e.n = w.n + 1)
-            SELECT client_key, request_id, c <= {LIMIT} AS allowed, CAST(greatest(0, {LIMIT} - c) AS INTEGER) AS remaining, r AS reset_ms FROM w""",
+            w AS (SELECT client_key, request_id, n, t, 1 AS c, t + {WINDOW_MS} AS r FROM e WHERE n = 1
+              UNION ALL SELECT e.client_key, e.request_id, e.n, e.t, CASE WHEN w.r <= e.t THEN 1 ELSE w.c + 1 END, CASE WHEN w.r <= e.t THEN e.t + {WINDOW_MS} ELSE w.r END FROM w JOIN e ON e.client_key = w.client_key AND e.n = w.n + 1)
+            SELECT client_key, request_id, c <= {LIMIT} AS allowed, CAST(greatest(0, {LIMIT} - c) AS INTEGER) AS remaining, r AS reset_ms, CAST(greatest(1, ceil((r - t) / 1000.0)) AS INTEGER) AS retry_after_s FROM w""",
         "event_windows": "SELECT CAST(floor(epoch_ms(ts) / 3600000.0) AS BIGINT) * 3600000 AS start_ms, event_type, count(*) AS n_events FROM events GROUP BY 1, 2",
         "ttl_purge": "SELECT page_id, e AS expires_s FROM (SELECT page_id, 1767225600 + page_id * 60 + CASE WHEN page_id % 2 = 0 THEN 30 ELSE 60 END * 86400 AS e FROM pages) WHERE e >= 1767225600 + 40 * 86400",
-        "stage_events": "SELECT page_id, ordinal, CASE WHEN ordinal = 0 THEN 'start' WHEN ordinal = 8 THEN 'result' ELSE 'stage' END AS type, " + f"CASE WHEN ordinal BETWEEN 1 AND 7 THEN [{', '.join(repr(s) for s in limits.STAGES)}][ordinal] END AS stage FROM pages, (SELECT unnest(range(0, 9)) AS ordinal)",
+        "stage_events": "SELECT page_id, ordinal, CASE WHEN ordinal = 0 THEN 'start' WHEN ordinal = 8 THEN 'result' ELSE 'stage' END AS type, " + "CASE WHEN ordinal BETWEEN 1 AND 7 THEN ['fetching', 'parsing', 'robots', 'sitemap', 'checks', 'scoring', 'done'][ordinal] END AS stage FROM pages, (SELECT unnest(range(0, 9)) AS ordinal)",
+        "host_verdicts": "SELECT * FROM (VALUES (0, '8.8.8.8', true, NULL, NULL), (1, '10.0.0.1', false, 'BLOCKED_URL', NULL), (2, 'a.example', true, NULL, '1.1.1.1,2606:4700::1111'), (3, 'b.example', false, 'BLOCKED_URL', '1.1.1.1'), (4, 'c.example', false, 'DNS_FAILURE', NULL), (5, 'd.example', false, 'DNS_FAILURE', NULL), (6, '[::1]', false, 'BLOCKED_URL', NULL), (7, 'e.example', false, 'BLOCKED_URL', NULL)) v(id, host, ok, code, connectable)",
+        "sql_functions": f"SELECT id, id IN (0, 1, 6, 8) AS ok, regexp_replace(lower(typed), '^www[.]', '') AS bare, 1.0::DOUBLE - 0.7::DOUBLE AS earned, CASE WHEN id * 13 >= 90 THEN 'excellent' WHEN id * 13 >= 75 THEN 'good' WHEN id * 13 >= 50 THEN 'needs-improvement' ELSE 'significant-issues' END AS band FROM {_values(list(enumerate(TYPED)), 'id, typed')}",
+        "robots_rows": "SELECT * FROM (VALUES ('*', 'allow', '/en/12'), ('*', 'disallow', '/en/1'), ('*', 'disallow', '/*.html$'), ('*', 'disallow', '/es'), ('other', 'disallow', '/')) v(user_agent, directive, path)",
+        "score_cases": "SELECT * FROM (VALUES ('all pass', 100, 'excellent', false, 30, 35, 1.0::DOUBLE), ('technical left out', 100, 'excellent', true, 0, 51, NULL), ('all critical', 0, 'significant-issues', false, 30, 35, 0.0::DOUBLE), ('nothing measured', 0, 'significant-issues', true, 0, 0, NULL), ('one medium', 88, 'good', false, 30, 35, 0.6::DOUBLE)) v(name, total, band, redistributed, technical_max, on_page_max, technical_ratio)",
+        "event_reader": "SELECT * FROM (VALUES (0, 'start', NULL), (1, 'stage', 'fetching')) v(ordinal, type, stage)",
+        "labels": f"{results}, n AS (SELECT status AS name, count(*) AS n FROM results GROUP BY 1) SELECT kind, name, label, tone, CASE WHEN kind = 'status' THEN coalesce(n, 0) ELSE 0 END AS n_results FROM (VALUES ('status', 'PASS', 'Pass', 'success'), ('status', 'WARNING', 'Warning', 'warning'), ('status', 'ERROR', 'Error', 'danger'), ('status', 'INFO', 'Info', 'info'), ('status', 'UNAVAILABLE', 'Unavailable', 'neutral'), ('severity', 'CRITICAL', 'Critical', 'danger'), ('severity', 'HIGH', 'High priority', 'danger'), ('severity', 'MEDIUM', 'Medium', 'warning'), ('severity', 'LOW', 'Low', 'warning'), ('severity', 'INFO', 'Informational', 'neutral')) v(kind, name, label, tone) LEFT JOIN n USING (name)",
+        "weight_table": f"{scores} SELECT page_id, category, max_score AS base, max_score, 0 AS change FROM scores",
+        "psi_thresholds": "SELECT source, metric, value, good, fair, core, least(100.0::DOUBLE, value / scale * 100.0::DOUBLE) AS place FROM (VALUES ('lab', 'LCP', 2100.5::DOUBLE), ('lab', 'CLS', 0.3::DOUBLE), ('lab', 'SI', 4000.0::DOUBLE), ('field', 'LCP', 1900.0::DOUBLE), ('field', 'INP', 350.0::DOUBLE), ('field', 'CLS', 0.05::DOUBLE)) v(source, metric, value) JOIN (VALUES ('LCP', 2500, 4000, 6000::DOUBLE, true), ('CLS', 10, 25, 50::DOUBLE, true), ('INP', 200, 500, 1000::DOUBLE, true), ('SI', 3400, 5800, 9000::DOUBLE, false)) t(metric, good, fair, scale, core) USING (metric)",
+        "psi_bars": "SELECT * FROM (VALUES (1, 'render-blocking', 100), (1, 'unused-css', 36)) v(page_id, audit, width)",
+        "check_branches": "SELECT *, status IN ('WARNING', 'ERROR') AS advised FROM " + _values([(i, *b[:3]) for i, b in enumerate(BRANCHES)], "page_id, check_key, status, severity"),
+        "redirected": "SELECT 1 AS page_id, 'internal,external' AS kinds, 'https://other.org/p' AS canonical, 'ERROR' AS robots_meta",
+        "full_reports": f"{scores} SELECT page_id, url, total, band, 26 AS n_checks, 6 AS n_categories, true AS explained FROM banded",
         "heading_skips": "SELECT * FROM (VALUES (1, 'WARNING', 'LOW', '2 skipped levels'), (2, 'PASS', 'INFO', '1 H1, 1 H2, 0 H3'), (3, 'WARNING', 'MEDIUM', 'No headings'), (4, 'WARNING', 'LOW', '1 empty heading')) v(page_id, status, severity, value)",
     }
 

@@ -1,22 +1,21 @@
 """The store: audits, audit_checks, audit_category_scores and audit_metadata as Parquet tables.
 
-A save appends to all four; audit_id is a digest of run and page, so saving again can be recognised.
-Rows expire; purge() rewrites each table to a new version and moves the pointer, reads hide what has
-expired in any case.
+audit_id is a digest of run and page. Rows expire: reads hide what has, purge() deletes it by whole days.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from ..operators.audit import Audit, metadata
 
 RETENTION_DAYS = 30
 TABLES = ("audits", "audit_checks", "audit_category_scores", "audit_metadata")
 # Longest texts that are kept.
-LIMITS = {"value": 500, "message": 2000, "title": 500, "meta_description": 1000, "canonical": 1000, "html_lang": 35, "error_message": 1000}
+LIMITS = {"value": 500, "message": 2000, "recommendation": 2000, "title": 500, "meta_description": 1000, "canonical": 1000, "html_lang": 35, "error_message": 1000}
 
 
 def cut(name: str) -> Column:
@@ -33,7 +32,7 @@ def frames(a: Audit, run: str, now: Column, days: int = RETENTION_DAYS) -> dict[
     ends = (now + F.make_dt_interval(F.lit(days))).alias("expires_at")
     return {
         "audits": a.scores.select(key, "page_id", "url", F.lit("COMPLETED").alias("state"), F.lit(None).cast("string").alias("error_code"), F.lit(None).cast("string").alias("error_message"), "total", "band", now.alias("created_at"), ends),
-        "audit_checks": a.results.select(key, "check_key", "category", "status", "severity", cut("value"), cut("message"), "confidence", "details", ends),
+        "audit_checks": a.results.select(key, "check_key", "category", "status", "severity", cut("value"), cut("message"), cut("recommendation"), "confidence", "details", ends),
         "audit_category_scores": a.categories.select(key, "category", "score", "max_score", "ratio", "checks_total", "checks_passed", ends),
         "audit_metadata": metadata(a).select(key, *[cut(c) for c in ("title", "meta_description", "canonical", "html_lang")], "word_count", "h1_count", "internal_links", "external_links", "images", "images_missing_alt", "schema_types", "is_noindex", ends),
     }
@@ -45,37 +44,49 @@ def failed(rows: DataFrame, run: str, now: Column, days: int = RETENTION_DAYS) -
 
 
 class Store:
+    """Each run's rows stand in a folder of their own, by the day they expire: a second save of a run
+    takes the place of the first, and purging deletes folders of days that are over, nothing else."""
+
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def save(self, tables: dict[str, DataFrame]) -> None:
+    def save(self, tables: dict[str, DataFrame], run: str) -> None:
+        folder = "run=" + hashlib.sha256(run.encode()).hexdigest()[:20]
         for name, df in tables.items():
-            df.write.mode("append").parquet(f"{self.root}/{name}")
+            df.withColumn("day", F.to_date("expires_at")).write.mode("overwrite").partitionBy("day").parquet(f"{self.root}/{name}/{folder}")
 
     def table(self, name: str, now: Column | None = None) -> DataFrame:
-        df = self.spark.read.parquet(f"{self.root}/{name}")
+        df = self.spark.read.parquet(f"{self.root}/{name}").drop("run", "day")
         return df.filter(alive(now if now is not None else F.current_timestamp()))
 
     def get(self, key: str, now: Column | None = None) -> DataFrame:
         """Point lookup; nothing once it has expired."""
         return self.table("audits", now).filter(F.col("audit_id") == key)
 
+    def report(self, key: str, now: Column | None = None) -> DataFrame:
+        """The audit with its checks, category scores and metadata, as one row."""
+        out = self.get(key, now)
+        for name in TABLES[1:3]:
+            rows = self.table(name, now).filter(F.col("audit_id") == key).drop("expires_at")
+            out = out.join(rows.groupBy("audit_id").agg(F.collect_list(F.struct(*[c for c in rows.columns if c != "audit_id"])).alias(name)), "audit_id", "left")
+        return out.join(self.table("audit_metadata", now).drop("expires_at"), "audit_id", "left")
+
     def purge(self, now: Column) -> int:
-        """Drop what has expired; the number of audits that went."""
+        """Drop the days that are over; the number of audits that went. What expires later today is
+        hidden by reads and goes tomorrow."""
+        today = self.spark.range(1).select(F.to_date(now).alias("d")).first().d
         gone = 0
+        jvm = self.spark.sparkContext._jvm.org.apache.hadoop.fs
         for name in TABLES:
-            try:
-                df = self.spark.read.parquet(f"{self.root}/{name}")
-            except AnalysisException:
+            root = jvm.Path(f"{self.root}/{name}")
+            system = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+            if not system.exists(root):
                 continue
             if name == "audits":
-                gone = df.filter(~alive(now)).count()
-            df.filter(alive(now)).write.mode("overwrite").parquet(f"{self.root}/{name}.new")
-            fs = self.spark.sparkContext._jvm.org.apache.hadoop.fs
-            old, new = fs.Path(f"{self.root}/{name}"), fs.Path(f"{self.root}/{name}.new")
-            system = old.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-            system.delete(old, True)
-            system.rename(new, old)
+                gone = self.spark.read.parquet(f"{self.root}/{name}").filter(F.col("day") < F.lit(today)).count()
+            for x in system.globStatus(jvm.Path(f"{self.root}/{name}/run=*/day=*")) or []:
+                if x.getPath().getName()[4:] < today.isoformat():
+                    system.delete(x.getPath(), True)
         return gone
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -13,12 +13,12 @@ from ..operators.audit import audit
 from ..operators.ratelimit import OUT, step
 
 # The stages of an audit, in order.
-STAGES = ("validating", "fetching", "robots", "sitemap", "parsing", "scoring", "done")
+STAGES = ("fetching", "parsing", "robots", "sitemap", "checks", "scoring", "done")
 
 
-def limited_stream(requests: DataFrame, limit: int, window_ms: int) -> DataFrame:
+def limited_stream(requests: DataFrame, limit: int, window_ms: int, late: str = "10 minutes") -> DataFrame:
     """The batch operator's answers for a stream of requests (client_key, request_id, ts). State is one
-    count and one time per client; it times out when its window has passed unused."""
+    count and one time per client; it goes when the watermark, late behind the latest request, has passed its window."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -31,11 +31,12 @@ def limited_stream(requests: DataFrame, limit: int, window_ms: int) -> DataFrame
             now_state, told = step(now_state, int(now), limit, window_ms)
             out.append((key[0], rid, now, *told))
         state.update(now_state)
-        state.setTimeoutDuration(2 * window_ms)
+        # the window is over once the stream's own time has passed its end; a replay keeps it open
+        state.setTimeoutTimestamp(max(int(now_state[1]), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["client_key", "request_id", "ts_ms", "allowed", "remaining", "reset_ms", "retry_after_s"])
 
-    rows = requests.select("client_key", "request_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"))
-    return rows.groupBy("client_key").applyInPandasWithState(run, OUT, "count int, reset_ms long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    rows = requests.withWatermark("ts", late).select("client_key", "request_id", "ts", F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"))
+    return rows.groupBy("client_key").applyInPandasWithState(run, OUT, "count int, reset_ms long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def audit_stream(pages: DataFrame, sink: Callable[[DataFrame, int], None]):
@@ -54,6 +55,15 @@ def stage_events(pages: DataFrame) -> DataFrame:
     return rows.withColumn("event", F.concat(F.lit("data: "), F.to_json(F.struct("type", "stage")), F.lit("\n\n")))
 
 
+def read_events(buffer) -> Column:
+    """A buffer of events to array<struct<type, stage>>: whole messages only, their first data line as JSON."""
+    parts = F.split(buffer, "\n\n")
+    whole = F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0)))
+    data = F.transform(whole, lambda m: F.get(F.filter(F.split(m, "\n"), lambda x: x.startswith("data:")), F.lit(0)))
+    told = F.transform(F.filter(data, lambda x: x.isNotNull()), lambda x: F.from_json(F.trim(F.substring(x, 6, F.length(x))), "type string, stage string"))
+    return F.filter(told, lambda e: e["type"].isNotNull())
+
+
 def windowed_events(events: DataFrame, length: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Counts of events by type and window, for batch and stream alike."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", length), "event_type").agg(F.count(F.lit(1)).alias("n_events")).select(F.col("window.start").alias("window_start"), "event_type", "n_events")
