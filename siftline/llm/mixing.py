@@ -26,9 +26,10 @@ WEIGHTS = (5, 2, 1)
 MOST = 3
 #: Fractional bits of the expected copies.
 BITS = 24
-#: Ranks are counted in groups of one source, size and salt, a hash of the id; the groups of BLOCK
-#: sizes are summed first, so that no window holds more than SALTS * BLOCK rows of a source.
-SALTS, BLOCK = 1024, 16
+#: Ranks are counted in groups of one source, size and salt, a hash of the id. Groups are summed by
+#: CHUNK salts of a size, then by BLOCK sizes, so that a window holds CHUNK groups, or the
+#: BLOCK * SALTS / CHUNK chunks of a block, or one row for each block of a source.
+SALTS, CHUNK, BLOCK = 1024, 32, 16
 SEED = "mix-1"
 
 
@@ -86,7 +87,7 @@ def plan(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: str = SEED) -
     stash = Stash(docs.sparkSession, "mixing")
     rows = packed(docs, "doc_id", "text", "source")
     rows = rows.select("_row", "doc_id", "source", words_in(F.col("text")).alias("size"), salt(F.col("doc_id")).alias("salt"), F.xxhash64("text").alias("tie"))
-    groups = rows.groupBy("source", "size", "salt").agg(F.count(F.lit(1)).alias("n")).withColumn("block", F.floor(F.col("size") / BLOCK))
+    groups = rows.groupBy("source", "size", "salt").agg(F.count(F.lit(1)).alias("n")).withColumn("chunk", F.floor(F.col("salt") / CHUNK)).withColumn("block", F.floor(F.col("size") / BLOCK))
     groups = stash.keep(groups)  # else each use of the counts would parse all texts again
     blocks = groups.groupBy("source", "block").agg(F.sum("n").alias("bn"), F.sum(F.col("n") * F.col("size")).alias("bw"))
     goal = targets(blocks.groupBy("source").agg(F.sum("bw").alias("source_size")), weights, most).select(F.col("source").alias("_s"), "source_size", "target")
@@ -94,10 +95,15 @@ def plan(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: str = SEED) -
     upto = W.partitionBy("source").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     blocks = blocks.withColumn("base", F.coalesce(F.sum("bn").over(upto), F.lit(0)))
     blocks = blocks.join(goal, F.col("source").eqNullSafe(F.col("_s"))).select("_s", F.col("block").alias("_b"), "base", "source_size", "target", step.cast("long").alias("step"), offset(F.col("source"), seed).alias("offset"))
-    inner = W.partitionBy("source", "block").orderBy("size", "salt").rowsBetween(W.unboundedPreceding, -1)
-    groups = groups.withColumn("first", F.coalesce(F.sum("n").over(inner), F.lit(0)))
-    first = groups.join(blocks, F.col("source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b"))).select(
-        F.col("source").alias("_s"), F.col("size").alias("_z"), F.col("salt").alias("_t"), (F.col("first") + F.col("base")).alias("before"), "source_size", "target", "step", "offset"
+    within = lambda by, order: W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    chunks = groups.groupBy("source", "block", "size", "chunk").agg(F.sum("n").alias("cn"))
+    chunks = chunks.withColumn("at", F.coalesce(F.sum("cn").over(within(["source", "block"], ["size", "chunk"])), F.lit(0)))
+    chunks = chunks.join(blocks, F.col("source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b"))).select(
+        F.col("source").alias("_s"), F.col("size").alias("_z"), F.col("chunk").alias("_c"), (F.col("at") + F.col("base")).alias("at"), "source_size", "target", "step", "offset"
+    )
+    groups = groups.withColumn("first", F.coalesce(F.sum("n").over(within(["source", "size", "chunk"], ["salt"])), F.lit(0)))
+    first = groups.join(chunks, F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z")) & (F.col("chunk") == F.col("_c"))).select(
+        F.col("source").alias("_s"), F.col("size").alias("_z"), F.col("salt").alias("_t"), (F.col("first") + F.col("at")).alias("before"), "source_size", "target", "step", "offset"
     )
     ranked = rows.withColumn("rank", F.row_number().over(W.partitionBy("source", "size", "salt").orderBy(F.col("doc_id").asc_nulls_last(), "tie")))
     ranked = ranked.join(first, F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z")) & (F.col("salt") == F.col("_t")))
