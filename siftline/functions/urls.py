@@ -180,6 +180,11 @@ def strip_www(host: Column) -> Column:
     return F.regexp_replace(F.lower(host), r"^www\.", "")
 
 
+def same_site(a: Column, b: Column) -> Column:
+    """Whether two URLs are of one registrable domain."""
+    return registrable_domain(host_of(a)) == registrable_domain(host_of(b))
+
+
 def registrable_domain(host: Column) -> Column:
     h = F.regexp_replace(F.lower(host), r"\.$", "")
     two = F.substring_index(h, ".", -2)

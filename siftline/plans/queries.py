@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from ..functions.html import with_facts
 from ..functions.ip import classify_ipv4, classify_udf, join_ranges
-from ..functions.urls import canonical_key, display_url, guard, host_of, registrable_domain
+from ..functions.urls import canonical_key, display_url, guard, host_of, registrable_domain, same_site
 from ..functions import sql as functions
-from ..operators import advice, analytics, dns, psi, ratelimit, robots, scoring, sitemap
+from ..operators import advice, analytics, dns, psi, ratelimit, report, responses, robots, scoring, sitemap
 from ..operators import registry as reg
 from ..operators.audit import Audit, audit, metadata, origin
 from ..sources import store
@@ -226,7 +226,72 @@ BRANCHES = (
     ("robots-meta", "ERROR", "CRITICAL", '<meta name="robots" content="noindex">', ""),
     ("canonical", "PASS", "INFO", '<link rel="canonical" href="https://example.com/page">', ""),
     ("twitter-card", "PASS", "INFO", '<meta name="twitter:card" content="summary">', ""),
+    ("title", "PASS", "INFO", "<title>An example page about roll forming</title>", ""),
+    ("title", "WARNING", "MEDIUM", "<title>One</title><title>Two</title>", ""),
+    ("title", "WARNING", "MEDIUM", "<title>" + "A very descriptive title " * 5 + "</title>", ""),
+    ("meta-description", "PASS", "INFO", '<meta name="description" content="' + "A page that says what roll forming is and where it is used. " * 2 + '">', ""),
+    ("h1", "PASS", "INFO", "", "<h1>One</h1>"),
+    ("h1", "WARNING", "HIGH", "", "<p>No heading</p>"),
+    ("h1", "WARNING", "LOW", "", "<h1>One</h1><h1>Two</h1>"),
+    ("heading-structure", "WARNING", "LOW", "", "<h1>One</h1><h2></h2>"),
+    ("heading-structure", "WARNING", "LOW", "", "<h1>One</h1><h2>Two</h2><h4>Four</h4>"),
+    ("heading-structure", "PASS", "INFO", "", "<h1>One</h1><h2>Two</h2><h3>Three</h3><h2>Two again</h2>"),
+    ("image-alt", "PASS", "INFO", "", '<img src="/divider.png" alt="">'),
+    ("image-alt", "WARNING", "MEDIUM", "", '<a href="/x"><img src="/a.png"></a>'),
+    ("canonical", "WARNING", "MEDIUM", "", ""),
+    ("canonical", "ERROR", "HIGH", '<link rel="canonical" href="https://example.com/a"><link rel="canonical" href="https://example.com/b">', ""),
+    ("canonical", "ERROR", "HIGH", '<link rel="canonical" href="ht!tp://%%%">', ""),
+    ("canonical", "WARNING", "MEDIUM", '<link rel="canonical" href="https://example.com/elsewhere">', ""),
+    ("canonical", "WARNING", "HIGH", '<link rel="canonical" href="https://someone-else.com/page">', ""),
+    ("canonical", "WARNING", "LOW", '<link rel="canonical" href="/page">', ""),
+    ("robots-meta", "PASS", "INFO", "", ""),
+    ("robots-meta", "ERROR", "CRITICAL", '<meta name="robots" content="none">', ""),
+    ("robots-meta", "INFO", "INFO", '<meta name="robots" content="max-snippet:-1, noarchive">', ""),
+    ("viewport", "WARNING", "HIGH", "", ""),
+    ("charset", "INFO", "INFO", '<meta charset="iso-8859-1">', ""),
+    ("word-count", "PASS", "INFO", "", "<p>" + "word " * 500 + "</p>"),
+    ("word-count", "WARNING", "MEDIUM", "", "<p>Hi</p>"),
+    ("content-rendering", "WARNING", "MEDIUM", "", '<div id="root"></div>' + "<div class='x'></div>" * 1200),
+    ("json-ld", "INFO", "INFO", "", ""),
+    ("json-ld", "ERROR", "HIGH", '<script type="application/ld+json">{bad json}</script>', ""),
+    ("open-graph", "WARNING", "MEDIUM", "", ""),
+    ("open-graph", "PASS", "INFO", '<meta property="og:title" content="T"><meta property="og:description" content="D"><meta property="og:image" content="https://example.com/i.jpg">', ""),
+    ("twitter-card", "INFO", "INFO", '<meta property="og:title" content="T">', ""),
 )
+WELL = {"status": 200, "asked": "https://example.com/page", "end": "https://example.com/page", "hops": 0, "retrieved": True, "robots": 200, "verdict": "allowed", "rule": None, "map": True, "kind": "urlset", "listed": "yes"}
+#: key, status, severity, value, and what differs from a page where all is well.
+FETCHED = (
+    ("http-status", "PASS", "INFO", "200 OK", {}),
+    ("http-status", "ERROR", "CRITICAL", "404 Not Found", {"status": 404}),
+    ("https", "ERROR", "CRITICAL", "HTTP only", {"asked": "http://example.com/page", "end": "http://example.com/page"}),
+    ("https", "PASS", "INFO", "HTTPS (redirected)", {"asked": "http://example.com/page"}),
+    ("redirects", "PASS", "INFO", "1 redirect", {"asked": "http://example.com/page", "hops": 1}),
+    ("redirects", "WARNING", "LOW", "3 redirects", {"hops": 3}),
+    ("robots-txt", "UNAVAILABLE", "INFO", "Unable to determine", {"retrieved": False, "verdict": "unknown"}),
+    ("robots-txt", "PASS", "INFO", "Not present", {"robots": 404}),
+    ("robots-txt", "WARNING", "MEDIUM", "Potentially blocked", {"verdict": "unknown", "rule": "Disallow: /*?"}),
+    ("robots-txt", "ERROR", "CRITICAL", "Path disallowed", {"verdict": "disallowed", "rule": "Disallow: /page"}),
+    ("sitemap", "WARNING", "LOW", "Not found", {"map": False}),
+    ("sitemap", "PASS", "INFO", "Index, 4 sitemaps", {"kind": "sitemapindex", "listed": "unknown"}),
+    ("sitemap", "WARNING", "LOW", "Page not listed", {"listed": "no"}),
+)
+#: name, system code, and what they become.
+THROWN = (("BlockedAddressError", None, "BLOCKED_URL", 400), ("Error", "ERR_BLOCKED_ADDRESS", "BLOCKED_URL", 400), ("AbortError", None, "TIMEOUT", 504), ("Error", "UND_ERR_BODY_TIMEOUT", "TIMEOUT", 504), ("Error", "ENOTFOUND", "DNS_FAILURE", 502), ("TypeError", "EAI_AGAIN", "DNS_FAILURE", 502), ("Error", "ECONNREFUSED", "CONNECTION_FAILED", 502), (None, "ERR_TLS_CERT", "CONNECTION_FAILED", 502), ("TypeError", None, "CONNECTION_FAILED", 502))
+#: status, body, content type, exception's name and code, and why the page can't be audited.
+ANSWERS = (
+    (200, "<html>x</html>", "text/html; charset=utf-8", None, None, None), (404, "<html>gone</html>", None, None, None, None), (404, "gone", "text/html", None, None, "HTTP_ERROR"),
+    (200, "  ", "text/html", None, None, "UNSUPPORTED_CONTENT_TYPE"), (200, "x", "image/png", None, None, "UNSUPPORTED_CONTENT_TYPE"), (None, None, None, "AbortError", None, "TIMEOUT"), (None, None, None, None, "ENOTFOUND", "DNS_FAILURE"),
+)
+#: status, body, ok, error, whether the text is kept.
+TEXTS = ((200, "User-agent: *", True, None, True), (404, "nothing", False, "HTTP_ERROR", False), (404, "<html>nothing</html>", False, None, True), (301, "moved", False, None, True), (200, "", False, "UNSUPPORTED_CONTENT_TYPE", False), (200, "x" * (1024 * 1024 + 1), False, "RESPONSE_TOO_LARGE", False))
+LOGGED = (
+    ('{"Token":"x","user":{"password":1,"name":"é"}}', '{"Token":"[redacted]","user":{"password":"[redacted]","name":"é"}}'),
+    ('{"a":{"b":{"c":{"d":{"e":1}}}}}', '{"a":{"b":{"c":{"d":{"e":"[truncated]"}}}}}'),
+    ('{"n":[' + ",".join(["1"] * 25) + "]}", '{"n":[' + ",".join(["1"] * 20) + "]}"),
+    ("no json", None), (None, None), ("{}", "{}"),
+)
+SITES = (("https://a.example.com/", "https://example.com/x", True, False), ("https://example.com/a", "https://example.com/b", True, True), ("https://example.com/", "http://example.com/", True, False), ("https://example.com/", "https://example.org/", False, False), ("https://a.co.uk/", "https://b.co.uk/", False, False))
+BASE = "https://site.example"
 
 
 def host_verdicts(spark: SparkSession, sf: str) -> DataFrame:
@@ -296,6 +361,69 @@ def redirected(spark: SparkSession, sf: str) -> DataFrame:
     return f.select("page_id", F.array_join(F.transform("l", lambda x: x["kind"]), ",").alias("kinds"), F.get("c", 0)["resolved"].alias("canonical"), noindex.alias("robots_meta"))
 
 
+def fetch_branches(spark: SparkSession, sf: str) -> DataFrame:
+    """Checks that rest on the fetch, on robots.txt or on the sitemap, one page for each branch."""
+    cases = [(i, k, WELL | c) for i, (k, _, _, _, c) in enumerate(FETCHED)]
+    hop = lambda c: [(c["asked"], 301, c["end"])] * c["hops"]
+    page = spark.createDataFrame([(i, c["asked"], "<html></html>") for i, _, c in cases], "page_id long, url string, html string")
+    fetch = spark.createDataFrame([(i, c["end"], True, 301 if c["hops"] else c["status"], c["status"], hop(c), {}) for i, _, c in cases], "page_id long, final_url string, ok boolean, initial_status int, final_status int, redirects array<struct<url:string,status:int,location:string>>, headers map<string,string>")
+    rules = spark.createDataFrame([(i, c["retrieved"], "u", c["robots"], None, [], c["verdict"], c["rule"]) for i, _, c in cases], "page_id long, retrieved boolean, url string, status int, error string, sitemaps array<string>, path_verdict string, matched_rule string")
+    maps = spark.createDataFrame([(i, ["u"], "u", c["map"], 200, None, c["kind"], 4, False, c["listed"], "convention") for i, _, c in cases], "page_id long, checked_urls array<string>, found_url string, retrieved boolean, status int, error string, kind string, url_count int, count_truncated boolean, contains_audited_url string, discovered_via string")
+    want = spark.createDataFrame([(i, k) for i, k, _ in cases], "page_id long, check_key string")
+    return audit(page, fetch, rules, maps).results.join(F.broadcast(want), ["page_id", "check_key"]).select("page_id", "check_key", "status", "severity", "value")
+
+
+def error_codes(spark: SparkSession, sf: str) -> DataFrame:
+    rows = spark.createDataFrame([(i, *x[:2]) for i, x in enumerate(THROWN)], "id long, name string, system string")
+    return rows.select("id", responses.network_error(F.col("name"), F.col("system")).alias("code")).select("id", "code", responses.http_status(F.col("code")).alias("http_status"))
+
+
+def _answers(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(i, f"{BASE}/{i}", *x[:5]) for i, x in enumerate(ANSWERS)], "page_id long, url string, status int, body string, content_type string, error_name string, error_system string")
+
+
+def failed_audits(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of the store: failed ones, and completed ones of the rest."""
+    now = F.lit("2026-01-01 00:00:00").cast("timestamp")
+    kept = ["page_id", "state", "error_code"]
+    lost = responses.failures(_answers(spark))
+    done = store.frames(audit(responses.auditable(_answers(spark))), "r", now)["audits"].select(*kept, F.lit(200).alias("http_status"))
+    return done.unionByName(store.failed(lost, "r", now).join(F.broadcast(lost.select("page_id", "http_status")), "page_id").select(*kept, "http_status"))
+
+
+def text_answers(spark: SparkSession, sf: str) -> DataFrame:
+    got = responses.text_fetches(spark.createDataFrame([(i, *x[:2]) for i, x in enumerate(TEXTS)], "id long, status int, body string"))
+    return got.select("id", "ok", "error", F.col("text").isNotNull().alias("kept"))
+
+
+def log_redaction(spark: SparkSession, sf: str) -> DataFrame:
+    return _rows(spark, "context", [x for x, _ in LOGGED]).select("id", responses.redact_json("context").alias("logged"))
+
+
+def detail_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return report.detail_rows(_audit(spark, sf))
+
+
+def deductions(spark: SparkSession, sf: str) -> DataFrame:
+    return report.deductions(spark)
+
+
+def site_sitemap(spark: SparkSession, sf: str) -> DataFrame:
+    return report.site_sitemap(spark, BASE, "2026-01-01")
+
+
+def site_robots(spark: SparkSession, sf: str) -> DataFrame:
+    """The site's robots.txt, as our own parser reads it."""
+    functions.register(spark)
+    spark.createDataFrame([(report.site_robots(BASE),)], "body string").createOrReplaceTempView("site_robots_txt")
+    return spark.sql("SELECT r.* FROM site_robots_txt, LATERAL robots_rules(body) r")
+
+
+def same_sites(spark: SparkSession, sf: str) -> DataFrame:
+    rows = spark.createDataFrame([(i, *x[:2]) for i, x in enumerate(SITES)], "id long, a string, b string")
+    return rows.select("id", same_site(F.col("a"), F.col("b")).alias("same_site"), (origin(F.col("a")) == origin(F.col("b"))).alias("same_origin"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -303,6 +431,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         status_facets, checks_by_status, band_distribution, score_by_site, search_checks, checks_by_category, scoring_rules, weights_report, robots_verdicts, sitemap_membership, ip_ranges, ip_classes, psi_metrics, psi_opportunities,
         rate_limits, event_windows, ttl_purge, stage_events, heading_skips, full_reports,
         host_verdicts, sql_functions, robots_rows, score_cases, event_reader, labels, weight_table, psi_thresholds, psi_bars, check_branches, redirected,
+        fetch_branches, error_codes, failed_audits, text_answers, log_redaction, detail_rows, deductions, site_sitemap, site_robots, same_sites,
     )
 }
 
@@ -469,6 +598,16 @@ def oracle_sql() -> dict[str, str]:
         "psi_thresholds": "SELECT source, metric, value, good, fair, core, least(100.0::DOUBLE, value / scale * 100.0::DOUBLE) AS place FROM (VALUES ('lab', 'LCP', 2100.5::DOUBLE), ('lab', 'CLS', 0.3::DOUBLE), ('lab', 'SI', 4000.0::DOUBLE), ('field', 'LCP', 1900.0::DOUBLE), ('field', 'INP', 350.0::DOUBLE), ('field', 'CLS', 0.05::DOUBLE)) v(source, metric, value) JOIN (VALUES ('LCP', 2500, 4000, 6000::DOUBLE, true), ('CLS', 10, 25, 50::DOUBLE, true), ('INP', 200, 500, 1000::DOUBLE, true), ('SI', 3400, 5800, 9000::DOUBLE, false)) t(metric, good, fair, scale, core) USING (metric)",
         "psi_bars": "SELECT * FROM (VALUES (1, 'render-blocking', 100), (1, 'unused-css', 36)) v(page_id, audit, width)",
         "check_branches": "SELECT *, status IN ('WARNING', 'ERROR') AS advised FROM " + _values([(i, *b[:3]) for i, b in enumerate(BRANCHES)], "page_id, check_key, status, severity"),
+        "fetch_branches": "SELECT * FROM " + _values([(i, *b[:4]) for i, b in enumerate(FETCHED)], "page_id, check_key, status, severity, value"),
+        "error_codes": "SELECT * FROM " + _values([(i, *x[2:]) for i, x in enumerate(THROWN)], "id, code, http_status"),
+        "failed_audits": f"SELECT page_id, CASE WHEN error_code IS NULL THEN 'COMPLETED' ELSE 'FAILED' END AS state, error_code, CASE error_code WHEN 'HTTP_ERROR' THEN 502 WHEN 'DNS_FAILURE' THEN 502 WHEN 'UNSUPPORTED_CONTENT_TYPE' THEN 422 WHEN 'TIMEOUT' THEN 504 ELSE 200 END AS http_status FROM {_values([(i, x[5]) for i, x in enumerate(ANSWERS)], 'page_id, error_code')}",
+        "text_answers": "SELECT * FROM " + _values([(i, *x[2:]) for i, x in enumerate(TEXTS)], "id, ok, error, kept"),
+        "log_redaction": "SELECT * FROM " + _values([(i, x) for i, (_, x) in enumerate(LOGGED)], "id, logged"),
+        "detail_rows": f"WITH {FACTS} SELECT page_id, k - 1 AS ordinal, labels[k] AS label, said[k] AS value FROM (SELECT page_id, ['Requested URL', 'Final URL', 'HTTP status', 'Redirects', 'Content type', 'Response size', 'Title', 'Meta description', 'Canonical', 'Language', 'Word count', 'Links', 'Images', 'Schema types'] AS labels, [url, url, '200', 'None', 'text/html; charset=utf-8', CAST(floor(html_bytes::DOUBLE / 1024 * 10 + 0.5) / 10 AS DECIMAL(18, 1)) || ' KB', title, 'Not present', 'Not present', lang, words || '', len(hrefs) || ' internal · 0 external', '0 total · 0 missing alt', 'None detected'] AS said, unnest(range(1, 15)) AS k FROM facts)",
+        "deductions": "SELECT 'critical 100%, high 70%, medium 40%, low 15%' AS deductions",
+        "site_sitemap": f"SELECT '{BASE}' || path AS loc, '2026-01-01' AS lastmod, changefreq, priority::DOUBLE AS priority FROM " + _values([*report.ROUTES, *[("/seo-guides/" + g, "yearly", 0.7) for g in advice.GUIDES]], "path, changefreq, priority"),
+        "site_robots": "SELECT * FROM (VALUES ('*', 'allow', '/'), ('*', 'disallow', '/api/'), ('*', 'disallow', '/audit/')) v(user_agent, directive, path)",
+        "same_sites": "SELECT * FROM " + _values([(i, *x[2:]) for i, x in enumerate(SITES)], "id, same_site, same_origin"),
         "redirected": "SELECT 1 AS page_id, 'internal,external' AS kinds, 'https://other.org/p' AS canonical, 'ERROR' AS robots_meta",
         "full_reports": f"{scores} SELECT page_id, url, total, band, 26 AS n_checks, 6 AS n_categories, true AS explained FROM banded",
         "heading_skips": "SELECT * FROM (VALUES (1, 'WARNING', 'LOW', '2 skipped levels'), (2, 'PASS', 'INFO', '1 H1, 1 H2, 0 H3'), (3, 'WARNING', 'MEDIUM', 'No headings'), (4, 'WARNING', 'LOW', '1 empty heading')) v(page_id, status, severity, value)",

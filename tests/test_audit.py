@@ -50,7 +50,7 @@ def test_every_page_has_26_results(done):
         assert r.severity == "INFO" or r.status in ("WARNING", "ERROR")
 
 
-@pytest.mark.parametrize("name", ["page_scores", "check_results", "robots_verdicts", "sitemap_membership", "rate_limits", "guarded_inputs", "page_links", "host_verdicts", "sql_functions", "robots_rows", "score_cases", "event_reader", "labels", "weight_table", "psi_thresholds", "psi_bars", "check_branches", "redirected", "full_reports", "search_checks", "stage_events"])
+@pytest.mark.parametrize("name", ["page_scores", "check_results", "robots_verdicts", "sitemap_membership", "rate_limits", "guarded_inputs", "page_links", "host_verdicts", "sql_functions", "robots_rows", "score_cases", "event_reader", "labels", "weight_table", "psi_thresholds", "psi_bars", "check_branches", "redirected", "fetch_branches", "error_codes", "failed_audits", "text_answers", "log_redaction", "detail_rows", "deductions", "site_sitemap", "site_robots", "same_sites", "full_reports", "search_checks", "stage_events"])
 def test_against_sql(spark, name):
     sf = "/root/testdata/sf0.001"
     if not os.path.isdir(sf):
