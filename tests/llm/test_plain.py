@@ -135,3 +135,10 @@ def test_discounts_and_regression():
     g = np.where(y == 1, toxicity.WEIGHT, 1.0) * (p - y)
     z = (x - x.mean(0)) / x.std(0)
     assert abs(g.sum()) < 1e-2 and np.allclose(z.T @ g + toxicity.RIDGE * np.array(w[1:]) * x.std(0), 0, atol=1e-3)
+
+
+def test_share_is_cut_in_the_widest_gap():
+    good = np.array([False, False, True, True])
+    assert quality.cut(np.array([0.0, 0.1, 0.9, 1.0]), good) == 0.5
+    assert quality.cut(np.array([0.2, 0.2, 0.2, 0.2]), good) == 0.1  # nothing tells them apart: all are kept
+    assert quality.cut(np.array([0.0, 0.0, 0.0, 0.0]), good) == 0.0
