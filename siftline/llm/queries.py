@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, mixing, pii, quality, simhash, tokencount, tokenfile, toxicity, urls
+from . import chat, decontaminate, exact, mixing, pii, quality, simhash, tokencount, tokenfile, toxicity, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_chat": chat.query,
         "op9_mixing": mixing.query,
         "op10_decontaminate": decontaminate.query,
+        "op13_exact_dedup": exact.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_chat": chat.SQL, "op9_mixing": mixing.SQL}
+    return {"op8_chat": chat.SQL, "op9_mixing": mixing.SQL, "op13_exact_dedup": exact.SQL}
