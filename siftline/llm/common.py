@@ -59,12 +59,12 @@ class Stash:
     def keep(self, df: DataFrame) -> DataFrame:
         return self.put(df)[0]
 
-    def bucketed(self, df: DataFrame, key: str) -> DataFrame:
-        """Write and reread df, bucketed by key as finely as a shuffle would deal it out: joins on key
-        leave this side where it is. The table's name is needed for the writing only."""
+    def bucketed(self, df: DataFrame, *keys: str) -> DataFrame:
+        """Write and reread df, bucketed by keys as finely as a shuffle would deal it out: joins on all
+        of them leave this side where it is. The table's name is needed for the writing only."""
         n = min(100_000, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
         name = f"siftline_{uuid.uuid4().hex}"
-        df.write.option("compression", "zstd").option("path", self.path()).bucketBy(n, key).saveAsTable(name)
+        df.write.option("compression", "zstd").option("path", self.path()).bucketBy(n, *keys).saveAsTable(name)
         table = self.spark.table(name)
         self.spark.sql(f"DROP TABLE {name}")  # its files are outside the warehouse and stay
         return table
