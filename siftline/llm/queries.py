@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, exact, mixing, negatives, pii, quality, simhash, tokencount, tokenfile, toxicity, urls
+from . import chat, decontaminate, exact, mixing, negatives, pii, quality, simhash, spelling, tokencount, tokenfile, toxicity, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,10 +21,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_chat": chat.query,
         "op9_mixing": mixing.query,
         "op10_decontaminate": decontaminate.query,
+        "op11_spelling": spelling.query,
         "op12_hard_negatives": negatives.query,
         "op13_exact_dedup": exact.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_chat": chat.SQL, "op9_mixing": mixing.SQL, "op12_hard_negatives": negatives.SQL, "op13_exact_dedup": exact.SQL}
+    return {"op8_chat": chat.SQL, "op9_mixing": mixing.SQL, "op11_spelling": spelling.SQL, "op12_hard_negatives": negatives.SQL, "op13_exact_dedup": exact.SQL}
