@@ -2,9 +2,10 @@
 
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
-from siftline.operators import ratelimit
+from siftline.operators import analytics, ratelimit, rollups
 from siftline.operators.audit import audit
 from siftline.sources import store
 from siftline.streaming import limits
@@ -12,11 +13,14 @@ from siftline.streaming import limits
 PAGES = [(1, "https://example.com/", "<html><head><title>A page with a title of its own</title></head><body><p>x</p></body></html>"), (2, "http://a.org/x", "<p>text</p>")]
 
 
+def at(day):
+    return F.lit(f"2026-{day} 11:00:00").cast("timestamp")
+
+
 def test_store(spark, tmp_path):
     a = audit(spark.createDataFrame(PAGES, "page_id long, url string, html string"))
     s = store.Store(spark, str(tmp_path / "store"))
     now = F.lit("2026-01-01 10:00:00").cast("timestamp")
-    at = lambda d: F.lit(f"2026-{d} 11:00:00").cast("timestamp")
     for _ in range(2):  # the second save takes the place of the first
         s.save(store.frames(a, "run-1", now), "run-1")
     s.save(store.frames(a, "run-2", now, days=60), "run-2")
@@ -27,11 +31,84 @@ def test_store(spark, tmp_path):
     report = s.report(key, at("01-02")).first()
     assert len(report.audit_checks) == 26 and len(report.audit_category_scores) == 6 and report.title == "A page with a title of its own"
     assert any(c.recommendation for c in report.audit_checks)
-    assert s.get(key, at("02-05")).count() == 0 and s.get("nothing", now).count() == 0
-    assert s.purge(at("02-05")) == 3 and s.purge(at("02-05")) == 0
-    assert spark.read.parquet(str(tmp_path / "store/audits")).count() == 2
+    assert s.get(key, at("02-05")).count() == 0 and s.get("nothing", now).count() == 0 and s.report("../x", now).count() == 0
+    lost = s.table("audits", at("01-02")).filter("state = 'FAILED'").first()
+    assert s.report(lost.audit_id, at("01-02")).first().error_code == "DNS_FAILURE"
+
+    # what is stored beside the audits equals what they say themselves, before and after a purge
+    for day in ("01-02", "02-05"):
+        audits, checks, totals = (s.table(t, at(day)) for t in ("audits", "audit_checks", "audit_totals"))
+        done = audits.filter("state = 'COMPLETED'")
+        same = lambda x, y: sorted(map(tuple, x.collect())) == sorted(map(tuple, y.collect()))
+        assert same(rollups.bands(totals), analytics.bands(done)) and same(rollups.by_check(totals), analytics.by_check(checks))
+        assert same(rollups.by_site(totals).drop("hosts_about", "keys_about"), analytics.by_site(done))
+        assert same(rollups.states(totals), audits.groupBy("state").count())
+        for needle in ("title of its", "Open", "no", " ", "zzz", "Links"):
+            hits = lambda df: df.select("audit_id", "check_key")
+            assert same(hits(s.search(needle, at(day))), hits(analytics.search(checks, needle)))
+        if day == "01-02":
+            assert s.purge(at("02-05")) == 3 and s.purge(at("02-05")) == 0
+    assert s.table("audits", now).count() == 2 and s.search("Open", now).count() > 0
     again = store.Store(spark, str(tmp_path / "none"))
     assert again.purge(now) == 0
+    with pytest.raises(LookupError):
+        again.table("audits")
+
+
+def test_a_save_is_seen_whole_or_not_at_all(spark, tmp_path, monkeypatch):
+    """The third write of a save fails: readers go on with the old version, of all tables."""
+    schema = "page_id long, url string, html string"
+    s = store.Store(spark, str(tmp_path))
+    now = F.lit("2026-01-01 10:00:00").cast("timestamp")
+    s.save(store.frames(audit(spark.createDataFrame(PAGES, schema)), "r", now), "r")
+    titles = lambda: {r.title for r in s.table("audit_metadata", now).collect()}
+    old, n, write = titles(), [], store.Store._write
+    other = audit(spark.createDataFrame([(1, "https://example.com/", "<title>Another title altogether</title>")], schema))
+
+    def failing(self, *a):
+        n.append(a)
+        if len(n) == 3:
+            raise OSError("disk is gone")
+        return write(self, *a)
+
+    monkeypatch.setattr(store.Store, "_write", failing)
+    with pytest.raises(OSError):
+        s.save(store.frames(other, "r", now), "r")
+    assert titles() == old and s.table("audits", now).count() == 2 and s.table("audit_checks", now).count() == 52
+    s.save(store.frames(other, "r", now), "r")
+    assert titles() == {"Another title altogether"} and s.table("audits", now).count() == 1
+    # the first version and the two tables of the one that failed
+    folders = {p.parent.name + p.name for p in tmp_path.glob("*/run=*/version=*")}
+    assert s.vacuum() == 0 and s.vacuum(older_ms=0) == len(store.TABLES + store.DERIVED) + 2
+    assert len(folders) == 3 and s.table("audits", now).count() == 1
+
+
+def test_two_saves_of_a_run_at_once(spark, tmp_path, monkeypatch):
+    """Another save takes the number first: the manifest gets the next one, none is lost."""
+    s = store.Store(spark, str(tmp_path))
+    seen = s._manifests
+    s._commit("abc", {"version": "v1", "tables": {}})
+    stale = [{}]
+    monkeypatch.setattr(s, "_manifests", lambda tag="*": stale.pop() if stale else seen(tag))
+    s._commit("abc", {"version": "v2", "tables": {}})
+    assert seen("abc")["abc"]["version"] == "v2" and seen("abc")["abc"]["number"] == 2
+
+
+def test_a_lookup_reads_one_shard_of_one_run(spark, tmp_path):
+    pages = spark.range(40).selectExpr("id AS page_id", "concat('https://example.com/', id) AS url", "'<p>x</p>' AS html")
+    s = store.Store(spark, str(tmp_path))
+    now = F.lit("2026-01-01 10:00:00").cast("timestamp")
+    audits = {r: {"audits": store.failed(pages.select("page_id", "url", F.lit("TIMEOUT").alias("error_code"), F.lit("x").alias("error_message")), r, now)} for r in ("a", "b")}
+    for r, t in audits.items():
+        s.save(t, r)
+    key = s.table("audits", now).filter("page_id = 7").first().audit_id
+    df = s.get(key, now)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert df.count() == 1 and "PartitionFilters: [isnotnull(shard" in plan and "EqualTo(audit_id" in plan
+    assert len(df.inputFiles()) >= 1 and all(f"run={store.run_tag('a')}" in f or f"run={store.run_tag('b')}" in f for f in df.inputFiles())
+    assert len({f.split("run=")[1].split("/")[0] for f in df.inputFiles()}) == 1
+    read = df.select(F.input_file_name()).first()[0]
+    assert f"shard={key[store.RUN_DIGITS]}" in read
 
 
 def _stream(spark, tmp_path, rows, schema):
