@@ -43,8 +43,9 @@ def metrics(df: DataFrame) -> DataFrame:
     rate = lambda c: F.when(c == RATINGS[0][0], RATINGS[0][1]).when(c == RATINGS[1][0], RATINGS[1][1]).when(c == RATINGS[2][0], RATINGS[2][1]).otherwise("unknown")
 
     def field(key: str, name: str, by: float) -> Column:
-        v = own[key]["percentile"] / by
-        shown = F.format_string("%.2f", v) if by > 1 else F.when(v >= 1000, F.format_string("%.1f s", v / 1000)).otherwise(F.format_string("%.0f ms", v))
+        # the value is the percentile as reported, on the thresholds' scale; only what is shown is divided
+        v = own[key]["percentile"]
+        shown = F.format_string("%.2f", v / by) if by > 1 else F.when(v >= 1000, F.format_string("%.1f s", v / 1000)).otherwise(F.format_string("%.0f ms", v))
         return F.struct(F.lit("field").alias("source"), F.lit(name).alias("metric"), v.alias("value"), F.when(v.isNotNull(), shown).alias("shown"), rate(own[key]["category"]).alias("rating"))
 
     rows = F.concat(lab, F.array(*[field(*x) for x in FIELD]))

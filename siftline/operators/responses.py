@@ -49,15 +49,16 @@ def described(error: BaseException | object) -> dict[str, str]:
     return {"name": type(error).__name__, "message": str(error)} | ({"code": str(code)} if code else {})
 
 
-def text_fetches(fetches: DataFrame) -> DataFrame:
+def text_fetches(fetches: DataFrame, most: int = TEXT_BYTES) -> DataFrame:
     """Fetches of robots.txt and sitemaps (url, status, body), with ok, text and error.
 
     Only 2xx is ok; other answers keep their text if there is a page in it. Any content type
-    will do. Texts over TEXT_BYTES, empty ones and errors without a page have no text.
+    will do. Texts of more bytes than most (sitemap.READ_BYTES, robots.READ_BYTES), empty ones and
+    errors without a page have no text.
     """
     status, body = F.col("status"), F.col("body")
     empty = F.trim(F.coalesce(body, F.lit(""))) == ""
-    error = F.when(F.octet_length(body) > TEXT_BYTES, "RESPONSE_TOO_LARGE").when((status >= 400) & (empty | ~looks_like_html(body)), "HTTP_ERROR").when(empty, "UNSUPPORTED_CONTENT_TYPE")
+    error = F.when(F.octet_length(body) > most, "RESPONSE_TOO_LARGE").when((status >= 400) & (empty | ~looks_like_html(body)), "HTTP_ERROR").when(empty, "UNSUPPORTED_CONTENT_TYPE")
     return fetches.withColumn("error", error).withColumn("ok", F.col("error").isNull() & status.between(200, 299)).withColumn("text", F.when(F.col("error").isNull(), body))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import SPACE_CHARS
 from ..functions.urls import is_web, path_of, query_of
+from .responses import text_fetches
 
 AGENT = "siftlinebot"
 # Directives that are known, and of these the ones without effect.
@@ -75,7 +76,8 @@ def pattern(rule: Column) -> Column:
 
 
 def evaluate(group: Column, path: Column) -> Column:
-    """struct<verdict, matched_rule, used_wildcard>; the longest rule wins, Allow at a tie."""
+    """struct<verdict, matched_rule, used_wildcard> of one path and a group's few rules, in the row; what
+    matches() finds for many. The longest rule wins, Allow at a tie."""
 
     def hits(kind: str) -> Column:
         return F.filter(F.coalesce(group[kind], F.array().cast("array<string>")), lambda r: (r != "") & F.regexp_like(path, pattern(r)))
@@ -90,17 +92,71 @@ def evaluate(group: Column, path: Column) -> Column:
     return F.when(deny.isNull(), out("allowed", allow)).when(F.length(allow) >= F.length(deny), out("allowed", F.concat(F.lit("Allow: "), allow))).otherwise(out("disallowed", F.concat(F.lit("Disallow: "), deny)))
 
 
+READ_BYTES = 512 * 1024
+
+
+def documents(fetches: DataFrame) -> DataFrame:
+    """Fetches of robots.txt files (origin, url, status, body, and error where there was no answer) as
+    verdicts() takes them: read like other texts, READ_BYTES at most. 404 and 410 mean that nothing is
+    forbidden; a page of HTML is no such file."""
+    got = text_fetches(fetches.withColumnRenamed("error", "thrown"), READ_BYTES)
+    none = F.coalesce(F.col("status").isin(404, 410), F.lit(False))
+    page = F.col("text").rlike(r"^[\s\x{FEFF}]*<(?i:!doctype|html)")
+    why = F.when(none, None).otherwise(F.coalesce("thrown", "error", F.when(~F.coalesce("ok", F.lit(False)), "HTTP_ERROR"), F.when(page, "HTML")))
+    return got.select("origin", why.isNull().alias("retrieved"), "url", "status", why.alias("error"), F.when(why.isNull() & ~none, F.col("text")).alias("body"))
+
+
+def literal(rule: Column) -> Column:
+    """What a path must begin with for the rule to match: the rule up to its first * or last $."""
+    return F.substring_index(F.regexp_replace(rule, r"\$$", ""), "*", 1)
+
+
+def wild(rule: Column) -> Column:
+    return rule.contains("*") | rule.endswith("$")
+
+
+def matches(paths: DataFrame, rules: DataFrame) -> DataFrame:
+    """Distinct paths (origin, path) and rules (origin, kind, ordinal, rule) to verdict, matched_rule and
+    used_wildcard of each path that some rule matches.
+
+    A rule can only match a path that begins with its literal part, so paths meet rules by that in an
+    equi-join, at the lengths that the origin's rules have; regular expressions are tried on what
+    meets and has a wildcard. The longest rule wins, of several the first, Allow at a tie.
+    """
+    rules = rules.filter("rule <> ''").withColumn("prefix", literal(F.col("rule")))
+    # the lengths of literal parts are few, whatever the number of rules
+    lengths = rules.groupBy(F.col("origin").alias("_o")).agg(F.collect_set(F.length("prefix")).alias("_lengths"))
+    begun = paths.join(lengths, F.col("origin") == F.col("_o")).select("origin", "path", F.explode(F.filter("_lengths", lambda n: n <= F.length("path"))).alias("_n"))
+    begun = begun.select("origin", "path", F.substring("path", F.lit(1), F.col("_n")).alias("prefix"))
+    met = begun.join(rules, ["origin", "prefix"]).filter(~wild(F.col("rule")) | F.regexp_like("path", pattern(F.col("rule"))))
+    rank = F.struct(F.length("rule").alias("size"), (-F.col("ordinal")).alias("first"), F.col("rule"))
+    best = met.groupBy("origin", "path").agg(F.max(F.when(F.col("kind") == "allow", rank)).alias("a"), F.max(F.when(F.col("kind") == "disallow", rank)).alias("d"), F.bool_or(wild(F.col("rule"))).alias("used_wildcard"))
+    free, tie = F.col("d").isNull(), F.coalesce(F.col("a.size") >= F.col("d.size"), F.lit(False))
+    rule = F.when(free, F.col("a.rule")).when(tie, F.concat(F.lit("Allow: "), "a.rule")).otherwise(F.concat(F.lit("Disallow: "), "d.rule"))
+    return best.select("origin", "path", F.when(free | tie, "allowed").otherwise("disallowed").alias("verdict"), rule.alias("matched_rule"), "used_wildcard")
+
+
+def rules_of(docs: DataFrame, agent: str = AGENT) -> DataFrame:
+    """Parsed docs (origin, groups) to the rules of the group that holds for the agent."""
+    group = group_for(F.col("groups"), agent)
+    each = lambda kind: F.transform(F.coalesce(group[kind], F.array().cast("array<string>")), lambda r, i: F.struct(F.lit(kind).alias("kind"), i.alias("ordinal"), r.alias("rule")))
+    return docs.select("origin", F.inline(F.concat(each("allow"), each("disallow"))))
+
+
 def verdicts(pages: DataFrame, docs: DataFrame, agent: str = AGENT) -> DataFrame:
     """pages (page_id, url) against docs (origin, retrieved, url, status, error, body), joined by origin:
-    page_id and the fields of the audit's robots column. One equi-join; patterns are tried in the row."""
+    page_id and the fields of the audit's robots column. Each distinct path is judged once."""
     from .audit import origin
 
-    rules = parsed(docs.withColumnRenamed("url", "robots_url")).withColumn("_group", group_for(F.col("groups"), agent))
-    df = pages.withColumn("_o", origin(F.col("url"))).join(rules, F.col("_o") == F.col("origin"), "left")
-    path = F.concat(path_of(F.col("url")), query_of(F.col("url")))
-    df = df.withColumn("_v", evaluate(F.col("_group"), path))
+    read = parsed(docs.withColumnRenamed("url", "robots_url"))
+    own = pages.select("page_id", "url", origin(F.col("url")).alias("_o"), F.concat(path_of(F.col("url")), query_of(F.col("url"))).alias("_path"))
+    paths = own.filter(F.col("_o").isNotNull() & F.col("_path").isNotNull()).select(F.col("_o").alias("origin"), F.col("_path").alias("path")).distinct()
+    judged = matches(paths, rules_of(read, agent)).select(F.col("origin").alias("_vo"), F.col("path").alias("_vp"), "verdict", F.col("matched_rule").alias("_rule"), "used_wildcard")
+    df = own.join(read.select("origin", "retrieved", "robots_url", "status", "error", "sitemaps", "has_unknown"), F.col("_o") == F.col("origin"), "left")
+    df = df.join(judged, (F.col("_o") == F.col("_vo")) & (F.col("_path") == F.col("_vp")), "left")
     got = F.coalesce("retrieved", F.lit(False))
-    unsure = (F.col("_v.verdict") == "disallowed") & (F.col("_v.used_wildcard") | F.col("has_unknown"))
-    verdict = F.when(~got | ~is_web(F.col("url")), "unknown").when(F.col("status").isin(404, 410), "allowed").when(unsure, "unknown").otherwise(F.col("_v.verdict"))
-    rule = F.when(got & ~F.coalesce(F.col("status"), F.lit(0)).isin(404, 410), F.col("_v.matched_rule"))
+    said = F.coalesce("verdict", F.lit("allowed"))
+    unsure = (said == "disallowed") & (F.col("used_wildcard") | F.col("has_unknown"))
+    verdict = F.when(~got | ~is_web(F.col("url")), "unknown").when(F.col("status").isin(404, 410), "allowed").when(unsure, "unknown").otherwise(said)
+    rule = F.when(got & ~F.coalesce(F.col("status"), F.lit(0)).isin(404, 410), F.col("_rule"))
     return df.select("page_id", got.alias("retrieved"), F.coalesce("robots_url", F.concat("_o", F.lit("/robots.txt"))).alias("url"), "status", "error", "sitemaps", verdict.alias("path_verdict"), rule.alias("matched_rule"))

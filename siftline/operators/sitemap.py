@@ -12,7 +12,8 @@ from ..functions.urls import canonical_key
 # How much of a sitemap is read, and where it is looked for.
 READ_CHARS, KEPT, FROM_ROBOTS = 5_000_000, 5000, 3
 PATHS = ("/sitemap.xml", "/sitemap_index.xml")
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&"))
+ENTITIES = (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"))  # in this order: &amp;lt; becomes <
+READ_BYTES = 4 * 1024 * 1024  # larger files are not read
 LOC = r"(?is)<loc>\s*(.*?)\s*</loc>"
 
 
@@ -21,15 +22,15 @@ def parse(text: Column) -> Column:
     head = F.substring(text, 1, READ_CHARS)
 
     def clean(x: Column) -> Column:
-        x = F.regexp_replace(x, r"(?s)^<!\[CDATA\[(.*?)\]\]>$", "$1")
+        x = F.regexp_replace(x, r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1")
         for a, b in ENTITIES:
             x = F.replace(x, F.lit(a), F.lit(b))
         return trimmed(x)
 
     found = F.regexp_extract_all(head, F.lit(LOC), F.lit(1))
-    kept = F.filter(F.transform(F.slice(found, 1, KEPT), clean), lambda x: x != "")
-    kind = F.when(head.rlike(r"(?i)<sitemapindex"), "sitemapindex").otherwise("urlset")
-    return F.when(head.rlike(r"(?i)<(urlset|sitemapindex)"), F.struct(kind.alias("kind"), kept.alias("locations"), F.size(found).alias("url_count"), (F.size(found) > F.size(kept)).alias("count_truncated")))
+    kept = F.slice(F.filter(F.transform(found, clean), lambda x: x != ""), 1, KEPT)
+    kind = F.when(head.rlike(r"(?i)<sitemapindex[\s>]"), "sitemapindex").otherwise("urlset")
+    return F.when(head.rlike(r"(?i)<(urlset|sitemapindex)[\s>]"), F.struct(kind.alias("kind"), kept.alias("locations"), F.size(found).alias("url_count"), (F.size(found) > F.size(kept)).alias("count_truncated")))
 
 
 def candidates(origins: DataFrame) -> DataFrame:

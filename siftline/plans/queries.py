@@ -578,7 +578,7 @@ def oracle_sql() -> dict[str, str]:
         "psi_metrics": f"""WITH p AS (SELECT '{payload}'::JSON AS j)
             SELECT 1 AS page_id, source, metric, value, rating FROM p, LATERAL (
               SELECT 'lab' AS source, m AS metric, CAST(j->'lighthouseResult'->'audits'->k->>'numericValue' AS DOUBLE) AS value, CASE WHEN CAST(j->'lighthouseResult'->'audits'->k->>'score' AS DOUBLE) >= 0.9 THEN 'good' WHEN CAST(j->'lighthouseResult'->'audits'->k->>'score' AS DOUBLE) >= 0.5 THEN 'needs-improvement' ELSE 'poor' END AS rating FROM {_values(psi.LAB, 'k, m')}
-              UNION ALL SELECT 'field', m, CAST(j->'loadingExperience'->'metrics'->k->>'percentile' AS DOUBLE) / d, CASE j->'loadingExperience'->'metrics'->k->>'category' WHEN 'FAST' THEN 'good' WHEN 'AVERAGE' THEN 'needs-improvement' ELSE 'poor' END FROM {_values(psi.FIELD, 'k, m, d')}) x WHERE value IS NOT NULL""",
+              UNION ALL SELECT 'field', m, CAST(j->'loadingExperience'->'metrics'->k->>'percentile' AS DOUBLE), CASE j->'loadingExperience'->'metrics'->k->>'category' WHEN 'FAST' THEN 'good' WHEN 'AVERAGE' THEN 'needs-improvement' ELSE 'poor' END FROM {_values(psi.FIELD, 'k, m, d')}) x WHERE value IS NOT NULL""",
         "psi_opportunities": f"""WITH p AS (SELECT '{payload}'::JSON->'lighthouseResult'->'audits' AS j), a AS (SELECT k AS audit, CAST(j->k->'details'->>'overallSavingsMs' AS DOUBLE) AS savings_ms, j->k->'details'->>'type' AS t, regexp_replace(j->k->>'description', '\\[([^\\]]*)\\]\\([^)]*\\)', '\\1', 'g') AS description FROM p, LATERAL (SELECT unnest(json_keys(j)) AS k) x)
             SELECT 1 AS page_id, CAST(row_number() OVER (ORDER BY savings_ms DESC, audit) AS INTEGER) AS rank, audit, savings_ms, description FROM a WHERE t = 'opportunity' AND savings_ms >= 50""",
         "rate_limits": f"""WITH RECURSIVE e AS (SELECT CAST(user_id AS VARCHAR) AS client_key, event_id AS request_id, epoch_us(ts) // 1000 AS t, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS n FROM events),
@@ -595,7 +595,7 @@ def oracle_sql() -> dict[str, str]:
         "event_reader": "SELECT * FROM (VALUES (0, 'start', NULL), (1, 'stage', 'fetching')) v(ordinal, type, stage)",
         "labels": f"{results}, n AS (SELECT status AS name, count(*) AS n FROM results GROUP BY 1) SELECT kind, name, label, tone, CASE WHEN kind = 'status' THEN coalesce(n, 0) ELSE 0 END AS n_results FROM (VALUES ('status', 'PASS', 'Pass', 'success'), ('status', 'WARNING', 'Warning', 'warning'), ('status', 'ERROR', 'Error', 'danger'), ('status', 'INFO', 'Info', 'info'), ('status', 'UNAVAILABLE', 'Unavailable', 'neutral'), ('severity', 'CRITICAL', 'Critical', 'danger'), ('severity', 'HIGH', 'High priority', 'danger'), ('severity', 'MEDIUM', 'Medium', 'warning'), ('severity', 'LOW', 'Low', 'warning'), ('severity', 'INFO', 'Informational', 'neutral')) v(kind, name, label, tone) LEFT JOIN n USING (name)",
         "weight_table": f"{scores} SELECT page_id, category, max_score AS base, max_score, 0 AS change FROM scores",
-        "psi_thresholds": "SELECT source, metric, value, good, fair, core, least(100.0::DOUBLE, value / scale * 100.0::DOUBLE) AS place FROM (VALUES ('lab', 'LCP', 2100.5::DOUBLE), ('lab', 'CLS', 0.3::DOUBLE), ('lab', 'SI', 4000.0::DOUBLE), ('field', 'LCP', 1900.0::DOUBLE), ('field', 'INP', 350.0::DOUBLE), ('field', 'CLS', 0.05::DOUBLE)) v(source, metric, value) JOIN (VALUES ('LCP', 2500, 4000, 6000::DOUBLE, true), ('CLS', 10, 25, 50::DOUBLE, true), ('INP', 200, 500, 1000::DOUBLE, true), ('SI', 3400, 5800, 9000::DOUBLE, false)) t(metric, good, fair, scale, core) USING (metric)",
+        "psi_thresholds": "SELECT source, metric, value, good, fair, core, least(100.0::DOUBLE, value / scale * 100.0::DOUBLE) AS place FROM (VALUES ('lab', 'LCP', 2100.5::DOUBLE), ('lab', 'CLS', 0.3::DOUBLE), ('lab', 'SI', 4000.0::DOUBLE), ('field', 'LCP', 1900.0::DOUBLE), ('field', 'INP', 350.0::DOUBLE), ('field', 'CLS', 5.0::DOUBLE)) v(source, metric, value) JOIN (VALUES ('LCP', 2500, 4000, 6000::DOUBLE, true), ('CLS', 10, 25, 50::DOUBLE, true), ('INP', 200, 500, 1000::DOUBLE, true), ('SI', 3400, 5800, 9000::DOUBLE, false)) t(metric, good, fair, scale, core) USING (metric)",
         "psi_bars": "SELECT * FROM (VALUES (1, 'render-blocking', 100), (1, 'unused-css', 36)) v(page_id, audit, width)",
         "check_branches": "SELECT *, status IN ('WARNING', 'ERROR') AS advised FROM " + _values([(i, *b[:3]) for i, b in enumerate(BRANCHES)], "page_id, check_key, status, severity"),
         "fetch_branches": "SELECT * FROM " + _values([(i, *b[:4]) for i, b in enumerate(FETCHED)], "page_id, check_key, status, severity, value"),
