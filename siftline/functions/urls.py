@@ -243,23 +243,16 @@ def guard(raw: Column) -> Column:
     )
 
 
-def _public(host: Column, to_quad: bool) -> Column:
-    from pyspark.sql.functions import pandas_udf
-
-    @pandas_udf("boolean")
-    def public(hosts):
-        from .ip import classify
-
-        return hosts.map(lambda h: classify(_ipv4_number(h or "") or "" if to_quad else h or "")[0])
-
-    return public(host)
-
-
 def ipv6_public(host: Column) -> Column:
     """Only asked for hosts with a colon."""
-    return _public(F.when(host.contains(":"), host), False)
+    from .ip import public
+
+    return public(F.when(host.contains(":"), host))
 
 
 def odd_ipv4_public(host: Column) -> Column:
     """Hosts of one number, or of hex or octal parts."""
-    return _public(F.when(host.rlike(r"(^|\.)(0[xX][0-9a-fA-F]*|[0-9]+)\.?$"), host), True)
+    from .ip import let, odd_ipv4, public, quad_of
+
+    odd = odd_ipv4(F.when(host.rlike(r"(^|\.)(0[xX][0-9a-fA-F]*|[0-9]+)\.?$"), host))
+    return let(odd, lambda n: F.coalesce(public(quad_of(n)), F.lit(False)) & n.isNotNull())

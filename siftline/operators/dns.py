@@ -2,47 +2,38 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
+from pyspark.sql import functions as F
 
-from ..functions.ip import classify
+from ..functions.ip import classified, let, public
 
-VERDICT = "ok boolean, addresses array<string>, code string, detail string"
-
-
-def _judge(host: str | None, answers) -> tuple[bool, list[str], str | None, str | None]:
-    host = (host or "").strip("[]")
-    literal = ":" in host or (host != "" and host.replace(".", "").isdigit() and host.count(".") == 3)
-    if literal:
-        ok, why = classify(host)
-        return (True, [host], None, None) if ok else (False, [], "BLOCKED_URL", f"address is not public: {why}")
-    if answers is None or not len(answers):
-        return False, [], "DNS_FAILURE", "no answer" if answers is not None else "lookup failed"
-    for a in answers:
-        ok, why = classify(a)
-        if not ok:
-            return False, [], "BLOCKED_URL", f"an answer is not public: {why}"
-    return True, list(answers), None, None
+VERDICT = "struct<ok:boolean,addresses:array<string>,code:string,detail:string>"
 
 
 def host_verdict(host: Column, answers: Column) -> Column:
     """struct<ok, addresses, code, detail>: every answer must be public; null answers: the lookup failed."""
-    from pyspark.sql.functions import pandas_udf
 
-    @pandas_udf(VERDICT)
-    def run(h: pd.Series, a: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_judge(x, y) for x, y in zip(h, a)], columns=["ok", "addresses", "code", "detail"])
+    def out(code: str | None, detail: Column, addresses: Column) -> Column:
+        return F.struct(F.lit(code is None).alias("ok"), addresses.alias("addresses"), F.lit(code).cast("string").alias("code"), detail.cast("string").alias("detail")).cast(VERDICT)
 
-    return run(host, answers)
+    none = F.array().cast("array<string>")
 
+    def literal(h: Column) -> Column:
+        return let(classified(h), lambda c: F.when(c["allowed"], out(None, F.lit(None), F.array(h))).otherwise(out("BLOCKED_URL", F.concat(F.lit("address is not public: "), c["reason"]), none)))
 
-def connectable(answers: Column) -> Column:
-    """Of the answers at the time of connecting, those that are public; null if none is."""
-    from pyspark.sql.functions import pandas_udf
+    def named(a: Column) -> Column:
+        refused = F.get(F.filter(F.transform(a, lambda x: classified(x)["reason"]), lambda r: r.isNotNull()), 0)
+        return let(refused, lambda r: F.when(r.isNotNull(), out("BLOCKED_URL", F.concat(F.lit("an answer is not public: "), r), none)).otherwise(out(None, F.lit(None), a)))
 
-    @pandas_udf("array<string>")
-    def run(a: pd.Series) -> pd.Series:
-        kept = [[x for x in (y if y is not None else []) if classify(x)[0]] for y in a]
-        return pd.Series([k or None for k in kept], dtype=object)
+    def judged(h: Column) -> Column:
+        numbers = h.contains(":") | h.rlike(r"^[0-9]*(\.[0-9]*){3}$") & h.rlike("[0-9]")
+        lookup = F.when(answers.isNull(), out("DNS_FAILURE", F.lit("lookup failed"), none)).when(F.size(answers) == 0, out("DNS_FAILURE", F.lit("no answer"), none))
+        return F.when(numbers, literal(h)).otherwise(F.coalesce(lookup, named(answers)))
 
-    return run(answers)
+    return let(F.regexp_replace(F.coalesce(host, F.lit("")), r"^[\[\]]+|[\[\]]+$", ""), judged)
+
+
+def connectable(answers: Column) -> Column:
+    """Of the answers at the time of connecting, those that are public; null if none is."""
+    kept = F.filter(F.coalesce(answers, F.array().cast("array<string>")), lambda x: F.coalesce(public(x), F.lit(False)))
+    return let(kept, lambda k: F.when(F.size(k) > 0, k))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.html import with_facts
-from ..functions.ip import classify_ipv4, classify_udf, join_ranges
+from ..functions.ip import classified, classify_ipv4, in_networks, join_ranges, quad_of
 from ..functions.urls import canonical_key, display_url, guard, host_of, registrable_domain, same_site
 from ..functions import sql as functions
 from ..operators import advice, analytics, dns, psi, ratelimit, report, responses, robots, scoring, sitemap
@@ -149,7 +149,7 @@ def ip_ranges(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ip_classes(spark: SparkSession, sf: str) -> DataFrame:
-    return _rows(spark, "address", ADDRESSES + ADDRESSES6).select("id", "address", classify_udf(F.col("address")).alias("c")).select("id", "address", "c.allowed", F.col("c.reason").isNull().alias("without_reason"))
+    return _rows(spark, "address", ADDRESSES + ADDRESSES6).select("id", "address", classified(F.col("address")).alias("c")).select("id", "address", "c.allowed", F.col("c.reason").isNull().alias("without_reason"))
 
 
 def _psi(spark: SparkSession) -> DataFrame:
