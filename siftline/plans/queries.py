@@ -7,6 +7,7 @@ image, icon, meta or structured data, so that regular expressions find the same
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,19 +16,37 @@ from ..functions.html import with_facts
 from ..functions.ip import classified, classify_ipv4, in_networks, join_ranges, quad_of
 from ..functions.urls import canonical_key, display_url, guard, host_of, registrable_domain, same_site
 from ..functions import sql as functions
-from ..operators import advice, analytics, dns, psi, ratelimit, report, responses, robots, scoring, sitemap
+from ..operators import advice, analytics, dns, psi, ratelimit, report, responses, robots, rollups, scoring, search, sitemap
 from ..operators import registry as reg
 from ..operators.audit import Audit, audit, metadata, origin
 from ..sources import store
+from ..sources.scratch import Scratch
 from ..streaming import limits
 
-NEEDLE = "missing"
+#: Searches, one too short for the index.
+NEEDLES = ("Missing", "text", "declared", "160 char", "te", "no such words")
+#: What results of these pages say: key, status, message (# is the value's number, @ the language), recommendation.
+SAID = (
+    ("canonical", "WARNING", "No canonical address is declared.", "Add one canonical link with the full address of the original."),
+    ("charset", "PASS", "The encoding is UTF-8.", None), ("content-rendering", "PASS", "The text is in the markup.", None), ("content-structure", "PASS", "The text is structured.", None),
+    ("content-structure", "UNAVAILABLE", "There is too little text to judge its structure.", None), ("content-structure", "WARNING", "A long text has no subheadings.", "Break long text up with subheadings and paragraphs."),
+    ("external-links", "INFO", "The page links to no other site.", None), ("favicon", "WARNING", "No icon is declared.", "Link an icon in the head."), ("h1", "PASS", "There is one H1.", None),
+    ("heading-structure", "PASS", "The headings are in order.", None), ("http-status", "PASS", "The page answered with HTTP 200.", None), ("https", "ERROR", "The page is served without encryption.", "Serve the page over HTTPS and redirect the plain address to it."),
+    ("https", "PASS", "The page is served over HTTPS.", None), ("image-alt", "INFO", "There are no images.", None), ("internal-links", "PASS", "The page links to others of its site.", None), ("json-ld", "INFO", "There is no JSON-LD.", None),
+    ("language", "PASS", "The language is @.", None), ("link-quality", "PASS", "Links have destinations and texts.", None), ("meta-description", "WARNING", "There is no meta description.", "Write one description of 70 to 160 characters for this page."),
+    ("microdata", "INFO", "There is no microdata or RDFa.", None), ("open-graph", "WARNING", "There is no Open Graph metadata.", "Add the title, description and image of the preview."), ("redirects", "PASS", "The address answered directly.", None),
+    ("robots-meta", "PASS", "No directives restrict indexing.", None), ("robots-txt", "PASS", "robots.txt does not block the page.", None), ("sitemap", "PASS", "The sitemap lists the page.", None), ("title", "PASS", "The title has a good length.", None),
+    ("title", "WARNING", "The title is short.", "Write one title of 20 to 65 characters that says what this page offers."), ("twitter-card", "WARNING", "There is no card and nothing in its place.", "Name a valid card type."),
+    ("viewport", "WARNING", "No viewport is declared.", "Add a viewport meta tag with width=device-width and leave zooming on."), ("word-count", "PASS", "The page has # words of text.", None), ("word-count", "WARNING", "The page has # words of text.", "Say more about the subject, if there is more to say."),
+)
 ADDRESSES = ("8.8.8.8", "10.1.2.3", "127.0.0.1", "100.64.0.1", "169.254.169.254", "172.31.255.255", "172.32.0.1", "192.0.2.9", "198.19.0.1", "203.0.113.7", "224.0.0.1", "255.255.255.255", "1.1.1.1", "01.2.3.4", "256.1.1.1", "nonsense")
 ADDRESSES6 = ("::", "::1", "::ffff:10.0.0.1", "::ffff:8.8.8.8", "64:ff9b::8.8.8.8", "64:ff9b:1::1", "2002:0a00:0001::", "2001:db8::1", "2001::1", "fc00::1", "fe80::1", "ff02::1", "2606:4700::1111", "::8.8.8.8", "1::2::3", "100::1")
 ROBOTS = "User-agent: *\nDisallow: /en/1\nDisallow: /*.html$\nAllow: /en/12\nDisallow: /es\n\nUser-agent: other\nDisallow: /"
 URLS_TYPED = ("example.com/page", "https://example.com", "http://localhost/", "ftp://example.org/", "https://user@example.org/", "https://example.com:8080/", "http://192.168.1.1/", "http://8.8.8.8/x", "", "a b", "javascript:alert(1)", "https://printer.local/", "https://single/", "http://example.org:80/a#b", "https://metadata.google.internal/")
 PSI = '{"lighthouseResult":{"finalUrl":"https://example.com/","categories":{"performance":{"score":0.876}},"audits":{"largest-contentful-paint":{"displayValue":"2.1 s","numericValue":2100.5,"score":0.91},"speed-index":{"displayValue":"4.0 s","numericValue":4000,"score":0.5},"cumulative-layout-shift":{"displayValue":"0.3","numericValue":0.3,"score":0.2},"unused-css":{"title":"Unused CSS","description":"See [docs](https://example.com).","score":0.3,"details":{"type":"opportunity","overallSavingsMs":320}},"render-blocking":{"title":"Render blocking","description":"Slow.","score":0.4,"details":{"type":"opportunity","overallSavingsMs":900}},"tiny":{"title":"Tiny","description":"-","score":0.9,"details":{"type":"opportunity","overallSavingsMs":20}},"table":{"title":"Table","description":"-","score":1,"details":{"type":"table","overallSavingsMs":999}}}},"loadingExperience":{"overall_category":"FAST","metrics":{"CUMULATIVE_LAYOUT_SHIFT_SCORE":{"percentile":5,"category":"FAST"},"LARGEST_CONTENTFUL_PAINT_MS":{"percentile":1900,"category":"FAST"},"INTERACTION_TO_NEXT_PAINT":{"percentile":350,"category":"AVERAGE"}}}}'
 LIMIT, WINDOW_MS = 5, 3_600_000
+#: When audits are stored, and when they are looked at.
+FIRST, LATER = "2026-01-01 10:00:00", "2026-02-10 10:00:00"
 
 
 def pages(spark: SparkSession, sf: str) -> DataFrame:
@@ -113,10 +132,13 @@ def score_by_site(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def search_checks(spark: SparkSession, sf: str) -> DataFrame:
-    # messages and recommendations are our own words, which the SQL doesn't know
-    found = _audit(spark, sf).results
-    blank = F.lit("")
-    return analytics.search(found.withColumn("message", blank).withColumn("recommendation", blank), NEEDLE).select("page_id", "check_key")
+    """What several searches find in the results' texts, by an index of trigrams."""
+    scratch = Scratch(spark, "search")
+    results = scratch.keep(_audit(spark, sf).results.drop("details").withColumn("text_id", search.text_id()))
+    texts = scratch.keep(search.texts(results))
+    postings = scratch.keep(search.postings(texts))
+    found = [search.found(results, texts, postings, n).withColumn("needle", F.lit(n)) for n in NEEDLES]
+    return reduce(DataFrame.unionByName, found).select("needle", "page_id", "check_key", "message", "recommendation")
 
 
 def checks_by_category(spark: SparkSession, sf: str) -> DataFrame:
@@ -170,6 +192,50 @@ def rate_limits(spark: SparkSession, sf: str) -> DataFrame:
     return got.select("client_key", "request_id", "allowed", "remaining", "reset_ms", "retry_after_s")
 
 
+def _stored(spark: SparkSession, sf: str) -> store.Store:
+    """Pages with even ids saved for 30 days, the others for 60; 40 days later what has expired is purged."""
+    s = store.Store(spark, Scratch(spark, "store").base)
+    for odd, days in ((0, 30), (1, 60)):
+        s.save_audit(audit(pages(spark, sf).filter(F.col("page_id") % 2 == odd)), f"run-{odd}", F.lit(FIRST).cast("timestamp"), days)
+    s.purge(F.lit(LATER).cast("timestamp"))
+    return s
+
+
+def stored_sites(spark: SparkSession, sf: str) -> DataFrame:
+    """Aggregates kept beside the stored audits, merged by site, with sketched beside exact counts."""
+    s, later = _stored(spark, sf), F.lit(LATER).cast("timestamp")
+    told = rollups.by_site(s.table("audit_totals", later))
+    own = s.table("audits", later).select(registrable_domain(host_of(F.col("url"))).alias("_site"), host_of(F.col("url")).alias("h"), canonical_key(F.col("url")).alias("k"))
+    exact = own.groupBy("_site").agg(F.count_distinct("h").alias("n_hosts"), F.count_distinct("k").alias("n_keys"))
+    both = told.join(exact, F.col("site") == F.col("_site"))
+    return both.select("site", "n_pages", "sum_total", "min_total", "max_total", "n_hosts", "n_keys", rollups.near(F.col("hosts_about"), F.col("n_hosts")).alias("hosts_near"), rollups.near(F.col("keys_about"), F.col("n_keys")).alias("keys_near"))
+
+
+def stored_checks(spark: SparkSession, sf: str) -> DataFrame:
+    return rollups.by_check(_stored(spark, sf).table("audit_totals", F.lit(LATER).cast("timestamp")))
+
+
+def _addresses(spark: SparkSession, sf: str) -> DataFrame:
+    """An address of each event: every third one of IPv6, the others of IPv4."""
+    e = F.col("event_id")
+    group = lambda n: F.lower(F.hex(n % 65536))
+    six = F.concat(group(e * 7919), F.lit(":"), group(e * 31), F.lit("::"), group(F.col("user_id")))
+    return spark.read.parquet(f"{sf}/events.parquet").select("event_id", F.when(e % 3 == 0, six).otherwise(quad_of((e * 2654435761) % 4294967296)).alias("address"))
+
+
+def address_classes(spark: SparkSession, sf: str) -> DataFrame:
+    return _addresses(spark, sf).select("event_id", "address", classified(F.col("address"))["allowed"].alias("allowed"))
+
+
+def address_networks(spark: SparkSession, sf: str) -> DataFrame:
+    """Each event's address in the longest of the networks of suppliers, of both families."""
+    k = F.col("s_suppkey")
+    s = spark.read.parquet(f"{sf}/supplier.parquet")
+    four = s.select(F.concat(quad_of((k * 40503 * 65536 + k) % 4294967296), F.lit("/"), (k % 11).cast("string")).alias("network"), "s_suppkey")
+    six = s.select(F.concat(F.lower(F.hex((k * 52711) % 65536)), F.lit("::/"), (k % 13).cast("string")).alias("network"), "s_suppkey")
+    return in_networks(_addresses(spark, sf), "address", four.unionByName(six)).select("event_id", "address", "network", "s_suppkey")
+
+
 def event_windows(spark: SparkSession, sf: str) -> DataFrame:
     return limits.windowed_events(spark.read.parquet(f"{sf}/events.parquet")).select(F.unix_millis(F.col("window_start").cast("timestamp")).alias("start_ms"), "event_type", "n_events")
 
@@ -429,7 +495,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         page_titles, page_text_stats, text_excerpts, page_links, page_keys, duplicate_pages, guarded_pages, guarded_inputs, check_results, category_scores, page_scores, page_metadata, check_max_points, priority_issues,
         status_facets, checks_by_status, band_distribution, score_by_site, search_checks, checks_by_category, scoring_rules, weights_report, robots_verdicts, sitemap_membership, ip_ranges, ip_classes, psi_metrics, psi_opportunities,
-        rate_limits, event_windows, ttl_purge, stage_events, heading_skips, full_reports,
+        rate_limits, stored_sites, stored_checks, address_classes, address_networks, event_windows, ttl_purge, stage_events, heading_skips, full_reports,
         host_verdicts, sql_functions, robots_rows, score_cases, event_reader, labels, weight_table, psi_thresholds, psi_bars, check_branches, redirected,
         fetch_branches, error_codes, failed_audits, text_answers, log_redaction, detail_rows, deductions, site_sitemap, site_robots, same_sites,
     )
@@ -544,6 +610,9 @@ def oracle_sql() -> dict[str, str]:
     path = f"({PATH} || {QUERY})"
     rules = [("allow", "/en/12", "^/en/12"), ("disallow", "/en/1", "^/en/1"), ("disallow", "/*.html$", "^/.*\\.html$"), ("disallow", "/es", "^/es")]
     payload = PSI.replace("'", "''")
+    addresses = """WITH a AS (SELECT event_id, event_id % 3 <> 0 AS four, (event_id * 2654435761) % 4294967296 AS n, (event_id * 7919) % 65536 AS g0, (event_id * 31) % 65536 AS g1,
+        CASE WHEN event_id % 3 = 0 THEN lower(to_hex((event_id * 7919) % 65536)) || ':' || lower(to_hex((event_id * 31) % 65536)) || '::' || lower(to_hex(user_id % 65536)) ELSE concat_ws('.', ((event_id * 2654435761) % 4294967296) >> 24, (((event_id * 2654435761) % 4294967296) >> 16) & 255, (((event_id * 2654435761) % 4294967296) >> 8) & 255, ((event_id * 2654435761) % 4294967296) & 255) END AS address FROM events)"""
+    inside = " OR ".join(f"n BETWEEN {a} AND {b}" for a, b, _ in ranges())
     return {
         "page_titles": f"{results} SELECT page_id, status, severity, value FROM results WHERE check_key = 'title'",
         "page_text_stats": f"WITH {FACTS} SELECT page_id, words AS n_words, chars AS n_chars, paragraphs AS n_paragraphs, html_bytes FROM facts",
@@ -564,7 +633,9 @@ def oracle_sql() -> dict[str, str]:
         "checks_by_status": f"{results} SELECT check_key, status, count(*) AS n_pages FROM results GROUP BY 1, 2",
         "band_distribution": f"{scores} SELECT band, count(*) AS n_pages, count(*) * 100.0::DOUBLE / sum(count(*)) OVER () AS share FROM banded GROUP BY band",
         "score_by_site": f"{scores} SELECT {SITE} AS site, count(*) AS n_pages, CAST(sum(total) AS BIGINT) AS sum_total, min(total) AS min_total, max(total) AS max_total FROM banded GROUP BY 1",
-        "search_checks": f"{results} SELECT page_id, check_key FROM results JOIN (SELECT check_key, title FROM {dim}) d USING (check_key) JOIN (SELECT category, label FROM {cats}) c USING (category) WHERE contains(lower(concat_ws(' ', d.title, check_key, value, c.label)), '{NEEDLE}')",
+        "search_checks": f"""{results}, texts AS (SELECT page_id, check_key, replace(replace(s.message, '#', words::VARCHAR), '@', lang) AS message, s.recommendation, lower(concat_ws(' ', title_, check_key, value, replace(replace(s.message, '#', words::VARCHAR), '@', lang), s.recommendation, label)) AS hay
+              FROM results JOIN (SELECT page_id, words, lang FROM facts) USING (page_id) JOIN {_values(SAID, "check_key, status, message, recommendation")} s USING (check_key, status) JOIN (SELECT check_key, title AS title_ FROM {dim}) d USING (check_key) JOIN (SELECT category, label FROM {cats}) c USING (category))
+            SELECT needle, page_id, check_key, message, recommendation FROM texts JOIN (SELECT unnest({list(NEEDLES)}) AS needle) ON contains(hay, lower(needle))""",
         "checks_by_category": f"{results} SELECT page_id, category, string_agg(check_key, ',' ORDER BY ordinal) AS check_keys FROM results GROUP BY 1, 2",
         "scoring_rules": "SELECT kind, name, CAST(value AS DOUBLE) AS value FROM " + _values([("category_weight", k, float(w)) for k, w, _ in reg.CATEGORIES] + [("deduction", k, v) for k, v in reg.DEDUCTIONS] + [("band_from", k, float(v)) for v, k in reg.BANDS], "kind, name, value"),
         "weights_report": f"SELECT category, category_weight, CAST(sum(weight) AS BIGINT) AS sum_weight, count(*) AS n_checks, label FROM {dim} d JOIN {cats} c USING (category) GROUP BY category, category_weight, label",
@@ -585,6 +656,15 @@ def oracle_sql() -> dict[str, str]:
             w AS (SELECT client_key, request_id, n, t, 1 AS c, t + {WINDOW_MS} AS r FROM e WHERE n = 1
               UNION ALL SELECT e.client_key, e.request_id, e.n, e.t, CASE WHEN w.r <= e.t THEN 1 ELSE w.c + 1 END, CASE WHEN w.r <= e.t THEN e.t + {WINDOW_MS} ELSE w.r END FROM w JOIN e ON e.client_key = w.client_key AND e.n = w.n + 1)
             SELECT client_key, request_id, c <= {LIMIT} AS allowed, CAST(greatest(0, {LIMIT} - c) AS INTEGER) AS remaining, r AS reset_ms, CAST(greatest(1, ceil((r - t) / 1000.0)) AS INTEGER) AS retry_after_s FROM w""",
+        "stored_sites": f"{scores} SELECT {SITE} AS site, count(*) AS n_pages, CAST(sum(total) AS BIGINT) AS sum_total, min(total) AS min_total, max(total) AS max_total, count(DISTINCT {HOST}) AS n_hosts, count(DISTINCT {KEY}) AS n_keys, true AS hosts_near, true AS keys_near FROM banded WHERE page_id % 2 = 1 GROUP BY 1",
+        "stored_checks": f"{results} SELECT check_key, status, count(*) AS n_pages FROM results WHERE page_id % 2 = 1 GROUP BY 1, 2",
+        "address_classes": f"""{addresses} SELECT event_id, address, CASE WHEN four THEN NOT ({inside}) ELSE NOT (g0 BETWEEN 64512 AND 65023 OR g0 BETWEEN 65152 AND 65215 OR g0 >= 65280 OR g0 = 256 AND g1 = 0
+              OR g0 = 8193 AND g1 IN (0, 3512) OR g0 = 8194 AND (g1 < 256 OR g1 BETWEEN 2560 AND 2815 OR g1 BETWEEN 32512 AND 32767 OR g1 >= 57344 OR g1 IN (43518, 49152, 49320) OR g1 BETWEEN 44048 AND 44063 OR g1 BETWEEN 25664 AND 25727 OR g1 IN (50706, 50707))
+              OR g0 = 0 AND g1 = 0 OR g0 = 100 AND g1 = 65435) END AS allowed FROM a""",
+        "address_networks": f"""{addresses}, nets AS (SELECT s_suppkey, (s_suppkey * 40503 * 65536 + s_suppkey) % 4294967296 AS base, s_suppkey % 11 AS bits, true AS v4 FROM supplier UNION ALL SELECT s_suppkey, (s_suppkey * 52711) % 65536, s_suppkey % 13, false FROM supplier),
+            named AS (SELECT *, CASE WHEN v4 THEN concat_ws('.', base >> 24, (base >> 16) & 255, (base >> 8) & 255, base & 255) || '/' || bits ELSE lower(to_hex(base)) || '::/' || bits END AS network FROM nets),
+            met AS (SELECT event_id, network, s_suppkey, row_number() OVER (PARTITION BY event_id ORDER BY bits DESC, network, s_suppkey) AS r FROM a JOIN named ON four = v4 AND CASE WHEN four THEN n >> (32 - bits) = base >> (32 - bits) ELSE g0 >> (16 - bits) = base >> (16 - bits) END)
+            SELECT event_id, address, network, s_suppkey FROM a LEFT JOIN (SELECT * FROM met WHERE r = 1) USING (event_id)""",
         "event_windows": "SELECT CAST(floor(epoch_ms(ts) / 3600000.0) AS BIGINT) * 3600000 AS start_ms, event_type, count(*) AS n_events FROM events GROUP BY 1, 2",
         "ttl_purge": "SELECT page_id, e AS expires_s FROM (SELECT page_id, 1767225600 + page_id * 60 + CASE WHEN page_id % 2 = 0 THEN 30 ELSE 60 END * 86400 AS e FROM pages) WHERE e >= 1767225600 + 40 * 86400",
         "stage_events": "SELECT page_id, ordinal, CASE WHEN ordinal = 0 THEN 'start' WHEN ordinal = 8 THEN 'result' ELSE 'stage' END AS type, " + "CASE WHEN ordinal BETWEEN 1 AND 7 THEN ['fetching', 'parsing', 'robots', 'sitemap', 'checks', 'scoring', 'done'][ordinal] END AS stage FROM pages, (SELECT unnest(range(0, 9)) AS ordinal)",

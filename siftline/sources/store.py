@@ -30,6 +30,7 @@ from pyspark.sql.types import StructType
 
 from ..operators import rollups, search
 from ..operators.audit import Audit, metadata
+from .scratch import Scratch
 
 RETENTION_DAYS = 30
 TABLES = ("audits", "audit_checks", "audit_category_scores", "audit_metadata")
@@ -162,6 +163,11 @@ class Store:
             told["tables"]["audit_postings"] = self._write("audit_postings", search.postings(texts), tag, version, "digest")
         self._commit(tag, told)
 
+    def save_audit(self, a: Audit, run: str, now: Column, days: int = RETENTION_DAYS) -> None:
+        """save() of an audit, whose pages are read and parsed once for all tables."""
+        kept = Audit(Scratch(self.spark, "audit").keep(a.wide))
+        self.save(frames(kept, run, now, days), run)
+
     def vacuum(self, older_ms: int = 24 * 3600 * 1000) -> int:
         """Delete versions that no manifest names and that were written so long ago; their number."""
         named, gone = {(tag, m["version"]) for tag, m in self._manifests().items()}, 0
