@@ -116,7 +116,8 @@ def _results() -> Column:
             *[x[k].alias(k) for k in ("ordinal", "key", "title", "category", "weight")],
             *[x["o"][k].alias(k) for k in ("status", "severity", "value", "message", "confidence", "details")],
             x["why"].alias("why"),
-            given(x, ("WARNING", "ERROR"), x["advice"]).alias("recommendation"),
+            F.coalesce(x["o"]["recommendation"], given(x, ("WARNING", "ERROR"), x["advice"])).alias("recommendation"),
+            x["o"]["code_example"].alias("code_example"),
             given(x, ("UNAVAILABLE",), x["o"]["message"]).alias("unavailable_reason"),
             x["guide"].alias("guide"),
         ),

@@ -1,7 +1,8 @@
 """The 26 checks, each an ordered cascade of conditions over the audit context.
 
 The context has the columns url (as asked for), final_url, facts, fetch, robots and sitemap. An
-outcome is a struct of status, severity, value, message, confidence and details (JSON or null).
+outcome is a struct of status, severity, value, message, confidence, details (JSON or null), and what
+to do about it: recommendation and a code example, by the finding (see advice.FINDINGS).
 """
 
 from __future__ import annotations
@@ -11,9 +12,10 @@ from pyspark.sql import functions as F
 
 from ..functions.text import SPACE, plural, trimmed, truncated, units
 from ..functions.urls import canonical_key, host_of, is_web, registrable_domain, scheme_of
+from .advice import FINDINGS
 from .registry import check
 
-OUTCOME = "struct<status:string,severity:string,value:string,message:string,confidence:string,details:string>"
+OUTCOME = "struct<status:string,severity:string,value:string,message:string,confidence:string,details:string,recommendation:string,code_example:string>"
 # Thresholds, and lists that the results depend on.
 TITLE_SHORT, TITLE_LONG, TITLE_VERY_LONG = 20, 65, 80
 DESCRIPTION_SHORT, DESCRIPTION_LONG, DESCRIPTION_VERY_LONG = 70, 160, 200
@@ -32,8 +34,17 @@ def _c(x) -> Column:
     return x if isinstance(x, Column) else F.lit(x)
 
 
-def outcome(status, value, message, severity=None, confidence=None, details: dict | None = None) -> Column:
-    """severity: where not given, by status; details: name to Column."""
+def _example(text: str | None) -> Column:
+    """Markup with the page's address in it."""
+    if text is None or "{url}" not in text:
+        return F.lit(text).cast("string")
+    before, after = text.split("{url}")
+    return F.concat(F.lit(before), truncated(F.col("final_url"), 80), F.lit(after))
+
+
+def outcome(status, value, message, severity=None, confidence=None, details: dict | None = None, advice=None) -> Column:
+    """severity: where not given, by status; details: name to Column; advice: where not given, by message."""
+    said, example = FINDINGS.get(message, (None, None)) if isinstance(message, str) else (None, None)
     s = _c(status)
     by_status = F.when(s == "ERROR", "HIGH").when(s == "WARNING", "MEDIUM").otherwise("INFO")
     trust = F.when(s == "UNAVAILABLE", "unavailable").otherwise("measured")
@@ -45,6 +56,8 @@ def outcome(status, value, message, severity=None, confidence=None, details: dic
         _c(message).cast("string").alias("message"),
         (trust if confidence is None else _c(confidence)).alias("confidence"),
         told.cast("string").alias("details"),
+        _c(said if advice is None else advice).cast("string").alias("recommendation"),
+        _example(example).alias("code_example"),
     )
 
 
@@ -75,10 +88,10 @@ def http_status() -> Column:
     said = F.concat(F.lit("The page answered with HTTP "), text, F.lit("."))
     return (
         F.when(code.between(200, 299), outcome("PASS", F.concat(text, F.lit(" OK")), said, details=d))
-        .when(code.between(300, 399), outcome("WARNING", text, said, "MEDIUM", details=d))
-        .when(code.isin(404, 410), outcome("ERROR", F.concat(text, F.lit(" Not Found")), said, "CRITICAL", details=d))
-        .when(code >= 500, outcome("ERROR", F.concat(text, F.lit(" Server Error")), said, "CRITICAL", details=d))
-        .otherwise(outcome("ERROR", text, said, "HIGH", details=d))
+        .when(code.between(300, 399), outcome("WARNING", text, said, "MEDIUM", details=d, advice="See where the address leads in the end and audit that one."))
+        .when(code.isin(404, 410), outcome("ERROR", F.concat(text, F.lit(" Not Found")), said, "CRITICAL", details=d, advice="Bring the page back, or redirect its address to the page that took its place."))
+        .when(code >= 500, outcome("ERROR", F.concat(text, F.lit(" Server Error")), said, "CRITICAL", details=d, advice="Look into the server's log: pages that fail for long drop out of results."))
+        .otherwise(outcome("ERROR", text, said, "HIGH", details=d, advice="Let readers and crawlers in without a login or special headers."))
     )
 
 
@@ -107,7 +120,7 @@ def redirects() -> Column:
         .when(upgrade, outcome("PASS", "1 redirect", "The only redirect is the one to HTTPS.", details=d))
         .when((n == 1) & temporary, outcome("PASS", "1 redirect", "One redirect, declared temporary.", details=d))
         .when(n == 1, outcome("PASS", "1 redirect", "One redirect.", details=d))
-        .otherwise(outcome("WARNING", many, F.concat(many, F.lit(" before the page answered.")), F.when(n >= 4, "MEDIUM").otherwise("LOW"), details=d))
+        .otherwise(outcome("WARNING", many, F.concat(many, F.lit(" before the page answered.")), F.when(n >= 4, "MEDIUM").otherwise("LOW"), details=d, advice="Let the first address lead straight to the last one."))
     )
 
 
@@ -148,7 +161,7 @@ def canonical() -> Column:
         .when(goal.isNull() | (said.contains("://") & ~absolute), outcome("ERROR", "Invalid URL", "The canonical address is no valid URL.", "HIGH", details={"declared": said}))
         .when(own & absolute, outcome("PASS", truncated(goal, 60), "The canonical address is the page's own.", details=d))
         .when(own, outcome("WARNING", "Relative URL", "The canonical address is relative.", "LOW", details=d))
-        .otherwise(outcome("WARNING", "Points elsewhere", "The canonical address is another page.", F.when(cross, "HIGH").otherwise("MEDIUM"), details=d | {"crossSite": cross}))
+        .otherwise(outcome("WARNING", "Points elsewhere", "The canonical address is another page.", F.when(cross, "HIGH").otherwise("MEDIUM"), details=d | {"crossSite": cross}, advice=F.when(cross, "Make sure that another site's page is meant to stand for this one; if not, name this page's own address.").otherwise("Fine if this page is a variant of that one; if not, name this page's own address.")))
     )
 
 
@@ -157,14 +170,15 @@ def robots_txt() -> Column:
     r = lambda name: F.col(f"robots.{name}")
     blocked = F.coalesce(r("matched_rule").startswith("Disallow:"), F.lit(False))
     d = {"url": r("url"), "matchedRule": r("matched_rule"), "sitemaps": r("sitemaps")}
-    unknown = outcome("UNAVAILABLE", "Unable to determine", "Whether robots.txt covers the page cannot be told.", details={"url": r("url"), "status": r("status")})
+    unknown = lambda advice: outcome("UNAVAILABLE", "Unable to determine", "Whether robots.txt covers the page cannot be told.", details={"url": r("url"), "status": r("status")}, advice=advice)
+    unnamed = F.when(F.coalesce(F.size(r("sitemaps")), F.lit(0)) <= 0, "Name the sitemap in robots.txt, so that crawlers need not guess where it is.")
     return (
-        F.when(~F.coalesce(r("retrieved"), F.lit(False)), unknown)
+        F.when(~F.coalesce(r("retrieved"), F.lit(False)), unknown("This need not be wrong: open the file in a browser to see whether it can be reached."))
         .when(r("status").isin(404, 410), outcome("PASS", "Not present", "There is no robots.txt.", details={"url": r("url"), "status": r("status")}))
         .when(r("path_verdict") == "disallowed", outcome("ERROR", "Path disallowed", "robots.txt seems to block the page.", "CRITICAL", "inferred", d))
         .when((r("path_verdict") == "unknown") & blocked, outcome("WARNING", "Potentially blocked", "A pattern of robots.txt may cover the page.", "MEDIUM", "inferred", d))
-        .when(r("path_verdict") == "unknown", unknown)
-        .otherwise(outcome("PASS", "Path allowed", "robots.txt does not block the page.", None, "inferred", d))
+        .when(r("path_verdict") == "unknown", unknown("Test the address against the file with a search engine's own tool."))
+        .otherwise(outcome("PASS", "Path allowed", "robots.txt does not block the page.", None, "inferred", d, advice=unnamed))
     )
 
 
@@ -315,7 +329,8 @@ def image_alt() -> Column:
 def word_count() -> Column:
     n, d = fact("word_count"), {"wordCount": fact("word_count"), "paragraphCount": fact("paragraph_count")}
     said = F.concat(F.lit("The page has "), plural(n, "word"), F.lit(" of text."))
-    return F.when(n < VERY_THIN, outcome("WARNING", plural(n, "word"), said, "MEDIUM", details=d)).when(n < THIN, outcome("WARNING", plural(n, "word"), said, "LOW", details=d)).otherwise(outcome("PASS", plural(n, "word"), said, details=d))
+    very = "Say what a visitor came for; if there is no more to say, this need not be a page of its own."
+    return F.when(n < VERY_THIN, outcome("WARNING", plural(n, "word"), said, "MEDIUM", details=d, advice=very)).when(n < THIN, outcome("WARNING", plural(n, "word"), said, "LOW", details=d, advice="Say more about the subject, if there is more to say.")).otherwise(outcome("PASS", plural(n, "word"), said, details=d))
 
 
 @check("content-structure", "Content structure", "content", 5)
@@ -376,7 +391,9 @@ def external_links() -> Column:
     out = _links("external")
     n, hosts = F.size(out), F.array_distinct(F.transform(out, lambda x: x["host"]))
     d = {"total": n, "uniqueHosts": F.size(hosts), "samples": F.slice(hosts, 1, 10)} | {t: _rel(out, t) for t in ("nofollow", "sponsored", "ugc")}
-    return F.when(n == 0, outcome("INFO", "0 external links", "The page links to no other site.", details={"total": n})).otherwise(outcome("PASS", plural(n, "external link"), F.concat(F.lit("Links lead to "), plural(F.size(hosts), "other website"), F.lit(".")), details=d))
+    marked = F.exists(out, lambda x: F.arrays_overlap(x["rel"], F.array(*map(F.lit, ("nofollow", "sponsored", "ugc")))))
+    unmarked = F.when(~marked, "Fine for ordinary references; mark links that are paid for or come from users.")
+    return F.when(n == 0, outcome("INFO", "0 external links", "The page links to no other site.", details={"total": n})).otherwise(outcome("PASS", plural(n, "external link"), F.concat(F.lit("Links lead to "), plural(F.size(hosts), "other website"), F.lit(".")), details=d, advice=unmarked))
 
 
 @check("link-quality", "Link quality", "links", 4)
@@ -420,7 +437,7 @@ def json_ld() -> Column:
         .when(bad == n, outcome("ERROR", wrong, "No JSON-LD block is valid JSON.", "HIGH", details=d))
         .when(bad > 0, outcome("WARNING", wrong, "JSON-LD blocks are not valid JSON.", "MEDIUM", details=d))
         .when(k == 0, outcome("WARNING", "No @type", "JSON-LD declares no type.", "LOW", details=d))
-        .otherwise(outcome("PASS", value, "JSON-LD is valid.", details=d))
+        .otherwise(outcome("PASS", value, "JSON-LD is valid.", details=d, advice=F.when(F.size(d["notable"]) == 0, "None of these types makes results richer, which need not matter for this page.")))
     )
 
 
@@ -428,7 +445,7 @@ def json_ld() -> Column:
 def microdata() -> Column:
     n = F.size(fact("microdata_types")) + F.size(fact("rdfa_types"))
     d = {"microdata": fact("microdata_types"), "rdfa": fact("rdfa_types")}
-    return F.when(n == 0, outcome("INFO", "None found", "There is no microdata or RDFa.", details=d)).otherwise(outcome("PASS", F.concat(plural(n, "type"), F.lit(" found")), "Microdata or RDFa is present.", details=d))
+    return F.when(n == 0, outcome("INFO", "None found", "There is no microdata or RDFa.", details=d)).otherwise(outcome("PASS", F.concat(plural(n, "type"), F.lit(" found")), "Microdata or RDFa is present.", details=d, advice=F.when(F.size(fact("json_ld")) > 0, "There is JSON-LD too: see that both say the same.")))
 
 
 # social
@@ -443,8 +460,8 @@ def open_graph() -> Column:
     d = {"present": _keys(og), "missing": F.concat(need, nice)}
     return (
         F.when(n == 0, outcome("WARNING", "Missing", "There is no Open Graph metadata.", "MEDIUM", details=d))
-        .when(F.size(need) > 0, outcome("WARNING", F.concat(F.lit("Partial ("), n.cast("string"), F.lit(" tags)")), F.concat(F.lit("Open Graph lacks "), F.array_join(need, ", "), F.lit(".")), F.when(F.array_contains(need, "og:image"), "MEDIUM").otherwise("LOW"), details=d))
-        .otherwise(outcome("PASS", "Complete", "Open Graph metadata is complete.", details=d))
+        .when(F.size(need) > 0, outcome("WARNING", F.concat(F.lit("Partial ("), n.cast("string"), F.lit(" tags)")), F.concat(F.lit("Open Graph lacks "), F.array_join(need, ", "), F.lit(".")), F.when(F.array_contains(need, "og:image"), "MEDIUM").otherwise("LOW"), details=d, advice=F.concat(F.lit("Add "), F.array_join(need, ", "), F.lit("."))))
+        .otherwise(outcome("PASS", "Complete", "Open Graph metadata is complete.", details=d, advice=F.when(F.size(nice) > 0, "og:url and og:type are optional: the address to share, and what kind of page it is.")))
     )
 
 

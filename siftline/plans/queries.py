@@ -13,10 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.html import with_facts
-from ..functions.ip import classified, classify_ipv4, in_networks, join_ranges, quad_of
-from ..functions.urls import canonical_key, display_url, guard, host_of, registrable_domain, same_site
-from ..functions import sql as functions
-from ..operators import advice, analytics, dns, psi, ratelimit, report, responses, robots, rollups, scoring, search, sitemap
+from ..functions.ip import classified, in_networks, quad_of
+from ..functions.urls import canonical_key, display_url, guard, host_of, registrable_domain
+from ..operators import advice, analytics, psi, ratelimit, report, responses, robots, rollups, scoring, search, sitemap
 from ..operators import registry as reg
 from ..operators.audit import Audit, audit, metadata, origin
 from ..sources import store
@@ -24,26 +23,24 @@ from ..sources.scratch import Scratch
 from ..streaming import limits
 
 #: Searches, one too short for the index.
-NEEDLES = ("Missing", "text", "declared", "160 char", "te", "no such words")
+NEEDLES = ("Missing", "text", "declared", "a sentence", "te", "no such words")
 #: What results of these pages say: key, status, message (# is the value's number, @ the language), recommendation.
 SAID = (
-    ("canonical", "WARNING", "No canonical address is declared.", "Add one canonical link with the full address of the original."),
+    ("canonical", "WARNING", "No canonical address is declared.", "Name the address by which this page should be known in one canonical link."),
     ("charset", "PASS", "The encoding is UTF-8.", None), ("content-rendering", "PASS", "The text is in the markup.", None), ("content-structure", "PASS", "The text is structured.", None),
-    ("content-structure", "UNAVAILABLE", "There is too little text to judge its structure.", None), ("content-structure", "WARNING", "A long text has no subheadings.", "Break long text up with subheadings and paragraphs."),
-    ("external-links", "INFO", "The page links to no other site.", None), ("favicon", "WARNING", "No icon is declared.", "Link an icon in the head."), ("h1", "PASS", "There is one H1.", None),
+    ("content-structure", "UNAVAILABLE", "There is too little text to judge its structure.", None), ("content-structure", "WARNING", "A long text has no subheadings.", "Break the text up with subheadings."),
+    ("external-links", "INFO", "The page links to no other site.", None), ("favicon", "WARNING", "No icon is declared.", "Link an icon in the head, if there isn't one at the usual place."), ("h1", "PASS", "There is one H1.", None),
     ("heading-structure", "PASS", "The headings are in order.", None), ("http-status", "PASS", "The page answered with HTTP 200.", None), ("https", "ERROR", "The page is served without encryption.", "Serve the page over HTTPS and redirect the plain address to it."),
-    ("https", "PASS", "The page is served over HTTPS.", None), ("image-alt", "INFO", "There are no images.", None), ("internal-links", "PASS", "The page links to others of its site.", None), ("json-ld", "INFO", "There is no JSON-LD.", None),
-    ("language", "PASS", "The language is @.", None), ("link-quality", "PASS", "Links have destinations and texts.", None), ("meta-description", "WARNING", "There is no meta description.", "Write one description of 70 to 160 characters for this page."),
-    ("microdata", "INFO", "There is no microdata or RDFa.", None), ("open-graph", "WARNING", "There is no Open Graph metadata.", "Add the title, description and image of the preview."), ("redirects", "PASS", "The address answered directly.", None),
-    ("robots-meta", "PASS", "No directives restrict indexing.", None), ("robots-txt", "PASS", "robots.txt does not block the page.", None), ("sitemap", "PASS", "The sitemap lists the page.", None), ("title", "PASS", "The title has a good length.", None),
-    ("title", "WARNING", "The title is short.", "Write one title of 20 to 65 characters that says what this page offers."), ("twitter-card", "WARNING", "There is no card and nothing in its place.", "Name a valid card type."),
-    ("viewport", "WARNING", "No viewport is declared.", "Add a viewport meta tag with width=device-width and leave zooming on."), ("word-count", "PASS", "The page has # words of text.", None), ("word-count", "WARNING", "The page has # words of text.", "Say more about the subject, if there is more to say."),
+    ("https", "PASS", "The page is served over HTTPS.", None), ("image-alt", "INFO", "There are no images.", None), ("internal-links", "PASS", "The page links to others of its site.", None), ("json-ld", "INFO", "There is no JSON-LD.", "It is optional, and most use for articles, products, events and the like."),
+    ("language", "PASS", "The language is @.", None), ("link-quality", "PASS", "Links have destinations and texts.", None), ("meta-description", "WARNING", "There is no meta description.", "Sum the page up in a sentence or two."),
+    ("microdata", "INFO", "There is no microdata or RDFa.", None), ("open-graph", "WARNING", "There is no Open Graph metadata.", "Add at least title, description and image of the preview."), ("redirects", "PASS", "The address answered directly.", None),
+    ("robots-meta", "PASS", "No directives restrict indexing.", None), ("robots-txt", "PASS", "robots.txt does not block the page.", "Name the sitemap in robots.txt, so that crawlers need not guess where it is."), ("sitemap", "PASS", "The sitemap lists the page.", None), ("title", "PASS", "The title has a good length.", None),
+    ("title", "WARNING", "The title is short.", "Say more in the title: what the page offers, and whose it is."), ("twitter-card", "WARNING", "There is no card and nothing in its place.", "Name a card type, or add Open Graph tags."),
+    ("viewport", "WARNING", "No viewport is declared.", "Add a viewport meta tag, or phones show the page scaled down."), ("word-count", "PASS", "The page has # words of text.", None), ("word-count", "WARNING", "The page has # words of text.", "Say more about the subject, if there is more to say."),
+    # below 100 words
+    ("word-count", "thin", "The page has # words of text.", "Say what a visitor came for; if there is no more to say, this need not be a page of its own."),
 )
-ADDRESSES = ("8.8.8.8", "10.1.2.3", "127.0.0.1", "100.64.0.1", "169.254.169.254", "172.31.255.255", "172.32.0.1", "192.0.2.9", "198.19.0.1", "203.0.113.7", "224.0.0.1", "255.255.255.255", "1.1.1.1", "01.2.3.4", "256.1.1.1", "nonsense")
-ADDRESSES6 = ("::", "::1", "::ffff:10.0.0.1", "::ffff:8.8.8.8", "64:ff9b::8.8.8.8", "64:ff9b:1::1", "2002:0a00:0001::", "2001:db8::1", "2001::1", "fc00::1", "fe80::1", "ff02::1", "2606:4700::1111", "::8.8.8.8", "1::2::3", "100::1")
 ROBOTS = "User-agent: *\nDisallow: /en/1\nDisallow: /*.html$\nAllow: /en/12\nDisallow: /es\n\nUser-agent: other\nDisallow: /"
-URLS_TYPED = ("example.com/page", "https://example.com", "http://localhost/", "ftp://example.org/", "https://user@example.org/", "https://example.com:8080/", "http://192.168.1.1/", "http://8.8.8.8/x", "", "a b", "javascript:alert(1)", "https://printer.local/", "https://single/", "http://example.org:80/a#b", "https://metadata.google.internal/")
-PSI = '{"lighthouseResult":{"finalUrl":"https://example.com/","categories":{"performance":{"score":0.876}},"audits":{"largest-contentful-paint":{"displayValue":"2.1 s","numericValue":2100.5,"score":0.91},"speed-index":{"displayValue":"4.0 s","numericValue":4000,"score":0.5},"cumulative-layout-shift":{"displayValue":"0.3","numericValue":0.3,"score":0.2},"unused-css":{"title":"Unused CSS","description":"See [docs](https://example.com).","score":0.3,"details":{"type":"opportunity","overallSavingsMs":320}},"render-blocking":{"title":"Render blocking","description":"Slow.","score":0.4,"details":{"type":"opportunity","overallSavingsMs":900}},"tiny":{"title":"Tiny","description":"-","score":0.9,"details":{"type":"opportunity","overallSavingsMs":20}},"table":{"title":"Table","description":"-","score":1,"details":{"type":"table","overallSavingsMs":999}}}},"loadingExperience":{"overall_category":"FAST","metrics":{"CUMULATIVE_LAYOUT_SHIFT_SCORE":{"percentile":5,"category":"FAST"},"LARGEST_CONTENTFUL_PAINT_MS":{"percentile":1900,"category":"FAST"},"INTERACTION_TO_NEXT_PAINT":{"percentile":350,"category":"AVERAGE"}}}}'
 LIMIT, WINDOW_MS = 5, 3_600_000
 #: When audits are stored, and when they are looked at.
 FIRST, LATER = "2026-01-01 10:00:00", "2026-02-10 10:00:00"
@@ -57,10 +54,6 @@ def _audit(spark: SparkSession, sf: str) -> Audit:
     return audit(pages(spark, sf))
 
 
-def _rows(spark: SparkSession, name: str, values) -> DataFrame:
-    return spark.createDataFrame([(i, v) for i, v in enumerate(values)], f"id long, {name} string")
-
-
 def page_titles(spark: SparkSession, sf: str) -> DataFrame:
     return _audit(spark, sf).results.filter("check_key = 'title'").select("page_id", "status", "severity", "value")
 
@@ -87,10 +80,6 @@ def guarded_pages(spark: SparkSession, sf: str) -> DataFrame:
     return pages(spark, sf).select("page_id", guard(F.col("url")).alias("g")).select("page_id", "g.ok", "g.code", "g.href")
 
 
-def guarded_inputs(spark: SparkSession, sf: str) -> DataFrame:
-    return _rows(spark, "typed", URLS_TYPED).select("id", guard(F.col("typed")).alias("g")).select("id", "g.ok", "g.code", "g.href")
-
-
 def check_results(spark: SparkSession, sf: str) -> DataFrame:
     return _audit(spark, sf).results.select("page_id", "check_key", "category", "status", "severity", "value", "confidence")
 
@@ -107,10 +96,6 @@ def page_metadata(spark: SparkSession, sf: str) -> DataFrame:
     return metadata(_audit(spark, sf)).select("page_id", "title", "html_lang", "h1_count", "internal_links", "external_links", "images", "is_noindex")
 
 
-def check_max_points(spark: SparkSession, sf: str) -> DataFrame:
-    return analytics.max_points(reg.check_dim(spark), reg.category_dim(spark))
-
-
 def priority_issues(spark: SparkSession, sf: str) -> DataFrame:
     return scoring.priority_issues(_audit(spark, sf).results).select("page_id", "rank", "check_key", "severity")
 
@@ -145,10 +130,6 @@ def checks_by_category(spark: SparkSession, sf: str) -> DataFrame:
     return analytics.by_category(_audit(spark, sf).results)
 
 
-def scoring_rules(spark: SparkSession, sf: str) -> DataFrame:
-    return reg.scoring_explanation(spark)
-
-
 def robots_verdicts(spark: SparkSession, sf: str) -> DataFrame:
     p = pages(spark, sf).select("page_id", "url")
     docs = p.select(origin(F.col("url")).alias("origin")).distinct().select("origin", F.lit(True).alias("retrieved"), F.concat("origin", F.lit("/robots.txt")).alias("url"), F.lit(200).alias("status"), F.lit(None).cast("string").alias("error"), F.lit(ROBOTS).alias("body"))
@@ -165,27 +146,6 @@ def sitemap_membership(spark: SparkSession, sf: str) -> DataFrame:
     return sitemap.membership(p, maps).select("page_id", "contains_audited_url", "url_count", "discovered_via")
 
 
-def ip_ranges(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _rows(spark, "address", ADDRESSES)
-    return join_ranges(rows, "address").select("id", "address", "reason", classify_ipv4(F.col("address")).alias("reason_by_column"))
-
-
-def ip_classes(spark: SparkSession, sf: str) -> DataFrame:
-    return _rows(spark, "address", ADDRESSES + ADDRESSES6).select("id", "address", classified(F.col("address")).alias("c")).select("id", "address", "c.allowed", F.col("c.reason").isNull().alias("without_reason"))
-
-
-def _psi(spark: SparkSession) -> DataFrame:
-    return psi.read(spark.createDataFrame([(1, PSI), (2, "no json")], "page_id long, payload string"))
-
-
-def psi_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    return psi.metrics(_psi(spark)).select("page_id", "source", "metric", "value", "rating")
-
-
-def psi_opportunities(spark: SparkSession, sf: str) -> DataFrame:
-    return psi.opportunities(_psi(spark)).select("page_id", "rank", "audit", "savings_ms", "description")
-
-
 def rate_limits(spark: SparkSession, sf: str) -> DataFrame:
     e = spark.read.parquet(f"{sf}/events.parquet")
     got = ratelimit.limited(e.select(F.col("user_id").cast("string").alias("client_key"), F.col("event_id").alias("request_id"), "ts"), LIMIT, WINDOW_MS)
@@ -236,6 +196,43 @@ def address_networks(spark: SparkSession, sf: str) -> DataFrame:
     return in_networks(_addresses(spark, sf), "address", four.unionByName(six)).select("event_id", "address", "network", "s_suppkey")
 
 
+def _speed(spark: SparkSession, sf: str) -> DataFrame:
+    """A PageSpeed payload for each page, with numbers from its id and the size of its HTML; every 11th is no JSON."""
+    n, size = F.col("page_id"), F.octet_length("html")
+    lab = lambda value, score: F.struct(value.cast("double").alias("numericValue"), (score / F.lit(100.0)).alias("score"))
+    saving = lambda kind, ms: F.struct(F.lit("See [docs](https://example.com/x) first.").alias("description"), F.struct(F.lit(kind).alias("type"), ms.cast("double").alias("overallSavingsMs")).alias("details"))
+    audits = F.struct(
+        lab(size, n % 101).alias("largest-contentful-paint"), lab((n % 60).cast("double") / 100, n % 97).alias("cumulative-layout-shift"),
+        *[saving("opportunity", (n * k * 37) % 1000).alias(f"save-{k}") for k in range(1, 9)], saving("table", F.lit(9999)).alias("a-table"),
+    )
+    metric = lambda v: F.struct(v.cast("double").alias("percentile"), F.element_at(F.array(*map(F.lit, ("FAST", "AVERAGE", "SLOW", "NONE"))), (n % 4 + 1).cast("int")).alias("category"))
+    field = F.struct(F.struct(metric(n % 70).alias("CUMULATIVE_LAYOUT_SHIFT_SCORE"), metric(n * 13 % 7000).alias("LARGEST_CONTENTFUL_PAINT_MS")).alias("metrics"))
+    payload = F.to_json(F.struct(F.struct(audits.alias("audits")).alias("lighthouseResult"), field.alias("loadingExperience")))
+    return psi.read(pages(spark, sf).select("page_id", F.when(n % 11 == 0, "no json").otherwise(payload).alias("payload")))
+
+
+def speed_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    told = psi.with_thresholds(psi.metrics(_speed(spark, sf)))
+    return told.select("page_id", "source", "metric", "value", "rating", "good", "fair", "place")
+
+
+def speed_opportunities(spark: SparkSession, sf: str) -> DataFrame:
+    return psi.bars(psi.opportunities(_speed(spark, sf))).select("page_id", "rank", "audit", "savings_ms", "description", "width")
+
+
+def fetch_gates(spark: SparkSession, sf: str) -> DataFrame:
+    """Fetches of the pages, some of which failed, by their ids: what can be audited, and why the rest can't."""
+    n, html = F.col("page_id"), F.col("html")
+    pick = lambda *x: F.element_at(F.array(*map(F.lit, x)), (n % len(x) + 1).cast("int"))
+    fetches = pages(spark, sf).select(
+        "page_id", "url", pick(200, 404, 200, 500, 301, None, 200).alias("status"), F.when(n % 5 == 0, "plain words").when(n % 5 == 1, " ").otherwise(html).alias("body"),
+        pick("text/html; charset=utf-8", "image/png", None, "application/xhtml+xml").alias("content_type"), pick(None, None, None, None, None, "AbortError", None, None, None, "TypeError").alias("error_name"), pick(None, None, None, None, "ENOTFOUND", None).alias("error_system"),
+    )
+    lost = responses.failures(fetches).select("page_id", "error_code", "http_status")
+    none = F.lit(None)
+    return responses.auditable(fetches).select("page_id", none.cast("string").alias("error_code"), none.cast("int").alias("http_status")).unionByName(lost)
+
+
 def event_windows(spark: SparkSession, sf: str) -> DataFrame:
     return limits.windowed_events(spark.read.parquet(f"{sf}/events.parquet")).select(F.unix_millis(F.col("window_start").cast("timestamp")).alias("start_ms"), "event_type", "n_events")
 
@@ -252,12 +249,6 @@ def stage_events(spark: SparkSession, sf: str) -> DataFrame:
     return limits.stage_events(pages(spark, sf)).select("page_id", F.col("ordinal").cast("long").alias("ordinal"), "type", "stage")
 
 
-def heading_skips(spark: SparkSession, sf: str) -> DataFrame:
-    docs = [(1, "<h1>a</h1><h3>b</h3><h2>c</h2><h4>d</h4>"), (2, "<h1>a</h1><h2>b</h2>"), (3, ""), (4, "<h2></h2><h6>x</h6>")]
-    df = spark.createDataFrame([(i, "https://example.com/", h) for i, h in docs], "page_id long, url string, html string")
-    return audit(df).results.filter("check_key = 'heading-structure'").select("page_id", "status", "severity", "value")
-
-
 def full_reports(spark: SparkSession, sf: str) -> DataFrame:
     a = _audit(spark, sf)
     report = a.wide.select("page_id", F.to_json(F.struct("url", "total", "band", "category_scores", "results")).alias("report"))
@@ -269,126 +260,6 @@ def text_excerpts(spark: SparkSession, sf: str) -> DataFrame:
     return with_facts(pages(spark, sf)).select("page_id", "facts.excerpt")
 
 
-def weights_report(spark: SparkSession, sf: str) -> DataFrame:
-    """Category weights beside the checks' shares of them."""
-    return reg.check_dim(spark).groupBy("category").agg(F.sum("weight").cast("long").alias("sum_weight"), F.count(F.lit(1)).alias("n_checks")).join(F.broadcast(reg.category_dim(spark)), "category").select("category", "category_weight", "sum_weight", "n_checks", "label")
-
-
-DNS = (("8.8.8.8", None), ("10.0.0.1", None), ("a.example", ["1.1.1.1", "2606:4700::1111"]), ("b.example", ["1.1.1.1", "192.168.0.5"]), ("c.example", []), ("d.example", None), ("[::1]", None), ("e.example", ["::ffff:127.0.0.1"]))
-TYPED = ("example.com", " https://a.b/c ", "localhost", "a b.c", "", "ftp://x.y", "http://x.y:80?q", "mailto:a@b.c", "x.y/z#f")
-SCORED = (("all pass", "PASS", "INFO", "PASS", "INFO"), ("technical left out", "UNAVAILABLE", "INFO", "PASS", "INFO"), ("all critical", "ERROR", "CRITICAL", "ERROR", "CRITICAL"), ("nothing measured", "UNAVAILABLE", "INFO", "UNAVAILABLE", "INFO"), ("one medium", "WARNING", "MEDIUM", "PASS", "INFO"))
-EVENTS = 'event: x\ndata: {"type":"start"}\n\ndata: {"type":"stage","stage":"fetching"}\n\n: ping\n\ndata: {"type":"stage","sta'
-#: key, status, severity, and a page (head, body) that ends there.
-BRANCHES = (
-    ("title", "ERROR", "CRITICAL", "<title></title>", ""),
-    ("title", "WARNING", "MEDIUM", "<title>Short</title>", ""),
-    ("title", "WARNING", "LOW", "<title>" + "t" * 70 + "</title>", ""),
-    ("meta-description", "WARNING", "MEDIUM", "<title>x</title>", ""),
-    ("language", "PASS", "INFO", "", ""),
-    ("viewport", "PASS", "INFO", '<meta name="viewport" content="width=device-width, initial-scale=1">', ""),
-    ("charset", "PASS", "INFO", '<meta charset="utf-8">', ""),
-    ("image-alt", "INFO", "INFO", "", "<p>none</p>"),
-    ("json-ld", "PASS", "INFO", '<script type="application/ld+json">{"@type":"Article"}</script>', ""),
-    ("robots-meta", "ERROR", "CRITICAL", '<meta name="robots" content="noindex">', ""),
-    ("canonical", "PASS", "INFO", '<link rel="canonical" href="https://example.com/page">', ""),
-    ("twitter-card", "PASS", "INFO", '<meta name="twitter:card" content="summary">', ""),
-    ("title", "PASS", "INFO", "<title>An example page about roll forming</title>", ""),
-    ("title", "WARNING", "MEDIUM", "<title>One</title><title>Two</title>", ""),
-    ("title", "WARNING", "MEDIUM", "<title>" + "A very descriptive title " * 5 + "</title>", ""),
-    ("meta-description", "PASS", "INFO", '<meta name="description" content="' + "A page that says what roll forming is and where it is used. " * 2 + '">', ""),
-    ("h1", "PASS", "INFO", "", "<h1>One</h1>"),
-    ("h1", "WARNING", "HIGH", "", "<p>No heading</p>"),
-    ("h1", "WARNING", "LOW", "", "<h1>One</h1><h1>Two</h1>"),
-    ("heading-structure", "WARNING", "LOW", "", "<h1>One</h1><h2></h2>"),
-    ("heading-structure", "WARNING", "LOW", "", "<h1>One</h1><h2>Two</h2><h4>Four</h4>"),
-    ("heading-structure", "PASS", "INFO", "", "<h1>One</h1><h2>Two</h2><h3>Three</h3><h2>Two again</h2>"),
-    ("image-alt", "PASS", "INFO", "", '<img src="/divider.png" alt="">'),
-    ("image-alt", "WARNING", "MEDIUM", "", '<a href="/x"><img src="/a.png"></a>'),
-    ("canonical", "WARNING", "MEDIUM", "", ""),
-    ("canonical", "ERROR", "HIGH", '<link rel="canonical" href="https://example.com/a"><link rel="canonical" href="https://example.com/b">', ""),
-    ("canonical", "ERROR", "HIGH", '<link rel="canonical" href="ht!tp://%%%">', ""),
-    ("canonical", "WARNING", "MEDIUM", '<link rel="canonical" href="https://example.com/elsewhere">', ""),
-    ("canonical", "WARNING", "HIGH", '<link rel="canonical" href="https://someone-else.com/page">', ""),
-    ("canonical", "WARNING", "LOW", '<link rel="canonical" href="/page">', ""),
-    ("robots-meta", "PASS", "INFO", "", ""),
-    ("robots-meta", "ERROR", "CRITICAL", '<meta name="robots" content="none">', ""),
-    ("robots-meta", "INFO", "INFO", '<meta name="robots" content="max-snippet:-1, noarchive">', ""),
-    ("viewport", "WARNING", "HIGH", "", ""),
-    ("charset", "INFO", "INFO", '<meta charset="iso-8859-1">', ""),
-    ("word-count", "PASS", "INFO", "", "<p>" + "word " * 500 + "</p>"),
-    ("word-count", "WARNING", "MEDIUM", "", "<p>Hi</p>"),
-    ("content-rendering", "WARNING", "MEDIUM", "", '<div id="root"></div>' + "<div class='x'></div>" * 1200),
-    ("json-ld", "INFO", "INFO", "", ""),
-    ("json-ld", "ERROR", "HIGH", '<script type="application/ld+json">{bad json}</script>', ""),
-    ("open-graph", "WARNING", "MEDIUM", "", ""),
-    ("open-graph", "PASS", "INFO", '<meta property="og:title" content="T"><meta property="og:description" content="D"><meta property="og:image" content="https://example.com/i.jpg">', ""),
-    ("twitter-card", "INFO", "INFO", '<meta property="og:title" content="T">', ""),
-)
-WELL = {"status": 200, "asked": "https://example.com/page", "end": "https://example.com/page", "hops": 0, "retrieved": True, "robots": 200, "verdict": "allowed", "rule": None, "map": True, "kind": "urlset", "listed": "yes"}
-#: key, status, severity, value, and what differs from a page where all is well.
-FETCHED = (
-    ("http-status", "PASS", "INFO", "200 OK", {}),
-    ("http-status", "ERROR", "CRITICAL", "404 Not Found", {"status": 404}),
-    ("https", "ERROR", "CRITICAL", "HTTP only", {"asked": "http://example.com/page", "end": "http://example.com/page"}),
-    ("https", "PASS", "INFO", "HTTPS (redirected)", {"asked": "http://example.com/page"}),
-    ("redirects", "PASS", "INFO", "1 redirect", {"asked": "http://example.com/page", "hops": 1}),
-    ("redirects", "WARNING", "LOW", "3 redirects", {"hops": 3}),
-    ("robots-txt", "UNAVAILABLE", "INFO", "Unable to determine", {"retrieved": False, "verdict": "unknown"}),
-    ("robots-txt", "PASS", "INFO", "Not present", {"robots": 404}),
-    ("robots-txt", "WARNING", "MEDIUM", "Potentially blocked", {"verdict": "unknown", "rule": "Disallow: /*?"}),
-    ("robots-txt", "ERROR", "CRITICAL", "Path disallowed", {"verdict": "disallowed", "rule": "Disallow: /page"}),
-    ("sitemap", "WARNING", "LOW", "Not found", {"map": False}),
-    ("sitemap", "PASS", "INFO", "Index, 4 sitemaps", {"kind": "sitemapindex", "listed": "unknown"}),
-    ("sitemap", "WARNING", "LOW", "Page not listed", {"listed": "no"}),
-)
-#: name, system code, and what they become.
-THROWN = (("BlockedAddressError", None, "BLOCKED_URL", 400), ("Error", "ERR_BLOCKED_ADDRESS", "BLOCKED_URL", 400), ("AbortError", None, "TIMEOUT", 504), ("Error", "UND_ERR_BODY_TIMEOUT", "TIMEOUT", 504), ("Error", "ENOTFOUND", "DNS_FAILURE", 502), ("TypeError", "EAI_AGAIN", "DNS_FAILURE", 502), ("Error", "ECONNREFUSED", "CONNECTION_FAILED", 502), (None, "ERR_TLS_CERT", "CONNECTION_FAILED", 502), ("TypeError", None, "CONNECTION_FAILED", 502))
-#: status, body, content type, exception's name and code, and why the page can't be audited.
-ANSWERS = (
-    (200, "<html>x</html>", "text/html; charset=utf-8", None, None, None), (404, "<html>gone</html>", None, None, None, None), (404, "gone", "text/html", None, None, "HTTP_ERROR"),
-    (200, "  ", "text/html", None, None, "UNSUPPORTED_CONTENT_TYPE"), (200, "x", "image/png", None, None, "UNSUPPORTED_CONTENT_TYPE"), (None, None, None, "AbortError", None, "TIMEOUT"), (None, None, None, None, "ENOTFOUND", "DNS_FAILURE"),
-)
-#: status, body, ok, error, whether the text is kept.
-TEXTS = ((200, "User-agent: *", True, None, True), (404, "nothing", False, "HTTP_ERROR", False), (404, "<html>nothing</html>", False, None, True), (301, "moved", False, None, True), (200, "", False, "UNSUPPORTED_CONTENT_TYPE", False), (200, "x" * (1024 * 1024 + 1), False, "RESPONSE_TOO_LARGE", False))
-LOGGED = (
-    ('{"Token":"x","user":{"password":1,"name":"é"}}', '{"Token":"[redacted]","user":{"password":"[redacted]","name":"é"}}'),
-    ('{"a":{"b":{"c":{"d":{"e":1}}}}}', '{"a":{"b":{"c":{"d":{"e":"[truncated]"}}}}}'),
-    ('{"n":[' + ",".join(["1"] * 25) + "]}", '{"n":[' + ",".join(["1"] * 20) + "]}"),
-    ("no json", None), (None, None), ("{}", "{}"),
-)
-SITES = (("https://a.example.com/", "https://example.com/x", True, False), ("https://example.com/a", "https://example.com/b", True, True), ("https://example.com/", "http://example.com/", True, False), ("https://example.com/", "https://example.org/", False, False), ("https://a.co.uk/", "https://b.co.uk/", False, False))
-BASE = "https://site.example"
-
-
-def host_verdicts(spark: SparkSession, sf: str) -> DataFrame:
-    df = spark.createDataFrame([(i, h, a) for i, (h, a) in enumerate(DNS)], "id long, host string, answers array<string>")
-    return df.select("id", "host", dns.host_verdict(F.col("host"), F.col("answers")).alias("v"), dns.connectable(F.col("answers")).alias("c")).select("id", "host", "v.ok", "v.code", F.array_join("c", ",").alias("connectable"))
-
-
-def sql_functions(spark: SparkSession, sf: str) -> DataFrame:
-    functions.register(spark)
-    _rows(spark, "typed", TYPED).createOrReplaceTempView("typed_urls")
-    return spark.sql("SELECT id, looks_like_url(typed) AS ok, strip_www(typed) AS bare, earned_fraction('WARNING', 'HIGH') AS earned, band_for(CAST(id * 13 AS INT)) AS band FROM typed_urls")
-
-
-def robots_rows(spark: SparkSession, sf: str) -> DataFrame:
-    functions.register(spark)
-    return spark.sql("SELECT * FROM robots_rules('" + ROBOTS.replace("\n", "\\n") + "')")
-
-
-def score_cases(spark: SparkSession, sf: str) -> DataFrame:
-    """One check for each category; the first is of the technical one."""
-    kind = "array<struct<key:string,category:string,weight:int,status:string,severity:string>>"
-    rows = [(n, [(k, k, 5, a, b) if k == "technical" else (k, k, 5, c, d) for k, *_ in reg.CATEGORIES]) for n, a, b, c, d in SCORED]
-    done = scoring.with_scores(spark.createDataFrame(rows, f"name string, results {kind}"))
-    cat = lambda k, f: F.get(F.filter("category_scores", lambda c: c["category"] == k), F.lit(0))[f]
-    return done.select("name", "total", "band", "redistributed", cat("technical", "max_score").alias("technical_max"), cat("on-page", "max_score").alias("on_page_max"), cat("technical", "ratio").alias("technical_ratio"))
-
-
-def event_reader(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.createDataFrame([(EVENTS,)], "buffer string").select(F.posexplode(limits.read_events(F.col("buffer"))).alias("ordinal", "e")).select("ordinal", "e.type", "e.stage")
-
-
 def labels(spark: SparkSession, sf: str) -> DataFrame:
     """Labels and tones of what results can say, beside how many results there are of each status."""
     dim = spark.createDataFrame([("status", *x) for x in advice.STATUS_LABELS] + [("severity", *x) for x in advice.SEVERITY_LABELS], "kind string, name string, label string, tone string")
@@ -401,104 +272,16 @@ def weight_table(spark: SparkSession, sf: str) -> DataFrame:
     return _audit(spark, sf).categories.join(F.broadcast(reg.category_dim(spark)).select("category", F.col("category_weight").alias("base")), "category").select("page_id", "category", "base", "max_score", (F.col("max_score") - F.col("base")).alias("change"))
 
 
-def psi_thresholds(spark: SparkSession, sf: str) -> DataFrame:
-    return psi.with_thresholds(psi.metrics(_psi(spark))).select("source", "metric", "value", "good", "fair", "core", "place")
-
-
-def psi_bars(spark: SparkSession, sf: str) -> DataFrame:
-    return psi.bars(psi.opportunities(_psi(spark))).select("page_id", "audit", "width")
-
-
-def check_branches(spark: SparkSession, sf: str) -> DataFrame:
-    rows = [(i, "https://example.com/page", f'<!doctype html><html lang="en"><head>{h}</head><body>{b}</body></html>') for i, (_, _, _, h, b) in enumerate(BRANCHES)]
-    got = audit(spark.createDataFrame(rows, "page_id long, url string, html string")).results
-    want = spark.createDataFrame([(i, k) for i, (k, *_) in enumerate(BRANCHES)], "page_id long, check_key string")
-    return got.join(F.broadcast(want), ["page_id", "check_key"]).select("page_id", "check_key", "status", "severity", F.col("recommendation").isNotNull().alias("advised"))
-
-
-def redirected(spark: SparkSession, sf: str) -> DataFrame:
-    """Pages that ended on another site: links and the canonical are seen from there."""
-    html = '<html><head><link rel="canonical" href="/p"></head><body><a href="/x">a</a><a href="https://example.com/">b</a></body></html>'
-    page = spark.createDataFrame([(1, "https://example.com/p", html)], "page_id long, url string, html string")
-    fetch = spark.createDataFrame([(1, "https://other.org/p", True, 301, 200, [("https://example.com/p", 301, "https://other.org/p")], {"X-Robots-Tag": "noindex"})], "page_id long, final_url string, ok boolean, initial_status int, final_status int, redirects array<struct<url:string,status:int,location:string>>, headers map<string,string>")
-    a = audit(page, fetch)
-    f = a.wide.select("page_id", F.col("facts.links").alias("l"), F.col("facts.canonicals").alias("c"), "results")
-    noindex = F.get(F.filter("results", lambda r: r["key"] == "robots-meta"), F.lit(0))["status"]
-    return f.select("page_id", F.array_join(F.transform("l", lambda x: x["kind"]), ",").alias("kinds"), F.get("c", 0)["resolved"].alias("canonical"), noindex.alias("robots_meta"))
-
-
-def fetch_branches(spark: SparkSession, sf: str) -> DataFrame:
-    """Checks that rest on the fetch, on robots.txt or on the sitemap, one page for each branch."""
-    cases = [(i, k, WELL | c) for i, (k, _, _, _, c) in enumerate(FETCHED)]
-    hop = lambda c: [(c["asked"], 301, c["end"])] * c["hops"]
-    page = spark.createDataFrame([(i, c["asked"], "<html></html>") for i, _, c in cases], "page_id long, url string, html string")
-    fetch = spark.createDataFrame([(i, c["end"], True, 301 if c["hops"] else c["status"], c["status"], hop(c), {}) for i, _, c in cases], "page_id long, final_url string, ok boolean, initial_status int, final_status int, redirects array<struct<url:string,status:int,location:string>>, headers map<string,string>")
-    rules = spark.createDataFrame([(i, c["retrieved"], "u", c["robots"], None, [], c["verdict"], c["rule"]) for i, _, c in cases], "page_id long, retrieved boolean, url string, status int, error string, sitemaps array<string>, path_verdict string, matched_rule string")
-    maps = spark.createDataFrame([(i, ["u"], "u", c["map"], 200, None, c["kind"], 4, False, c["listed"], "convention") for i, _, c in cases], "page_id long, checked_urls array<string>, found_url string, retrieved boolean, status int, error string, kind string, url_count int, count_truncated boolean, contains_audited_url string, discovered_via string")
-    want = spark.createDataFrame([(i, k) for i, k, _ in cases], "page_id long, check_key string")
-    return audit(page, fetch, rules, maps).results.join(F.broadcast(want), ["page_id", "check_key"]).select("page_id", "check_key", "status", "severity", "value")
-
-
-def error_codes(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.createDataFrame([(i, *x[:2]) for i, x in enumerate(THROWN)], "id long, name string, system string")
-    return rows.select("id", responses.network_error(F.col("name"), F.col("system")).alias("code")).select("id", "code", responses.http_status(F.col("code")).alias("http_status"))
-
-
-def _answers(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(i, f"{BASE}/{i}", *x[:5]) for i, x in enumerate(ANSWERS)], "page_id long, url string, status int, body string, content_type string, error_name string, error_system string")
-
-
-def failed_audits(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows of the store: failed ones, and completed ones of the rest."""
-    now = F.lit("2026-01-01 00:00:00").cast("timestamp")
-    kept = ["page_id", "state", "error_code"]
-    lost = responses.failures(_answers(spark))
-    done = store.frames(audit(responses.auditable(_answers(spark))), "r", now)["audits"].select(*kept, F.lit(200).alias("http_status"))
-    return done.unionByName(store.failed(lost, "r", now).join(F.broadcast(lost.select("page_id", "http_status")), "page_id").select(*kept, "http_status"))
-
-
-def text_answers(spark: SparkSession, sf: str) -> DataFrame:
-    got = responses.text_fetches(spark.createDataFrame([(i, *x[:2]) for i, x in enumerate(TEXTS)], "id long, status int, body string"))
-    return got.select("id", "ok", "error", F.col("text").isNotNull().alias("kept"))
-
-
-def log_redaction(spark: SparkSession, sf: str) -> DataFrame:
-    return _rows(spark, "context", [x for x, _ in LOGGED]).select("id", responses.redact_json("context").alias("logged"))
-
-
 def detail_rows(spark: SparkSession, sf: str) -> DataFrame:
     return report.detail_rows(_audit(spark, sf))
 
 
-def deductions(spark: SparkSession, sf: str) -> DataFrame:
-    return report.deductions(spark)
-
-
-def site_sitemap(spark: SparkSession, sf: str) -> DataFrame:
-    return report.site_sitemap(spark, BASE, "2026-01-01")
-
-
-def site_robots(spark: SparkSession, sf: str) -> DataFrame:
-    """The site's robots.txt, as our own parser reads it."""
-    functions.register(spark)
-    spark.createDataFrame([(report.site_robots(BASE),)], "body string").createOrReplaceTempView("site_robots_txt")
-    return spark.sql("SELECT r.* FROM site_robots_txt, LATERAL robots_rules(body) r")
-
-
-def same_sites(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.createDataFrame([(i, *x[:2]) for i, x in enumerate(SITES)], "id long, a string, b string")
-    return rows.select("id", same_site(F.col("a"), F.col("b")).alias("same_site"), (origin(F.col("a")) == origin(F.col("b"))).alias("same_origin"))
-
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        page_titles, page_text_stats, text_excerpts, page_links, page_keys, duplicate_pages, guarded_pages, guarded_inputs, check_results, category_scores, page_scores, page_metadata, check_max_points, priority_issues,
-        status_facets, checks_by_status, band_distribution, score_by_site, search_checks, checks_by_category, scoring_rules, weights_report, robots_verdicts, sitemap_membership, ip_ranges, ip_classes, psi_metrics, psi_opportunities,
-        rate_limits, stored_sites, stored_checks, address_classes, address_networks, event_windows, ttl_purge, stage_events, heading_skips, full_reports,
-        host_verdicts, sql_functions, robots_rows, score_cases, event_reader, labels, weight_table, psi_thresholds, psi_bars, check_branches, redirected,
-        fetch_branches, error_codes, failed_audits, text_answers, log_redaction, detail_rows, deductions, site_sitemap, site_robots, same_sites,
-    )
+        page_titles, page_text_stats, text_excerpts, page_links, page_keys, duplicate_pages, guarded_pages, check_results, category_scores, page_scores, page_metadata, priority_issues,
+        status_facets, checks_by_status, band_distribution, score_by_site, search_checks, checks_by_category, robots_verdicts, sitemap_membership, rate_limits, stored_sites, stored_checks, speed_metrics, speed_opportunities, fetch_gates, address_classes, address_networks, event_windows, ttl_purge, stage_events, full_reports,
+        labels, weight_table, detail_rows, )
 }
 
 
@@ -599,17 +382,12 @@ def oracle_sql() -> dict[str, str]:
     count = lambda s: f"CAST(count(*) FILTER (WHERE status = '{s}') AS INTEGER) AS n_{s.lower()}"
     impact = "weight * " + _TAKEN + " * CASE category " + " ".join(f"WHEN '{k}' THEN {w}" for k, w in reg.WEIGHTS.items()) + " END"
     rank = "CASE severity " + " ".join(f"WHEN '{s}' THEN {i}" for i, s in enumerate(reg.SEVERITIES)) + " END"
-    quad = "regexp_matches(address, '^((25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\\.){3}(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])$')"
-    number = "list_reduce(list_transform(string_split(address, '.'), lambda x: try_cast(x AS BIGINT)), lambda a, b: a * 256 + b)"
     from ..functions.ip import ranges
 
-    cidr = "CASE WHEN " + quad + " THEN CASE " + " ".join(f"WHEN {number} BETWEEN {a} AND {b} THEN '{w}'" for a, b, w in ranges()) + " END END"
-    typed = _values(list(enumerate(URLS_TYPED)), "id, typed")
     dim = _values([c[:5] for c in reg.CHECKS], "ordinal, check_key, title, category, weight")
     cats = _values(reg.CATEGORIES, "category, category_weight, label")
     path = f"({PATH} || {QUERY})"
     rules = [("allow", "/en/12", "^/en/12"), ("disallow", "/en/1", "^/en/1"), ("disallow", "/*.html$", "^/.*\\.html$"), ("disallow", "/es", "^/es")]
-    payload = PSI.replace("'", "''")
     addresses = """WITH a AS (SELECT event_id, event_id % 3 <> 0 AS four, (event_id * 2654435761) % 4294967296 AS n, (event_id * 7919) % 65536 AS g0, (event_id * 31) % 65536 AS g1,
         CASE WHEN event_id % 3 = 0 THEN lower(to_hex((event_id * 7919) % 65536)) || ':' || lower(to_hex((event_id * 31) % 65536)) || '::' || lower(to_hex(user_id % 65536)) ELSE concat_ws('.', ((event_id * 2654435761) % 4294967296) >> 24, (((event_id * 2654435761) % 4294967296) >> 16) & 255, (((event_id * 2654435761) % 4294967296) >> 8) & 255, ((event_id * 2654435761) % 4294967296) & 255) END AS address FROM events)"""
     inside = " OR ".join(f"n BETWEEN {a} AND {b}" for a, b, _ in ranges())
@@ -621,41 +399,39 @@ def oracle_sql() -> dict[str, str]:
         "page_keys": f"SELECT page_id, {KEY} AS canonical_key, {SITE} AS site, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS origin, CASE WHEN length(s) > 30 THEN substr(s, 1, 29) || '…' ELSE s END AS shown FROM (SELECT *, {HOST} || CASE WHEN {PATH} = '/' THEN '' ELSE {PATH} END || {QUERY} AS s FROM pages)",
         "duplicate_pages": f"SELECT canonical_key, count(*) AS n_pages, min(page_id) AS first_page FROM (SELECT page_id, {KEY} AS canonical_key FROM pages) GROUP BY 1 HAVING count(*) > 1",
         "guarded_pages": f"SELECT page_id, true AS ok, CAST(NULL AS VARCHAR) AS code, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || {PATH} || {QUERY} AS href FROM pages",
-        "guarded_inputs": f"""SELECT id, code IS NULL AS ok, code, CASE WHEN code IS NULL THEN CASE id WHEN 0 THEN 'https://example.com/page' WHEN 1 THEN 'https://example.com/' WHEN 7 THEN 'http://8.8.8.8/x' ELSE 'http://example.org/a' END END AS href
-            FROM (SELECT id, CASE WHEN trim(typed) = '' OR contains(typed, ' ') THEN 'INVALID_URL' WHEN id IN (0, 1, 7, 13) THEN NULL ELSE 'BLOCKED_URL' END AS code FROM {typed})""",
         "check_results": f"{results} SELECT page_id, check_key, category, status, severity, value, confidence FROM results",
         "category_scores": f"{scores} SELECT page_id, category, score, max_score, checks_total, checks_passed, checks_unavailable, ratio FROM scores",
         "page_scores": f"{scores} SELECT page_id, total, band, false AS redistributed, {', '.join(map(count, reg.STATUSES)).replace('n_info', 'n_info')} FROM banded JOIN results USING (page_id) GROUP BY page_id, total, band",
         "page_metadata": f"WITH {FACTS} SELECT page_id, title, lang AS html_lang, 1 AS h1_count, CAST(len(hrefs) AS INTEGER) AS internal_links, 0 AS external_links, 0 AS images, false AS is_noindex FROM facts",
-        "check_max_points": f"SELECT check_key, category, weight, CAST(weight AS DOUBLE) / sum(weight) OVER (PARTITION BY category) * category_weight AS points FROM {dim} d JOIN {cats} c USING (category)",
         "priority_issues": f"{results} SELECT page_id, CAST(n AS INTEGER) AS rank, check_key, severity FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY {rank}, {impact} DESC, ordinal) AS n FROM results WHERE status IN ('WARNING', 'ERROR')) WHERE n <= 5",
         "status_facets": f"{results} SELECT status, count(*) AS n_results FROM results GROUP BY GROUPING SETS ((status), ())",
         "checks_by_status": f"{results} SELECT check_key, status, count(*) AS n_pages FROM results GROUP BY 1, 2",
         "band_distribution": f"{scores} SELECT band, count(*) AS n_pages, count(*) * 100.0::DOUBLE / sum(count(*)) OVER () AS share FROM banded GROUP BY band",
         "score_by_site": f"{scores} SELECT {SITE} AS site, count(*) AS n_pages, CAST(sum(total) AS BIGINT) AS sum_total, min(total) AS min_total, max(total) AS max_total FROM banded GROUP BY 1",
-        "search_checks": f"""{results}, texts AS (SELECT page_id, check_key, replace(replace(s.message, '#', words::VARCHAR), '@', lang) AS message, s.recommendation, lower(concat_ws(' ', title_, check_key, value, replace(replace(s.message, '#', words::VARCHAR), '@', lang), s.recommendation, label)) AS hay
-              FROM results JOIN (SELECT page_id, words, lang FROM facts) USING (page_id) JOIN {_values(SAID, "check_key, status, message, recommendation")} s USING (check_key, status) JOIN (SELECT check_key, title AS title_ FROM {dim}) d USING (check_key) JOIN (SELECT category, label FROM {cats}) c USING (category))
+        "search_checks": f"""{results}, texts AS (SELECT page_id, results.check_key, replace(replace(s.message, '#', words::VARCHAR), '@', lang) AS message, s.recommendation, lower(concat_ws(' ', title_, results.check_key, value, replace(replace(s.message, '#', words::VARCHAR), '@', lang), s.recommendation, label)) AS hay
+              FROM results JOIN (SELECT page_id, words, lang FROM facts) USING (page_id) JOIN {_values(SAID, "check_key, status, message, recommendation")} s ON results.check_key = s.check_key AND s.status = CASE WHEN results.check_key = 'word-count' AND severity = 'MEDIUM' THEN 'thin' ELSE results.status END JOIN (SELECT check_key, title AS title_ FROM {dim}) d ON d.check_key = results.check_key JOIN (SELECT category, label FROM {cats}) c USING (category))
             SELECT needle, page_id, check_key, message, recommendation FROM texts JOIN (SELECT unnest({list(NEEDLES)}) AS needle) ON contains(hay, lower(needle))""",
         "checks_by_category": f"{results} SELECT page_id, category, string_agg(check_key, ',' ORDER BY ordinal) AS check_keys FROM results GROUP BY 1, 2",
-        "scoring_rules": "SELECT kind, name, CAST(value AS DOUBLE) AS value FROM " + _values([("category_weight", k, float(w)) for k, w, _ in reg.CATEGORIES] + [("deduction", k, v) for k, v in reg.DEDUCTIONS] + [("band_from", k, float(v)) for v, k in reg.BANDS], "kind, name, value"),
-        "weights_report": f"SELECT category, category_weight, CAST(sum(weight) AS BIGINT) AS sum_weight, count(*) AS n_checks, label FROM {dim} d JOIN {cats} c USING (category) GROUP BY category, category_weight, label",
         "robots_verdicts": f"""WITH hit AS (SELECT page_id, p, {', '.join(f"regexp_matches(p, '{x}') AS r{i}" for i, (_, _, x) in enumerate(rules))} FROM (SELECT page_id, {path} AS p FROM pages)),
             best AS (SELECT *, CASE WHEN r0 THEN '/en/12' END AS allow, CASE WHEN r2 THEN '/*.html$' WHEN r1 THEN '/en/1' WHEN r3 THEN '/es' END AS deny FROM hit)
             SELECT page_id, CASE WHEN deny IS NULL OR length(allow) >= length(deny) THEN 'allowed' WHEN r2 THEN 'unknown' ELSE 'disallowed' END AS path_verdict, CASE WHEN deny IS NULL THEN allow WHEN length(allow) >= length(deny) THEN 'Allow: ' || allow ELSE 'Disallow: ' || deny END AS matched_rule FROM best""",
         "sitemap_membership": f"""WITH k AS (SELECT page_id, {KEY} AS key, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS o FROM pages)
             SELECT page_id, CASE WHEN EXISTS (SELECT 1 FROM k b WHERE b.o = a.o AND b.key = a.key AND b.page_id % 2 = 0) THEN 'yes' ELSE 'no' END AS contains_audited_url, CAST((SELECT count(*) FROM k b WHERE b.o = a.o AND b.page_id % 2 = 0) AS INTEGER) AS url_count, 'convention' AS discovered_via FROM k a""",
-        "ip_ranges": f"SELECT id, address, {cidr} AS reason, {cidr} AS reason_by_column FROM {_values(list(enumerate(ADDRESSES)), 'id, address')}",
-        "ip_classes": f"SELECT id, address, id IN (0, 6, 12, 19, 20, 28) AS allowed, id IN (0, 6, 12, 19, 20, 28) AS without_reason FROM {_values(list(enumerate(ADDRESSES + ADDRESSES6)), 'id, address')}",
-        "psi_metrics": f"""WITH p AS (SELECT '{payload}'::JSON AS j)
-            SELECT 1 AS page_id, source, metric, value, rating FROM p, LATERAL (
-              SELECT 'lab' AS source, m AS metric, CAST(j->'lighthouseResult'->'audits'->k->>'numericValue' AS DOUBLE) AS value, CASE WHEN CAST(j->'lighthouseResult'->'audits'->k->>'score' AS DOUBLE) >= 0.9 THEN 'good' WHEN CAST(j->'lighthouseResult'->'audits'->k->>'score' AS DOUBLE) >= 0.5 THEN 'needs-improvement' ELSE 'poor' END AS rating FROM {_values(psi.LAB, 'k, m')}
-              UNION ALL SELECT 'field', m, CAST(j->'loadingExperience'->'metrics'->k->>'percentile' AS DOUBLE), CASE j->'loadingExperience'->'metrics'->k->>'category' WHEN 'FAST' THEN 'good' WHEN 'AVERAGE' THEN 'needs-improvement' ELSE 'poor' END FROM {_values(psi.FIELD, 'k, m, d')}) x WHERE value IS NOT NULL""",
-        "psi_opportunities": f"""WITH p AS (SELECT '{payload}'::JSON->'lighthouseResult'->'audits' AS j), a AS (SELECT k AS audit, CAST(j->k->'details'->>'overallSavingsMs' AS DOUBLE) AS savings_ms, j->k->'details'->>'type' AS t, regexp_replace(j->k->>'description', '\\[([^\\]]*)\\]\\([^)]*\\)', '\\1', 'g') AS description FROM p, LATERAL (SELECT unnest(json_keys(j)) AS k) x)
-            SELECT 1 AS page_id, CAST(row_number() OVER (ORDER BY savings_ms DESC, audit) AS INTEGER) AS rank, audit, savings_ms, description FROM a WHERE t = 'opportunity' AND savings_ms >= 50""",
         "rate_limits": f"""WITH RECURSIVE e AS (SELECT CAST(user_id AS VARCHAR) AS client_key, event_id AS request_id, epoch_us(ts) // 1000 AS t, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS n FROM events),
             w AS (SELECT client_key, request_id, n, t, 1 AS c, t + {WINDOW_MS} AS r FROM e WHERE n = 1
               UNION ALL SELECT e.client_key, e.request_id, e.n, e.t, CASE WHEN w.r <= e.t THEN 1 ELSE w.c + 1 END, CASE WHEN w.r <= e.t THEN e.t + {WINDOW_MS} ELSE w.r END FROM w JOIN e ON e.client_key = w.client_key AND e.n = w.n + 1)
             SELECT client_key, request_id, c <= {LIMIT} AS allowed, CAST(greatest(0, {LIMIT} - c) AS INTEGER) AS remaining, r AS reset_ms, CAST(greatest(1, ceil((r - t) / 1000.0)) AS INTEGER) AS retry_after_s FROM w""",
+        "speed_metrics": """WITH p AS (SELECT page_id AS n, strlen(html)::DOUBLE AS size FROM pages WHERE page_id % 11 <> 0),
+            m AS (SELECT n, 'lab' AS source, 'LCP' AS metric, size AS value, (n % 101) / 100.0::DOUBLE AS score, NULL AS category FROM p UNION ALL SELECT n, 'lab', 'CLS', (n % 60)::DOUBLE / 100, (n % 97) / 100.0::DOUBLE, NULL FROM p
+              UNION ALL SELECT n, 'field', 'CLS', (n % 70)::DOUBLE, NULL, n % 4 FROM p UNION ALL SELECT n, 'field', 'LCP', (n * 13 % 7000)::DOUBLE, NULL, n % 4 FROM p)
+            SELECT n AS page_id, source, metric, value, CASE WHEN source = 'lab' THEN CASE WHEN score >= 0.9 THEN 'good' WHEN score >= 0.5 THEN 'needs-improvement' ELSE 'poor' END ELSE ['good', 'needs-improvement', 'poor', 'unknown'][category + 1] END AS rating, good, fair, least(100.0::DOUBLE, value / scale * 100.0::DOUBLE) AS place
+            FROM m JOIN (VALUES ('LCP', 2500, 4000, 6000::DOUBLE), ('CLS', 10, 25, 50::DOUBLE)) t(metric, good, fair, scale) USING (metric)""",
+        "speed_opportunities": """WITH o AS (SELECT page_id, 'save-' || k AS audit, (page_id * k * 37 % 1000)::DOUBLE AS savings_ms FROM pages, unnest(range(1, 9)) AS r(k) WHERE page_id % 11 <> 0 AND page_id * k * 37 % 1000 >= 50),
+            r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY savings_ms DESC, audit)::INT AS rank FROM o)
+            SELECT page_id, rank, audit, savings_ms, 'See docs first.' AS description, greatest(4, floor(savings_ms / max(savings_ms) OVER (PARTITION BY page_id) * 100 + 0.5))::INT AS width FROM r WHERE rank <= 6""",
+        "fetch_gates": """WITH f AS (SELECT page_id, [200, 404, 200, 500, 301, NULL, 200][page_id % 7 + 1] AS status, page_id % 5 AS b, page_id % 4 AS t, page_id % 10 AS e, page_id % 6 AS s FROM pages),
+            g AS (SELECT page_id, CASE WHEN e = 5 THEN 'TIMEOUT' WHEN s = 4 THEN 'DNS_FAILURE' WHEN e = 9 THEN 'CONNECTION_FAILED' WHEN t = 1 THEN 'UNSUPPORTED_CONTENT_TYPE' WHEN status >= 400 AND b IN (0, 1) THEN 'HTTP_ERROR' WHEN b = 1 THEN 'UNSUPPORTED_CONTENT_TYPE' END AS error_code FROM f)
+            SELECT page_id, error_code, CASE error_code WHEN 'TIMEOUT' THEN 504 WHEN 'UNSUPPORTED_CONTENT_TYPE' THEN 422 ELSE CASE WHEN error_code IS NOT NULL THEN 502 END END AS http_status FROM g""",
         "stored_sites": f"{scores} SELECT {SITE} AS site, count(*) AS n_pages, CAST(sum(total) AS BIGINT) AS sum_total, min(total) AS min_total, max(total) AS max_total, count(DISTINCT {HOST}) AS n_hosts, count(DISTINCT {KEY}) AS n_keys, true AS hosts_near, true AS keys_near FROM banded WHERE page_id % 2 = 1 GROUP BY 1",
         "stored_checks": f"{results} SELECT check_key, status, count(*) AS n_pages FROM results WHERE page_id % 2 = 1 GROUP BY 1, 2",
         "address_classes": f"""{addresses} SELECT event_id, address, CASE WHEN four THEN NOT ({inside}) ELSE NOT (g0 BETWEEN 64512 AND 65023 OR g0 BETWEEN 65152 AND 65215 OR g0 >= 65280 OR g0 = 256 AND g1 = 0
@@ -668,29 +444,10 @@ def oracle_sql() -> dict[str, str]:
         "event_windows": "SELECT CAST(floor(epoch_ms(ts) / 3600000.0) AS BIGINT) * 3600000 AS start_ms, event_type, count(*) AS n_events FROM events GROUP BY 1, 2",
         "ttl_purge": "SELECT page_id, e AS expires_s FROM (SELECT page_id, 1767225600 + page_id * 60 + CASE WHEN page_id % 2 = 0 THEN 30 ELSE 60 END * 86400 AS e FROM pages) WHERE e >= 1767225600 + 40 * 86400",
         "stage_events": "SELECT page_id, ordinal, CASE WHEN ordinal = 0 THEN 'start' WHEN ordinal = 8 THEN 'result' ELSE 'stage' END AS type, " + "CASE WHEN ordinal BETWEEN 1 AND 7 THEN ['fetching', 'parsing', 'robots', 'sitemap', 'checks', 'scoring', 'done'][ordinal] END AS stage FROM pages, (SELECT unnest(range(0, 9)) AS ordinal)",
-        "host_verdicts": "SELECT * FROM (VALUES (0, '8.8.8.8', true, NULL, NULL), (1, '10.0.0.1', false, 'BLOCKED_URL', NULL), (2, 'a.example', true, NULL, '1.1.1.1,2606:4700::1111'), (3, 'b.example', false, 'BLOCKED_URL', '1.1.1.1'), (4, 'c.example', false, 'DNS_FAILURE', NULL), (5, 'd.example', false, 'DNS_FAILURE', NULL), (6, '[::1]', false, 'BLOCKED_URL', NULL), (7, 'e.example', false, 'BLOCKED_URL', NULL)) v(id, host, ok, code, connectable)",
-        "sql_functions": f"SELECT id, id IN (0, 1, 6, 8) AS ok, regexp_replace(lower(typed), '^www[.]', '') AS bare, 1.0::DOUBLE - 0.7::DOUBLE AS earned, CASE WHEN id * 13 >= 90 THEN 'excellent' WHEN id * 13 >= 75 THEN 'good' WHEN id * 13 >= 50 THEN 'needs-improvement' ELSE 'significant-issues' END AS band FROM {_values(list(enumerate(TYPED)), 'id, typed')}",
-        "robots_rows": "SELECT * FROM (VALUES ('*', 'allow', '/en/12'), ('*', 'disallow', '/en/1'), ('*', 'disallow', '/*.html$'), ('*', 'disallow', '/es'), ('other', 'disallow', '/')) v(user_agent, directive, path)",
-        "score_cases": "SELECT * FROM (VALUES ('all pass', 100, 'excellent', false, 30, 35, 1.0::DOUBLE), ('technical left out', 100, 'excellent', true, 0, 51, NULL), ('all critical', 0, 'significant-issues', false, 30, 35, 0.0::DOUBLE), ('nothing measured', 0, 'significant-issues', true, 0, 0, NULL), ('one medium', 88, 'good', false, 30, 35, 0.6::DOUBLE)) v(name, total, band, redistributed, technical_max, on_page_max, technical_ratio)",
-        "event_reader": "SELECT * FROM (VALUES (0, 'start', NULL), (1, 'stage', 'fetching')) v(ordinal, type, stage)",
         "labels": f"{results}, n AS (SELECT status AS name, count(*) AS n FROM results GROUP BY 1) SELECT kind, name, label, tone, CASE WHEN kind = 'status' THEN coalesce(n, 0) ELSE 0 END AS n_results FROM (VALUES ('status', 'PASS', 'Pass', 'success'), ('status', 'WARNING', 'Warning', 'warning'), ('status', 'ERROR', 'Error', 'danger'), ('status', 'INFO', 'Info', 'info'), ('status', 'UNAVAILABLE', 'Unavailable', 'neutral'), ('severity', 'CRITICAL', 'Critical', 'danger'), ('severity', 'HIGH', 'High priority', 'danger'), ('severity', 'MEDIUM', 'Medium', 'warning'), ('severity', 'LOW', 'Low', 'warning'), ('severity', 'INFO', 'Informational', 'neutral')) v(kind, name, label, tone) LEFT JOIN n USING (name)",
         "weight_table": f"{scores} SELECT page_id, category, max_score AS base, max_score, 0 AS change FROM scores",
-        "psi_thresholds": "SELECT source, metric, value, good, fair, core, least(100.0::DOUBLE, value / scale * 100.0::DOUBLE) AS place FROM (VALUES ('lab', 'LCP', 2100.5::DOUBLE), ('lab', 'CLS', 0.3::DOUBLE), ('lab', 'SI', 4000.0::DOUBLE), ('field', 'LCP', 1900.0::DOUBLE), ('field', 'INP', 350.0::DOUBLE), ('field', 'CLS', 5.0::DOUBLE)) v(source, metric, value) JOIN (VALUES ('LCP', 2500, 4000, 6000::DOUBLE, true), ('CLS', 10, 25, 50::DOUBLE, true), ('INP', 200, 500, 1000::DOUBLE, true), ('SI', 3400, 5800, 9000::DOUBLE, false)) t(metric, good, fair, scale, core) USING (metric)",
-        "psi_bars": "SELECT * FROM (VALUES (1, 'render-blocking', 100), (1, 'unused-css', 36)) v(page_id, audit, width)",
-        "check_branches": "SELECT *, status IN ('WARNING', 'ERROR') AS advised FROM " + _values([(i, *b[:3]) for i, b in enumerate(BRANCHES)], "page_id, check_key, status, severity"),
-        "fetch_branches": "SELECT * FROM " + _values([(i, *b[:4]) for i, b in enumerate(FETCHED)], "page_id, check_key, status, severity, value"),
-        "error_codes": "SELECT * FROM " + _values([(i, *x[2:]) for i, x in enumerate(THROWN)], "id, code, http_status"),
-        "failed_audits": f"SELECT page_id, CASE WHEN error_code IS NULL THEN 'COMPLETED' ELSE 'FAILED' END AS state, error_code, CASE error_code WHEN 'HTTP_ERROR' THEN 502 WHEN 'DNS_FAILURE' THEN 502 WHEN 'UNSUPPORTED_CONTENT_TYPE' THEN 422 WHEN 'TIMEOUT' THEN 504 ELSE 200 END AS http_status FROM {_values([(i, x[5]) for i, x in enumerate(ANSWERS)], 'page_id, error_code')}",
-        "text_answers": "SELECT * FROM " + _values([(i, *x[2:]) for i, x in enumerate(TEXTS)], "id, ok, error, kept"),
-        "log_redaction": "SELECT * FROM " + _values([(i, x) for i, (_, x) in enumerate(LOGGED)], "id, logged"),
         "detail_rows": f"WITH {FACTS} SELECT page_id, k - 1 AS ordinal, labels[k] AS label, said[k] AS value FROM (SELECT page_id, ['Requested URL', 'Final URL', 'HTTP status', 'Redirects', 'Content type', 'Response size', 'Title', 'Meta description', 'Canonical', 'Language', 'Word count', 'Links', 'Images', 'Schema types'] AS labels, [url, url, '200', 'None', 'text/html; charset=utf-8', CAST(floor(html_bytes::DOUBLE / 1024 * 10 + 0.5) / 10 AS DECIMAL(18, 1)) || ' KB', title, 'Not present', 'Not present', lang, words || '', len(hrefs) || ' internal · 0 external', '0 total · 0 missing alt', 'None detected'] AS said, unnest(range(1, 15)) AS k FROM facts)",
-        "deductions": "SELECT 'critical 100%, high 70%, medium 40%, low 15%' AS deductions",
-        "site_sitemap": f"SELECT '{BASE}' || path AS loc, '2026-01-01' AS lastmod, changefreq, priority::DOUBLE AS priority FROM " + _values([*report.ROUTES, *[("/seo-guides/" + g, "yearly", 0.7) for g in advice.GUIDES]], "path, changefreq, priority"),
-        "site_robots": "SELECT * FROM (VALUES ('*', 'allow', '/'), ('*', 'disallow', '/api/'), ('*', 'disallow', '/audit/')) v(user_agent, directive, path)",
-        "same_sites": "SELECT * FROM " + _values([(i, *x[2:]) for i, x in enumerate(SITES)], "id, same_site, same_origin"),
-        "redirected": "SELECT 1 AS page_id, 'internal,external' AS kinds, 'https://other.org/p' AS canonical, 'ERROR' AS robots_meta",
         "full_reports": f"{scores} SELECT page_id, url, total, band, 26 AS n_checks, 6 AS n_categories, true AS explained FROM banded",
-        "heading_skips": "SELECT * FROM (VALUES (1, 'WARNING', 'LOW', '2 skipped levels'), (2, 'PASS', 'INFO', '1 H1, 1 H2, 0 H3'), (3, 'WARNING', 'MEDIUM', 'No headings'), (4, 'WARNING', 'LOW', '1 empty heading')) v(page_id, status, severity, value)",
     }
 
 
