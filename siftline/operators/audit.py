@@ -125,13 +125,20 @@ def _results() -> Column:
 
 
 class Audit(NamedTuple):
-    """wide: one row per page; results, categories: exploded; every frame is lazy."""
+    """wide: one row per page; results, categories: exploded; every frame is lazy. judged is wide before
+    its scores, for what needs none of them."""
 
     wide: DataFrame
+    judged: DataFrame | None = None
+
+    @property
+    def pages(self) -> DataFrame:
+        """One row per page, with results."""
+        return self.wide if self.judged is None else self.judged
 
     @property
     def results(self) -> DataFrame:
-        return self.wide.select("page_id", "url", F.inline("results")).withColumnRenamed("key", "check_key")
+        return self.pages.select("page_id", "url", F.inline("results")).withColumnRenamed("key", "check_key")
 
     @property
     def categories(self) -> DataFrame:
@@ -147,7 +154,8 @@ def audit(pages: DataFrame, fetches: DataFrame | None = None, robots: DataFrame
     """Audit pages (page_id, url, html). Parsing is one Arrow pass; checks and scores are Columns of the
     same stage, so an audit without extra tables needs no shuffle."""
     df = context(pages, fetches, robots, sitemaps, strict)
-    return Audit(with_scores(settled(df, results=results_of())))
+    judged = settled(df, results=results_of())
+    return Audit(with_scores(judged), judged)
 
 
 def metadata(a: Audit) -> DataFrame:

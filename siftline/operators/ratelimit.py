@@ -3,31 +3,29 @@
 Denied requests count too; a request at or after the end of a window opens a new one. Where windows
 start therefore depends on all earlier requests of the client, but not on reading them in turn:
 
-* Each instant at which a client asked points to the next one at or after its window's end. Instants and
-  ends meet in slices of time (SLICES to a window), so that a busy client is many groups.
-* An instant with no other in the window's length before it opens a window whatever came earlier. From
-  these, windows are found by pointer doubling: round k takes the first 2^k windows of each chain to the
-  next 2^k, and pairs of pointers to pointers twice as long. Chains end at the next such instant.
-* Starts are a window's length apart, so a stretch of that length holds one at most, and a request finds
-  its own in its stretch or the one before: an equi-join.
+* Time is cut into stretches of a window's length, so that a busy client is many groups. An instant
+  with no other in the window's length before it opens a window whatever came earlier.
+* Of the rest, the busy ones, each points to the next at or after its window's end. From those that open
+  anyhow, windows are found by pointer doubling: round k takes the first 2^k windows of each chain to the
+  next 2^k, and joins pointers to pointers twice as long. Chains end at the next instant that opens anyhow.
+* Starts are a window's length apart, so a stretch holds one at most, and a request finds its own in
+  its stretch or the one before: an equi-join.
 * Only the first requests up to the limit are ranked; tasks pass on no more than that many of a window.
-  The limit's own place tells which of the others are denied.
+  The place of the last of these tells which of the others are denied.
 
-Nothing is collected and no Python runs. Defined cases: a null client is a client; requests at one instant
-count in the order of request_id (nulls first), equal ones in any order; a request without a time gets
-an answer of nulls; repeated rows count each; times before 1970 are times; a limit of 0 denies all.
+Nothing is collected and no Python runs; the requests are read twice. Defined cases: a null client is a
+client; requests at one instant count in the order of request_id (nulls first), equal ones in any
+order; a request without a time gets an answer of nulls; repeated rows count each; times before 1970
+are times; a limit of 0 denies all.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import Scratch
 
-SLICES = 16
 #: What a request is told; times in milliseconds.
 OUT = "client_key string, request_id long, ts_ms long, allowed boolean, remaining int, reset_ms long, retry_after_s int"
 
@@ -46,63 +44,50 @@ def peek(state: tuple[int, int] | None, now: int, limit: int, window_ms: int) ->
     return count < limit, max(0, limit - count), reset
 
 
-def _met(a: DataFrame, b: DataFrame, pairs: list[tuple[str, str]], how: str) -> DataFrame:
-    """a joined with b where the columns are equal or both null; of b, all other columns stay."""
-    b = b.select(*[F.col(c).alias(f"_b_{c}") for c in b.columns])
-    on = reduce(Column.__and__, [F.col(x).eqNullSafe(F.col(f"_b_{y}")) for x, y in pairs])
-    out = a.join(b, on, how)
-    if how == "left_semi":
-        return out
-    used = {y for _, y in pairs}
-    return out.select(*a.columns, *[F.col(c).alias(c[3:]) for c in b.columns if c[3:] not in used])
-
-
 def _stretch(ts: str, length: int) -> Column:
     """The number of the stretch of time that holds ts, in whole numbers (times may be negative)."""
     return F.expr(f"CAST(({ts} - pmod({ts}, {length}L)) DIV {length}L AS BIGINT)")
 
 
-def _instants(points: DataFrame, keys: list[str], window_ms: int) -> DataFrame:
-    """points (keys, ts_ms), each once, with opens (none came in the window's length before) and next
-    (the first at or after ts_ms + window_ms, or null)."""
-    width = max(1, window_ms // SLICES)
-    ends = points.select(*keys, (F.col("ts_ms") + window_ms).alias("at"), F.lit(1).alias("kind"))
-    rows = points.select(*keys, F.col("ts_ms").alias("at"), F.lit(0).alias("kind")).unionByName(ends).withColumn("slice", _stretch("at", width))
-    point = F.when(F.col("kind") == 0, F.col("at"))
-    # within a slice: the last point before, and the first from here on
-    group = Window.partitionBy(*keys, "slice")
-    before = F.max(point).over(group.orderBy("at", F.desc("kind")).rowsBetween(Window.unboundedPreceding, -1))
-    after = F.min(point).over(group.orderBy(F.desc("at"), "kind").rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("before", before).withColumn("after", after)
-    # beyond it: one row for each slice of a client
-    slices = rows.groupBy(*keys, "slice").agg(F.min(point).alias("first"), F.max(point).alias("last"))
-    client = Window.partitionBy(*keys)
-    earlier = F.max("last").over(client.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))
-    later = F.min("first").over(client.orderBy(F.desc("slice")).rowsBetween(Window.unboundedPreceding, -1))
-    slices = slices.select(*keys, "slice", earlier.alias("earlier"), later.alias("later"))
-    rows = _met(rows, slices, [(k, k) for k in (*keys, "slice")], "left")
+def _instants(points: DataFrame, window_ms: int) -> DataFrame:
+    """points (k, ts_ms), each once, with opens (none came in the window's length before) and busy (not
+    so, or not so of the next)."""
+    rows = points.withColumn("stretch", _stretch("ts_ms", window_ms))
+    own = Window.partitionBy("k", "stretch").orderBy("ts_ms")
+    rows = rows.select("k", "stretch", "ts_ms", F.lag("ts_ms").over(own).alias("before"), F.lead("ts_ms").over(own).alias("after"))
+    # beyond a stretch: one row for each of a client's
+    others = Window.partitionBy("k").orderBy("stretch")
+    ends = rows.groupBy("k", "stretch").agg(F.min("ts_ms").alias("first"), F.max("ts_ms").alias("last"))
+    ends = ends.select("k", "stretch", F.lag("last").over(others).alias("earlier"), F.lead("first").over(others).alias("later"))
     last, following = F.coalesce("before", "earlier"), F.coalesce("after", "later")
-    told = rows.groupBy(*keys, F.when(F.col("kind") == 0, F.col("at")).otherwise(F.col("at") - window_ms).alias("ts_ms"))
-    return told.agg(
-        F.max(F.when(F.col("kind") == 0, last.isNull() | (F.col("at") - last >= window_ms))).alias("opens"),
-        F.max(F.when(F.col("kind") == 1, following)).alias("next"),
-    )
-
-
-def window_starts(points: DataFrame, keys: list[str], window_ms: int, scratch: Scratch) -> DataFrame:
-    """points (keys, ts_ms), each once, to those at which a window starts."""
-    told = scratch.keep(_instants(points, keys, window_ms))
-    starts = told.filter("opens").select(*keys, "ts_ms")
-    link = [*((k, k) for k in keys), ("next", "ts_ms")]
-    # pointers to instants that open a window anyhow are not needed: chains end there
-    hops = scratch.keep(_met(told.filter("next is not null").select(*keys, "ts_ms", "next"), told.filter("not opens").select(*keys, "ts_ms"), link, "left_semi"))
-    new, same = starts, [(k, k) for k in (*keys, "ts_ms")]
+    opens = last.isNull() | (F.col("ts_ms") - last >= window_ms)
+    return rows.join(ends, ["k", "stretch"]).select("k", "ts_ms", opens.alias("opens"), (~opens | F.coalesce(following - F.col("ts_ms") < window_ms, F.lit(False))).alias("busy"))
+
+
+def _hops(busy: DataFrame, window_ms: int) -> DataFrame:
+    """Busy points (k, ts_ms, opens) with next, the first at or after ts_ms + window_ms, where there is
+    one that doesn't open anyhow. (One that is not busy opens anyhow, as does the busy one after it.)"""
+    point = busy.select("k", F.col("ts_ms").alias("at"), F.struct("ts_ms", "opens").alias("p"), F.lit(None).cast("long").alias("ts_ms"))
+    rows = point.unionByName(busy.select("k", (F.col("ts_ms") + window_ms).alias("at"), F.lit(None).cast(point.schema["p"].dataType).alias("p"), "ts_ms")).withColumn("stretch", _stretch("at", window_ms))
+    own = Window.partitionBy("k", "stretch").orderBy(F.desc("at"), F.col("ts_ms").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    others = Window.partitionBy("k").orderBy(F.desc("stretch")).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("here", F.min("p").over(own))
+    later = rows.groupBy("k", "stretch").agg(F.min("p").alias("first")).select("k", "stretch", F.min("first").over(others).alias("later"))
+    found = rows.filter("ts_ms IS NOT NULL").join(later, ["k", "stretch"]).select("k", "ts_ms", F.coalesce("here", "later").alias("next"))
+    return found.filter("NOT next.opens").select("k", "ts_ms", F.col("next.ts_ms").alias("next"))
+
+
+def window_starts(points: DataFrame, window_ms: int, scratch: Scratch) -> DataFrame:
+    """points (k, ts_ms), each once, to those at which a window starts."""
+    told = scratch.keep(_instants(points, window_ms))
+    starts = told.filter("opens").select("k", "ts_ms")
+    hops = scratch.keep(_hops(told.filter("busy").select("k", "ts_ms", "opens"), window_ms))
     while not hops.isEmpty():
         # the first 2^k starts of each chain lead to its next 2^k
-        new = scratch.keep(_met(starts, hops, same, "inner").select(*keys, F.col("next").alias("ts_ms")))
+        new = scratch.keep(starts.join(hops, ["k", "ts_ms"]).select("k", F.col("next").alias("ts_ms")))
         starts = starts.unionByName(new)
-        far = hops.select(*keys, F.col("ts_ms"), F.col("next").alias("far"))
-        hops = scratch.keep(_met(hops, far, link, "inner").select(*keys, "ts_ms", F.col("far").alias("next")))
+        far = hops.select("k", F.col("ts_ms").alias("next"), F.col("next").alias("far"))
+        hops = scratch.keep(hops.join(far, ["k", "next"]).select("k", "ts_ms", F.col("far").alias("next")))
     return starts
 
 
@@ -113,25 +98,25 @@ def limited(requests: DataFrame, limit: int | Column, window_ms: int, keys: list
     if not isinstance(limit, Column):
         limit, most = F.lit(limit), limit
     scratch = Scratch(requests.sparkSession, "ratelimit")
-    rows = scratch.keep(requests.select(*keys, "request_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"), limit.cast("int").alias("limit"), F.monotonically_increasing_id().alias("n")))
-    timed = rows.filter("ts_ms is not null")
-    starts = window_starts(timed.select(*keys, "ts_ms").distinct(), keys, window_ms, scratch)
-    # at most one start for each stretch of a window's length: requests look in theirs and the one before
-    seen = starts.select(*keys, F.col("ts_ms").alias("start"), F.explode(F.array(*[F.struct((_stretch("ts_ms", window_ms) + d).alias("stretch"), F.lit(d == 0).alias("own")) for d in (0, 1)])).alias("s"))
-    seen = seen.groupBy(*keys, F.col("s.stretch").alias("stretch")).agg(F.max(F.when(F.col("s.own"), F.col("start"))).alias("own"), F.max(F.when(~F.col("s.own"), F.col("start"))).alias("former"))
-    found = _met(timed.withColumn("stretch", _stretch("ts_ms", window_ms)), seen, [(k, k) for k in (*keys, "stretch")], "inner")
-    found = scratch.keep(found.withColumn("start", F.when(F.col("own") <= F.col("ts_ms"), F.col("own")).otherwise(F.col("former"))).drop("stretch", "own", "former"))
-    place = F.struct("ts_ms", "request_id", "n")
-    order = Window.partitionBy(*keys, "start").orderBy("ts_ms", "request_id", "n")
-    first = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most).filter(F.col("rank") <= F.col("limit"))
-    cut = first.filter(F.col("rank") == F.col("limit")).select(*keys, "start", place.alias("cut"))
-    denied = _met(found, cut, [(k, k) for k in (*keys, "start")], "left").filter((place > F.col("cut")) | (F.col("limit") <= 0))
-    told = first.unionByName(denied.drop("cut").withColumn("rank", F.lit(None).cast("int")))
-    allowed, reset = F.col("rank").isNotNull(), F.col("start") + window_ms
-    wait = F.greatest(F.lit(1), F.ceil((reset - F.col("ts_ms")) / 1000)).cast("int")
-    answers = told.select(*keys, "request_id", "ts_ms", allowed.alias("allowed"), F.when(allowed, F.col("limit") - F.col("rank")).otherwise(F.lit(0)).cast("int").alias("remaining"), reset.alias("reset_ms"), wait.alias("retry_after_s"))
-    none = [F.lit(None).cast(kind).alias(c) for c, kind in (("allowed", "boolean"), ("remaining", "int"), ("reset_ms", "long"), ("retry_after_s", "int"))]
-    return answers.unionByName(rows.filter("ts_ms is null").select(*keys, "request_id", "ts_ms", *none))
+    # a struct with nulls in it is equal to another such
+    rows = requests.select(F.struct(*keys).alias("k"), "request_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"), limit.cast("int").alias("limit"))
+    starts = window_starts(rows.filter("ts_ms IS NOT NULL").select("k", "ts_ms").distinct(), window_ms, scratch)
+    # requests look for a start in their stretch and the one before
+    seen = starts.select("k", F.col("ts_ms").alias("start"), F.inline(F.array(*[F.struct((_stretch("ts_ms", window_ms) + d).alias("stretch"), F.lit(d == 0).alias("own")) for d in (0, 1)])))
+    seen = seen.groupBy("k", "stretch").agg(F.max(F.when(F.col("own"), F.col("start"))).alias("own"), F.max(F.when(~F.col("own"), F.col("start"))).alias("former"))
+    found = rows.withColumn("stretch", _stretch("ts_ms", window_ms)).join(seen, ["k", "stretch"], "left")
+    found = scratch.keep(found.select("k", "request_id", "ts_ms", "limit", F.when(F.col("own") <= F.col("ts_ms"), F.col("own")).otherwise(F.col("former")).alias("start"), F.monotonically_increasing_id().alias("n")))
+    timed, place = found.filter("ts_ms IS NOT NULL"), F.struct("ts_ms", "request_id", "n")
+    order = Window.partitionBy("k", "start").orderBy("ts_ms", "request_id", "n")
+    first = timed.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most).filter(F.col("rank") <= F.col("limit"))
+    cut = first.filter(F.col("rank") == F.col("limit")).select("k", "start", place.alias("cut"))
+    denied = timed.join(cut, ["k", "start"], "left").filter((place > F.col("cut")) | (F.col("limit") <= 0)).drop("cut")
+    others = denied.unionByName(found.filter("ts_ms IS NULL"))
+    told = first.unionByName(others.withColumn("rank", F.lit(None).cast("int")).select(*first.columns))
+    allowed, reset = F.when(F.col("ts_ms").isNotNull(), F.col("rank").isNotNull()), F.col("start") + window_ms
+    wait = F.when(reset.isNotNull(), F.greatest(F.lit(1), F.ceil((reset - F.col("ts_ms")) / 1000))).cast("int")
+    left = F.when(allowed, F.col("limit") - F.col("rank")).when(~allowed, F.lit(0)).cast("int")
+    return told.select("k.*", "request_id", "ts_ms", allowed.alias("allowed"), left.alias("remaining"), reset.alias("reset_ms"), wait.alias("retry_after_s"))
 
 
 # Requests a window that a route allows, where it differs from the general limit.

@@ -10,7 +10,6 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .registry import BANDS, CATEGORIES, DEDUCTIONS, SEVERITIES, WEIGHTS
@@ -94,9 +93,15 @@ def category_weight(category: Column) -> Column:
     return reduce(lambda out, x: F.when(category == x[0], x[1]).otherwise(out), WEIGHTS.items(), F.lit(0))
 
 
-def priority_issues(long_results: DataFrame, limit: int = TOP) -> DataFrame:
-    """Of rows (page_id, ordinal, category, weight, status, severity, ...) the most important findings
-    of each page: by severity, then by what they cost, then in registry order."""
-    cost = F.col("weight") * deduction(F.col("severity")) * category_weight(F.col("category"))
-    order = W.partitionBy("page_id").orderBy(severity_rank(F.col("severity")), F.desc(cost), "ordinal")
-    return long_results.filter(F.col("status").isin("WARNING", "ERROR")).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
+def priorities(results: Column, limit: int = TOP) -> Column:
+    """The most important findings of a page's results, in the row: by severity, then by what they cost,
+    then in registry order; array<struct<rank, check_key, severity>>."""
+    found = F.filter(results, lambda r: r["status"].isin("WARNING", "ERROR"))
+    cost = lambda r: r["weight"] * deduction(r["severity"]) * category_weight(r["category"])
+    order = F.array_sort(F.transform(found, lambda r: F.struct(severity_rank(r["severity"]).alias("severity_rank"), (-cost(r)).alias("gain"), r["ordinal"].alias("ordinal"), r["key"].alias("check_key"), r["severity"].alias("severity"))))
+    return F.transform(F.slice(order, 1, limit), lambda r, i: F.struct((i + 1).alias("rank"), r["check_key"].alias("check_key"), r["severity"].alias("severity")))
+
+
+def priority_issues(results: DataFrame, limit: int = TOP) -> DataFrame:
+    """Of pages (page_id, results) the most important findings, best first: page_id, rank, check_key, severity."""
+    return results.select("page_id", F.inline(priorities(F.col("results"), limit)))

@@ -97,7 +97,7 @@ def page_metadata(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def priority_issues(spark: SparkSession, sf: str) -> DataFrame:
-    return scoring.priority_issues(_audit(spark, sf).results).select("page_id", "rank", "check_key", "severity")
+    return scoring.priority_issues(_audit(spark, sf).pages)
 
 
 def status_facets(spark: SparkSession, sf: str) -> DataFrame:

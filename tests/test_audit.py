@@ -25,7 +25,7 @@ def done(spark):
     rows = [(1, "https://example.com/good", GOOD), (2, "http://example.com/bad", BAD), (3, "https://example.com/", ""), (4, None, None), (5, "https://example.com/n", GOOD.replace("<head>", '<head><meta name="robots" content="noindex">'))]
     a = audit(spark.createDataFrame(rows, "page_id long, url string, html string"))
     results = a.results
-    return {r.page_id: r for r in a.scores.collect()}, {(r.page_id, r.check_key): r for r in results.collect()}, {(r.page_id, r["rank"]): r for r in priority_issues(results).collect()}
+    return {r.page_id: r for r in a.scores.collect()}, {(r.page_id, r.check_key): r for r in results.collect()}, {(r.page_id, r["rank"]): r for r in priority_issues(a.pages).collect()}
 
 
 def test_good_page(done):
@@ -50,13 +50,13 @@ def test_every_page_has_26_results(done):
         assert r.severity == "INFO" or r.status in ("WARNING", "ERROR")
 
 
-@pytest.mark.parametrize("name", ["page_scores", "check_results", "robots_verdicts", "sitemap_membership", "rate_limits", "guarded_inputs", "page_links", "host_verdicts", "sql_functions", "robots_rows", "score_cases", "event_reader", "labels", "weight_table", "psi_thresholds", "psi_bars", "check_branches", "redirected", "fetch_branches", "error_codes", "failed_audits", "text_answers", "log_redaction", "detail_rows", "deductions", "site_sitemap", "site_robots", "same_sites", "full_reports", "search_checks", "stage_events"])
+@pytest.mark.parametrize("name", ["page_scores", "check_results", "priority_issues", "robots_verdicts", "sitemap_membership", "rate_limits", "page_links", "labels", "weight_table", "detail_rows", "full_reports", "search_checks", "stage_events", "stored_sites", "stored_checks", "address_classes", "address_networks", "speed_metrics", "speed_opportunities", "fetch_gates"])
 def test_against_sql(spark, name):
     sf = "/root/testdata/sf0.001"
     if not os.path.isdir(sf):
         pytest.skip("no tables")
     con = duckdb.connect()
-    for t in ("pages", "events"):
+    for t in ("pages", "events", "supplier"):
         con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     want = con.execute(plans.oracle_sql()[name]).df()
     got = plans.QUERIES[name](spark, sf).toPandas()
