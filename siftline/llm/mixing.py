@@ -74,8 +74,9 @@ def offset(source: Column, seed: str = SEED) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}/"), F.coalesce(F.concat(F.lit("="), source), F.lit("-")))), 1, 6), 16, 10).cast("long")
 
 
-def salt(doc_id: Column) -> Column:
-    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, 4), 16, 10).cast("long") % SALTS
+def salt(doc_id: Column, text: Column) -> Column:
+    """A hash of the id, or of the text where there is none, so that rows without ids are dealt out too."""
+    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.concat(F.lit("/"), F.md5(F.coalesce(text, F.lit("")))))), 1, 4), 16, 10).cast("long") % SALTS
 
 
 def plan(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: str = SEED) -> DataFrame:
@@ -86,7 +87,7 @@ def plan(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: str = SEED) -
     """
     stash = Stash(docs.sparkSession, "mixing")
     rows = packed(docs, "doc_id", "text", "source")
-    rows = rows.select("_row", "doc_id", "source", words_in(F.col("text")).alias("size"), salt(F.col("doc_id")).alias("salt"), F.xxhash64("text").alias("tie"))
+    rows = rows.select("_row", "doc_id", "source", words_in(F.col("text")).alias("size"), salt(F.col("doc_id"), F.col("text")).alias("salt"), F.xxhash64("text").alias("tie"))
     groups = rows.groupBy("source", "size", "salt").agg(F.count(F.lit(1)).alias("n")).withColumn("chunk", F.floor(F.col("salt") / CHUNK)).withColumn("block", F.floor(F.col("size") / BLOCK))
     groups = stash.keep(groups)  # else each use of the counts would parse all texts again
     blocks = groups.groupBy("source", "block").agg(F.sum("n").alias("bn"), F.sum(F.col("n") * F.col("size")).alias("bw"))
@@ -134,7 +135,7 @@ levels AS (SELECT *, CAST(sum(source_size) OVER () - coalesce(sum(cap) OVER (ORD
 goals AS (SELECT source, source_size, CASE WHEN cap / w <= level THEN CAST(cap AS DOUBLE) ELSE w * (max(CASE WHEN cap / w > level THEN level END) OVER ()) END AS target FROM levels),
 steps AS (SELECT *, CASE WHEN source_size > 0 THEN least(CAST(floor(target / source_size * 16777216) AS BIGINT), 50331648) ELSE 0 END AS step,
     CAST('0x' || substr(md5('{SEED}/' || coalesce('=' || source, '-')), 1, 6) AS BIGINT) AS shift FROM goals),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY size, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 4) AS BIGINT) % {SALTS}, doc_id NULLS LAST) AS k FROM sized)
+ranked AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY size, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '/' || md5(coalesce(text, '')))), 1, 4) AS BIGINT) % {SALTS}, doc_id NULLS LAST) AS k FROM sized)
 SELECT r.doc_id, r.size, s.source_size, s.target, r.size * (((s.shift + r.k * s.step) >> {BITS}) - ((s.shift + (r.k - 1) * s.step) >> {BITS})) AS taken
 FROM ranked r JOIN steps s ON r.source IS NOT DISTINCT FROM s.source
 """

@@ -79,6 +79,16 @@ def test_mixing(docs, empty):
     assert mixed.columns == ["doc_id", "text", "source", "_copy", "copies", "toxic_score"]
 
 
+def test_rows_without_ids_are_dealt_out(spark):
+    """They get the salts of their texts, and stay whole."""
+    from pyspark.sql import functions as F
+
+    df = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("word "), F.col("id")).alias("text"), F.lit("a").alias("source"))
+    assert df.select(mixing.salt(F.col("doc_id"), F.col("text"))).distinct().count() > mixing.SALTS // 2
+    planned = mixing.plan(df)
+    assert planned.count() == 3000 and planned.agg(F.sum("copies")).first()[0] == 3000
+
+
 def test_mixing_targets(spark):
     sizes = [("a", 100), ("b", 1000), ("c", 1000), ("d", 10), (None, 50), ("", 0)]
     got = {r.source: r.target for r in mixing.targets(spark.createDataFrame(sizes, "source string, source_size long")).collect()}
