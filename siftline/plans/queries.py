@@ -18,7 +18,7 @@ from ..functions.urls import canonical_key, display_url, guard, host_of, registr
 from ..operators import advice, analytics, psi, ratelimit, report, responses, robots, rollups, scoring, search, sitemap
 from ..operators import registry as reg
 from ..operators.audit import Audit, audit, metadata, origin
-from ..sources import store
+from ..sources import archive, store
 from ..sources.scratch import Scratch
 from ..streaming import limits
 
@@ -42,6 +42,7 @@ SAID = (
 )
 ROBOTS = "User-agent: *\nDisallow: /en/1\nDisallow: /*.html$\nAllow: /en/12\nDisallow: /es\n\nUser-agent: other\nDisallow: /"
 LIMIT, WINDOW_MS = 5, 3_600_000
+ARCHIVED_HOST = "thther.example.org"
 #: When audits are stored, and when they are looked at.
 FIRST, LATER = "2026-01-01 10:00:00", "2026-02-10 10:00:00"
 
@@ -233,6 +234,18 @@ def fetch_gates(spark: SparkSession, sf: str) -> DataFrame:
     return responses.auditable(fetches).select("page_id", none.cast("string").alias("error_code"), none.cast("int").alias("http_status")).unionByName(lost)
 
 
+def archived_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """The pages as archived responses of ten days, read back for some days, and of these for one host."""
+    archive.register(spark)
+    root = Scratch(spark, "archive").base
+    day = F.date_add(F.lit("2026-01-01").cast("date"), (F.col("page_id") % 10).cast("int"))
+    kept = F.create_map(F.lit("X-Page"), F.col("page_id").cast("string"))
+    pages(spark, sf).select("url", host_of(F.col("url")).alias("host"), day.alias("day"), F.lit(200).alias("status"), kept.alias("headers"), F.col("html").cast("binary").alias("body")).repartition("day").write.format("warc").mode("append").save(root)
+    late = archive.responses(spark, root, since="2026-01-08").withColumn("part", F.lit("days"))
+    one = archive.responses(spark, root, hosts=[ARCHIVED_HOST]).withColumn("part", F.lit("host"))
+    return late.unionByName(one).select("part", F.col("headers")["X-Page"].cast("long").alias("page_id"), "url", "host", F.col("day").cast("string").alias("day"), "status", F.md5("body").alias("body_md5"))
+
+
 def event_windows(spark: SparkSession, sf: str) -> DataFrame:
     return limits.windowed_events(spark.read.parquet(f"{sf}/events.parquet")).select(F.unix_millis(F.col("window_start").cast("timestamp")).alias("start_ms"), "event_type", "n_events")
 
@@ -280,7 +293,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         page_titles, page_text_stats, text_excerpts, page_links, page_keys, duplicate_pages, guarded_pages, check_results, category_scores, page_scores, page_metadata, priority_issues,
-        status_facets, checks_by_status, band_distribution, score_by_site, search_checks, checks_by_category, robots_verdicts, sitemap_membership, rate_limits, stored_sites, stored_checks, speed_metrics, speed_opportunities, fetch_gates, address_classes, address_networks, event_windows, ttl_purge, stage_events, full_reports,
+        status_facets, checks_by_status, band_distribution, score_by_site, search_checks, checks_by_category, robots_verdicts, sitemap_membership, rate_limits, stored_sites, stored_checks, speed_metrics, speed_opportunities, fetch_gates, archived_pages, address_classes, address_networks, event_windows, ttl_purge, stage_events, full_reports,
         labels, weight_table, detail_rows, )
 }
 
@@ -421,6 +434,8 @@ def oracle_sql() -> dict[str, str]:
             w AS (SELECT client_key, request_id, n, t, 1 AS c, t + {WINDOW_MS} AS r FROM e WHERE n = 1
               UNION ALL SELECT e.client_key, e.request_id, e.n, e.t, CASE WHEN w.r <= e.t THEN 1 ELSE w.c + 1 END, CASE WHEN w.r <= e.t THEN e.t + {WINDOW_MS} ELSE w.r END FROM w JOIN e ON e.client_key = w.client_key AND e.n = w.n + 1)
             SELECT client_key, request_id, c <= {LIMIT} AS allowed, CAST(greatest(0, {LIMIT} - c) AS INTEGER) AS remaining, r AS reset_ms, CAST(greatest(1, ceil((r - t) / 1000.0)) AS INTEGER) AS retry_after_s FROM w""",
+        "archived_pages": f"""WITH a AS (SELECT page_id, url, {HOST} AS host, CAST(DATE '2026-01-01' + CAST(page_id % 10 AS INTEGER) AS VARCHAR) AS day, 200 AS status, md5(html) AS body_md5 FROM pages)
+            SELECT 'days' AS part, * FROM a WHERE day >= '2026-01-08' UNION ALL SELECT 'host', * FROM a WHERE host = '{ARCHIVED_HOST}'""",
         "speed_metrics": """WITH p AS (SELECT page_id AS n, strlen(html)::DOUBLE AS size FROM pages WHERE page_id % 11 <> 0),
             m AS (SELECT n, 'lab' AS source, 'LCP' AS metric, size AS value, (n % 101) / 100.0::DOUBLE AS score, NULL AS category FROM p UNION ALL SELECT n, 'lab', 'CLS', (n % 60)::DOUBLE / 100, (n % 97) / 100.0::DOUBLE, NULL FROM p
               UNION ALL SELECT n, 'field', 'CLS', (n % 70)::DOUBLE, NULL, n % 4 FROM p UNION ALL SELECT n, 'field', 'LCP', (n * 13 % 7000)::DOUBLE, NULL, n % 4 FROM p)
