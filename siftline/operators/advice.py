@@ -109,5 +109,21 @@ FINDINGS: dict[str, tuple[str | None, str | None]] = {
 
 # Guides by slug, and labels with tones of statuses and severities.
 GUIDES = tuple(sorted({g for _, _, g in ADVICE.values() if g}))
+GUIDE_TITLES = (
+    ("title-tag", "What is a title tag?", "2026-01-10"), ("meta-description", "What is a meta description?", "2026-01-10"), ("h1-tag", "What is an H1 tag?", "2026-01-10"), ("canonical-url", "What is a canonical URL?", "2026-01-10"),
+    ("robots-txt", "What is robots.txt?", "2026-01-10"), ("xml-sitemap", "What is an XML sitemap?", "2026-01-10"), ("schema-markup", "What is schema markup?", "2026-01-10"), ("image-alt-text", "What is image alt text?", "2026-01-10"),
+)
 STATUS_LABELS = (("PASS", "Pass", "success"), ("WARNING", "Warning", "warning"), ("ERROR", "Error", "danger"), ("INFO", "Info", "info"), ("UNAVAILABLE", "Unavailable", "neutral"))
 SEVERITY_LABELS = (("CRITICAL", "Critical", "danger"), ("HIGH", "High priority", "danger"), ("MEDIUM", "Medium", "warning"), ("LOW", "Low", "warning"), ("INFO", "Informational", "neutral"))
+
+
+def guide_dim(spark):
+    """Guides as rows (guide, guide_title, updated)."""
+    return spark.createDataFrame(list(GUIDE_TITLES), "guide string, guide_title string, updated string")
+
+
+def with_guides(results):
+    """Check results with the title and date of the guide that explains them, if there is one; eight rows are broadcast."""
+    from pyspark.sql import functions as F
+
+    return results.join(F.broadcast(guide_dim(results.sparkSession)), "guide", "left")

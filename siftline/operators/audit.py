@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.html import with_facts
 from ..functions.urls import authority_of, scheme_of
+from ..sources.pages import kept_headers
 from . import checks  # noqa: F401  fills the registry
 from .advice import ADVICE
 from .registry import CHECKS
@@ -70,8 +71,7 @@ def context(pages: DataFrame, fetches: DataFrame | None = None, robots: DataFram
         df = with_facts(there.select("page_id", F.col("at.final_url").alias("url"), "html", F.col("at.url").alias("asked")), "asked")
         df = df.select("page_id", F.col("asked").alias("url"), F.col("url").alias("final_url"), "facts")
         df = joined(df, fetches.drop("final_url"), "fetch", FETCH, default_fetch())
-        lower = F.transform_keys("fetch.headers", lambda k, v: F.lower(k))
-        df = df.withColumn("fetch", F.col("fetch").withField("headers", lower))
+        df = df.withColumn("fetch", F.col("fetch").withField("headers", kept_headers(F.col("fetch.headers"))))
     df = joined(df, robots, "robots", ROBOTS, default_robots(strict))
     return joined(df, sitemaps, "sitemap", SITEMAP, default_sitemap(strict))
 

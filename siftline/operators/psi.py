@@ -89,11 +89,18 @@ def meter_position(value: Column, scale_max: Column) -> Column:
     return F.least(F.greatest(value / scale_max * 100.0, F.lit(0.0)), F.lit(100.0))
 
 
+def zones() -> list[Column]:
+    """good_width, fair_width and poor_width of a meter."""
+    good, fair = F.col("good") / F.col("scale_max") * 100, (F.col("fair") - F.col("good")) / F.col("scale_max") * 100
+    return [good.alias("good_width"), fair.alias("fair_width"), F.greatest(F.lit(0.0), F.lit(100.0) - good - fair).alias("poor_width")]
+
+
 def with_thresholds(found: DataFrame) -> DataFrame:
-    """Metrics (metric: short names) with their thresholds and the place on the meter; seven rows are broadcast."""
+    """Metrics (metric: short names) with their thresholds, the place on the meter and the widths of its
+    zones, all in percent of the scale; seven rows are broadcast."""
     spark = found.sparkSession
     dim = threshold_dim(spark).join(spark.createDataFrame(list(SHORT.items()), "metric string, short string"), "metric").drop("metric")
-    return found.join(F.broadcast(dim), F.col("metric") == F.col("short"), "left").drop("short").withColumn("place", meter_position(F.col("value"), F.col("scale_max")))
+    return found.join(F.broadcast(dim), F.col("metric") == F.col("short"), "left").drop("short").select("*", meter_position(F.col("value"), F.col("scale_max")).alias("place"), *zones())
 
 
 def bars(found: DataFrame) -> DataFrame:

@@ -71,5 +71,20 @@ def scoring_explanation(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "kind string, name string, value double")
 
 
+#: How a score comes about, in our own words.
+RULES = (
+    "A check belongs to one category, and a category is worth a fixed share of 100 points.",
+    "Within its category a check counts by its weight.",
+    "Passed checks and information cost nothing; a finding takes off a share of its check by its severity.",
+    "What could not be measured is left out and never counts against a page.",
+    "Categories are rounded before they are added, so that the parts add up to the total.",
+)
+
+
+def scoring_rules(spark: SparkSession) -> DataFrame:
+    """The rules as rows (ordinal, rule)."""
+    return spark.createDataFrame(list(enumerate(RULES)), "ordinal int, rule string")
+
+
 if sum(WEIGHTS.values()) != 100:
     raise ValueError("category weights must add up to 100")

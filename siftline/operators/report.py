@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .advice import GUIDES
 from .audit import Audit
-from .registry import DEDUCTIONS
+from .registry import CATEGORIES, DEDUCTIONS
 
 # The site's pages, how often they change and their priority; those of guides.
 ROUTES = (("/", "monthly", 1.0), ("/seo-checker", "monthly", 0.9), ("/how-it-works", "monthly", 0.8), ("/seo-guides", "monthly", 0.8), ("/about", "yearly", 0.5), ("/contact", "yearly", 0.4), ("/privacy", "yearly", 0.3), ("/terms", "yearly", 0.3))
@@ -45,6 +45,16 @@ def detail_rows(a: Audit, duration_ms: Column | None = None) -> DataFrame:
     return a.wide.select("page_id", F.posexplode(listed).alias("ordinal", "row")).select("page_id", F.col("ordinal").cast("long").alias("ordinal"), "row.label", "row.value")
 
 
+def weight_table(a: Audit) -> DataFrame:
+    """(page_id, ordinal, category, base, max_score, change, score): each category's base weight beside what it
+    counts in this audit, and last the total."""
+    row = lambda name, base, most, score: F.struct(F.lit(name).alias("category"), F.lit(base).cast("int").alias("base"), most.cast("int").alias("max_score"), (most - base).cast("int").alias("change"), score.cast("int").alias("score"))
+    own = lambda name, field: F.get(F.filter("category_scores", lambda c: c["category"] == name), 0)[field]
+    rows = [row(name, weight, own(name, "max_score"), own(name, "score")) for name, weight, _ in CATEGORIES]
+    rows.append(row("total", 100, F.lit(100), F.col("total")))
+    return a.wide.select("page_id", F.posexplode(F.array(*rows)).alias("ordinal", "r")).select("page_id", F.col("ordinal").cast("long").alias("ordinal"), "r.*")
+
+
 def deductions(spark: SparkSession) -> DataFrame:
     """The severities that take something off a check, as one line."""
     rows = spark.createDataFrame([(i, s, d) for i, (s, d) in enumerate(DEDUCTIONS)], "ordinal int, severity string, share double").filter("share > 0")

@@ -214,7 +214,7 @@ def _speed(spark: SparkSession, sf: str) -> DataFrame:
 
 def speed_metrics(spark: SparkSession, sf: str) -> DataFrame:
     told = psi.with_thresholds(psi.metrics(_speed(spark, sf)))
-    return told.select("page_id", "source", "metric", "value", "rating", "good", "fair", "place")
+    return told.select("page_id", "source", "metric", "value", "rating", "good", "fair", "place", "good_width", "fair_width", "poor_width")
 
 
 def speed_opportunities(spark: SparkSession, sf: str) -> DataFrame:
@@ -281,8 +281,20 @@ def labels(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def weight_table(spark: SparkSession, sf: str) -> DataFrame:
-    """Each audit's shares of the total beside the base weights."""
-    return _audit(spark, sf).categories.join(F.broadcast(reg.category_dim(spark)).select("category", F.col("category_weight").alias("base")), "category").select("page_id", "category", "base", "max_score", (F.col("max_score") - F.col("base")).alias("change"))
+    return report.weight_table(_audit(spark, sf))
+
+
+def guided_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """Warnings and errors with the guide that explains them."""
+    found = _audit(spark, sf).results.filter("status IN ('WARNING', 'ERROR')").select("page_id", "check_key", "guide")
+    return advice.with_guides(found).select("page_id", "check_key", "guide", "guide_title", "updated")
+
+
+def check_details(spark: SparkSession, sf: str) -> DataFrame:
+    """What lies behind some results: lengths, counts, and the first links."""
+    kind = "title string, length int, wordCount int, paragraphCount int, total int, `unique` int, nofollowed int, samples array<string>"
+    rows = _audit(spark, sf).results.filter("check_key IN ('title', 'word-count', 'internal-links')").select("page_id", "check_key", F.from_json("details", kind).alias("d"))
+    return rows.select("page_id", "check_key", "d.title", "d.length", F.col("d.wordCount").alias("words"), F.col("d.paragraphCount").alias("paragraphs"), "d.total", F.col("d.unique").alias("n_unique"), "d.nofollowed", F.size("d.samples").alias("n_samples"))
 
 
 def detail_rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -294,7 +306,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         page_titles, page_text_stats, text_excerpts, page_links, page_keys, duplicate_pages, guarded_pages, check_results, category_scores, page_scores, page_metadata, priority_issues,
         status_facets, checks_by_status, band_distribution, score_by_site, search_checks, checks_by_category, robots_verdicts, sitemap_membership, rate_limits, stored_sites, stored_checks, speed_metrics, speed_opportunities, fetch_gates, archived_pages, address_classes, address_networks, event_windows, ttl_purge, stage_events, full_reports,
-        labels, weight_table, detail_rows, )
+        labels, weight_table, guided_checks, check_details, detail_rows, )
 }
 
 
@@ -439,7 +451,7 @@ def oracle_sql() -> dict[str, str]:
         "speed_metrics": """WITH p AS (SELECT page_id AS n, strlen(html)::DOUBLE AS size FROM pages WHERE page_id % 11 <> 0),
             m AS (SELECT n, 'lab' AS source, 'LCP' AS metric, size AS value, (n % 101) / 100.0::DOUBLE AS score, NULL AS category FROM p UNION ALL SELECT n, 'lab', 'CLS', (n % 60)::DOUBLE / 100, (n % 97) / 100.0::DOUBLE, NULL FROM p
               UNION ALL SELECT n, 'field', 'CLS', (n % 70)::DOUBLE, NULL, n % 4 FROM p UNION ALL SELECT n, 'field', 'LCP', (n * 13 % 7000)::DOUBLE, NULL, n % 4 FROM p)
-            SELECT n AS page_id, source, metric, value, CASE WHEN source = 'lab' THEN CASE WHEN score >= 0.9 THEN 'good' WHEN score >= 0.5 THEN 'needs-improvement' ELSE 'poor' END ELSE ['good', 'needs-improvement', 'poor', 'unknown'][category + 1] END AS rating, good, fair, least(100.0::DOUBLE, value / scale * 100.0::DOUBLE) AS place
+            SELECT n AS page_id, source, metric, value, CASE WHEN source = 'lab' THEN CASE WHEN score >= 0.9 THEN 'good' WHEN score >= 0.5 THEN 'needs-improvement' ELSE 'poor' END ELSE ['good', 'needs-improvement', 'poor', 'unknown'][category + 1] END AS rating, good, fair, least(100.0::DOUBLE, value / scale * 100.0::DOUBLE) AS place, good / scale * 100 AS good_width, (fair - good) / scale * 100 AS fair_width, 100.0::DOUBLE - good / scale * 100 - (fair - good) / scale * 100 AS poor_width
             FROM m JOIN (VALUES ('LCP', 2500, 4000, 6000::DOUBLE), ('CLS', 10, 25, 50::DOUBLE)) t(metric, good, fair, scale) USING (metric)""",
         "speed_opportunities": """WITH o AS (SELECT page_id, 'save-' || k AS audit, (page_id * k * 37 % 1000)::DOUBLE AS savings_ms FROM pages, unnest(range(1, 9)) AS r(k) WHERE page_id % 11 <> 0 AND page_id * k * 37 % 1000 >= 50),
             r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY savings_ms DESC, audit)::INT AS rank FROM o)
@@ -460,7 +472,11 @@ def oracle_sql() -> dict[str, str]:
         "ttl_purge": "SELECT page_id, e AS expires_s FROM (SELECT page_id, 1767225600 + page_id * 60 + CASE WHEN page_id % 2 = 0 THEN 30 ELSE 60 END * 86400 AS e FROM pages) WHERE e >= 1767225600 + 40 * 86400",
         "stage_events": "SELECT page_id, ordinal, CASE WHEN ordinal = 0 THEN 'start' WHEN ordinal = 8 THEN 'result' ELSE 'stage' END AS type, " + "CASE WHEN ordinal BETWEEN 1 AND 7 THEN ['fetching', 'parsing', 'robots', 'sitemap', 'checks', 'scoring', 'done'][ordinal] END AS stage FROM pages, (SELECT unnest(range(0, 9)) AS ordinal)",
         "labels": f"{results}, n AS (SELECT status AS name, count(*) AS n FROM results GROUP BY 1) SELECT kind, name, label, tone, CASE WHEN kind = 'status' THEN coalesce(n, 0) ELSE 0 END AS n_results FROM (VALUES ('status', 'PASS', 'Pass', 'success'), ('status', 'WARNING', 'Warning', 'warning'), ('status', 'ERROR', 'Error', 'danger'), ('status', 'INFO', 'Info', 'info'), ('status', 'UNAVAILABLE', 'Unavailable', 'neutral'), ('severity', 'CRITICAL', 'Critical', 'danger'), ('severity', 'HIGH', 'High priority', 'danger'), ('severity', 'MEDIUM', 'Medium', 'warning'), ('severity', 'LOW', 'Low', 'warning'), ('severity', 'INFO', 'Informational', 'neutral')) v(kind, name, label, tone) LEFT JOIN n USING (name)",
-        "weight_table": f"{scores} SELECT page_id, category, max_score AS base, max_score, 0 AS change FROM scores",
+        "weight_table": f"{scores}, base AS (SELECT ordinal, category, category_weight FROM {_values([(i, *c) for i, c in enumerate(reg.CATEGORIES)], 'ordinal, category, category_weight, label')}) SELECT page_id, CAST(ordinal AS BIGINT) AS ordinal, category, category_weight AS base, max_score, max_score - category_weight AS change, score FROM scores JOIN base USING (category) UNION ALL SELECT page_id, 6, 'total', 100, 100, 0, total FROM totals",
+        "guided_checks": f"{results} SELECT page_id, check_key, guide, guide_title, CASE WHEN guide IS NOT NULL THEN '2026-01-10' END AS updated FROM results LEFT JOIN {_values([('title', 'title-tag', 'What is a title tag?'), ('meta-description', 'meta-description', 'What is a meta description?'), ('canonical', 'canonical-url', 'What is a canonical URL?')], 'check_key, guide, guide_title')} g USING (check_key) WHERE status IN ('WARNING', 'ERROR')",
+        "check_details": f"""WITH {FACTS}, one AS (SELECT *, len(list_distinct(hrefs)) AS n_links FROM facts)
+            SELECT page_id, 'title' AS check_key, title, length(title) AS length, NULL AS words, NULL AS paragraphs, NULL AS total, NULL AS n_unique, NULL AS nofollowed, NULL AS n_samples FROM one
+            UNION ALL SELECT page_id, 'word-count', NULL, NULL, words, paragraphs, NULL, NULL, NULL, NULL FROM one UNION ALL SELECT page_id, 'internal-links', NULL, NULL, NULL, NULL, len(hrefs), n_links, 0, least(10, n_links) FROM one""",
         "detail_rows": f"WITH {FACTS} SELECT page_id, k - 1 AS ordinal, labels[k] AS label, said[k] AS value FROM (SELECT page_id, ['Requested URL', 'Final URL', 'HTTP status', 'Redirects', 'Content type', 'Response size', 'Title', 'Meta description', 'Canonical', 'Language', 'Word count', 'Links', 'Images', 'Schema types'] AS labels, [url, url, '200', 'None', 'text/html; charset=utf-8', CAST(floor(html_bytes::DOUBLE / 1024 * 10 + 0.5) / 10 AS DECIMAL(18, 1)) || ' KB', title, 'Not present', 'Not present', lang, words || '', len(hrefs) || ' internal · 0 external', '0 total · 0 missing alt', 'None detected'] AS said, unnest(range(1, 15)) AS k FROM facts)",
         "full_reports": f"{scores} SELECT page_id, url, total, band, 26 AS n_checks, 6 AS n_categories, true AS explained FROM banded",
     }
