@@ -50,7 +50,7 @@ def test_every_page_has_26_results(done):
         assert r.severity == "INFO" or r.status in ("WARNING", "ERROR")
 
 
-@pytest.mark.parametrize("name", ["page_scores", "check_results", "priority_issues", "robots_verdicts", "sitemap_membership", "rate_limits", "page_links", "labels", "weight_table", "detail_rows", "full_reports", "search_checks", "stage_events", "stored_sites", "stored_checks", "address_classes", "address_networks", "speed_metrics", "speed_opportunities", "fetch_gates"])
+@pytest.mark.parametrize("name", ["page_scores", "check_results", "priority_issues", "robots_verdicts", "sitemap_membership", "rate_limits", "page_links", "labels", "weight_table", "detail_rows", "full_reports", "search_checks", "stage_events", "stored_sites", "stored_checks", "address_classes", "address_networks", "speed_metrics", "speed_opportunities", "fetch_gates", "guided_checks", "check_details", "archived_pages"])
 def test_against_sql(spark, name):
     sf = "/root/testdata/sf0.001"
     if not os.path.isdir(sf):

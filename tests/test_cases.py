@@ -4,6 +4,8 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from siftline.functions import sql as functions
+from siftline.functions import urls
 from siftline.operators.audit import audit
 from siftline.operators.registry import CHECKS
 from siftline.plans import cases
@@ -43,3 +45,25 @@ def test_every_finding_says_what_to_do(spark):
     missing, several = said["canonical", "No canonical address is declared."], said["canonical", "Several canonical addresses are declared."]
     assert missing.recommendation != several.recommendation and missing.code_example == '<link rel="canonical" href="https://example.com/page">' and several.code_example is None
     assert r.filter(F.col("status") == "PASS").filter("code_example IS NOT NULL").count() == 0
+
+
+URLS = ["https://www.Example.com/a/b//?x=1#y", "http://example.co.uk", "https://u:p@a.b.example.co.uk:8080/?", "https://[2001:db8::1]:80/x", "ftp://example.com/x", "example.com", "https://", "", None, "HTTP://EXAMPLE.ORG.//"]
+
+
+def test_sql_names_say_what_the_columns_say(spark):
+    functions.register(spark)
+    spark.createDataFrame(list(enumerate(URLS)), "i int, u string").createOrReplaceTempView("sql_urls")
+    u = F.col("u")
+    own = spark.table("sql_urls").select("i", urls.host_of(u), urls.path_of(u), urls.query_of(u), urls.registrable_domain(urls.host_of(u)), urls.canonical_key(u))
+    said = spark.sql("SELECT i, url_host(u), url_path(u), url_query(u), registrable_domain(url_host(u)), canonical_key(u) FROM sql_urls")
+    assert sorted(map(tuple, said.collect())) == sorted(map(tuple, own.collect()))
+    links = spark.sql("""SELECT * FROM html_links('<a href="/x">one</a><a href="https://b.org/">two</a>', 'https://a.org/')""").collect()
+    assert [(r.ordinal, r.resolved, r.kind, r.anchor_text) for r in links] == [(0, "https://a.org/x", "internal", "one"), (1, "https://b.org/", "external", "two")]
+
+
+def test_only_some_headers_are_kept(spark):
+    fetch = {"ok": True, "initial_status": 200, "final_status": 200, "redirects": [], "headers": {"X-Robots-Tag": "noindex", "Set-Cookie": "secret", "Content-Type": "text/html"}}
+    fetches = spark.createDataFrame([(1, *fetch.values())], "page_id long, ok boolean, initial_status int, final_status int, redirects array<struct<url:string,status:int,location:string>>, headers map<string,string>")
+    a = audit(spark.createDataFrame([(1, "https://a.org/", "<p>x</p>")], "page_id long, url string, html string"), fetches)
+    assert a.pages.select("fetch.headers").first()[0] == {"x-robots-tag": "noindex", "content-type": "text/html"}
+    assert a.results.filter("check_key = 'robots-meta'").first().value == "noindex"
