@@ -42,6 +42,8 @@ SAID = (
 )
 ROBOTS = "User-agent: *\nDisallow: /en/1\nDisallow: /*.html$\nAllow: /en/12\nDisallow: /es\n\nUser-agent: other\nDisallow: /"
 LIMIT, WINDOW_MS = 5, 3_600_000
+#: When events are worth a look: a jump to so many times the mean, so many errors in six hours.
+SPIKE, ERRORS = 2, 15
 ARCHIVED_HOST = "thther.example.org"
 #: When audits are stored, and when they are looked at.
 FIRST, LATER = "2026-01-01 10:00:00", "2026-02-10 10:00:00"
@@ -250,6 +252,16 @@ def event_windows(spark: SparkSession, sf: str) -> DataFrame:
     return limits.windowed_events(spark.read.parquet(f"{sf}/events.parquet")).select(F.unix_millis(F.col("window_start").cast("timestamp")).alias("start_ms"), "event_type", "n_events")
 
 
+def event_alerts(spark: SparkSession, sf: str) -> DataFrame:
+    """Events by type and six hours, with scores and durations; whether errors pass a limit, or any type jumps."""
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    rows = e.select("ts", "event_type", F.from_json("props", "k int")["k"].alias("score"), F.col("value").alias("duration"))
+    told = limits.spikes(limits.operations(rows, "6 hours"), SPIKE, 8)
+    high = limits.over_limit(told, {"error": ERRORS}).select("window_start", "event_type", F.lit(True).alias("over"))
+    told = told.join(high, ["window_start", "event_type"], "left")
+    return told.select(F.unix_millis(F.col("window_start").cast("timestamp")).alias("start_ms"), "event_type", "n_events", "sum_score", "max_duration", "spike", F.coalesce("over", F.lit(False)).alias("over_limit"))
+
+
 def ttl_purge(spark: SparkSession, sf: str) -> DataFrame:
     """Audits that arrive one a minute and live 30 days, as of 40 days after the first."""
     first = F.lit("2026-01-01 00:00:00").cast("timestamp")
@@ -305,7 +317,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         page_titles, page_text_stats, text_excerpts, page_links, page_keys, duplicate_pages, guarded_pages, check_results, category_scores, page_scores, page_metadata, priority_issues,
-        status_facets, checks_by_status, band_distribution, score_by_site, search_checks, checks_by_category, robots_verdicts, sitemap_membership, rate_limits, stored_sites, stored_checks, speed_metrics, speed_opportunities, fetch_gates, archived_pages, address_classes, address_networks, event_windows, ttl_purge, stage_events, full_reports,
+        status_facets, checks_by_status, band_distribution, score_by_site, search_checks, checks_by_category, robots_verdicts, sitemap_membership, rate_limits, stored_sites, stored_checks, speed_metrics, speed_opportunities, fetch_gates, archived_pages, address_classes, address_networks, event_windows, event_alerts, ttl_purge, stage_events, full_reports,
         labels, weight_table, guided_checks, check_details, detail_rows, )
 }
 
@@ -469,6 +481,8 @@ def oracle_sql() -> dict[str, str]:
             met AS (SELECT event_id, network, s_suppkey, row_number() OVER (PARTITION BY event_id ORDER BY bits DESC, network, s_suppkey) AS r FROM a JOIN named ON four = v4 AND CASE WHEN four THEN n >> (32 - bits) = base >> (32 - bits) ELSE g0 >> (16 - bits) = base >> (16 - bits) END)
             SELECT event_id, address, network, s_suppkey FROM a LEFT JOIN (SELECT * FROM met WHERE r = 1) USING (event_id)""",
         "event_windows": "SELECT CAST(floor(epoch_ms(ts) / 3600000.0) AS BIGINT) * 3600000 AS start_ms, event_type, count(*) AS n_events FROM events GROUP BY 1, 2",
+        "event_alerts": f"""WITH w AS (SELECT CAST(floor(epoch_ms(ts) / 21600000.0) AS BIGINT) * 21600000 AS start_ms, event_type, count(*) AS n_events, CAST(sum(CAST(props->>'k' AS INTEGER)) AS BIGINT) AS sum_score, max(value) AS max_duration FROM events GROUP BY 1, 2)
+            SELECT *, coalesce(n_events * count(*) OVER b > {SPIKE} * sum(n_events) OVER b, false) AS spike, event_type = 'error' AND n_events >= {ERRORS} AS over_limit FROM w WINDOW b AS (PARTITION BY event_type ORDER BY start_ms ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING)""",
         "ttl_purge": "SELECT page_id, e AS expires_s FROM (SELECT page_id, 1767225600 + page_id * 60 + CASE WHEN page_id % 2 = 0 THEN 30 ELSE 60 END * 86400 AS e FROM pages) WHERE e >= 1767225600 + 40 * 86400",
         "stage_events": "SELECT page_id, ordinal, CASE WHEN ordinal = 0 THEN 'start' WHEN ordinal = 8 THEN 'result' ELSE 'stage' END AS type, " + "CASE WHEN ordinal BETWEEN 1 AND 7 THEN ['fetching', 'parsing', 'robots', 'sitemap', 'checks', 'scoring', 'done'][ordinal] END AS stage FROM pages, (SELECT unnest(range(0, 9)) AS ordinal)",
         "labels": f"{results}, n AS (SELECT status AS name, count(*) AS n FROM results GROUP BY 1) SELECT kind, name, label, tone, CASE WHEN kind = 'status' THEN coalesce(n, 0) ELSE 0 END AS n_results FROM (VALUES ('status', 'PASS', 'Pass', 'success'), ('status', 'WARNING', 'Warning', 'warning'), ('status', 'ERROR', 'Error', 'danger'), ('status', 'INFO', 'Info', 'info'), ('status', 'UNAVAILABLE', 'Unavailable', 'neutral'), ('severity', 'CRITICAL', 'Critical', 'danger'), ('severity', 'HIGH', 'High priority', 'danger'), ('severity', 'MEDIUM', 'Medium', 'warning'), ('severity', 'LOW', 'Low', 'warning'), ('severity', 'INFO', 'Informational', 'neutral')) v(kind, name, label, tone) LEFT JOIN n USING (name)",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -69,3 +69,23 @@ def windowed_events(events: DataFrame, length: str = "1 hour", late: str = "10 m
     return events.withWatermark("ts", late).groupBy(F.window("ts", length), "event_type").agg(F.count(F.lit(1)).alias("n_events")).select(F.col("window.start").alias("window_start"), "event_type", "n_events")
 
 
+def operations(events: DataFrame, length: str = "1 hour", late: str = "10 minutes") -> DataFrame:
+    """Events (ts, event_type, score, duration; the last two may be null) by type and window: how many, the
+    sum of their scores and the longest duration. For batch and stream alike."""
+    rows = events.withWatermark("ts", late).groupBy(F.window("ts", length), "event_type")
+    told = rows.agg(F.count(F.lit(1)).alias("n_events"), F.count("score").alias("n_scores"), F.sum("score").alias("sum_score"), F.max("duration").alias("max_duration"))
+    return told.select(F.col("window.start").alias("window_start"), "event_type", "n_events", "n_scores", "sum_score", "max_duration")
+
+
+def over_limit(windows: DataFrame, limits: dict[str, int]) -> DataFrame:
+    """Windows in which a type occurred as often as its limit (1: never should), or oftener; for batch and stream."""
+    limit = F.coalesce(*[F.when(F.col("event_type") == k, F.lit(n)) for k, n in limits.items()], F.lit(None).cast("int"))
+    return windows.filter(F.col("n_events") >= limit)
+
+
+def spikes(windows: DataFrame, factor: int = 3, back: int = 24) -> DataFrame:
+    """windows with spike: more than factor times the mean of the type's last back windows (which there must
+    be one of). A type has one row for each window, so its rows are few."""
+    before = Window.partitionBy("event_type").orderBy("window_start").rowsBetween(-back, -1)
+    told = windows.withColumn("_sum", F.sum("n_events").over(before)).withColumn("_n", F.count(F.lit(1)).over(before))
+    return told.withColumn("spike", F.coalesce(F.col("n_events") * F.col("_n") > F.col("_sum") * factor, F.lit(False))).drop("_sum", "_n")

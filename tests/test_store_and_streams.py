@@ -151,3 +151,15 @@ def test_routes_and_cache(spark):
 def test_client_keys(spark):
     df = spark.createDataFrame([({"x-forwarded-for": " 1.1.1.1 , 2.2.2.2"},), ({"x-real-ip": " "},), ({"cf-connecting-ip": "3.3.3.3", "x-real-ip": "4.4.4.4"},)], "h map<string,string>")
     assert [r[0] for r in df.select(ratelimit.client_key(F.col("h"))).collect()] == ["1.1.1.1", "unknown-client", "3.3.3.3"]
+
+
+def test_alerts_of_a_stream(spark, tmp_path):
+    """Windows close as the watermark passes them; one type may never occur, another only so often."""
+    t = lambda m: datetime(2026, 1, 1) + timedelta(minutes=m)
+    rows = [[("crash", t(5), 1, 2.0), ("limited", t(6), None, None)], [("limited", t(7), 3, 4.0), ("limited", t(65), 1, 1.0), ("done", t(66), 90, 0.5)], [("done", t(600), 1, 1.0)]]
+    events = _stream(spark, tmp_path, rows, "event_type string, ts timestamp, score int, duration double")
+    _run(limits.over_limit(limits.operations(events), {"crash": 1, "limited": 2}), "alerts")
+    got = {(r.event_type, r.window_start.hour): (r.n_events, r.n_scores, r.sum_score, r.max_duration) for r in spark.table("alerts").collect()}
+    assert got == {("crash", 0): (1, 1, 1, 2.0), ("limited", 0): (2, 1, 3, 4.0)}
+    counts = spark.createDataFrame([(t(60 * i), "a", n) for i, n in enumerate((5, 5, 40, 5))], "window_start timestamp, event_type string, n_events long")
+    assert [r.spike for r in limits.spikes(counts).orderBy("window_start").collect()] == [False, False, True, False]
