@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import SPACE_CHARS
+from ..functions.ip import let
+from ..functions.text import SPACE_CHARS, trimmed
 from ..functions.urls import is_web, path_of, query_of
 from .responses import text_fetches
+from .scoring import settled
 
 AGENT = "siftlinebot"
 # Directives that are known, and of these the ones without effect.
 KNOWN = frozenset(("user-agent", "allow", "disallow", "sitemap", "crawl-delay", "host", "clean-param", "request-rate", "visit-time"))
 NO_EFFECT = frozenset(("crawl-delay", "host", "clean-param", "request-rate", "visit-time"))
-GROUP = "struct<user_agents:array<string>,allow:array<string>,disallow:array<string>>"
-PARSED = f"groups array<{GROUP}>, sitemaps array<string>, has_unknown boolean"
 
 
 def parse(text: str | None) -> dict:
@@ -47,15 +46,39 @@ def parse(text: str | None) -> dict:
     return {"groups": groups, "sitemaps": sitemaps, "has_unknown": odd}
 
 
-def parsed(docs: DataFrame, text: str = "body") -> DataFrame:
-    """docs with groups, sitemaps and has_unknown."""
-    from pyspark.sql.functions import pandas_udf
+def _line(text: Column) -> Column:
+    """A line's directive in lower case, its value, and whether it has a colon."""
+    return let(F.substring_index(text, "#", 1), lambda t: F.struct(F.lower(trimmed(F.substring_index(t, ":", 1))).alias("name"), trimmed(F.substring(t, F.locate(":", t) + 1, F.length(t))).alias("value"), t.contains(":").alias("colon")))
+
+
+def _groups(lines: Column) -> Column:
+    """The groups of lines that name agents or give rules: one for each run of agents and the rules after it."""
+    is_agent = lambda x: x["name"] == "user-agent"
+    # a group starts where an agent is named and none was just before
+    first = lambda i: F.element_at(lines, i)
+    places = F.when(F.size(lines) > 0, F.sequence(F.lit(1), F.size(lines))).otherwise(F.array().cast("array<int>"))
+    starts = F.filter(places, lambda i: is_agent(first(i)) & ((i == 1) | ~is_agent(first(F.greatest(i - 1, F.lit(1))))))
+
+    def group(part: Column) -> Column:
+        values = lambda name: F.transform(F.filter(part, lambda x: x["name"] == name), lambda x: x["value"])
+        agents = F.transform(F.filter(values("user-agent"), lambda v: v != ""), F.lower)
+        return F.struct(agents.alias("user_agents"), values("allow").alias("allow"), values("disallow").alias("disallow"))
 
-    @pandas_udf(PARSED)
-    def run(t: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([parse(x) for x in t], columns=["groups", "sitemaps", "has_unknown"])
+    return let(starts, lambda at: F.transform(at, lambda s, k: let(F.slice(lines, s, F.coalesce(F.get(at, k + 1), F.size(lines) + 1) - s), group)))
 
-    return docs.withColumn("_p", run(F.col(text))).select("*", "_p.*").drop("_p")
+
+def _parsed(lines: Column) -> Column:
+    acting = F.filter(lines, lambda x: x["colon"] & x["name"].isin("user-agent", "allow", "disallow"))
+    odd = F.exists(lines, lambda x: F.when(x["colon"], ~x["name"].isin(*sorted(KNOWN))).otherwise(x["name"] != ""))
+    maps = F.transform(F.filter(lines, lambda x: x["colon"] & (x["name"] == "sitemap") & (x["value"] != "")), lambda x: x["value"])
+    # a rule before any agent belongs to no group
+    return let(acting, lambda a: F.struct(_groups(a).alias("groups"), maps.alias("sitemaps"), (odd | F.coalesce(F.get(a, 0)["name"] != "user-agent", F.lit(False))).alias("has_unknown")))
+
+
+def parsed(docs: DataFrame, text: str = "body") -> DataFrame:
+    """docs with groups, sitemaps and has_unknown, as parse() reads them."""
+    lines = F.transform(F.split(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "\r\n", "\n"), "\n"), _line)
+    return settled(docs, _p=let(lines, _parsed)).select("*", "_p.*").drop("_p")
 
 
 def group_for(groups: Column, agent: str = AGENT) -> Column:

@@ -49,6 +49,16 @@ def test_joined_rules_equal_a_plain_reading(spark, seed):
     assert {r.page_id: r.matched_rule for r in row.collect()} == {i: r for i, (_, r) in want.items()}
 
 
+def test_columns_parse_like_the_plain_reader(spark):
+    rng = random.Random(7)
+    line = lambda: rng.choice(["User-agent: *", "user-agent: A", "User-Agent:", "USER-AGENT : b # c", "Allow: /x", "Disallow:", "disallow: /y:z # no", "Sitemap: https://a/s.xml", "sitemap:", "Crawl-delay: 3", "Host: a", "nonsense", "odd: 1", "# note", "", "  ", ":", "\u00a0Allow: /é\u00a0", "Allow"])
+    texts = [rng.choice(["\n", "\r\n"]).join(line() for _ in range(rng.randrange(12))) for _ in range(200)] + ["", None, "Allow: /", "\r", "User-agent: a\nDisallow: /" + "x" * 100_000]
+    df = robots.parsed(spark.createDataFrame(list(enumerate(texts)), "i int, body string"))
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+    got = {r.i: {"groups": [g.asDict() for g in r.groups], "sitemaps": r.sitemaps, "has_unknown": r.has_unknown} for r in df.collect()}
+    assert got == {i: robots.parse(t) for i, t in enumerate(texts)}
+
+
 def test_ten_thousand_rules_on_one_origin(spark):
     """A path meets the rules that begin it, not all; the plan has no join without a key."""
     rules = [f"/s{i % 100}/p{i}" for i in range(10_000)]
