@@ -16,9 +16,9 @@ FUNCTIONS = {
     "severity_deduction": ("s STRING", "DOUBLE", "CASE s WHEN 'CRITICAL' THEN 1.0D WHEN 'HIGH' THEN 0.7D WHEN 'MEDIUM' THEN 0.4D WHEN 'LOW' THEN 0.15D ELSE 0.0D END"),
     "earned_fraction": ("status STRING, severity STRING", "DOUBLE", "CASE WHEN status = 'UNAVAILABLE' THEN NULL WHEN status IN ('WARNING', 'ERROR') THEN 1.0D - CASE severity WHEN 'CRITICAL' THEN 1.0D WHEN 'HIGH' THEN 0.7D WHEN 'MEDIUM' THEN 0.4D WHEN 'LOW' THEN 0.15D ELSE 0.0D END ELSE 1.0D END"),
     "band_for": ("total INT", "STRING", "CASE WHEN total >= 90 THEN 'excellent' WHEN total >= 75 THEN 'good' WHEN total >= 50 THEN 'needs-improvement' ELSE 'significant-issues' END"),
-    "url_host": ("u STRING", "STRING", r"lower(regexp_extract(regexp_replace(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), '^.*@', ''), '^(\[[^\]]*\]|[^:]*)', 1))"),
+    "url_host": ("u STRING", "STRING", r"lower(regexp_extract(regexp_replace(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), '^.*@', ''), '^(\\[[^\\]]*\\]|[^:]*)', 1))"),
     "url_path": ("u STRING", "STRING", r"coalesce(nullif(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), ''), CASE WHEN u IS NOT NULL THEN '/' END)"),
-    "url_query": ("u STRING", "STRING", r"CASE regexp_extract(u, '^[^?#]*(\?[^#]*)', 1) WHEN '?' THEN '' ELSE regexp_extract(u, '^[^?#]*(\?[^#]*)', 1) END"),
+    "url_query": ("u STRING", "STRING", r"CASE regexp_extract(u, '^[^?#]*([?][^#]*)', 1) WHEN '?' THEN '' ELSE regexp_extract(u, '^[^?#]*([?][^#]*)', 1) END"),
     "registrable_domain": ("h STRING", "STRING", rf"CASE WHEN size(split(regexp_replace(lower(h), '[.]$', ''), '[.]')) <= 2 THEN regexp_replace(lower(h), '[.]$', '') WHEN substring_index(regexp_replace(lower(h), '[.]$', ''), '.', -2) IN ({_SUFFIXES}) THEN substring_index(regexp_replace(lower(h), '[.]$', ''), '.', -3) ELSE substring_index(regexp_replace(lower(h), '[.]$', ''), '.', -2) END"),
     "canonical_key": ("u STRING", "STRING", r"CASE WHEN u RLIKE '^[Hh][Tt][Tt][Pp][Ss]?://[^/?#]' AND url_host(u) <> '' THEN concat(strip_www(url_host(u)), CASE WHEN length(url_path(u)) > 1 THEN regexp_replace(url_path(u), '/+$', '') ELSE '/' END, url_query(u)) END"),
     "looks_like_url": ("v STRING", "BOOLEAN", r"coalesce(trim(v) RLIKE '^([hH][tT][tT][pP][sS]?://)?([^\\s/?#@:]*[.][^\\s/?#@:]*)(:[0-9]*)?([/?#]\\S*)?$', false)"),
