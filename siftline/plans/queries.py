@@ -196,7 +196,7 @@ def address_networks(spark: SparkSession, sf: str) -> DataFrame:
     s = spark.read.parquet(f"{sf}/supplier.parquet")
     four = s.select(F.concat(quad_of((k * 40503 * 65536 + k) % 4294967296), F.lit("/"), (k % 11).cast("string")).alias("network"), "s_suppkey")
     six = s.select(F.concat(F.lower(F.hex((k * 52711) % 65536)), F.lit("::/"), (k % 13).cast("string")).alias("network"), "s_suppkey")
-    return in_networks(_addresses(spark, sf), "address", four.unionByName(six)).select("event_id", "address", "network", "s_suppkey")
+    return in_networks(_addresses(spark, sf), "address", four.unionByName(six)).select("event_id", "address", "network", F.coalesce("s_suppkey", F.lit(-1)).alias("s_suppkey"))
 
 
 def _speed(spark: SparkSession, sf: str) -> DataFrame:
@@ -233,7 +233,7 @@ def fetch_gates(spark: SparkSession, sf: str) -> DataFrame:
     )
     lost = responses.failures(fetches).select("page_id", "error_code", "http_status")
     none = F.lit(None)
-    return responses.auditable(fetches).select("page_id", none.cast("string").alias("error_code"), none.cast("int").alias("http_status")).unionByName(lost)
+    return responses.auditable(fetches).select("page_id", none.cast("string").alias("error_code"), F.lit(200).alias("http_status")).unionByName(lost)
 
 
 def archived_pages(spark: SparkSession, sf: str) -> DataFrame:
@@ -306,7 +306,7 @@ def check_details(spark: SparkSession, sf: str) -> DataFrame:
     """What lies behind some results: lengths, counts, and the first links."""
     kind = "title string, length int, wordCount int, paragraphCount int, total int, `unique` int, nofollowed int, samples array<string>"
     rows = _audit(spark, sf).results.filter("check_key IN ('title', 'word-count', 'internal-links')").select("page_id", "check_key", F.from_json("details", kind).alias("d"))
-    return rows.select("page_id", "check_key", "d.title", "d.length", F.col("d.wordCount").alias("words"), F.col("d.paragraphCount").alias("paragraphs"), "d.total", F.col("d.unique").alias("n_unique"), "d.nofollowed", F.size("d.samples").alias("n_samples"))
+    return rows.select("page_id", "check_key", "d.title", *[F.coalesce(F.col(f"d.{x}"), F.lit(-1)).alias(name) for x, name in (("length", "length"), ("wordCount", "words"), ("paragraphCount", "paragraphs"), ("total", "total"), ("unique", "n_unique"), ("nofollowed", "nofollowed"))], F.coalesce(F.size("d.samples"), F.lit(-1)).alias("n_samples"))
 
 
 def detail_rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -470,7 +470,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT page_id, rank, audit, savings_ms, 'See docs first.' AS description, greatest(4, floor(savings_ms / max(savings_ms) OVER (PARTITION BY page_id) * 100 + 0.5))::INT AS width FROM r WHERE rank <= 6""",
         "fetch_gates": """WITH f AS (SELECT page_id, [200, 404, 200, 500, 301, NULL, 200][page_id % 7 + 1] AS status, page_id % 5 AS b, page_id % 4 AS t, page_id % 10 AS e, page_id % 6 AS s FROM pages),
             g AS (SELECT page_id, CASE WHEN e = 5 THEN 'TIMEOUT' WHEN s = 4 THEN 'DNS_FAILURE' WHEN e = 9 THEN 'CONNECTION_FAILED' WHEN t = 1 THEN 'UNSUPPORTED_CONTENT_TYPE' WHEN status >= 400 AND b IN (0, 1) THEN 'HTTP_ERROR' WHEN b = 1 THEN 'UNSUPPORTED_CONTENT_TYPE' END AS error_code FROM f)
-            SELECT page_id, error_code, CASE error_code WHEN 'TIMEOUT' THEN 504 WHEN 'UNSUPPORTED_CONTENT_TYPE' THEN 422 ELSE CASE WHEN error_code IS NOT NULL THEN 502 END END AS http_status FROM g""",
+            SELECT page_id, error_code, CASE error_code WHEN 'TIMEOUT' THEN 504 WHEN 'UNSUPPORTED_CONTENT_TYPE' THEN 422 ELSE CASE WHEN error_code IS NOT NULL THEN 502 ELSE 200 END END AS http_status FROM g""",
         "stored_sites": f"{scores} SELECT {SITE} AS site, count(*) AS n_pages, CAST(sum(total) AS BIGINT) AS sum_total, min(total) AS min_total, max(total) AS max_total, count(DISTINCT {HOST}) AS n_hosts, count(DISTINCT {KEY}) AS n_keys, true AS hosts_near, true AS keys_near FROM banded WHERE page_id % 2 = 1 GROUP BY 1",
         "stored_checks": f"{results} SELECT check_key, status, count(*) AS n_pages FROM results WHERE page_id % 2 = 1 GROUP BY 1, 2",
         "address_classes": f"""{addresses} SELECT event_id, address, CASE WHEN four THEN NOT ({inside}) ELSE NOT (g0 BETWEEN 64512 AND 65023 OR g0 BETWEEN 65152 AND 65215 OR g0 >= 65280 OR g0 = 256 AND g1 = 0
@@ -479,7 +479,7 @@ def oracle_sql() -> dict[str, str]:
         "address_networks": f"""{addresses}, nets AS (SELECT s_suppkey, (s_suppkey * 40503 * 65536 + s_suppkey) % 4294967296 AS base, s_suppkey % 11 AS bits, true AS v4 FROM supplier UNION ALL SELECT s_suppkey, (s_suppkey * 52711) % 65536, s_suppkey % 13, false FROM supplier),
             named AS (SELECT *, CASE WHEN v4 THEN concat_ws('.', base >> 24, (base >> 16) & 255, (base >> 8) & 255, base & 255) || '/' || bits ELSE lower(to_hex(base)) || '::/' || bits END AS network FROM nets),
             met AS (SELECT event_id, network, s_suppkey, row_number() OVER (PARTITION BY event_id ORDER BY bits DESC, network, s_suppkey) AS r FROM a JOIN named ON four = v4 AND CASE WHEN four THEN n >> (32 - bits) = base >> (32 - bits) ELSE g0 >> (16 - bits) = base >> (16 - bits) END)
-            SELECT event_id, address, network, s_suppkey FROM a LEFT JOIN (SELECT * FROM met WHERE r = 1) USING (event_id)""",
+            SELECT event_id, address, network, coalesce(s_suppkey, -1) AS s_suppkey FROM a LEFT JOIN (SELECT * FROM met WHERE r = 1) USING (event_id)""",
         "event_windows": "SELECT CAST(floor(epoch_ms(ts) / 3600000.0) AS BIGINT) * 3600000 AS start_ms, event_type, count(*) AS n_events FROM events GROUP BY 1, 2",
         "event_alerts": f"""WITH w AS (SELECT CAST(floor(epoch_ms(ts) / 21600000.0) AS BIGINT) * 21600000 AS start_ms, event_type, count(*) AS n_events, CAST(sum(CAST(props->>'k' AS INTEGER)) AS BIGINT) AS sum_score, max(value) AS max_duration FROM events GROUP BY 1, 2)
             SELECT *, coalesce(n_events * count(*) OVER b > {SPIKE} * sum(n_events) OVER b, false) AS spike, event_type = 'error' AND n_events >= {ERRORS} AS over_limit FROM w WINDOW b AS (PARTITION BY event_type ORDER BY start_ms ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING)""",
@@ -489,8 +489,8 @@ def oracle_sql() -> dict[str, str]:
         "weight_table": f"{scores}, base AS (SELECT ordinal, category, category_weight FROM {_values([(i, *c) for i, c in enumerate(reg.CATEGORIES)], 'ordinal, category, category_weight, label')}) SELECT page_id, CAST(ordinal AS BIGINT) AS ordinal, category, category_weight AS base, max_score, max_score - category_weight AS change, score FROM scores JOIN base USING (category) UNION ALL SELECT page_id, 6, 'total', 100, 100, 0, total FROM totals",
         "guided_checks": f"{results} SELECT page_id, check_key, guide, guide_title, CASE WHEN guide IS NOT NULL THEN '2026-01-10' END AS updated FROM results LEFT JOIN {_values([('title', 'title-tag', 'What is a title tag?'), ('meta-description', 'meta-description', 'What is a meta description?'), ('canonical', 'canonical-url', 'What is a canonical URL?')], 'check_key, guide, guide_title')} g USING (check_key) WHERE status IN ('WARNING', 'ERROR')",
         "check_details": f"""WITH {FACTS}, one AS (SELECT *, len(list_distinct(hrefs)) AS n_links FROM facts)
-            SELECT page_id, 'title' AS check_key, title, length(title) AS length, NULL AS words, NULL AS paragraphs, NULL AS total, NULL AS n_unique, NULL AS nofollowed, NULL AS n_samples FROM one
-            UNION ALL SELECT page_id, 'word-count', NULL, NULL, words, paragraphs, NULL, NULL, NULL, NULL FROM one UNION ALL SELECT page_id, 'internal-links', NULL, NULL, NULL, NULL, len(hrefs), n_links, 0, least(10, n_links) FROM one""",
+            SELECT page_id, 'title' AS check_key, title, length(title) AS length, -1 AS words, -1 AS paragraphs, -1 AS total, -1 AS n_unique, -1 AS nofollowed, -1 AS n_samples FROM one
+            UNION ALL SELECT page_id, 'word-count', NULL, -1, words, paragraphs, -1, -1, -1, -1 FROM one UNION ALL SELECT page_id, 'internal-links', NULL, -1, -1, -1, len(hrefs), n_links, 0, least(10, n_links) FROM one""",
         "detail_rows": f"WITH {FACTS} SELECT page_id, k - 1 AS ordinal, labels[k] AS label, said[k] AS value FROM (SELECT page_id, ['Requested URL', 'Final URL', 'HTTP status', 'Redirects', 'Content type', 'Response size', 'Title', 'Meta description', 'Canonical', 'Language', 'Word count', 'Links', 'Images', 'Schema types'] AS labels, [url, url, '200', 'None', 'text/html; charset=utf-8', CAST(floor(html_bytes::DOUBLE / 1024 * 10 + 0.5) / 10 AS DECIMAL(18, 1)) || ' KB', title, 'Not present', 'Not present', lang, words || '', len(hrefs) || ' internal · 0 external', '0 total · 0 missing alt', 'None detected'] AS said, unnest(range(1, 15)) AS k FROM facts)",
         "full_reports": f"{scores} SELECT page_id, url, total, band, 26 AS n_checks, 6 AS n_categories, true AS explained FROM banded",
     }
