@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import sql as functions
 from ..functions.html import with_facts
 from ..functions.ip import classified, in_networks, quad_of
 from ..functions.urls import canonical_key, display_url, guard, host_of, registrable_domain
@@ -248,6 +249,12 @@ def archived_pages(spark: SparkSession, sf: str) -> DataFrame:
     return late.unionByName(one).select("part", F.col("headers")["X-Page"].cast("long").alias("page_id"), "url", "host", F.col("day").cast("string").alias("day"), "status", F.md5("body").alias("body_md5"))
 
 
+def sql_names(spark: SparkSession, sf: str) -> DataFrame:
+    """The pages' addresses by the functions' SQL names."""
+    functions.register(spark)
+    return spark.sql("SELECT page_id, url_guard(url) AS refused, canonical_key(url) AS canonical_key, registrable_domain(url_host(url)) AS site, looks_like_url(url) AS looks FROM {pages}", pages=pages(spark, sf))
+
+
 def event_windows(spark: SparkSession, sf: str) -> DataFrame:
     return limits.windowed_events(spark.read.parquet(f"{sf}/events.parquet")).select(F.unix_millis(F.col("window_start").cast("timestamp")).alias("start_ms"), "event_type", "n_events")
 
@@ -317,7 +324,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         page_titles, page_text_stats, text_excerpts, page_links, page_keys, duplicate_pages, guarded_pages, check_results, category_scores, page_scores, page_metadata, priority_issues,
-        status_facets, checks_by_status, band_distribution, score_by_site, search_checks, checks_by_category, robots_verdicts, sitemap_membership, rate_limits, stored_sites, stored_checks, speed_metrics, speed_opportunities, fetch_gates, archived_pages, address_classes, address_networks, event_windows, event_alerts, ttl_purge, stage_events, full_reports,
+        status_facets, checks_by_status, band_distribution, score_by_site, search_checks, checks_by_category, robots_verdicts, sitemap_membership, rate_limits, stored_sites, stored_checks, speed_metrics, speed_opportunities, fetch_gates, archived_pages, sql_names, address_classes, address_networks, event_windows, event_alerts, ttl_purge, stage_events, full_reports,
         labels, weight_table, guided_checks, check_details, detail_rows, )
 }
 
@@ -460,6 +467,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT client_key, request_id, c <= {LIMIT} AS allowed, CAST(greatest(0, {LIMIT} - c) AS INTEGER) AS remaining, r AS reset_ms, CAST(greatest(1, ceil((r - t) / 1000.0)) AS INTEGER) AS retry_after_s FROM w""",
         "archived_pages": f"""WITH a AS (SELECT page_id, url, {HOST} AS host, CAST(DATE '2026-01-01' + CAST(page_id % 10 AS INTEGER) AS VARCHAR) AS day, 200 AS status, md5(html) AS body_md5 FROM pages)
             SELECT 'days' AS part, * FROM a WHERE day >= '2026-01-08' UNION ALL SELECT 'host', * FROM a WHERE host = '{ARCHIVED_HOST}'""",
+        "sql_names": f"SELECT page_id, CAST(NULL AS VARCHAR) AS refused, {KEY} AS canonical_key, {SITE} AS site, true AS looks FROM pages",
         "speed_metrics": """WITH p AS (SELECT page_id AS n, strlen(html)::DOUBLE AS size FROM pages WHERE page_id % 11 <> 0),
             m AS (SELECT n, 'lab' AS source, 'LCP' AS metric, size AS value, (n % 101) / 100.0::DOUBLE AS score, NULL AS category FROM p UNION ALL SELECT n, 'lab', 'CLS', (n % 60)::DOUBLE / 100, (n % 97) / 100.0::DOUBLE, NULL FROM p
               UNION ALL SELECT n, 'field', 'CLS', (n % 70)::DOUBLE, NULL, n % 4 FROM p UNION ALL SELECT n, 'field', 'LCP', (n * 13 % 7000)::DOUBLE, NULL, n % 4 FROM p)

@@ -61,6 +61,16 @@ def test_sql_names_say_what_the_columns_say(spark):
     assert [(r.ordinal, r.resolved, r.kind, r.anchor_text) for r in links] == [(0, "https://a.org/x", "internal", "one"), (1, "https://b.org/", "external", "two")]
 
 
+def test_the_guard_by_its_sql_name(spark):
+    functions.register(spark)
+    hosts = ["8.8.8.8", "10.0.0.1", "[::1]", "[2606:4700::1111]", "[::ffff:8.8.8.8]", "[::ffff:10.0.0.1]", "[64:ff9b::8.8.8.8]", "[2002:a00:1::]", "[fe80::1]", "[1::2::3]", "[:::]", "[::1.2.3]", "[1:2:3:4:5:6:7:8]", "[1:2:3]", "127.1", "0x08080808", "0x7f.1", "010.8.8.8", "08.1.1.1", "256.1", "1.16777216", "99999999999999999999999", "4294967295", "134744072", "a.example.com", "localhost", "x.localhost", "printer.local", "single", "metadata.goog", "a.test.", "example.com.", "1.2.3.4.5", "u@example.com", "example.com:8080", "example.com:80", "ex ample.com", "ex%61mple.com"]
+    given = [f"http://{h}/x" for h in hosts] + hosts + list(cases.URLS_TYPED) + [" example.com\u00a0", "x" * 2050, None, "https://", "http://?"]
+    spark.createDataFrame(list(enumerate(given)), "i int, t string").createOrReplaceTempView("typed_here")
+    got = {r.i: r.code for r in spark.sql("SELECT i, url_guard(t) AS code FROM typed_here").collect()}
+    want = {r.i: r.code for r in spark.table("typed_here").select("i", urls.guard(F.col("t"))["code"].alias("code")).collect()}
+    assert {given[i]: c for i, c in got.items()} == {given[i]: c for i, c in want.items()} and len(set(want.values())) == 3
+
+
 def test_only_some_headers_are_kept(spark):
     fetch = {"ok": True, "initial_status": 200, "final_status": 200, "redirects": [], "headers": {"X-Robots-Tag": "noindex", "Set-Cookie": "secret", "Content-Type": "text/html"}}
     fetches = spark.createDataFrame([(1, *fetch.values())], "page_id long, ok boolean, initial_status int, final_status int, redirects array<struct<url:string,status:int,location:string>>, headers map<string,string>")
