@@ -73,3 +73,16 @@ def test_one_vector_holds_a_third_of_all_rows(spark):
 
 def test_empty(spark):
     assert got(table(spark, [])) == [] and got(table(spark, some(5)[1:])) == []
+
+
+def test_no_score_tile_is_written_or_sent(spark):
+    """Tiles hold eight bytes for each anchor and row: kept or shuffled, they outgrow an executor."""
+    plan = negatives.mine(table(spark, some(200)))._jdf.queryExecution().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "binary" not in plan and "tile" not in plan
+
+
+def test_scores_that_leave_no_room_for_places(spark):
+    """Ties of scores near 2^62 go by id all the same."""
+    rows = [(i, [200_000.0 + i % 3] * 800, i % 2) for i in range(0, 120)] + [(1000 + i, [120_000.0 + i % 2] * 800, i % 2) for i in range(40)]
+    want = plain(rows)
+    assert got(table(spark, rows), most_rows=64) == want and len(want) > 20 and max(r[4] for r in want) > 1 << 60
