@@ -48,12 +48,12 @@ def default_sitemap(strict: bool) -> Column:
     )
 
 
-def context(pages: DataFrame, fetches: DataFrame | None = None, robots: DataFrame | None = None, sitemaps: DataFrame | None = None, strict: bool = False) -> DataFrame:
+def context(pages: DataFrame, fetches: DataFrame | None = None, robots: DataFrame | None = None, sitemaps: DataFrame | None = None, strict: bool = False, terminated: bool = False) -> DataFrame:
     """page_id, url, final_url, facts, fetch, robots, sitemap.
 
     fetches: page_id, final_url and the fields of FETCH; robots: page_id and the fields of ROBOTS
     (see operators.robots); sitemaps: page_id and the fields of SITEMAP (see operators.sitemap).
-    Absent tables are assumed to be well, or with strict to be unavailable.
+    Absent tables are assumed to be well, or with strict to be unavailable. terminated: see functions.html.facts.
     """
     def joined(df: DataFrame, table: DataFrame | None, column: str, kind: str, default: Column) -> DataFrame:
         if table is None:
@@ -64,11 +64,11 @@ def context(pages: DataFrame, fetches: DataFrame | None = None, robots: DataFram
 
     # a document's own address is where it was found in the end
     if fetches is None:
-        df = with_facts(pages).withColumn("fetch", default_fetch()).withColumn("final_url", F.col("url"))
+        df = with_facts(pages, terminated=terminated).withColumn("fetch", default_fetch()).withColumn("final_url", F.col("url"))
     else:
         ends = fetches.select(F.col("page_id").alias("_p"), (F.col("final_url") if "final_url" in fetches.columns else F.lit(None).cast("string")).alias("_end"))
         there = pages.join(ends, F.col("page_id") == F.col("_p"), "left").select("page_id", F.struct("url", F.coalesce("_end", "url").alias("final_url")).alias("at"), "html")
-        df = with_facts(there.select("page_id", F.col("at.final_url").alias("url"), "html", F.col("at.url").alias("asked")), "asked")
+        df = with_facts(there.select("page_id", F.col("at.final_url").alias("url"), "html", F.col("at.url").alias("asked")), "asked", terminated=terminated)
         df = df.select("page_id", F.col("asked").alias("url"), F.col("url").alias("final_url"), "facts")
         df = joined(df, fetches.drop("final_url"), "fetch", FETCH, default_fetch())
         df = df.withColumn("fetch", F.col("fetch").withField("headers", kept_headers(F.col("fetch.headers"))))
@@ -150,10 +150,10 @@ class Audit(NamedTuple):
         return self.wide.select("page_id", "url", "total", "band", "redistributed", *map(count, ("PASS", "WARNING", "ERROR", "INFO", "UNAVAILABLE")))
 
 
-def audit(pages: DataFrame, fetches: DataFrame | None = None, robots: DataFrame | None = None, sitemaps: DataFrame | None = None, strict: bool = False) -> Audit:
+def audit(pages: DataFrame, fetches: DataFrame | None = None, robots: DataFrame | None = None, sitemaps: DataFrame | None = None, strict: bool = False, terminated: bool = False) -> Audit:
     """Audit pages (page_id, url, html). Parsing is one Arrow pass; checks and scores are Columns of the
     same stage, so an audit without extra tables needs no shuffle."""
-    df = context(pages, fetches, robots, sitemaps, strict)
+    df = context(pages, fetches, robots, sitemaps, strict, terminated)
     judged = settled(df, results=results_of())
     return Audit(with_scores(judged), judged)
 

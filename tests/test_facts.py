@@ -77,3 +77,10 @@ def test_rate_limit_steps():
         seen.append(told[:2])
     assert seen == [(True, 1), (True, 0), (False, 0), (True, 1)]
     assert peek(state, 1500, 2, 1000) == (True, 1, 2000)
+
+
+def test_references_cut_short():
+    html = '<title>a &amp;&amp &copy &am &#65; &#66 &nope; &ampx;</title><a href="/x?a&amp;b&amp">t</a>'
+    assert facts(html, URL)["titles"] == ["a && © &am A B &nope; &x;"]
+    f = facts(html, URL, terminated=True)
+    assert f["titles"] == ["a &&amp &copy &am A &#66 &nope; &ampx;"] and f["links"][0]["href"] == "/x?a&b&amp"
