@@ -5,18 +5,19 @@ to 19 digits, Luhn), phone (9 to 15 digits). Beside these, generators propose ov
 candidates with high recall: digit groups (number), long runs of letters and digits (secret) and
 addresses written with (at) or [at] (address). Trees over their format (lengths, classes of
 characters, groups, Luhn) and context (words before, quotes, signs) score them, and those that
-reach the threshold of their generator, calibrated to PRECISION on the half of the sample that the
+reach the threshold of their generator, calibrated to PRECISION on the half of the candidates that the
 trees did not see (a generator with few positive candidates there has the threshold of all), are
 reported unless they overlap a span of the four kinds.
 
-The trees learn from the candidates of about SAMPLE documents, CANDIDATES at most about. Digit groups that
+The trees and the thresholds come from all candidates of all documents, each as often as it is found; halves
+are by a hash of the candidate and what precedes it, so that its copies are in one half. Digit groups that
 the checks accept count as personal, other digit groups don't; a run counts as a secret where a name
 like token or key and a sign precede it or its form is that of a known kind of key, and the trees do
 not see what told so for half of these, so that runs without it are found by their form; a written-out
 address counts where its last part is letters alone.
 
-All is DataFrame functions, in the row: nothing is shuffled but the bounded sample. Matches are
-placed by the lengths of what lies between them, added up in chunks, so that a text with very many
+All is DataFrame functions. Spans are found in the row; what is learnt from are counts of equal vectors of
+bins (boost.py), and only sums by feature and bin and counts by score reach the driver. Matches are placed by the lengths of what lies between them, added up in chunks, so that a text with very many
 matches takes time in proportion. Patterns are possessive where a greedy one would only backtrack in
 vain (or overflow the stack), so that long runs of one class take linear time, whatever their length.
 
@@ -31,11 +32,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import boost
-from .common import Stash, packed, read, share, taken
+from .common import Stash, packed, read
 
 KINDS = ("email", "ip", "card", "phone")
 ADDED = ("number", "secret", "address")
-SAMPLE, CANDIDATES, PRECISION = 4_000, 20_000, 0.9
+PRECISION = 0.9
 #: The patterns of the kinds, written so that Java takes linear time. A match of the first begins
 #: where the last one ended or where no character of its class precedes.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -184,29 +185,37 @@ def _described(c: Column) -> Column:
     return F.struct(c["gen"].alias("gen"), c["s"].alias("s"), c["e"].alias("e"), c["taken"].alias("taken"), told.alias("told"), F.array(*features(c)).alias("f"))
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE, most: int = CANDIDATES) -> tuple[boost.Boosted, dict[str, float]]:
-    """The trees and each generator's threshold; documents and candidates are chosen by hashes."""
+def vectors(docs: DataFrame) -> DataFrame:
+    """gen, held (whether for the thresholds), b (bins of the features), n and pos: how many of all
+    candidates have these, and how many of them count as personal."""
+    key = lambda c: F.xxhash64(c["gen"], c["m"], c["before"])
+    every = F.transform("_candidates", lambda c: F.struct(key(c).alias("h"), _described(c).alias("c")))
+    rows = proposed(based(docs)).select(F.explode(every).alias("x")).select("x.h", "x.c.*")
+    # half of each half is described without what tells secrets
+    shown = F.pmod(F.shiftright("h", 1), F.lit(2)) == 1
+    told = [FEATURES.index("named"), FEATURES.index("quoted")]
+    b = F.array(*[boost.binned(F.when(shown, F.get("f", F.lit(i))).otherwise(0.0) if i in told else F.get("f", F.lit(i))) for i in range(len(FEATURES))])
+    y = F.when(F.col("gen") == "number", F.col("taken")).otherwise(F.col("told"))
+    rows = rows.select("gen", (F.pmod("h", F.lit(2)) == 1).alias("held"), b.alias("b"), y.cast("long").alias("y"))
+    return rows.groupBy("gen", "held", "b").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("pos"))
+
+
+def fit(docs: DataFrame) -> tuple[boost.Boosted, dict[str, float]]:
+    """The trees and each generator's threshold (a multiple of 1 / LEVELS), from all candidates."""
     stash = Stash(docs.sparkSession, "pii")
-    key = F.xxhash64("doc_id", "text")
-    some = docs.select("doc_id", "text").filter(taken(key, share(docs.count(), sample))).withColumn("key", key).dropDuplicates(["key"])
-    rows = proposed(based(some)).select("doc_id", F.explode(F.transform("_candidates", _described)).alias("c")).select("doc_id", "c.*")
-    rows, at = stash.put(rows)
-    got = rows.filter(taken(F.xxhash64("doc_id", "s", "gen"), share(rows.count(), most))).select("*", F.xxhash64("doc_id", "s", "gen").alias("h")).collect()
+    rows, at = stash.put(vectors(docs))
+    bins, model = boost.fit_table(rows.filter(~F.col("held")), len(FEATURES))
+    level = F.floor(bins.folded("b") * boost.LEVELS)
+    got = rows.filter("held").groupBy("gen", level.alias("level")).agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")).collect()
     stash.drop(at)
-    got.sort(key=lambda r: (r.h, r.doc_id or 0, r.s, r.gen, r.e))
-    x = np.array([r.f for r in got], float).reshape(-1, len(FEATURES))
     gen = np.array([r.gen for r in got])
-    y = np.array([float(r.taken if r.gen == "number" else r.told) for r in got])
-    half = np.arange(len(got)) % 2 == 0
-    hide = np.arange(len(got)) % 4 < 2
-    x[np.ix_(hide, [FEATURES.index("named"), FEATURES.index("quoted")])] = 0
-    model = boost.fit(x[half], y[half])
-    score = 1 / (1 + np.exp(-model.margin(x)))
-    general = boost.threshold(score[~half], y[~half], PRECISION)
+    score, n, pos = (np.array([r[c] for r in got], float) for c in ("level", "n", "pos"))
+    score /= boost.LEVELS
+    general = boost.threshold(score, pos, PRECISION, n=n)
     cut = {}
     for g in ADDED:
-        mine = (gen == g) & ~half
-        cut[g] = boost.threshold(score[mine], y[mine], PRECISION) if y[mine].sum() >= 5 else min(general, 0.5)
+        mine = gen == g
+        cut[g] = boost.threshold(score[mine], pos[mine], PRECISION, n=n[mine]) if pos[mine].sum() >= 5 else min(general, 0.5)
     return model, cut
 
 

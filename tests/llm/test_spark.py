@@ -157,6 +157,42 @@ def test_personal_data(spark, docs):
     assert got[2].b == got[2].m == "" and "address" in got[103].m
 
 
+def test_personal_data_is_learnt_from_every_document(spark):
+    import hashlib
+
+    from siftline.llm.common import share, taken
+
+    def text(i):
+        h = "".join("ABCDEFGHIJKLMNOP"[int(c, 16)] + c for c in hashlib.sha256(str(i).encode()).hexdigest())
+        return f"token = {h[:32].upper()}" if i % 2 else f"see file-{h[:8].lower()}-page-{i}-of-many-parts"
+
+    both = spark.createDataFrame([(i, text(i)) for i in range(1500)], "doc_id long, text string")
+    # what a sample of 4,000 of 6,000 documents would not hold
+    some = both.filter(~taken(F.xxhash64("doc_id", "text"), share(6000, 4000)))
+    n = some.count()
+    df = some.unionByName(spark.range(10_000, 16_000 - n).select(F.col("id").alias("doc_id"), F.lit("plain words").alias("text"))).cache()
+    assert df.count() == 6000 and n > 300
+    assert pii.vectors(df).agg(F.sum("n")).first()[0] == n
+    model, cut = pii.fit(df)
+    assert pii.fit(df.repartition(7))[0].trees == model.trees
+    got = {r.doc_id: len(r.more) for r in pii.find(df, model, cut).filter("doc_id < 10000").collect()}
+    assert all(v == i % 2 for i, v in got.items())
+
+
+def test_trees_of_a_table_equal_those_of_its_rows(spark):
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 20, (400, 3))
+    y = ((x[:, 0] > 9) & (x[:, 1] < 12) | (rng.random(400) < 0.1)).astype(int)
+    counts = Counter((tuple(map(int, v)), int(k)) for v, k in zip(x, y))
+    rows = spark.createDataFrame([(list(v), n, n * k) for (v, k), n in counts.items()], "b array<short>, n long, pos long")
+    bins, values = pii.boost.fit_table(rows, 3, trees=3)
+    plain = pii.boost.fit(x.astype(float), y.astype(float), trees=3)
+    assert values.margin(x) == pytest.approx(plain.margin(x), abs=1e-4) and (bins.margin(x) == values.margin(x)).all() and len(values.trees) == 3
+    v = [*range(300), *(k for e in range(9, 31) for k in (2**e - 1, 2**e, 2**e + 1)), 2**31 - 1]
+    b = [r.b for r in spark.createDataFrame([(float(k),) for k in v], "x double").select("x", pii.boost.binned(F.col("x")).alias("b")).orderBy("x").collect()]
+    assert b == [int(np.searchsorted([pii.boost._upper(k) for k in range(255)], k)) for k in v] and b[:72] == [*range(64), *[64] * 8] and b[-1] == 255
+
+
 def test_very_many_matches_and_long_runs(spark):
     import time
 
