@@ -1,10 +1,16 @@
-"""Near copies by five-word similarity: prefix lists, exact verification, components.
+"""Near copies by five-word similarity: SimHash index, prefix lists, exact verification, components.
 
 A text is the set of its WORDS-word shingles; two texts are near copies if the share of common
-shingles in all their shingles is 4/5 at least, and a component is what such pairs lead to. If all
+shingles in all their shingles is 4/5 at least, and a component is what such pairs lead to.
+
+Each set has a SimHash fingerprint. An inverted index, as in simhash.py, has a list for each three positional
+bytes (56 lists for a fingerprint); pairs that meet in one and differ in RADIUS bits at most (about ten of 64 differ at
+similarity 4/5) are candidates. Lists of more than LONG entries compare theirs with one of them. No
+index of a fingerprint's bytes can promise to find every pair at this similarity, so what it leaves
+is found by prefix lists. If all
 shingles have one fixed order, a set of n shares ceil(4n/5) shingles with any partner at
 least, so the first n - ceil(4n/5) + 1 of each set have one in common: lists of these find every
-pair. Shingles that a sample of the documents finds often come last in the order, the rest go by
+pair that the index left. Shingles that a sample of the documents finds often come last in the order, the rest go by
 their hash; the sample is of use for the lists' length only, as every fixed order is exact.
 
 Equal sets are one entry. Each list first compares its entries with two of them (one by a hash, another
@@ -24,6 +30,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +38,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructType
 
+from . import simhash
 from .common import Stash, packed
 from .components import components
 
 WORDS, SEED = 5, 42
 #: One document in SAMPLED is counted; shingles in OFTEN of these come last, COMMON of them at most.
 SAMPLED, OFTEN, COMMON = 16, 4, 50_000
+#: The bytes of each list of the index, the length up to which a list is paired off, and bits that may differ.
+LISTS, LONG, RADIUS = list(combinations(range(simhash.BYTES), 3)), 64, 19
 #: Bits of the mask of shared shingles.
 PLACES = 1 << 27
 
@@ -75,7 +85,7 @@ def often(rows: DataFrame) -> np.ndarray:
 
 
 def signatures(rows: DataFrame, last: np.ndarray) -> DataFrame:
-    """i, doc_id, digest of the set, its size n, and the first of its shingles in the order."""
+    """i, doc_id, digest of the set, its size n, its fingerprint fp, and the first of its shingles in the order."""
     shared = rows.sparkSession.sparkContext.broadcast(last)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,19 +93,20 @@ def signatures(rows: DataFrame, last: np.ndarray) -> DataFrame:
 
         late = shared.value
         for b in batches:
-            digests, sizes, first = [], [], []
+            digests, sizes, prints, first = [], [], [], []
             for t in b.column(2):
                 s = shingles(t.as_py())
                 n = len(s)
                 digests.append(xxhash.xxh3_128_digest(s.tobytes()))
                 sizes.append(n)
+                prints.append(simhash.majority(s.view("<u8")))
                 if len(late) and n:
                     common = late[np.minimum(np.searchsorted(late, s), len(late) - 1)] == s
                     s = np.concatenate((s[~common], s[common]))
                 first.append(s[: n - (4 * n + 4) // 5 + 1])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), _lists(first)], names=["i", "doc_id", "digest", "n", "first"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(np.array(prints, np.uint64).view(np.int64)), _lists(first)], names=["i", "doc_id", "digest", "n", "fp", "first"])
 
-    schema = StructType().add("i", LongType()).add(rows.schema["doc_id"]).add("digest", BinaryType()).add("n", LongType()).add("first", ArrayType(LongType()))
+    schema = StructType().add("i", LongType()).add(rows.schema["doc_id"]).add("digest", BinaryType()).add("n", LongType()).add("fp", LongType()).add("first", ArrayType(LongType()))
     return rows.select("i", "doc_id", "text").mapInArrow(run, schema)
 
 
@@ -131,7 +142,8 @@ def _marked(keys: DataFrame) -> np.ndarray:
 
 
 def posts(entries: DataFrame, stash: Stash) -> tuple[DataFrame, str]:
-    """key, e, n, p (the shingle's place in the entry's order) of the first shingles that several entries have; and the table's path.
+    """key, e, n, p (the shingle's place in the entry's order) of the first shingles (or other keys) that several
+    entries have; and the table's path.
 
     Most shingles are in one entry only. The keys alone are counted; those that are shared set bits in
     a mask, and only entries' shingles that hit it are posted, and then joined to the shared keys,
@@ -161,8 +173,27 @@ def posts(entries: DataFrame, stash: Stash) -> tuple[DataFrame, str]:
     return out
 
 
+def met(entries: DataFrame, stash: Stash) -> DataFrame:
+    """entries (e, n, fp) to the pairs (a, b) that the index of fingerprints proposes."""
+    bytes3 = F.array(*[simhash.key("fp", c) + F.lit(k << 24) for k, c in enumerate(LISTS)])
+    posted, at = posts(entries.select("e", "n", bytes3.alias("first")), stash)
+    lists = posted.groupBy("key").agg(F.count(F.lit(1)).alias("held"), F.min(F.struct(F.xxhash64("key", "e").alias("h"), "e", "n")).alias("hub"))
+    shared, of = stash.put(posted.join(lists, "key").select("key", "e", "n", "held", F.col("hub.e").alias("f"), F.col("hub.n").alias("m")))
+    stash.drop(at)
+    short = shared.filter(F.col("held") <= LONG).select("key", "e", "n")
+    pairs = short.join(short.select("key", F.col("e").alias("f"), F.col("n").alias("m")), "key").filter("e < f")
+    star = shared.filter(F.col("held") > LONG).filter("e <> f").select(*pairs.columns)
+    near = pairs.unionByName(star).filter(_sizes_allow("n", "m")).select(F.least("e", "f").alias("a"), F.greatest("e", "f").alias("b")).distinct()
+    a, b = (entries.select(F.col("e").alias(x), F.col("fp").alias(f"fp_{x}")) for x in "ab")
+    near = near.join(a, "a").join(b, "b").filter(F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= RADIUS)
+    out = stash.keep(near.select("a", "b"))
+    stash.drop(of)
+    return out
+
+
 def links(entries: DataFrame, rows: DataFrame, stash: Stash) -> DataFrame:
-    """entries (e, n, first) to links (a, b), whose components are those of all similar pairs."""
+    """entries (e, n, fp, first) to links (a, b), whose components are those of all similar pairs."""
+    found = met(entries, stash)
     posted, at = posts(entries, stash)
     lists = posted.groupBy("key").agg(F.count(F.lit(1)).alias("held"), F.min(F.struct(F.xxhash64("key", "e").alias("h"), "e", "n")).alias("hub"))
     shared, of = stash.put(posted.join(lists, "key").select("key", "e", "n", "p", "held", F.col("hub.e").alias("hub"), F.col("hub.n").alias("m")))
@@ -171,8 +202,8 @@ def links(entries: DataFrame, rows: DataFrame, stash: Stash) -> DataFrame:
     known = shared.groupBy(F.col("e").alias("_e")).agg(F.sum("held").alias("known"))
     middle = shared.join(known, F.col("e") == F.col("_e")).groupBy("key").agg(F.max(F.struct("known", "e", "n")).alias("x")).select("key", F.col("x.e").alias("hub"), F.col("x.n").alias("m"))
     both = shared.select("key", "e", "n", "hub", "m").unionByName(shared.select("key", "e", "n").join(middle, "key"))
-    star = both.filter("e <> hub").filter(_sizes_allow("n", "m")).select(F.least("e", "hub").alias("a"), F.greatest("e", "hub").alias("b")).distinct()
-    star = stash.keep(star)
+    star = both.filter("e <> hub").filter(_sizes_allow("n", "m")).select(F.least("e", "hub").alias("a"), F.greatest("e", "hub").alias("b"))
+    star = stash.keep(found.unionByName(star).distinct())
     near = verified(star, entries, rows, stash)
     roots = components(near, stash)
     # lists of two are settled; of the others, those that hold several components
@@ -197,7 +228,7 @@ def dedupe(docs: DataFrame) -> DataFrame:
     signed, at = stash.put(signatures(rows, often(rows)))
     best = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "i")
     alike, of = stash.put(signed.groupBy("digest").agg(F.min("i").alias("e"), F.min(best).alias("best")))
-    entries, own = stash.put(signed.join(alike.select("e"), F.col("i") == F.col("e"), "left_semi").select(F.col("i").alias("e"), "n", "first"))
+    entries, own = stash.put(signed.join(alike.select("e"), F.col("i") == F.col("e"), "left_semi").select(F.col("i").alias("e"), "n", "fp", "first"))
     stash.drop(at)
     roots = components(links(entries, rows, stash), stash)
     member = alike.join(roots, F.col("e") == F.col("node"), "left").select(F.coalesce("root", "e").alias("root"), "best")

@@ -48,6 +48,14 @@ _WORD = re.compile(rb"[^\x20\t-\r]+")
 _CHUNK = 1 << 15
 
 
+def majority(h: np.ndarray) -> int:
+    """The bits that over half the hashes have (none: zero)."""
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(h), _CHUNK):
+        ones += np.unpackbits(h[i : i + _CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
     import xxhash
 
@@ -59,11 +67,7 @@ def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
     else:
         digest = xxhash.xxh64_intdigest
         hashes = [digest(b" ".join(x), seed) for x in zip(*(w[i:] for i in range(words)))]
-    h = np.array(hashes, "<u8")
-    ones = np.zeros(64, np.int64)
-    for i in range(0, len(h), _CHUNK):
-        ones += np.unpackbits(h[i : i + _CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
+    return majority(np.array(hashes, "<u8"))
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED) -> DataFrame:
@@ -81,7 +85,7 @@ def _byte(fp: str, i: int) -> Column:
     return F.shiftrightunsigned(F.col(fp), 8 * i).bitwiseAND(F.lit(255))
 
 
-def _key(fp: str, which: tuple[int, ...]) -> Column:
+def key(fp: str, which: tuple[int, ...]) -> Column:
     k = F.lit(0).cast("long")
     for i in which:
         k = k * 256 + _byte(fp, i)
@@ -92,7 +96,7 @@ def links(prints: DataFrame, stash: Stash, hot: int = HOT, lists: list | None =
     """Distinct fingerprints (fp) to links (a, b) between different ones, such that the components
     are those of all pairs within RADIUS bits."""
     lists = lists or (NARROW if prints.count() <= WIDE else BROAD)
-    posted = stash.keep(prints.select("fp", F.posexplode(F.array(*[_key("fp", c) for c in lists])).alias("list", "key")))
+    posted = stash.keep(prints.select("fp", F.posexplode(F.array(*[key("fp", c) for c in lists])).alias("list", "key")))
     sizes = posted.groupBy("list", "key").agg(F.count(F.lit(1)).alias("n"))
     long_lists = stash.keep(sizes.filter(F.col("n") > hot).select("list", "key"))
     usual = posted.join(sizes.filter((F.col("n") > 1) & (F.col("n") <= hot)).select("list", "key"), ["list", "key"])

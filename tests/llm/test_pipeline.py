@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from siftline.llm import copies, decontaminate, simhash, toxicity, urls
+from siftline.llm.common import Stash
 
 
 def _groups(texts):
@@ -52,6 +53,45 @@ def test_near_copies_equal_all_pairs(spark, monkeypatch):
     assert len(kept) < len(texts) - 60
 
 
+def test_the_index_of_fingerprints_finds_near_copies(spark, monkeypatch):
+    posts = copies.posts
+    # the shingles' lists are empty, those of the index (keys below 56 x 2^24) are not
+    monkeypatch.setattr(copies, "posts", lambda entries, stash: stash.put(posts(entries, stash)[0].filter(F.col("key").between(0, 56 << 24))))
+    texts = []
+    for k in range(20):
+        w = [f"w{k}-{i}" for i in range(400)]
+        texts += [" ".join(w), " ".join(w[:-1])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.doc_id for r in corpus_pipeline.drop_copies(spark, df, "").orderBy("doc_id").collect()] == list(range(0, 40, 2))
+
+
+@pytest.mark.parametrize("long", [64, 2])
+def test_pairs_of_the_index(spark, monkeypatch, long):
+    monkeypatch.setattr(copies, "LONG", long)
+    rng = random.Random(4)
+    prints = []
+    for _ in range(20):
+        base = rng.getrandbits(64)
+        prints += [base ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 9))) for _ in range(6)]
+    prints += [prints[0]] * 2
+    signed = [x - (1 << 64) if x >> 63 else x for x in prints]
+    stash = Stash(spark, "test")
+    got = {(r.a, r.b) for r in copies.met(spark.createDataFrame([(i, 100, x) for i, x in enumerate(signed)], "e long, n long, fp long"), stash).collect()}
+    cut = lambda x, c: tuple(x >> 8 * i & 255 for i in c)
+    lists = {}
+    for i, x in enumerate(prints):
+        for k, c in enumerate(copies.LISTS):
+            lists.setdefault((k, cut(x, c)), []).append(i)
+    near = lambda i, j: (prints[i] ^ prints[j]).bit_count() <= copies.RADIUS
+    short = {(i, j) for m in lists.values() if len(m) <= long for i in m for j in m if i < j and near(i, j)}
+    every = {(i, j) for m in lists.values() for i in m for j in m if i < j and near(i, j)}
+    assert short <= got <= every and len(every) > 20 and (long == 2 or got == every)
+    # each entry of a long list meets the list's one
+    for m in lists.values():
+        if len(m) > long:
+            assert any(all(h == i or not near(h, i) or (min(h, i), max(h, i)) in got for i in m) for h in m)
+
+
 def test_near_copies_beyond_three_bits_are_dropped(spark):
     texts = []
     for k in range(10):
