@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructType
 
 from . import simhash
-from .common import Stash, packed
+from .common import Stash, packed, slices
 from .components import components
 
 WORDS, SEED = 5, 42
@@ -72,7 +72,7 @@ def sets(rows: DataFrame) -> DataFrame:
     """i, s of rows (i, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), _lists([shingles(t.as_py()) for t in b.column(1)])], names=["i", "s"])
 
     return rows.select("i", "text").mapInArrow(run, "i long, s array<long>")
@@ -92,7 +92,7 @@ def signatures(rows: DataFrame, last: np.ndarray) -> DataFrame:
         import xxhash
 
         late = shared.value
-        for b in batches:
+        for b in slices(batches):
             digests, sizes, prints, first = [], [], [], []
             for t in b.column(2):
                 s = shingles(t.as_py())
@@ -129,13 +129,19 @@ def verified(pairs: DataFrame, entries: DataFrame, rows: DataFrame, stash: Stash
     return stash.keep(both.filter(9 * F.size(F.array_intersect("s", "t")) >= 4 * (F.size("s") + F.size("t"))).select("a", "b"))
 
 
-def _marked(keys: DataFrame) -> np.ndarray:
-    """A bit for each place that a key (pmod PLACES) takes; of constant size, whatever the number of keys."""
+def _bitmaps(keys: DataFrame) -> DataFrame:
+    """part, bits of the places (pmod PLACES) of the keys. Keys of a part meet before they are counted:
+    else each task sends a bitmap of 4 KB for each part that it has a key of."""
     at = F.pmod(F.col("key"), F.lit(PLACES))
     # the functions count places from 1
-    parts = keys.select(F.bitmap_bucket_number(at + 1).alias("part"), F.bitmap_bit_position(at + 1).alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    bits = keys.select(F.bitmap_bucket_number(at + 1).alias("part"), F.bitmap_bit_position(at + 1).alias("bit"))
+    return bits.repartition("part").groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits"))
+
+
+def _marked(keys: DataFrame) -> np.ndarray:
+    """A bit for each place that a key (pmod PLACES) takes; of constant size, whatever the number of keys."""
     out = np.zeros(PLACES // 8, np.uint8)
-    for r in parts.collect():
+    for r in _bitmaps(keys).collect():
         bits = np.frombuffer(bytes(r.bits), np.uint8)
         out[(r.part - 1) * len(bits) : r.part * len(bits)] = bits
     return out
@@ -156,7 +162,7 @@ def posts(entries: DataFrame, stash: Stash) -> tuple[DataFrame, str]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mask = shared.value
-        for b in batches:
+        for b in slices(batches):
             first = b.column(2)
             key = first.flatten().to_numpy(zero_copy_only=False)
             size = first.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)

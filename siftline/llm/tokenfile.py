@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Stash, read
+from .common import Stash, read, remembered
 
 MAGIC = b"SLG2"
 #: Ids of a shard before compression, at most (but for one document that is longer by itself).
@@ -371,14 +371,11 @@ class Encoder:
         return _gather(self.flat, self.off[which], self.n[which]), n
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    """One for each Python worker, kept between tasks."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    """One for each Python worker, kept between tasks until another operator's forget()."""
+    if path not in remembered:
+        remembered[path] = Encoder(path)
+    return remembered[path]
 
 
 def _shards(path: str):

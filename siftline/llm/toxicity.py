@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Stash, packed, read, share, taken
+from .common import Stash, forget, packed, read, share, slices, taken
 
 ORDER, SHARED = 9, 8
 #: Discount of the shared counts.
@@ -75,6 +75,7 @@ def words(text: str | None) -> list[str]:
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(text, toxic) to (word, ordinary, toxic): documents of each class that hold the word."""
+    forget()
     seen: list[Counter] = [Counter(), Counter()]
 
     def out() -> Iterator[pa.RecordBatch]:
@@ -93,6 +94,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forget()
     seen: Counter = Counter()
     out = lambda: pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
     for b in batches:
@@ -271,6 +273,7 @@ def describe(docs: DataFrame, model: Learnt, stash: Stash) -> DataFrame:
     names = ["row", *own, "word", "n", "total", *tops]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batches = slices(batches)
         known = shared.value.get
         kinds = [pa.int64()] * (1 + len(own)) + [pa.string(), pa.int64(), pa.float64(), *[pa.float64()] * TELLING]
         for b in batches:

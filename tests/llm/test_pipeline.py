@@ -4,11 +4,14 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from siftline.llm import copies, decontaminate, simhash, toxicity, urls
+from siftline.llm import common, copies, decontaminate, simhash, tokenfile, toxicity, urls
 from siftline.llm.common import Stash
 
 
@@ -208,3 +211,50 @@ def test_every_suffix_has_its_statistics(spark, monkeypatch, broadcast):
     share = (350 + 1.0) / (700 + 2.0)
     own = {round((b + urls.PRIOR * share) / (1 + urls.PRIOR), 9) for b in (0, 1)}
     assert len(got) == 700 and {round(v, 9) for v in seen[0][1::2, -1]} == own
+
+
+@pytest.mark.parametrize("of", ["sets", "signatures"])
+def test_workers_make_a_part_of_a_batch_at_once(spark, of):
+    taken, given = [], []
+
+    class Rows:
+        """Keeps the function that tasks run."""
+
+        schema = spark.range(0).withColumnRenamed("id", "doc_id").schema
+        sparkSession = spark
+
+        def select(self, *names):
+            return self
+
+        def mapInArrow(self, run, schema):
+            self.run = run
+            return self
+
+    rows = Rows()
+    copies.sets(rows) if of == "sets" else copies.signatures(rows, np.zeros(0, np.int64))
+    n = 3 * common.SLICE + 7
+    ids, texts = pa.array(range(n)), pa.array([f"a b c d e {i}" for i in range(n)])
+    batch = pa.RecordBatch.from_arrays([ids, texts], names=["i", "text"]) if of == "sets" else pa.RecordBatch.from_arrays([ids, ids, texts], names=["i", "doc_id", "text"])
+    for b in rows.run(iter([batch, batch.slice(0, 0)])):
+        given.append(len(b))
+        taken += b.column(0).to_pylist()
+    assert taken == list(range(n)) and max(given) <= common.SLICE
+
+
+def test_an_operator_drops_what_a_worker_keeps_for_another():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    first = tokenfile.encoder(path)
+    assert tokenfile.encoder(path) is first
+    texts = pa.RecordBatch.from_arrays([pa.array(["one two"])], names=["text"])
+    list(toxicity._vocabulary(iter([texts])))
+    assert tokenfile.encoder(path) is not first
+
+
+def test_the_mask_of_shared_keys_sends_no_bitmaps(spark):
+    keys = spark.createDataFrame([(k,) for k in (0, 5, 5, -1, copies.PLACES + 9, 1 << 40)], "key long")
+    bits = copies._bitmaps(keys)
+    mask = copies._marked(keys)
+    places = np.flatnonzero(np.unpackbits(mask, bitorder="little"))
+    assert places.tolist() == sorted({k % copies.PLACES for k in (0, 5, -1, 9, 1 << 40)})
+    plan = bits._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.rindex("bitmap_construct_agg") < plan.index("Exchange")
