@@ -5,7 +5,7 @@ shingles in all their shingles is 4/5 at least, and a component is what such pai
 
 Each set has a SimHash fingerprint. An inverted index, as in simhash.py, has a list for each three positional
 bytes (56 lists for a fingerprint); pairs that meet in one and differ in RADIUS bits at most (about ten of 64 differ at
-similarity 4/5) are candidates. Lists of more than LONG entries compare theirs with one of them. No
+similarity 4/5) are candidates. No
 index of a fingerprint's bytes can promise to find every pair at this similarity, so what it leaves
 is found by prefix lists. If all
 shingles have one fixed order, a set of n shares ceil(4n/5) shingles with any partner at
@@ -13,12 +13,15 @@ least, so the first n - ceil(4n/5) + 1 of each set have one in common: lists of
 pair that the index left. Shingles that a sample of the documents finds often come last in the order, the rest go by
 their hash; the sample is of use for the lists' length only, as every fixed order is exact.
 
-Equal sets are one entry. Each list first compares its entries with two of them (one by a hash, another
-in each list, and the one with the longest lists, as a text has that others were made from), and
-the verified links make components. Lists that still hold several components are then paired off
-across these, where the places of the shared shingle leave room for the similarity, so that large
-groups of near copies cost no square of their size and no pair that could join two components is
-left out.
+Equal sets are one entry. Each list of the index first compares its entries with one of them, the one
+with the longest lists, as a text has that others were made from; the verified links make components.
+Lists of LONG entries at most that still hold several components are then paired off across these. Prefix
+lists that hold several components go on: first with two of their entries (the one with the
+longest lists, and one by a hash, another in each list), then each entry with all of the other
+components that are left, where the places of the shared shingle leave room for the similarity.
+So copies that are linked already cost no square of their group's size, and no pair that could join
+two components is left out; texts that come near the similarity with many others and reach it with
+none are still compared with each of these.
 
 Defined cases: words are lower-cased (A-Z); texts of fewer words than a shingle are one shingle;
 null texts and texts without words equal each other. Rows are told apart by themselves, not by
@@ -29,14 +32,14 @@ one row), whatever ids other rows have.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, LongType, StructType
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
 from . import simhash
 from .common import Stash, packed, slices
@@ -148,8 +151,8 @@ def _marked(keys: DataFrame) -> np.ndarray:
 
 
 def posts(entries: DataFrame, stash: Stash) -> tuple[DataFrame, str]:
-    """key, e, n, p (the shingle's place in the entry's order) of the first shingles (or other keys) that several
-    entries have; and the table's path.
+    """key, p (the shingle's place in the entry's order) and entries' other columns of the first shingles (or
+    other keys) that several entries have; and the table's path.
 
     Most shingles are in one entry only. The keys alone are counted; those that are shared set bits in
     a mask, and only entries' shingles that hit it are posted, and then joined to the shared keys,
@@ -159,11 +162,12 @@ def posts(entries: DataFrame, stash: Stash) -> tuple[DataFrame, str]:
     keys, at = stash.put(counted.select("key"))
     stash.drop()
     shared = entries.sparkSession.sparkContext.broadcast(_marked(keys))
+    others = [c for c in entries.columns if c != "first"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mask = shared.value
         for b in slices(batches):
-            first = b.column(2)
+            first = b.column(0)
             key = first.flatten().to_numpy(zero_copy_only=False)
             size = first.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
             row = np.repeat(np.arange(len(first)), size)
@@ -171,58 +175,94 @@ def posts(entries: DataFrame, stash: Stash) -> tuple[DataFrame, str]:
             place = key % PLACES
             hit = (mask[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
             row = pa.array(row[hit])
-            yield pa.RecordBatch.from_arrays([pa.array(key[hit]), b.column(0).take(row), b.column(1).take(row), pa.array(p[hit])], names=["key", "e", "n", "p"])
+            yield pa.RecordBatch.from_arrays([pa.array(key[hit]), pa.array(p[hit]), *(c.take(row) for c in b.columns[1:])], names=["key", "p", *others])
 
-    posted = entries.select("e", "n", "first").mapInArrow(run, "key long, e long, n long, p long")
+    schema = StructType([StructField("key", LongType()), StructField("p", LongType()), *(entries.schema[c] for c in others)])
+    posted = entries.select("first", *others).mapInArrow(run, schema)
     out = stash.put(posted.join(keys, "key", "left_semi"))
     stash.drop(at)
     return out
 
 
-def met(entries: DataFrame, stash: Stash) -> DataFrame:
-    """entries (e, n, fp) to the pairs (a, b) that the index of fingerprints proposes."""
+def _ordered(pairs: DataFrame) -> DataFrame:
+    """Pairs (e, f) as (a, b), each once."""
+    return pairs.select(F.least("e", "f").alias("a"), F.greatest("e", "f").alias("b")).distinct()
+
+
+def _twice(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """lists (key, e, n, p, fp or c, ...) and the same with the names f, m, q, g or d."""
+    names = {"key": "key", "e": "f", "n": "m", "p": "q", "fp": "g", "c": "d"}
+    return lists, lists.select(*[F.col(c).alias(x) for c, x in names.items() if c in lists.columns])
+
+
+def _mixed(posted: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+    """posted (key, e, ...) with c, the entry's component (without roots itself), and held, the list's length,
+    of lists that hold several components."""
+    found = posted.withColumn("c", F.col("e"))
+    if roots is not None:
+        found = posted.join(roots, F.col("e") == F.col("node"), "left").withColumn("c", F.coalesce("root", "e")).drop("node", "root")
+    lists = found.groupBy("key").agg(F.count(F.lit(1)).alias("held"), F.min("c").alias("x"), F.max("c").alias("y")).filter("x < y")
+    return found.join(lists.select("key", "held"), "key")
+
+
+def _central(lists: DataFrame) -> DataFrame:
+    """key, hub: of each list, the entry that has the longest lists, with its columns."""
+    known = lists.groupBy(F.col("e").alias("_e")).agg(F.sum("held").alias("known"))
+    row = F.struct("known", *[c for c in lists.columns if c not in ("key", "held", "p")])
+    return lists.join(known, F.col("e") == F.col("_e")).groupBy("key").agg(F.max(row).alias("hub"))
+
+
+def met(entries: DataFrame, stash: Stash, settle: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """entries (e, n, fp) to the pairs (a, b) that the index of fingerprints proposes.
+
+    settle makes components (node, root) of the pairs with the lists' central entries; pairs inside a
+    component are not proposed any more. Without it, each entry is its own component.
+    """
     bytes3 = F.array(*[simhash.key("fp", c) + F.lit(k << 24) for k, c in enumerate(LISTS)])
-    posted, at = posts(entries.select("e", "n", bytes3.alias("first")), stash)
-    lists = posted.groupBy("key").agg(F.count(F.lit(1)).alias("held"), F.min(F.struct(F.xxhash64("key", "e").alias("h"), "e", "n")).alias("hub"))
-    shared, of = stash.put(posted.join(lists, "key").select("key", "e", "n", "held", F.col("hub.e").alias("f"), F.col("hub.n").alias("m")))
+    posted, at = posts(entries.select("e", "n", "fp", bytes3.alias("first")), stash)
+    lists, of = stash.put(_mixed(posted.drop("p")))
     stash.drop(at)
-    short = shared.filter(F.col("held") <= LONG).select("key", "e", "n")
-    pairs = short.join(short.select("key", F.col("e").alias("f"), F.col("n").alias("m")), "key").filter("e < f")
-    star = shared.filter(F.col("held") > LONG).filter("e <> f").select(*pairs.columns)
-    near = pairs.unionByName(star).filter(_sizes_allow("n", "m")).select(F.least("e", "f").alias("a"), F.greatest("e", "f").alias("b")).distinct()
-    a, b = (entries.select(F.col("e").alias(x), F.col("fp").alias(f"fp_{x}")) for x in "ab")
-    near = near.join(a, "a").join(b, "b").filter(F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= RADIUS)
-    out = stash.keep(near.select("a", "b"))
+    near = _sizes_allow("n", "m") & (F.bit_count(F.col("fp").bitwiseXOR(F.col("g"))) <= RADIUS)
+    hubs = _central(lists).select("key", F.col("hub.e").alias("f"), F.col("hub.n").alias("m"), F.col("hub.fp").alias("g"))
+    star = stash.keep(_ordered(lists.join(hubs, "key").filter(F.col("e") != F.col("f")).filter(near)))
+    # lists of two are settled
+    short = lists.filter((F.col("held") > 2) & (F.col("held") <= LONG)).select("key", "e", "n", "fp")
+    one, other = _twice(stash.keep(_mixed(short, settle(star) if settle else None)))
+    out = stash.keep(star.unionByName(_ordered(one.join(other, "key").filter(F.col("c") < F.col("d")).filter(near))).distinct())
     stash.drop(of)
     return out
 
 
 def links(entries: DataFrame, rows: DataFrame, stash: Stash) -> DataFrame:
     """entries (e, n, fp, first) to links (a, b), whose components are those of all similar pairs."""
-    found = met(entries, stash)
-    posted, at = posts(entries, stash)
-    lists = posted.groupBy("key").agg(F.count(F.lit(1)).alias("held"), F.min(F.struct(F.xxhash64("key", "e").alias("h"), "e", "n")).alias("hub"))
-    shared, of = stash.put(posted.join(lists, "key").select("key", "e", "n", "p", "held", F.col("hub.e").alias("hub"), F.col("hub.n").alias("m")))
+    steps = []
+
+    def settle(star: DataFrame) -> DataFrame:
+        near = verified(star, entries, rows, stash)
+        steps.append((star, near, components(near, stash)))
+        return steps[-1][2]
+
+    found = met(entries, stash, settle)
+    star, near, roots = steps[0]
+    posted, at = posts(entries.select("e", "n", "first"), stash)
+    lists, of = stash.put(_mixed(posted, roots))
     stash.drop(at)
-    # a text that others were made from has the longest lists
-    known = shared.groupBy(F.col("e").alias("_e")).agg(F.sum("held").alias("known"))
-    middle = shared.join(known, F.col("e") == F.col("_e")).groupBy("key").agg(F.max(F.struct("known", "e", "n")).alias("x")).select("key", F.col("x.e").alias("hub"), F.col("x.n").alias("m"))
-    both = shared.select("key", "e", "n", "hub", "m").unionByName(shared.select("key", "e", "n").join(middle, "key"))
-    star = both.filter("e <> hub").filter(_sizes_allow("n", "m")).select(F.least("e", "hub").alias("a"), F.greatest("e", "hub").alias("b"))
-    star = stash.keep(found.unionByName(star).distinct())
-    near = verified(star, entries, rows, stash)
+    hashed = lists.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "e").alias("h"), "e", "n", "c")).alias("hub"))
+    hubs = [x.select("key", F.col("hub.e").alias("f"), F.col("hub.n").alias("m"), F.col("hub.c").alias("d")) for x in (hashed, _central(lists))]
+    hubs = hubs[0].unionByName(hubs[1]).distinct()
+    # entries of one component need no link any more
+    pairs = _ordered(lists.join(hubs, "key").filter(F.col("c") != F.col("d")).filter(_sizes_allow("n", "m")))
+    pairs = stash.keep(found.unionByName(pairs).distinct().join(star, ["a", "b"], "left_anti"))
+    near = near.unionByName(verified(pairs, entries, rows, stash))
     roots = components(near, stash)
     # lists of two are settled; of the others, those that hold several components
-    rest, others = stash.put(shared.filter("held > 2").join(roots, F.col("e") == F.col("node"), "left").select("key", "e", "n", "p", F.coalesce("root", "e").alias("c")))
+    rest = stash.keep(_mixed(lists.filter("held > 2").select("key", "e", "n", "p"), roots))
     stash.drop(of)
-    mixed = rest.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x < y").select("key")
-    rest = stash.keep(rest.join(mixed, "key", "left_semi"))
-    stash.drop(others)
-    other = rest.select("key", F.col("e").alias("f"), F.col("n").alias("m"), F.col("p").alias("q"), F.col("c").alias("d"))
+    one, other = _twice(rest)
     # in the list of the first shingle that two entries share, what they share lies behind its places
     enough = 9 * F.least(F.col("n") - F.col("p"), F.col("m") - F.col("q")) >= 4 * (F.col("n") + F.col("m"))
-    across = rest.join(other, (rest["key"] == other["key"]) & (F.col("c") < F.col("d")) & enough)
-    across = across.select(F.least("e", "f").alias("a"), F.greatest("e", "f").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
+    across = _ordered(one.join(other, "key").filter(F.col("c") < F.col("d")).filter(enough))
+    across = across.join(star.unionByName(pairs), ["a", "b"], "left_anti")
     return near.unionByName(verified(across, entries, rows, stash))
 
 

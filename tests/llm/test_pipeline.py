@@ -95,6 +95,22 @@ def test_pairs_of_the_index(spark, monkeypatch, long):
             assert any(all(h == i or not near(h, i) or (min(h, i), max(h, i)) in got for i in m) for h in m)
 
 
+def test_a_group_of_near_copies_is_not_paired_off(spark, monkeypatch):
+    compared, verified = [], copies.verified
+
+    def counted(pairs, *more):
+        compared.append(pairs.count())
+        return verified(pairs, *more)
+
+    monkeypatch.setattr(copies, "verified", counted)
+    base = [f"b{i}" for i in range(300)]
+    texts = [" ".join(base[: 4 * i] + [f"y{i}"] + base[4 * i + 1 :]) for i in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.doc_id for r in corpus_pipeline.drop_copies(spark, df, "").collect()] == [0]
+    # 1,770 pairs meet in lists of the index
+    assert 59 <= sum(compared) <= 8 * 60
+
+
 def test_near_copies_beyond_three_bits_are_dropped(spark):
     texts = []
     for k in range(10):
